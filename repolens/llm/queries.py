@@ -1,11 +1,45 @@
-"""The registry of this subpackage's queries."""
+"""The registry of this subpackage's queries and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from repolens.llm import mixing, quality, sharding, urlrules
 
-def oracle_sql():
-    return {}
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, under the law ``key``."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page."""
+    return urlrules.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op10_url_rules)}
+
+
+def oracle_sql() -> dict[str, str]:
+    sql6 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ")"
+    return {"op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op10_url_rules": urlrules.SQL}
