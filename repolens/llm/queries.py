@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import mixing, quality, sharding, urlrules
+from repolens.llm import mixing, quality, sharding, substrings, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +31,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_lempel_ziv_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What substring dedup removes from every document."""
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page."""
     return urlrules.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op10_url_rules)}
+    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op9_lempel_ziv_spans, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     sql6 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ")"
-    return {"op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op10_url_rules": urlrules.SQL}
+    return {"op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL}
