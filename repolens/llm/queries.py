@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import mixing, quality, sharding, substrings, urlrules
+from repolens.llm import languagemodel, mixing, quality, sharding, substrings, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    return languagemodel.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_lempel_ziv_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What substring dedup removes from every document."""
     return substrings.digests(_table(spark, sf_dir, "documents"))
@@ -42,7 +47,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op9_lempel_ziv_spans, op10_url_rules)}
+    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
