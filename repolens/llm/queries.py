@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import languagemodel, mixing, quality, sharding, substrings, urlrules
+from repolens.llm import languagemodel, mixing, packing, quality, sharding, substrings, urlrules, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, under the law ``key``."""
     placed = sharding.assign(_table(spark, sf_dir, "documents"))
@@ -47,9 +60,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
+    return {f.__name__: f for f in (op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     sql6 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ")"
-    return {"op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL}
+    return {"op2_va_file_top_k": vafile.SQL, "op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL}
