@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import languagemodel, mixing, packing, quality, sharding, substrings, urlrules, vafile
+from repolens.llm import languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return orderminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document."""
     return languagemodel.score_documents(_table(spark, sf_dir, "documents"))
@@ -60,7 +65,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
+    return {f.__name__: f for f in (op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op7_order_minhash, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
