@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
+from repolens.llm import htmltext, languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -65,7 +70,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op7_order_minhash, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
+    return {f.__name__: f for f in (op1_suffix_array_text, op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op7_order_minhash, op8_elias_fano_lm, op9_lempel_ziv_spans, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
