@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in queries about code.
 STOP_WORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "with",
-    "self", "return", "def", "class", "function", "var", "let", "const", "new", "public", "private", "static", "void", "true", "false",
-    "null", "none",
+    "the", "and", "for", "with", "from", "this", "that", "into", "not", "def", "class", "function", "return", "self", "init", "get", "set", "var", "let",
+    "const", "new", "if", "else", "while", "public", "private", "protected", "static", "void", "final", "async", "await", "true", "false", "null", "none", "nil",
 ]
 MIN_LENGTH, MAX_LENGTH = 2, 48
 
@@ -24,6 +23,22 @@ def tokens(text: Column) -> Column:
     return F.filter(lowered, lambda t: F.length(t).between(MIN_LENGTH, MAX_LENGTH) & ~F.array_contains(stop, t))
 
 
+def weighted_tokens(method: Column, owner: Column, signature: Column, docstring: Column, path: Column) -> Column:
+    """A symbol's search tokens: its own name twice, owner, signature and docstring once, every other token of the path."""
+    own = tokens(method)
+    return F.concat(own, own, tokens(owner), tokens(signature), tokens(docstring), F.filter(tokens(path), lambda _, i: i % 2 == 0))
+
+
+def words(text: Column) -> Column:
+    """Lower-case runs of word characters, letters of any script included."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\W+"), F.lower), lambda t: t != "")
+
+
+def compact(text: Column) -> Column:
+    """Lower case, only ASCII letters and digits left."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
+
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: The same in DuckDB, whose regular expressions have no look-around; format with text=<expression>.
 SQL_TOKENS = (

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B = 1.5, 0.75
+K1, B, TOP_TERMS = 1.5, 0.75, 64
+
+
+def postings(docs: DataFrame, key: str, terms: str, top: int | None = TOP_TERMS) -> DataFrame:
+    """(key, term, tf): term frequencies, the ``top`` most frequent of each document (ties: first seen)."""
+    exploded = docs.select(key, F.posexplode(terms).alias("pos", "term"))
+    counted = exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    if top is not None:
+        order = Window.partitionBy(key).orderBy(F.desc("tf"), "pos")
+        counted = counted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
+    return counted.select(key, "term", "tf")
+
+
+def corpus_stats(docs: DataFrame, terms: str) -> DataFrame:
+    """One row (doc_count, avg_doc_length) over documents that have a term."""
+    return docs.select(F.size(terms).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("doc_count"), F.avg("n").alias("avg_doc_length"))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
 def bm25_scores(docs: DataFrame, key: str, terms: str, query: list[str]) -> DataFrame:
@@ -18,10 +37,19 @@ def bm25_scores(docs: DataFrame, key: str, terms: str, query: list[str]) -> Data
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = sized.where(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most one row for each query term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    return joined.groupBy(key).agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / norm), 4).alias("score"))
+    return joined.groupBy(key).agg(F.round(F.sum(idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm), 4).alias("score"))
+
+
+def index_scores(index: DataFrame, lengths: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """The same from a stored index: postings (key, term, tf), of which only the query's terms are read, and lengths (key, doc_length)."""
+    hits = index.where(F.col("term").isin(list(dict.fromkeys(query))))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avgdl"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("avgdl"))
+    joined = hits.join(lengths.select(key, "doc_length"), key).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    return joined.groupBy(key).agg(F.sum(idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
 def top_k(scores: DataFrame, key: str, k: int) -> DataFrame:
