@@ -39,16 +39,32 @@ def file_count_level(n: Column) -> Column:
     return out
 
 
+def _whole(table: dict[str, float]) -> dict[str, int]:
+    return {k: round(100 * v) for k, v in table.items()}
+
+
+def whole_weight(value: Column, table: dict[str, float]) -> Column:
+    """The weight in hundredths, as long: sums and products of those are exact."""
+    out = F.lit(100)
+    for name, w in reversed(_whole(table).items()):
+        out = F.when(F.lower(value) == name, w).otherwise(out)
+    return out.cast("long")
+
+
 def file_score(category: Column, usage_sum: Column, count: Column, path: Column, change: str = "modify") -> Column:
-    """One file's weighted risk, to three places."""
-    base = 1.0 + F.least(F.lit(10), F.greatest(F.lit(0), count)) * 0.35 + usage_sum * 0.2
-    sensitive = F.when(F.lower(path).rlike("auth|payment|webhook"), 1.4).otherwise(1.0)
-    return F.round(base * weight(category, CATEGORY_WEIGHTS) * F.lit(CHANGE_WEIGHTS.get(change, 1.0)) * sensitive, 3)
+    """One file's weighted risk in thousandths, rounded half up. ``usage_sum`` is in hundredths.
+
+    (1 + 0.35 * min(10, count) + 0.2 * usages) * category * change * 1.4 for sensitive paths, in whole numbers throughout.
+    """
+    base = 10_000 + F.least(F.lit(10), F.greatest(F.lit(0), count)) * 3500 + usage_sum * 20
+    sensitive = F.when(F.lower(path).rlike("auth|payment|webhook"), 14).otherwise(10)
+    product = base * whole_weight(category, CATEGORY_WEIGHTS) * F.lit(round(100 * CHANGE_WEIGHTS.get(change, 1.0))) * sensitive
+    return F.floor((product + 500_000) / F.lit(1_000_000).cast("decimal(10,0)")).cast("long")
 
 
 def case_sql(value: str, table: dict[str, float]) -> str:
-    """``weight`` in SQL."""
-    return f"CASE lower({value}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1.0 END"
+    """``whole_weight`` in SQL."""
+    return f"CASE lower({value}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _whole(table).items()) + " ELSE 100 END"
 
 
 def level_sql(score: str, steps: list[tuple[float, str]]) -> str:

@@ -91,23 +91,28 @@ def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category:
 
 
 def weighted_risk(usages: DataFrame, group: list[str], file: str, kind: str, category: str, change: str = "modify") -> DataFrame:
-    """(group, file, category, count, score): each referencing file's weighted risk."""
-    weighed = usages.groupBy(*group, F.col(file).alias("file"), F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("count"), F.sum(risk.weight(F.col(kind), risk.USAGE_WEIGHTS)).alias("_u"))
+    """(group, file, category, count, score): each referencing file's weighted risk in thousandths."""
+    weighed = usages.groupBy(*group, F.col(file).alias("file"), F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("count"), F.sum(risk.whole_weight(F.col(kind), risk.USAGE_WEIGHTS)).alias("_u"))
     return weighed.withColumn("score", risk.file_score(F.col("category"), F.col("_u"), F.col("count"), F.col("file"), change)).drop("_u")
 
 
+def hundredths(thousandths: Column) -> Column:
+    """Thousandths as a double with two places, rounded half up."""
+    return F.floor((thousandths + 5) / F.lit(10).cast("decimal(4,0)")).cast("double") / 100
+
+
 def risk_summary(scored: DataFrame, group: list[str]) -> DataFrame:
     """(group, risk_score, risk_level, files, usages, high_risk_files)."""
     out = scored.groupBy(*group).agg(
-        F.round(F.sum("score"), 2).alias("risk_score"), F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"),
-        F.sum(F.when(F.col("score") >= risk.HIGH_RISK, 1).otherwise(0)).alias("high_risk_files"),
+        hundredths(F.sum("score")).alias("risk_score"), F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"),
+        F.sum(F.when(F.col("score") >= 1000 * risk.HIGH_RISK, 1).otherwise(0)).alias("high_risk_files"),
     )
     return out.withColumn("risk_level", risk.level(F.col("risk_score"), risk.RISK_LEVELS))
 
 
 def blast_radius(risk_score: Column, indirect_files: Column, n_categories: Column) -> tuple[Column, Column]:
     """(score, level)."""
-    score = F.round(risk_score + indirect_files * 0.9 + n_categories * 0.5, 2)
+    score = (F.round(risk_score * 100).cast("long") + indirect_files * 90 + n_categories * 50).cast("double") / 100
     return score, risk.level(score, risk.BLAST_LEVELS)
 
 

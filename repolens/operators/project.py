@@ -16,11 +16,11 @@ def count_by(files: DataFrame, **keys: Column) -> DataFrame:
     return files.select(each.alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hotspots(files: DataFrame, counts: DataFrame, file: str, lines: str, n: str, limit: int = 20) -> DataFrame:
+def hotspots(files: DataFrame, counts: DataFrame, file: str, lines: str, n: str, limit: int = 20, hot_lines: int = HOT_LINES, hot_symbols: int = HOT_SYMBOLS) -> DataFrame:
     """(file, lines, symbols) of long or crowded files, longest first. ``counts`` has a row for each file that has symbols."""
     joined = files.select(F.col(file).alias("file"), F.col(lines).alias("lines")).join(counts.select(F.col(file).alias("_f"), F.col(n).alias("_n")), F.col("file") == F.col("_f"), "left")
     sized = joined.select("file", "lines", F.coalesce("_n", F.lit(0)).alias("symbols"))
-    return sized.where((F.col("lines") > HOT_LINES) | (F.col("symbols") > HOT_SYMBOLS)).orderBy(F.desc("lines"), "file").limit(limit)
+    return sized.where((F.col("lines") > hot_lines) | (F.col("symbols") > hot_symbols)).orderBy(F.desc("lines"), "file").limit(limit)
 
 
 def import_graph(files: DataFrame, file: str, imports: str, max_files: int = 50, max_imports: int = 10) -> DataFrame:
