@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back: a worker lives on beside the executor's heap, and its pools would keep what a group took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def batch_count(spark: SparkSession, chars: int, most: int, least: int = 1_000_000) -> int:
+    """How many batches a corpus falls into: of ``most`` characters, or smaller ones (not below ``least``) where that leaves tasks idle."""
+    return max(int(chars // most), min(shuffle_width(spark), int(chars // least))) + 1
+
+
 def numbered(df: DataFrame, order: list[Column], out: str, within: str | None = None, span: int = 200_000) -> DataFrame:
     """``df`` with a gapless number from 0 in ``out``, by ``order`` (within each value of ``within``), without one task seeing all rows.
 

@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import shuffle_width
-from repolens.llm.substrings import Vocabulary, _mixed, _pack, _unpack
+from repolens.llm.common import batch_count, shuffle_width, trim
+from repolens.llm.substrings import Vocabulary, _mixed, _pack, _unpack, packed_keys, unpacked_keys
 
 MU = 200.0
 BATCH_CHARS, SHARD_CHARS = 12_000_000, 6_000_000
+BLOCK = 1 << 16
 STEP = 4096.0  #: quantised log10 probabilities are -code / STEP
 _END, _START = 0x51ED270B7F3C6A19, 0x2545F4914F6CDD1D  #: stand for the hashes of the end and of the start
 
@@ -79,15 +80,24 @@ class EliasFano:
         while (more := left >= self._COUNT[self.high[byte]]).any():
             left, byte = np.where(more, left - self._COUNT[self.high[byte]], left), byte + more
         high = byte * 8 + self._SELECT[self.high[byte], left] - i
-        value = np.zeros(len(i), np.int64)
-        if self.width:
-            at = i * self.width
-            start = at >> 3
-            chunk = np.zeros(len(i), np.uint64)
-            for k in range(8):
-                chunk |= self.low[np.minimum(start + k, len(self.low) - 1)].astype(np.uint64) << np.uint64(8 * k)
-            value = ((chunk >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-        return (high << self.width) | value
+        return (high << self.width) | self._lows(i)
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), np.int64)
+        at = i * self.width
+        start = at >> 3
+        chunk = np.zeros(len(i), np.uint64)
+        for k in range((self.width + 14) // 8):
+            chunk |= self.low[start + k].astype(np.uint64) << np.uint64(8 * k)
+        return ((chunk >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def decode(self, a: int, b: int) -> np.ndarray:
+        """The values at places ``a`` to ``b``, in one pass over their bits."""
+        first, last = np.searchsorted(self.rank, [a, b - 1], side="right") - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[first * 8 : last * 8 + 8], bitorder="little")) + first * 64
+        i = np.arange(a, b)
+        return ((ones[a - self.rank[first] :][: b - a] - i) << self.width) | self._lows(i)
 
 
 class Trie:
@@ -121,9 +131,20 @@ class Trie:
         return np.clip(np.rint(-logs * STEP), 0, 65535).astype(np.uint16)
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The places of pairs in level 2, -1 for those that aren't there."""
-        low, high = self.pointers.get(context), self.pointers.get(context + 1)
+        """The places of pairs in level 2, -1 for those that aren't there.
+
+        Few pairs are searched by bisection among their context's successors; many, which are to be in (context, successor) order, meet a
+        block of contexts at a time, decoded once.
+        """
         target, out = context * self.n_words + successor, np.full(len(context), -1, np.int64)
+        if len(target) > 1000:
+            for a in range(0, self.successors.n, BLOCK):
+                values = self.successors.decode(a, min(a + BLOCK, self.successors.n))
+                x, y = np.searchsorted(target, values[0]), np.searchsorted(target, values[-1], side="right")
+                place = np.searchsorted(values, target[x:y])
+                out[x:y] = np.where(values[place] == target[x:y], place + a, out[x:y])
+            return out
+        low, high = self.pointers.get(context), self.pointers.get(context + 1)
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) // 2
@@ -183,14 +204,7 @@ class _Batch:
         """(shard, packed keys and training counts)."""
         bounds = np.flatnonzero(np.r_[True, self.shards[1:] != self.shards[:-1]])
         for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(self.shards)], strict=True):
-            gaps = np.diff(self.keys[a:b], prepend=np.uint64(0))
-            planes = gaps.view(np.uint8).reshape(-1, 8).T.ravel()  # equal bytes side by side: the high ones are mostly 0
-            yield int(self.shards[a]), _pack(planes, self.counts[a:b].astype(np.uint32))
-
-
-def _keys(planes: np.ndarray) -> np.ndarray:
-    gaps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
+            yield int(self.shards[a]), _pack(packed_keys(self.keys[a:b]), self.counts[a:b].astype(np.uint32))
 
 
 _ASK = "shard int, batch int, payload binary"
@@ -208,7 +222,7 @@ def _asker(n_shards: int):
 def _counter(key: tuple, table: pa.Table) -> pa.Table:
     """One counter shard: totals over all batches, in each batch's own order."""
     unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-    keys = [_keys(planes) for planes, _ in unpacked]
+    keys = [unpacked_keys(planes) for planes, _ in unpacked]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([c for _, c in unpacked]), minlength=len(distinct)).astype(np.int64)
     bounds = np.cumsum([0, *map(len, keys)])
@@ -237,7 +251,7 @@ def _words_only(n_shards: int):
 
 def _totals(key: tuple, table: pa.Table) -> pa.Table:
     unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-    seen = np.concatenate([_keys(planes)[counts > 0] for planes, counts in unpacked])
+    seen = np.concatenate([unpacked_keys(planes)[counts > 0] for planes, counts in unpacked])
     return pa.table({"n": pa.array([int(sum(int(c.sum()) for _, c in unpacked))], pa.int64()), "v": pa.array([len(np.unique(seen))], pa.int64())})
 
 
@@ -257,6 +271,7 @@ def _scorer(n_shards: int, n: int, v: int, mu: float):
         seen = pairs > 0
         trie = Trie(b.n_words, context[seen], successor[seen], smoothed[seen], base, np.log10(mu / (words + mu)))
         per_token = trie.score(context, successor)[b.of]
+        del trie
         size = len(b.ids)
         known = words > 0
         known[0] = False
@@ -275,7 +290,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     chars = docs.agg(F.sum(F.length(full))).first()[0] or 0
-    n_batches, n_shards = int(chars // BATCH_CHARS) + 1, max(shuffle_width(spark), int(chars // SHARD_CHARS) + 1)
+    n_batches, n_shards = batch_count(spark, chars, BATCH_CHARS), max(shuffle_width(spark), int(chars // SHARD_CHARS) + 1)
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), full.alias("text"))
     words = read.mapInArrow(_words_only(n_shards), _ASK)
     n, v = words.groupBy("shard").applyInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
