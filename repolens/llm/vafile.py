@@ -110,6 +110,8 @@ def _searcher(k: int):
         floors: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["dim"] != row["q_dim"]:
+                    continue
                 shape = (-1, row["dim"])
                 q, qi = np.frombuffer(row["q_exact"], np.int32).reshape(shape), np.frombuffer(row["q_ids"], np.int64)
                 x, xi = np.frombuffer(row["exact"], np.int32).reshape(shape), np.frombuffer(row["ids"], np.int64)
@@ -130,8 +132,8 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     queries = asked.repartition(int(n_queries // QUERIES) + 1).mapInArrow(_packer(QUERIES, scale), _PACKED)
     queries = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.abs(F.xxhash64("ids", "exact") % (1 << 40)).alias("q_block"))
     # the stated query set against all rows, block by block
-    pairs = blocks.crossJoin(queries).where("dim = q_dim")
-    found = pairs.select("dim", "ids", "exact", "cells", "q_ids", "q_exact", "q_block").mapInArrow(_searcher(k), _FOUND)
+    pairs = blocks.crossJoin(queries)  # lengths are compared in the task: as a join key they would send every block to one
+    found = pairs.select("dim", "q_dim", "ids", "exact", "cells", "q_ids", "q_exact", "q_block").mapInArrow(_searcher(k), _FOUND)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
