@@ -4,13 +4,16 @@ A window is ``WINDOW`` consecutive words of one document. A window is a duplicat
 smaller id. Documents are parsed against reference blocks; a factor of at least one window whose source lies in a smaller document becomes a
 duplicate span, and the windows that straddle two factors are looked up by themselves, so nothing at a factor's boundary is missed.
 
-Which block can hold a source for a window? The block that its anchor names: the smallest hash of the 3-word sequences in the window. Equal
-windows have equal anchors, so every block that could match is asked and no other. A document is cut into runs of windows with one anchor
-(a run carries its windows' words), each run goes to its anchor's block, and a block's reference is the runs that it received. Within a map
-batch, runs with the same words are sent once, for the smallest document; the others are duplicates already. A passage in a third of all
-documents so reaches its block once per batch, not once per document.
+Which block can hold a source for a window? The block that its anchor names: the smallest hash of the ``ANCHOR``-word sequences in the window.
+Equal windows have equal anchors, so every block that could match is asked and no other. Documents fall into batches of bounded size by hash.
 
-Words travel as indexes into a dictionary of 64-bit hashes per packet. A block's windows are sorted by a hash of their words and then compared
+1. Each batch sends its anchors, once each, to counting shards and learns which of them lie in two documents or more.
+2. Around those alone a batch cuts runs of windows with one anchor (a run carries its windows' words) and sends them to the anchors'
+   blocks. Runs with the same words are sent once per batch, for the smallest document; the others are duplicates already. So a passage in a
+   third of all documents reaches its block once per batch, not once per document.
+3. A block's reference is the runs that it received, in document order; it parses them and returns the spans to the batches.
+
+Words travel as indexes into a dictionary of 48-bit hashes per packet (a false match needs 13 words that agree but for words of equal hash). A block's windows are sorted by a hash of their words and then compared
 word by word, so a window hash alone never makes a match.
 
 Nulls: a null text has no words; a null id counts as larger than any other. Rows with the same id aren't duplicates of each other. Texts of
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import shuffle_width
+from repolens.llm.common import batch_count, shuffle_width, trim
 
-WINDOW, ANCHOR = 13, 3
-BATCH_WORDS = 1_500_000
-BLOCK_CHARS = 4_000_000  #: of text per reference block
+WINDOW, ANCHOR = 13, 6
+BATCH_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000  #: of text per reference block, and per counting shard
 LAST = np.iinfo(np.int64).max  #: stands for a null id
 _B = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
@@ -62,13 +64,12 @@ def _joined(a: np.ndarray, n_b: int, b: np.ndarray, lag: int) -> np.ndarray:
 
 
 def sequence_hashes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all 3-word and all 13-word sequences of ``w``."""
+    """Hashes of all 6-word and all 13-word sequences of ``w``."""
     two = _joined(w, 1, w, 1)
     three = _joined(two, 1, w, 2)
-    four = _joined(two, 2, two, 2)
-    eight = _joined(four, 4, four, 4)
-    twelve = _joined(eight, 4, four, 8)
-    return _mixed(three), _mixed(_joined(twelve, 1, w, 12))
+    six = _joined(three, 3, three, 3)
+    twelve = _joined(six, 6, six, 6)
+    return _mixed(six), _mixed(_joined(twelve, 1, w, 12))
 
 
 def _least(k: np.ndarray, n: int) -> np.ndarray:
@@ -106,89 +107,134 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-_FLOW = "block int, doc_id long, text_key int, payload binary"
-_FLOW_ARROW = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("payload", pa.binary())])
-
-
-def _spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of (document, packed word spans); ``starts`` and ``lengths`` count words."""
-    if not len(ids):
-        return None
-    order = np.lexsort((starts, keys, ids))
-    ids, keys, pairs = ids[order], keys[order], np.stack([starts[order], lengths[order]], 1).astype("<i4")
-    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-    last = np.r_[first[1:], len(ids)]
-    blobs = [pairs[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int32()), pa.array(ids[first], pa.int64()), pa.array(keys[first], pa.int32()), pa.array(blobs, pa.binary())], schema=_FLOW_ARROW)
-
-
-def _cut_batch(ids: list[int], keys: list[int], texts: list[list[int]], vocabulary: Vocabulary, n_blocks: int) -> Iterator[pa.RecordBatch]:
-    """The runs of a batch, a packet for each block, and the spans that the batch itself decides."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    local = np.concatenate([np.array(t, np.int64) for t in texts]) if len(texts) else np.zeros(0, np.int64)
-    if len(local) < WINDOW:
-        return
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-    three, whole = sequence_hashes(hashes[local])
-    anchor = _least(three, WINDOW - ANCHOR + 1)[: len(whole)]
-    begin = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(local)) - begin[doc]
-    valid = (place + WINDOW <= lengths[doc])[: len(whole)]
-    change = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1 : len(whole)] != doc[: len(whole) - 1]) | ~valid[:-1]]
-    first = np.flatnonzero(valid & change)
-    if not len(first):
-        return
-    stop = np.flatnonzero(valid & np.r_[change[1:] | ~valid[1:], True]) + 1
-    n_windows = stop - first
-    id_of, key_of = np.array(ids, np.int64)[doc[first]], np.array(keys, np.int32)[doc[first]]
-    sums = np.r_[np.uint64(0), np.cumsum(whole, dtype=np.uint64)]
-    print_ = _mixed(whole[first] * np.uint64(3) + whole[stop - 1] * np.uint64(5) + (sums[stop] - sums[first])) + n_windows.astype(np.uint64)
-    block = ((anchor[first] >> np.uint64(17)) % np.uint64(n_blocks)).astype(np.int64)
-    order = np.lexsort((id_of, print_, block))
-    same = np.r_[False, (print_[order][1:] == print_[order][:-1]) & (block[order][1:] == block[order][:-1])]
-    group = np.cumsum(~same) - 1
-    least = id_of[order][~same][group]
-    known = id_of[order] > least
-    done = order[known]
-    if (out := _spans(id_of[done], key_of[done], place[first[done]], n_windows[done] + WINDOW - 1)) is not None:
-        yield out
-    send = order[~known]
-    bounds = np.flatnonzero(np.r_[True, block[send][1:] != block[send][:-1]])
-    remap = np.zeros(len(vocabulary), np.int64)
-    blobs, to = [], []
-    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(send)], strict=True):
-        pick = send[a:b]
-        pick = pick[np.argsort(first[pick], kind="stable")]
-        piece = local[_spread(first[pick], n_windows[pick] + WINDOW - 1)]
-        flags = np.zeros(len(vocabulary), bool)
-        flags[piece] = True
-        used = np.flatnonzero(flags)
-        remap[used] = np.arange(len(used))
-        short = remap[piece].astype(np.uint16 if len(used) < 65536 else np.uint32)
-        blobs.append(_pack(hashes[used], short, id_of[pick], key_of[pick], place[first[pick]].astype(np.uint32), n_windows[pick].astype(np.uint32)))
-        to.append(int(block[pick[0]]))
-    for a in range(0, len(to), 64):
-        some = len(to[a : a + 64])
-        yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 64], pa.int32()), pa.nulls(some, pa.int64()), pa.nulls(some, pa.int32()), pa.array(blobs[a : a + 64], pa.binary())], schema=_FLOW_ARROW)
-
-
-def _cutter(n_blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids, keys, texts, size = Vocabulary(), [], [], [], 0
-        for batch in batches:
-            for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if len(words) < WINDOW:
-                    continue
-                ids.append(LAST if i is None else i)
-                keys.append(k)
-                texts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-                size += len(words)
-                if size >= BATCH_WORDS:
-                    yield from _cut_batch(ids, keys, texts, vocabulary, n_blocks)
-                    vocabulary, ids, keys, texts, size = Vocabulary(), [], [], [], 0
-        yield from _cut_batch(ids, keys, texts, vocabulary, n_blocks)
+def packed_keys(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as gaps, equal bytes side by side: the high ones are mostly 0."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def unpacked_keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+_FLOW = "to int, batch int, payload binary"
+_FLOW_ARROW = pa.schema([("to", pa.int32()), ("batch", pa.int32()), ("payload", pa.binary())])
+
+
+def _flow(to: list[int], batch: list[int], payloads: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(to, pa.int32()), pa.array(batch, pa.int32()), pa.array(payloads, pa.binary())], schema=_FLOW_ARROW)
+
+
+def _slices(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Where each value of a sorted array begins and ends."""
+    if not len(sorted_):
+        return []
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]).tolist()
+    return list(zip(first, [*first[1:], len(sorted_)], strict=True))
+
+
+class _Batch:
+    """The runs of a batch of documents: windows that follow each other and have one anchor."""
+
+    def __init__(self, table: pa.Table, n_shards: int):
+        vocabulary = Vocabulary()
+        ids, keys, texts = [], [], []
+        for i, k, t in zip(table.column("doc_id").to_pylist(), table.column("text_key").to_pylist(), table.column("text"), strict=True):
+            words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+            if len(words) >= WINDOW:
+                ids.append(i), keys.append(k), texts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+        self.ids, self.keys = np.array(ids, np.int64), np.array(keys, np.int64)
+        self.local = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        del texts, vocabulary
+        six, whole = sequence_hashes(self.hashes[self.local])
+        anchor = _least(six, WINDOW - ANCHOR + 1)[: len(whole)]
+        del six
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.place = (np.arange(len(self.local)) - (np.cumsum(lengths) - lengths)[doc]).astype(np.int32)
+        n = len(whole)
+        valid = (self.place + WINDOW <= lengths[doc])[:n] if n else np.zeros(0, bool)
+        change = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:n] != doc[: n - 1]) | ~valid[:-1]] if n else valid
+        self.first = np.flatnonzero(valid & change)
+        stop = np.flatnonzero(valid & np.r_[change[1:] | ~valid[1:], True]) + 1 if n else self.first
+        self.n_windows, self.doc, self.anchor = stop - self.first, doc[self.first], anchor[self.first]
+        sums = np.r_[np.uint64(0), np.cumsum(whole, dtype=np.uint64)]
+        # what tells runs apart: their windows' hashes and number
+        self.mark = _mixed(whole[self.first] * np.uint64(3) + whole[stop - 1] * np.uint64(5) + sums[stop] - sums[self.first]) + self.n_windows.astype(np.uint64)
+        # distinct anchors in (shard, anchor) order, and whether the batch has them in two documents
+        shard = ((self.anchor >> np.uint64(17)) % np.uint64(n_shards)).astype(np.int64)
+        order = np.lexsort((self.ids[self.doc], self.anchor, shard))
+        head = np.r_[True, self.anchor[order][1:] != self.anchor[order][:-1]][: len(order)]
+        group = np.cumsum(head) - 1
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = group
+        self.distinct, self.shards = self.anchor[order][head], shard[order][head]
+        owner = self.ids[self.doc][order]
+        self.several = np.zeros(len(self.distinct), np.uint8)
+        self.several[group[1:][(owner[1:] != owner[:-1]) & ~head[1:]]] = 1
+
+
+def _asker(n_shards: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        b = _Batch(table, n_shards)
+        rows = [(int(b.shards[x]), _pack(packed_keys(b.distinct[x:y]), b.several[x:y])) for x, y in _slices(b.shards)]
+        del b
+        trim()
+        return _flow([s for s, _ in rows], [key[0].as_py()] * len(rows), [p for _, p in rows])
+
+    return run
+
+
+def _counter(key: tuple, table: pa.Table) -> pa.Table:
+    """One counting shard: which anchors lie in two documents, a bit for each anchor of each batch."""
+    unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
+    keys = [unpacked_keys(k) for k, _ in unpacked]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(at, weights=1 + np.concatenate([s for _, s in unpacked]), minlength=len(distinct))[at] > 1
+    bounds = np.cumsum([0, *map(len, keys)]).tolist()
+    return _flow(table.column("to").to_pylist(), table.column("batch").to_pylist(), [_pack(np.packbits(shared[x:y])) for x, y in zip(bounds, bounds[1:], strict=False)])
+
+
+def _spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    return _pack(ids, keys.astype(np.int32), starts.astype(np.uint32), lengths.astype(np.uint32))
+
+
+def _cutter(n_shards: int):
+    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """Packets for blocks (``to`` is the block) and spans that the batch itself decides (``to`` is -1)."""
+        b, me = _Batch(docs, n_shards), key[0].as_py()
+        if not len(b.distinct):
+            return _flow([], [], [])
+        shared = np.zeros(len(b.distinct), bool)
+        bits = {s: _unpack(p)[0] for s, p in zip(answers.column("to").to_pylist(), answers.column("payload").to_pylist(), strict=True)}
+        for x, y in _slices(b.shards):
+            shared[x:y] = np.unpackbits(bits[int(b.shards[x])], count=y - x)
+        runs = np.flatnonzero(shared[b.of])
+        owner, block = b.ids[b.doc[runs]], b.shards[b.of[runs]]
+        order = np.lexsort((owner, b.mark[runs], block))
+        runs, owner, block, mark = runs[order], owner[order], block[order], b.mark[runs][order]
+        head = np.r_[True, (mark[1:] != mark[:-1]) | (block[1:] != block[:-1])][: len(runs)]
+        known = owner > owner[head][np.cumsum(head) - 1]
+        to, payloads = [], []
+        if known.any():
+            done = runs[known]
+            to.append(-1), payloads.append(_spans(owner[known], b.keys[b.doc[done]], b.place[b.first[done]], b.n_windows[done] + WINDOW - 1))
+        send, block = runs[~known], block[~known]
+        remap, flags = np.zeros(len(b.hashes), np.int64), np.zeros(len(b.hashes), bool)
+        for x, y in _slices(block):
+            pick = np.sort(send[x:y])
+            piece = b.local[_spread(b.first[pick], b.n_windows[pick] + WINDOW - 1)]
+            flags[piece] = True
+            used = np.flatnonzero(flags)
+            flags[used] = False
+            remap[used] = np.arange(len(used))
+            short = remap[piece].astype(np.uint16 if len(used) < 65536 else np.uint32)
+            doc = b.doc[pick]
+            payloads.append(_pack(b.hashes[used].astype(np.uint32), (b.hashes[used] >> np.uint64(32)).astype(np.uint16), short, b.ids[doc], b.keys[doc].astype(np.int32), b.place[b.first[pick]].astype(np.uint32), b.n_windows[pick].astype(np.uint32)))
+            to.append(int(block[x]))
+        del b
+        trim()
+        return _flow(to, [me] * len(to), payloads)
 
     return run
 
@@ -229,113 +275,106 @@ def factors(words: np.ndarray, piece: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return start[begin], np.diff(np.r_[begin, len(start)]), origin[begin]
 
 
-def _parse_block(packets: list[bytes]) -> pa.RecordBatch | None:
-    words, n_windows, ids, keys, places = [], [], [], [], []
-    for blob in packets:
-        dictionary, short, i, k, p, n = _unpack(blob)
-        words.append(dictionary[short])
-        ids.append(i), keys.append(k), places.append(p.astype(np.int64)), n_windows.append(n.astype(np.int64))
-    word, doc, key, place, n = (np.concatenate(x) for x in (words, ids, keys, places, n_windows))
+def _parser(key: tuple, table: pa.Table) -> pa.Table:
+    """One reference block: its packets are parsed against each other; spans go back to the batches."""
+    if key[0].as_py() < 0:
+        return table.select(["to", "batch", "payload"])
+    words, n_windows, ids, keys, places, batches = [], [], [], [], [], []
+    for batch, blob in zip(table.column("batch").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        low, high, short, i, k, p, n = _unpack(blob)
+        words.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))[short])
+        ids.append(i), keys.append(k), places.append(p.astype(np.int64)), n_windows.append(n.astype(np.int64)), batches.append(np.full(len(n), batch))
+    word, doc, text, place, n, batch = (np.concatenate(x) for x in (words, ids, keys, places, n_windows, batches))
     lengths = n + WINDOW - 1
     piece = np.repeat(np.arange(len(n)), lengths)
-    offset = np.cumsum(lengths) - lengths
     start, count, _ = factors(word, piece, doc)
     of = piece[start]
-    return _spans(doc[of], key[of], place[of] + start - offset[of], count + WINDOW - 1)
-
+    start = place[of] + start - (np.cumsum(lengths) - lengths)[of]
+    order = np.argsort(batch[of], kind="stable")
+    of, start, count = of[order], start[order], count[order]
+    cuts = _slices(batch[of])
+    trim()
+    return _flow([-1] * len(cuts), [int(batch[of[x]]) for x, _ in cuts], [_spans(doc[of[x:y]], text[of[x:y]], start[x:y], count[x:y] + WINDOW - 1) for x, y in cuts])
 
-def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One reference block: all packets of a partition. Spans that are known pass through."""
-    packets: list[bytes] = []
-    for batch in batches:
-        spans = batch.filter(pc.is_valid(batch.column(1)))
-        if spans.num_rows:
-            yield spans
-        packets += batch.filter(pc.is_valid(batch.column(0))).column(3).to_pylist()
-    if packets and (out := _parse_block(packets)) is not None:
-        yield out
 
-
-def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, spans): for each document with duplicates, packed (start, length) pairs in words. A null id is ``LAST``."""
+def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row: list[str]) -> DataFrame:
+    """``finish(table, removed)`` of every batch; ``removed`` has a mask of words, or None, for each of the table's rows."""
     spark = docs.sparkSession
     full = F.col(f"`{text}`")
-    total = docs.agg(F.sum(F.length(full))).first()[0] or 0
-    n_blocks = max(shuffle_width(spark), int(total // BLOCK_CHARS) + 1)
-    read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.hash(full).alias("text_key"), full.alias("text"))
-    flow = read.mapInArrow(_cutter(n_blocks), _FLOW)
-    # spans have no block: they spread over all partitions
-    dealt = flow.repartition(n_blocks, F.coalesce(F.col("block"), F.hash("doc_id", "text_key")))
-    found = dealt.mapInArrow(_parser, _FLOW)
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("payload").alias("spans"))
-
-
-def _mask(n: int, spans: list[bytes] | None) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int32)
-    for blob in spans or []:
-        pairs = np.frombuffer(blob, "<i4").reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 0] + pairs[:, 1], -1)
-    return np.cumsum(edge[:n]) > 0
-
-
-def _with_spans(docs: DataFrame, columns: list, doc_id: str, text: str) -> DataFrame:
-    full = F.col(f"`{text}`")
-    spans = duplicate_spans(docs, doc_id, text).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), "spans")
-    mine = docs.select(*columns, full.alias("_text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(LAST))).alias("_doc"), F.hash(full).alias("_key"))
-    return mine.join(spans, (F.col("_doc") == F.col("_i")) & (F.col("_key") == F.col("_k")), "left").drop("_i", "_k", "_doc", "_key")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, n_removed, digests = [], [], []
-        for t, spans in zip(batch.column("_text"), batch.column("spans"), strict=True):
-            words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-            gone = 0
-            if spans.is_valid:
-                mask = _mask(len(words), spans.as_py())
-                gone = int(mask.sum())
-                words_left = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
-            else:
-                words_left = words
-            n_words.append(len(words)), n_removed.append(gone), digests.append(hashlib.sha256(b" ".join(words_left)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    chars = docs.agg(F.sum(F.length(full))).first()[0] or 0
+    n_batches, n_shards = batch_count(spark, chars, BATCH_CHARS), max(shuffle_width(spark), int(chars // BLOCK_CHARS) + 1)
+    read = docs.select(
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.hash(full).alias("text_key"), full.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), F.pmod(F.xxhash64(doc_id, full), F.lit(n_batches)).cast("int").alias("batch"),
+    )
+    batches = read.groupBy("batch")
+    asked = batches.applyInArrow(_asker(n_shards), _FLOW)
+    answers = asked.groupBy("to").applyInArrow(_counter, _FLOW)
+    packets = batches.cogroup(answers.groupBy("batch")).applyInArrow(_cutter(n_shards), _FLOW)
+    # what a batch has decided needs no block: it stays with its batch
+    spans = packets.groupBy("to", F.when(F.col("to") < 0, F.col("batch"))).applyInArrow(_parser, _FLOW)
+
+    def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        rows: dict[tuple[int, int], list[int]] = {}
+        for j, ik in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text_key").to_pylist(), strict=True)):
+            rows.setdefault(ik, []).append(j)
+        edges: list[np.ndarray | None] = [None] * table.num_rows
+        texts = table.column("text")
+        for blob in found.column("payload").to_pylist():
+            ids, keys, starts, lengths = _unpack(blob)
+            order = np.lexsort((keys, ids))
+            ids, keys, starts, lengths = ids[order], keys[order], starts[order].astype(np.int64), lengths[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist() if len(ids) else []
+            for x, y in zip(first, [*first[1:], len(ids)], strict=True):
+                for j in rows[int(ids[x]), int(keys[x])]:
+                    if edges[j] is None:
+                        edges[j] = np.zeros(len(texts[j].as_py().encode("utf-8", "surrogatepass").split()) + 1, np.int32)
+                    np.add.at(edges[j], starts[x:y], 1)
+                    np.add.at(edges[j], starts[x:y] + lengths[x:y], -1)
+        return finish(table, [None if e is None else np.cumsum(e[:-1]) > 0 for e in edges])
+
+    return batches.cogroup(spans.groupBy("batch")).applyInArrow(run, out)
+
+
+def _digest(table: pa.Table, removed: list) -> pa.Table:
+    n_words, n_removed, digests = [], [], []
+    for t, mask in zip(table.column("text"), removed, strict=True):
+        words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
+        left = words if mask is None else [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
+        n_words.append(len(words)), n_removed.append(len(words) - len(left)), digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
+    ids = pc.struct_field(table.column("row").combine_chunks(), 0)
+    return pa.table({"doc_id": ids.cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    joined = _with_spans(docs, [F.col(f"`{doc_id}`").cast("long").alias("doc_id")], doc_id, text)
-    return joined.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for t, spans in zip(batch.column("_text"), batch.column("spans"), strict=True):
-            text = t.as_py()
-            if text is not None and spans.is_valid:
-                lines, at = [], 0
-                raw = text.encode("utf-8", "surrogatepass")
-                mask = _mask(len(raw.split()), spans.as_py()).tolist()
-                for line in raw.split(b"\n"):
-                    words = line.split()
-                    left = [w for w, m in zip(words, mask[at : at + len(words)], strict=True) if not m]
-                    at += len(words)
-                    if left or not words:
-                        lines.append(b" ".join(left))
-                text = b"\n".join(lines).strip().decode("utf-8", "surrogatepass")
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_new"])
+    return _with_spans(docs, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", doc_id, text, [doc_id])
+
+
+def _remove(table: pa.Table, removed: list) -> pa.Table:
+    texts = []
+    for t, mask in zip(table.column("text"), removed, strict=True):
+        text = t.as_py()
+        if mask is not None:
+            lines, at = [], 0
+            for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+                words = line.split()
+                left = [w for w, m in zip(words, mask[at : at + len(words)].tolist(), strict=True) if not m]
+                at += len(words)
+                if left or not words:
+                    lines.append(b" ".join(left))
+            text = b"\n".join(lines).strip().decode("utf-8", "surrogatepass")
+        texts.append(text)
+    return pa.table({"row": table.column("row").combine_chunks(), "text": pa.array(texts, pa.string())})
 
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without duplicate spans; the lines of a text stay lines. ``n_chars`` follows the text where there is one."""
     rest = [c for c in docs.columns if c != text]
-    joined = _with_spans(docs, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")], doc_id, text)
-    kind = joined.schema["_row"].dataType.simpleString()
-    out = joined.mapInArrow(_remove, f"_row {kind}, _new string")
-    cols = [F.col("_new").alias(text) if c == text else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*cols)
+    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")).schema["row"].dataType.simpleString()
+    out = _with_spans(docs, _remove, f"row {kind}, text string", doc_id, text, rest)
+    cols = [F.col("text") if c == text else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*[c.alias(n) for c, n in zip(cols, docs.columns, strict=True)])
 
 
 SQL = r"""
