@@ -80,14 +80,27 @@ def classify_usage(line: Column, symbol: str, syntax: Syntax) -> Column:
     text = F.trim(line)
     out = F.when(~text.contains(symbol) | is_comment(text, syntax), F.lit(None).cast("string"))
     for kind, pattern in usage_rules(syntax, symbol):
-        out = out.when(text.rlike(pattern), kind)
+        out = out.when(text.rlike("(?U)" + pattern), kind)
     return out
 
 
+_LETTER = r"\pL\pN_"
+
+
+def _re2(pattern: str) -> str:
+    """The pattern with word boundaries and word characters of any script, for an engine that only knows ASCII ones."""
+    out = ""
+    for i, part in enumerate(pattern.split(r"\b")):
+        if i:
+            out += f"(?:$|[^{_LETTER}])" if out and (out[-1].isalnum() or out[-1] == "_") else f"(?:^|[^{_LETTER}])"
+        out += part
+    return out.replace(r"[\w\\\s,]", rf"[{_LETTER}\\\s,]").replace(r"[\w\\]", rf"[{_LETTER}\\]").replace(r"\w+", f"[{_LETTER}]+")
+
+
 def usage_sql(text: str, symbol: str, syntax: Syntax) -> str:
     """``classify_usage`` in DuckDB, whose expressions have no look-around either."""
     comment = " OR ".join(f"starts_with({text}, '{c}')" for c in dict.fromkeys([syntax.comment, "/*", "*"]))
-    whens = " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{k}'" for k, p in usage_rules(syntax, symbol))
+    whens = " ".join(f"WHEN regexp_matches({text}, '{_re2(p)}') THEN '{k}'" for k, p in usage_rules(syntax, symbol))
     return f"CASE WHEN NOT contains({text}, '{symbol}') OR {comment} THEN NULL {whens} END"
 
 

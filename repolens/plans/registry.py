@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from repolens.plans import graph_queries, search_queries, text_queries  # noqa: F401
+    from repolens.plans import code_queries, graph_queries, search_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
