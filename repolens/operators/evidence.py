@@ -48,3 +48,10 @@ def confidence(complete: Column, has_symbol: Column, has_blast: Column, direct:
     raw = raw - F.when(indexed, 0.0).otherwise(0.2) - gain(symbol_missing, 0.25) - penalty
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 2)
     return score, F.when(score >= 0.8, "high").when(score >= 0.55, "medium").otherwise("low")
+
+
+def confidence_value(complete: bool, has_symbol: bool, has_blast: bool, direct: int, indirect: int, source_query: bool, indexed: bool, symbol_missing: bool, penalty: float) -> tuple[float, str]:
+    """``confidence`` of one answer, on the driver."""
+    raw = 0.45 + 0.2 * complete + 0.15 * has_symbol + 0.1 * has_blast + min(0.08, 0.03 * direct) + min(0.05, 0.02 * indirect) + 0.05 * source_query
+    score = round(max(0.0, min(1.0, raw - 0.2 * (not indexed) - 0.25 * symbol_missing - penalty)), 2)
+    return score, "high" if score >= 0.8 else "medium" if score >= 0.55 else "low"

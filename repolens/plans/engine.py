@@ -44,6 +44,7 @@ class Engine:
         self.tables: dict[str, DataFrame] | None = None
         self.files: DataFrame | None = None
         self._edges: DataFrame | None = None
+        self._scan_languages: list[syntax.Syntax] | None = None
 
     # project and index
 
@@ -57,7 +58,7 @@ class Engine:
 
     def refresh_index(self) -> str:
         """List the files again."""
-        self.files = tree.scan(self.spark, self._root()).cache()
+        self.files, self._scan_languages = tree.scan(self.spark, self._root()).cache(), None
         return f"{self.files.count()} files listed"
 
     def build_deep_index(self) -> str:
@@ -79,10 +80,18 @@ class Engine:
             raise ValueError("set_project_path first")
         return self.root
 
+    @property
+    def _scanned(self) -> list[syntax.Syntax]:
+        """Languages whose usages are searched in text, as the index lacks some of their calls; only those that the project has."""
+        if self._scan_languages is None:
+            here = {r["e"] for r in self.files.where(~paths.has_indexed_edges(F.col("path"))).select(paths.extension(F.col("path")).alias("e")).distinct().collect()}
+            self._scan_languages = [lang for lang in syntax.SYNTAX.values() if here & set(lang.extensions)]
+        return self._scan_languages
+
     @property
     def edges(self) -> DataFrame:
         if self._edges is None:
-            self._edges = index.edges(self.tables).cache()
+            self._edges = index.edges(self.tables).coalesce(8).cache()
         return self._edges
 
     def _category(self, path):
@@ -132,6 +141,12 @@ class Engine:
         row = self.tables["symbols"].where(F.col("path") == path).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "line").first()
         return None if row is None else row.asDict()
 
+    def _code(self, path: str, symbol: dict, text: str | None = None) -> str:
+        """A symbol's lines, cut where they are too many."""
+        lines = ((self._text(path) if text is None else text) or "").split("\n")
+        body = lines[symbol["line"] - 1 : symbol["end_line"] or symbol["line"] + 50]
+        return "\n".join(body[: textsearch.MAX_BODY_LINES]) + ("\n..." if len(body) > textsearch.MAX_BODY_LINES else "")
+
     def get_symbol_body(self, file_path: str, symbol_name: str, compact: bool = False, owner: str | None = None) -> dict[str, Any]:
         if self.tables is None:
             return {"status": "needs_deep_index"}
@@ -139,12 +154,8 @@ class Engine:
         text = self._text(file_path)
         if found is None or text is None:
             return {"status": "error", "message": f"{symbol_name} not found in {file_path}"}
-        lines = text.split("\n")
-        end = found["end_line"] or found["line"] + 50
-        body = lines[found["line"] - 1 : end]
-        cut = len(body) > textsearch.MAX_BODY_LINES
         calls = self.edges.where((F.col("origin") == file_path) & (F.col("symbol") == found["short_name"]) & (F.col("file") != file_path)).select("file", "caller", "line").orderBy("file", "line").limit(10)
-        out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": end, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": "\n".join(body[: textsearch.MAX_BODY_LINES]) + ("\n..." if cut else "")}
+        out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": found["end_line"] or found["line"] + 50, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": self._code(file_path, found, text)}
         if not compact:
             out |= {"signature": found["signature"], "docstring": found["docstring"], "called_by": [r.asDict() for r in calls.collect()]}
         return out
@@ -200,12 +211,14 @@ class Engine:
             means = means.where(F.col("origin") == file_path)
         indexed = means.select("file", "line", "kind", F.lit("index").alias("source"))
         bare = symbol.rsplit(".", 1)[-1]
-        scanned = None
+        if not self._scanned:
+            both = indexed.withColumn("category", self._category(F.col("file")))
+            return both if scope is None else both.where(F.col("category") == scope)
         others = self._lines().where(~paths.has_indexed_edges(F.col("file"))).where(F.col("text").contains(bare))
-        for lang in syntax.SYNTAX.values():
-            mine = others.where(paths.extension(F.col("file")).isin(list(lang.extensions)))
-            one = mine.select("file", "line", syntax.classify_usage(F.col("text"), bare, lang).alias("kind"), F.lit("scan").alias("source")).where("kind IS NOT NULL")
-            scanned = one if scanned is None else scanned.unionByName(one)
+        kind = F.lit(None).cast("string")
+        for lang in self._scanned:
+            kind = F.when(paths.extension(F.col("file")).isin(list(lang.extensions)), syntax.classify_usage(F.col("text"), bare, lang)).otherwise(kind)
+        scanned = others.select("file", "line", kind.alias("kind"), F.lit("scan").alias("source")).where("kind IS NOT NULL")
         if owner or bare in names.AMBIGUOUS:
             # a scan can't tell whose method it is: only files that name the owner count
             near = self._lines().where(F.col("text").contains(owner)).select("file").dropDuplicates() if owner else None
@@ -216,21 +229,23 @@ class Engine:
 
     def _change(self, path: str, symbol: dict, change: str, limit: int) -> dict[str, Any]:
         name, owner = names_of(symbol["short_name"])
-        usages = self.find_references(name, None if owner is None else path, owner).where(F.col("file") != path).cache()
+        usages = self.find_references(name, None if owner is None else path, owner).where(F.col("file") != path)
+        kind = F.col("kind")
+        weight = risk.whole_weight(kind, risk.USAGE_WEIGHTS)
+        per_file = usages.groupBy("file", "category").agg(
+            F.count(F.lit(1)).alias("count"), F.sum(weight).alias("u"), F.max(weight).alias("w"), F.min_by("kind", F.struct(-weight, kind)).alias("strongest_usage"), F.array_sort(F.collect_set("kind")).alias("usage_types"),
+            F.slice(F.array_sort(F.collect_list(F.struct("line", kind.alias("type")))), 1, 3).alias("snippets"), F.first("source").alias("evidence_source"),
+        )
+        per_file = per_file.withColumn("score", risk.file_score(F.col("category"), F.col("u"), F.col("count"), F.col("file"), change)).cache()
         try:
-            direct = graph.direct_callers(usages, "file", "line", "kind", "category", limit)
-            callers = [r.asDict() for r in direct.orderBy("rank").collect()]
-            lines: dict[str, list] = {}
-            for r in usages.join(F.broadcast(direct.select("file")), "file").groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.struct("line", "kind"))), 1, 3).alias("s"), F.first("source").alias("source")).collect():
-                lines[r["file"]] = [r["source"], [{"line": s["line"], "type": s["kind"]} for s in r["s"]]]
-            for c in callers:
-                c["evidence_source"], c["snippets"] = lines[c["file"]]
-            scored = graph.weighted_risk(usages, [], "file", "kind", "category", change)
-            total = scored.agg(F.coalesce(F.sum("score"), F.lit(0)).alias("s"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
-            high = [{"file": r["file"], "category": r["category"], "score": r["score"] / 1000, "count": r["count"]} for r in scored.where(F.col("score") >= 1000 * risk.HIGH_RISK).orderBy(F.desc("score"), "file").limit(5).collect()]
-            kinds = {r["kind"] for r in usages.select("kind").distinct().collect()}
+            strength = F.struct(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS), "w", "count")
+            callers = [{k: r[k] for k in ("file", "category", "count", "evidence_source", "strongest_usage", "usage_types")} | {"snippets": [s.asDict() for s in r["snippets"]]} for r in per_file.orderBy(F.desc(strength), "file").limit(limit).collect()]
+            high_risk = F.slice(F.sort_array(F.collect_list(F.when(F.col("score") >= 1000 * risk.HIGH_RISK, F.struct("score", "file", "category", "count"))), asc=False), 1, 5)
+            total = per_file.agg(F.coalesce(F.sum("score"), F.lit(0)).alias("s"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.array_distinct(F.flatten(F.collect_set("usage_types"))).alias("kinds"), high_risk.alias("high")).first()
         finally:
-            usages.unpersist()
+            per_file.unpersist()
+        high = [{"file": r["file"], "category": r["category"], "score": r["score"] / 1000, "count": r["count"]} for r in total["high"]]
+        kinds = set(total["kinds"])
         indirect = []
         if callers:
             frame = self.spark.createDataFrame([(c["file"],) for c in callers], "file string")
@@ -312,8 +327,7 @@ class Engine:
             out["symbol_context"] = {"found": found is not None, "symbol": symbol}
             if found:
                 out["target"]["canonical_symbol"] = found["short_name"]
-                body = self.get_symbol_body(target, symbol, owner=owner)
-                out["symbol_context"] |= {"canonical_name": found["short_name"], "type": found["type"], "line": found["line"], "signature": found["signature"], **({"source": body["code"]} if include_source else {})}
+                out["symbol_context"] |= {"canonical_name": found["short_name"], "type": found["type"], "line": found["line"], "signature": found["signature"], **({"source": self._code(target, found)} if include_source else {})}
                 changed = self._change(target, found, change, max_related)
                 for k in ("direct_callers", "indirect_dependents", "blast_radius"):
                     out[k] = changed[k]
@@ -371,12 +385,11 @@ class Engine:
 
     def _finished(self, out: dict, penalty: float) -> dict:
         found, missing = out["symbol_context"].get("found", False), out["missing_context"]
-        score, level = evidence.confidence(
-            F.lit(not missing), F.lit(found), F.lit(bool(out["blast_radius"])), F.lit(len(out["direct_callers"])), F.lit(len(out["indirect_dependents"])),
-            F.lit(out.get("query_resolution", {}).get("path_role") == "source"), F.lit("deep_index" not in missing), F.lit(bool(out["target"]["symbol"]) and not found), F.lit(penalty),
+        score, level = evidence.confidence_value(
+            not missing, found, bool(out["blast_radius"]), len(out["direct_callers"]), len(out["indirect_dependents"]), out.get("query_resolution", {}).get("path_role") == "source",
+            "deep_index" not in missing, bool(out["target"]["symbol"]) and not found, penalty,
         )
-        row = self.spark.range(1).select(score.alias("score"), level.alias("level")).first()
-        out["confidence"], out["confidence_details"] = row["level"], {"score": row["score"], "level": row["level"], "missing_context": missing}
+        out["confidence"], out["confidence_details"] = level, {"score": score, "level": level, "missing_context": missing}
         target, related = out["target"], [r for r in out["related_file_reasons"] if r["role"] != "definition"]
         coordinated = out["change_type"] in ("rename", "signature_change", "contract_change")
         tests = [r["file"] for r in related if r["role"] in ("direct_caller", "indirect_dependent") and "test" in r["file"].lower()]
