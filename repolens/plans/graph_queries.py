@@ -223,7 +223,7 @@ _ORDER_SQL = "list_position(['indirect', 'direct_caller', 'definition', 'ripple'
 
 
 @register("related_reasons", f"""
-WITH l AS (SELECT l_suppkey AS file, {_LANE_SQL} AS lane FROM lineitem WHERE l_partkey <= 40),
+WITH l AS (SELECT l_suppkey AS file, {_LANE_SQL} AS lane FROM lineitem),
 o AS (SELECT file, lane AS role FROM l WHERE file <> 3 QUALIFY row_number() OVER (PARTITION BY file ORDER BY {_ORDER_SQL}) = 1),
 p AS (SELECT file, role, greatest(CASE role WHEN 'definition' THEN 100 WHEN 'direct_caller' THEN 90 WHEN 'indirect' THEN 70 WHEN 'ripple' THEN 60 WHEN 'file_impact' THEN 50
   WHEN 'framework_entrypoint' THEN 55 WHEN 'co_change' THEN 40 ELSE 30 END, CASE WHEN file % 4 = 0 THEN 76 ELSE 0 END)::INTEGER AS priority FROM o
@@ -232,7 +232,7 @@ SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, file DESC) AS INTEGER)
 def related_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of evidence lanes, one reason per file."""
     lane = F.element_at(F.array(*[F.lit(x) for x in _LANES]), (F.col("l_linenumber") % 8 + 1).cast("int"))
-    lanes = _R(spark, sf_dir, "lineitem").where("l_partkey <= 40").select(F.col("l_suppkey").alias("file"), lane.alias("lane"))
+    lanes = _R(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), lane.alias("lane"))
     return evidence.related_reasons(lanes, 3, limit=40, entrypoint=F.col("file") % 4 == 0)
 
 
@@ -339,10 +339,10 @@ def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("reindex_upsert", """
-SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0) UNION ALL SELECT doc_id, 9, 9 FROM documents WHERE doc_id % 4 = 0""")
+SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') UNION ALL SELECT doc_id, 9, 9 FROM documents WHERE lang = 'de'""")
 def reindex_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the rows of some documents replaced: every fourth id is the batch that is re-indexed."""
-    fresh = _R(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", F.lit(9).alias("quality"), F.lit(9).alias("toxic"))
+    """Labels with the rows of the German documents replaced, which are the batch that is re-indexed."""
+    fresh = _R(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.lit(9).alias("quality"), F.lit(9).alias("toxic"))
     return project.upsert(_R(spark, sf_dir, "labels"), fresh, "doc_id")
 
 

@@ -141,12 +141,12 @@ def symbol_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("clean_names", r"""
-WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM documents WHERE doc_id < 300)
+WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM documents)
 SELECT name, regexp_matches(name, '^[a-zA-Z_$][a-zA-Z0-9_$]*(\.[a-zA-Z_$][a-zA-Z0-9_$]*)*$') AS is_identifier FROM w
 WHERE length(name) BETWEEN 1 AND 128 AND NOT regexp_matches(name, '[\s(){}\[\]";,`'']') AND regexp_matches(name, '^[\x00-\x7f]*$')""")
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short names that the index keeps, and which of them summaries show."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 300")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = docs.select(F.explode(F.split("text", " ")).alias("name")).dropDuplicates()
     ascii_only = F.col("name").rlike(r"^[\x00-\x7f]*$")
     return words.where(names.is_clean(F.col("name")) & ascii_only).select("name", names.is_identifier(F.col("name")).alias("is_identifier"))
