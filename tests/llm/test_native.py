@@ -133,3 +133,13 @@ def test_mixing(documents, nothing):
 def test_digest_order_is_md5(documents):
     h = documents.select(mixing._digest(documents["doc_id"], "s").alias("h"), "doc_id").where("doc_id = 3").first()["h"]
     assert h == hashlib.md5(b"3/s").hexdigest()
+
+
+def test_sharding_equals_sql(spark):
+    import duckdb
+
+    source = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{source}'")
+    got = sorted((r["doc_id"], r["size"], r["shard"], r["grown_shard"]) for r in sharding.assign(spark.read.parquet(source)).collect())
+    assert got == sorted(con.sql(f"SELECT doc_id, size, shard, grown_shard FROM ({sharding.SQL})").fetchall())
