@@ -55,10 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: columns that a reader leaves out aren't read."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STASHED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STASHED: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``stash`` has written. Call it when results that were built from them are written."""
+    jvm = spark.sparkContext._jvm
+    while _STASHED:
+        path = jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -46,6 +46,7 @@ THRESHOLDS = [
     Threshold("symbols_to_words", "n_symbols", "n_words", None, 0.25),
     Threshold("stop_words_to_words", "n_stop_words", "n_words", 0.05, None, 1.0),
     Threshold("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
+    Threshold("words_like_the_one_before", "n_stutters", "n_words", None, 0.3),
     Threshold("longest_word", "longest_word", "one", None, 1000),
 ]
 
@@ -80,6 +81,7 @@ def features(text: Column) -> Column:
             let(F.transform(w, lambda x: F.xxhash64(x)), _repeats).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x)))).cast("long").alias("n_stop_words"),
             F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("long").alias("longest_word"),
+            F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).cast("long").alias("n_stutters"),
         )
 
     def of_lines(lines: Column) -> Column:
@@ -96,7 +98,7 @@ def features(text: Column) -> Column:
 
 FEATURES = {
     "n_words": "w.n_words", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.n_dup_lines", "n_repeat_words": "w.n_repeat_words",
-    "n_lines": "l.n_lines", "n_stop_words": "w.n_stop_words", "longest_word": "w.longest_word",
+    "n_lines": "l.n_lines", "n_stop_words": "w.n_stop_words", "longest_word": "w.longest_word", "n_stutters": "w.n_stutters",
 }
 
 
@@ -149,7 +151,8 @@ f AS (
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
     len(list_filter(w, lambda x: list_contains([{_SQL_STOP}], lower(x))))::BIGINT AS n_stop_words,
-    coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS longest_word
+    coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS longest_word,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters
   FROM a LEFT JOIN cover USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({_SQL_RULES}) AS kept FROM b"""
