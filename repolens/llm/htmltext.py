@@ -39,7 +39,7 @@ BROADCAST_ROWS = 50_000  #: of (page, block numbers); more are joined by a shuff
 # Elements by what they mean for the text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "figcaption", "datalist"}
+DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "datalist"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
@@ -54,6 +54,8 @@ NAMES_OUT = {
     "disqus", "respond", "replies", "reply", "responses", "discussion", "search", "pagination", "pager", "toolbar", "skip", "hidden", "disclaimer", "feedback",
 }
 NAMES_IN = {"content", "main", "article", "post", "entry", "story", "maincontent", "articlebody", "postbody", "text"}
+#: Beside these a name tells what the page has or does, not what the element is (``no-sidebar``, ``comments-open``).
+STATES = {"no", "not", "has", "have", "with", "without", "is", "js", "open", "closed", "enabled", "disabled", "hide", "show", "layout"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -73,14 +75,23 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
-    both = attributes.get("class", "") + " " + attributes.get("id", "")
-    return {n.lower() for n in _NAME.findall(both)} | {n.lower() for n in re.split(r"[^A-Za-z0-9]+", both) if n}
+    """The words in an element's classes and id, without those that only tell a state."""
+    found: set[str] = set()
+    for label in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        parts = {n.lower() for n in _NAME.findall(label)} | {n.lower() for n in re.split(r"[^A-Za-z0-9]+", label) if n}
+        if not parts & STATES:
+            found |= parts
+    return found
+
+
+#: ``out`` of an article's own header: its headings stay.
+HEADINGS_ONLY = 2
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, out, article, main, number of a container named as content
+    stack: list[tuple[str, int, bool, bool, int]] = []  # name, out, article, main, number of a container named as content
     parts: list[str] = []
     linked, in_link, named_last = 0, False, 0
 
@@ -90,7 +101,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 top = stack[-1] if stack else ("", False, False, False, 0)
-                found.append(Block(text, top[1], top[2], top[3], top[4], linked))
+                found.append(Block(text, bool(top[1]), top[2], top[3], top[4], linked))
             parts.clear()
         linked = 0
 
@@ -98,9 +109,10 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            if not (stack and stack[-1][1]):
+                parts.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not (stack and stack[-1][1]):  # what is out gives no text, also within a line
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
@@ -149,10 +161,12 @@ def blocks(page: str) -> list[Block]:
         style = attributes.get("style", "").replace(" ", "").lower()
         if name in DROPPED or role in ROLES_OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
             out = True
-        elif name == "header":
-            out = out or not article
-        elif name in ("html", "body", "main") or name in HEADINGS:
+        elif name in ("html", "body", "main"):
             pass
+        elif name in HEADINGS:
+            out = False if out == HEADINGS_ONLY else out
+        elif name == "header" or names & NAMES_OUT == {"header"}:
+            out = out or (HEADINGS_ONLY if article or main or named else True)
         elif names & NAMES_OUT and not (name == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "sponsored", "related"}):
             out = True
         if name == "article" and not out:
@@ -316,7 +330,9 @@ def removed_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     streams = cut(read.mapInArrow(_streams, _STREAM))
     sizes = streams.groupBy("host").count().select(F.col("host").alias("_h"), "count")
     dealt = streams.join(sizes, F.col("host") == F.col("_h")).withColumn("part", F.pmod(F.xxhash64("page_id", "page_key"), F.ceil(F.col("count") / GROUP_PAGES)))
-    return dealt.select("host", "part", "page_id", "page_key", "tokens", "blocks").groupBy("host", "part").applyInArrow(_host_group, _GONE)
+    # one column, so that rows that are already together by host are dealt again by group
+    dealt = dealt.select(F.concat_ws("#", F.col("part").cast("string"), "host").alias("group"), "page_id", "page_key", "tokens", "blocks")
+    return dealt.groupBy("group").applyInArrow(_host_group, _GONE)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

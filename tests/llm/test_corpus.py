@@ -262,3 +262,20 @@ def test_alignment_follows_order():
     words = [f"w{k}" for k in range(60)]
     a, b, c = (orderminhash.labelled_kmers(w) for w in orderminhash.word_hashes([" ".join(words), " ".join(words[:59]), " ".join(words[30:] + words[:30])]))
     assert orderminhash.similarity(a, b) > 0.95 and orderminhash.similarity(a, c) < 0.8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><article class='post comments-open no-ads'><header><h1>Title</h1><p>By me</p></header><p>Body</p><figure><img><figcaption>Caption</figcaption></figure></article>", "Title\nBody\nCaption"),
+        ("<div id=wrap><div class=siteHeader>S</div><div class='main-content with-sidebar'><div class=post-header><h2>T</h2><span>meta</span></div><p>A<p>B</div><div class=sideBar>x</div><div class='widget-area'>w</div></div>", "T\nA\nB"),
+        ("<main><h1>H</h1><p>x &amp; y</p><div role=alert>n</div><div style='display: none'>h</div><p hidden>z</p><ol><li>1</li><li>2</ol><nav>m</nav></main><aside>q</aside>", "H\nx & y\n1\n2"),
+        ("<article><p>a<b>b</b>c</p><pre>  p\n q </pre><table><tr><td>1<td>2<tr><td>3</table><textarea>t</textarea><select><option>o</select><style>s{}</style></article>", "abc\np q\n1 2\n3"),
+        ("<article><p>One</p><article class=comment><p>c</p></article><div id=disqus_thread>d</div><div class='ad ad-wide'>x</div><p>Two</article>", "One\nTwo"),
+        ("<article><p>unclosed <a href='x>y'>l</a> <!-- c > d --> end <img alt='>'> &#233;&#x41;&nosuchthing; 1<2 <button>b</button>tail</article>", "unclosed l end éA&nosuchthing; 1<2 tail"),
+    ],
+)
+def test_tricky_pages(page, text):
+    found = htmltext.blocks(page)
+    inside, _ = htmltext.marked(found)
+    assert "\n".join(b.text for j, b in enumerate(found) if inside[j]) == text
