@@ -14,10 +14,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.functions import names, paths, risk, syntax
+from repolens.functions import names, paths, risk, syntax, validation
 from repolens.functions.parsing.dispatch import readable
 from repolens.functions.pytokens import tokenize, word_tokens
-from repolens.operators import bm25, cochange, evidence, graph, project, ranking, textsearch
+from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch
 from repolens.plans import index
 from repolens.sources import config, store, tree
 
@@ -34,6 +34,9 @@ USAGE_REASONS = {
 }
 
 
+TOOLS = {"set_project_path", "search_code", "find_files", "get_symbol_body", "refresh_index", "build_deep_index", "get_edit_region", "get_project_snapshot", "get_context"}
+
+
 class Engine:
     """One project and its index. ``store_path`` keeps the index between sessions."""
 
@@ -105,6 +108,22 @@ class Engine:
         text = self.files.where(F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 != 1).select("path", F.decode("content", "UTF-8").alias("text"))
         return textsearch.lines_of(text, "path", "text")
 
+    def call(self, tool: str, **arguments: Any) -> Any:
+        """A tool by name, its arguments checked, a large answer spilled."""
+        if tool not in TOOLS:
+            return {"status": "error", "message": f"no tool {tool}; there are {sorted(TOOLS)}"}
+        checks = {
+            "file_path": validation.file_path, "pattern": lambda p: validation.search_pattern(p, bool(arguments.get("regex"))) if tool == "search_code" else validation.glob(p),
+            "target": lambda p: validation.file_path(p) if p else None,
+        }
+        for name, check in checks.items():
+            if name in arguments and (wrong := check(arguments[name])):
+                return {"status": "error", "message": wrong}
+        if tool == "search_code" and (wrong := validation.page(arguments.get("start_index", 0), arguments.get("max_results", 10))):
+            return {"status": "error", "message": wrong}
+        answer = getattr(self, tool)(**arguments)
+        return self.spilled(answer) if isinstance(answer, dict) and tool == "get_context" else answer
+
     # text
 
     def search_code(self, pattern: str, case_sensitive: bool = True, context_lines: int = 0, file_pattern: str | None = None, fuzzy: bool = False, regex: bool | None = None, start_index: int = 0, max_results: int = 10) -> dict[str, Any]:
@@ -262,6 +281,33 @@ class Engine:
             "blast_radius": {"risk_level": level(combined, risk.BLAST_LEVELS), "risk_score": combined, "direct_files": len(callers), "direct_usages": total["n"], "indirect_files": len(indirect), "total_files": len(callers) + len(indirect), "categories": categories, "high_risk_files": high},
         }
 
+    def get_class_hierarchy(self, name: str) -> dict[str, Any]:
+        """What a class extends, implements and mixes in, and what does so with it."""
+        lines, ext = self._lines(), paths.extension(F.col("file"))
+        classes = self.tables["symbols"].where(F.col("type").isin("class", "trait")).select(F.col("path").alias("file"), F.col("short_name").alias("child"), F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end"))
+        found = hierarchy.around(hierarchy.edges(lines, ext).unionByName(hierarchy.traits(lines, classes, ext)), name)
+        out: dict[str, Any] = {"class": name, "extends": [], "implements": [], "mixes_in": [], "extended_by": [], "implemented_by": [], "mixed_into": []}
+        keys = {"parent": {"extends": "extends", "implements": "implements", "mixes_in": "mixes_in"}, "child": {"extends": "extended_by", "implements": "implemented_by", "mixes_in": "mixed_into"}}
+        for r in found.orderBy("name", "file").limit(1000).collect():
+            out[keys[r["direction"]][r["kind"]]].append({"name": r["name"], "file": r["file"]} if r["direction"] == "child" else r["name"])
+        return out
+
+    def get_impact_analysis(self, file_path: str) -> dict[str, Any]:
+        """Which other files use a file's symbols."""
+        found = graph.impact(self.edges.where((F.col("origin") == file_path) & (F.length("symbol") > 2)), "origin", "symbol", "file")
+        rows = [r.asDict() for r in found.orderBy(F.desc("referenced_in"), "symbol").collect()]
+        affected = self.edges.where((F.col("origin") == file_path) & (F.col("file") != file_path)).agg(F.countDistinct("file")).first()[0]
+        level = next((name for most, name in risk.FILE_LEVELS if affected <= most), "critical")
+        return {"status": "success", "file": file_path, "impacts": rows, "affected_files": affected, "risk_level": level}
+
+    def get_ripple_effect(self, file_path: str, symbol: str, change_type: str = "modify", owner: str | None = None) -> dict[str, Any]:
+        """A symbol's external usages by category, with their weighted risk."""
+        usages = self.find_references(symbol, None if owner is None else file_path, owner).where(F.col("file") != file_path)
+        scored = graph.weighted_risk(usages, [], "file", "kind", "category", change_type)
+        rows = scored.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"), F.sum("score").alias("s"), F.slice(F.array_sort(F.collect_list("file")), 1, 15).alias("names")).orderBy(F.desc("s"), "category").collect()
+        score = round(sum(r["s"] for r in rows) / 1000, 2)
+        return {"status": "success", "risk_score": score, "risk_level": next((n for least, n in risk.RISK_LEVELS if score >= least), "low"), "categories": [{"category": r["category"], "files": r["files"], "usages": r["usages"], "names": r["names"]} for r in rows]}
+
     def get_project_snapshot(self) -> dict[str, Any]:
         counts = project.count_by(self.files, extension=paths.extension(F.col("path")), category=self._category(F.col("path"))).collect()
         out: dict[str, Any] = {"status": "success", "language": self.structure.language, "framework": self.structure.framework, "total_files": self.files.count()}
@@ -322,6 +368,8 @@ class Engine:
         reached = sorted({f for a in affected for f in a["files"]})
         out["impact_context"] = {"symbols": affected[:5], "affected_files": len(reached), "risk_level": "low" if len(reached) <= 3 else "medium" if len(reached) <= 8 else "high" if len(reached) <= 15 else "critical"}
         lanes: list[tuple[str, str]] = [(f, "file_impact") for f in reached]
+        if summary and summary["classes"] and intent in ("file", "impact"):
+            out["relationship_context"] = self.get_class_hierarchy(summary["classes"][0].rsplit(".", 1)[-1])
         if symbol and intent != "file":
             found = self._symbol(target, symbol, owner)
             out["symbol_context"] = {"found": found is not None, "symbol": symbol}

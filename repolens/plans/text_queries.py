@@ -156,3 +156,14 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted names of a function in every path."""
     return _paths(spark, sf_dir).where(~F.col("path").endswith("/")).select("page_id", names.qualified(F.col("path"), F.lit("f"), F.lit("ns")).alias("qualified"))
+
+
+@register("file_stats", """
+SELECT doc_id, strlen(text) AS length, CASE WHEN strlen(text) < 1024 THEN 'tiny' WHEN strlen(text) < 10240 THEN 'small' WHEN strlen(text) < 102400 THEN 'medium' WHEN strlen(text) < 1048576 THEN 'large' ELSE 'huge' END AS size_class,
+  NOT contains(text, chr(0)) AS is_text, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END::INTEGER AS line_count FROM documents""")
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, size class and lines of every document, as of a file."""
+    from repolens.sources import files
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.stats(docs).select(F.col("path").cast("long").alias("doc_id"), F.col("length").cast("long").alias("length"), "size_class", "is_text", "line_count")

@@ -66,3 +66,19 @@ def test_large_answers_spill(engine):
     c = engine.get_context("app/orders.py", symbol="total_for")
     small = engine.spilled(c | {"filler": "x" * 5000})
     assert engine.get_context(small["detail_file"])["filler"]
+
+
+def test_hierarchy_impact_and_ripple(engine):
+    assert engine.get_class_hierarchy("User")["extended_by"] == []
+    assert engine.get_impact_analysis("app/orders.py")["affected_files"] == 1
+    ripple = engine.get_ripple_effect("app/orders.py", "total_for", "delete")
+    assert ripple["categories"][0]["usages"] == 1 and ripple["risk_score"] > 0
+
+
+def test_calls_are_checked(engine):
+    assert engine.call("nothing")["status"] == "error"
+    assert engine.call("get_symbol_body", file_path="/etc/passwd", symbol_name="x")["status"] == "error"
+    assert engine.call("search_code", pattern="(", regex=True)["status"] == "error"
+    assert engine.call("search_code", pattern="x", max_results=0)["status"] == "error"
+    assert engine.call("search_code", pattern="total_for")["total_matches"] == 3
+    assert engine.call("get_context", target="app/orders.py", symbol="total_for")["status"] == "success"
