@@ -60,9 +60,13 @@ def usages_by_file(usages: DataFrame, file: str, line: str, kind: str) -> DataFr
 def impact(edges: DataFrame, origin: str, symbol: str, file: str, max_files: int = MAX_SYMBOL_FILES) -> DataFrame:
     """(origin, symbol, referenced_in, total_usages, files[:max]) of edges (origin file, symbol, referencing file) from other files."""
     outside = edges.where(F.col(origin) != F.col(file))
+    key = ["origin", "symbol"]
     per_file = outside.groupBy(F.col(origin).alias("origin"), F.col(symbol).alias("symbol"), F.col(file).alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    grouped = per_file.groupBy("origin", "symbol").agg(F.count(F.lit(1)).alias("referenced_in"), F.sum("n").alias("total_usages"), F.array_sort(F.collect_set("file")).alias("files"))
-    return grouped.withColumn("files", F.slice("files", 1, max_files))
+    totals = per_file.groupBy(*key).agg(F.count(F.lit(1)).alias("referenced_in"), F.sum("n").alias("total_usages"))
+    # only a few files of a symbol are gathered, however many use it; the limit is applied before the exchange
+    first = per_file.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("file"))).where(F.col("_r") <= max_files)
+    few = first.groupBy(*key).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return totals.join(few, key)
 
 
 def indirect_dependents(direct: DataFrame, impacts: DataFrame, target, file: str = "file", limit: int | None = None) -> DataFrame:
