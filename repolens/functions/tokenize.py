@@ -19,8 +19,8 @@ def tokens(text: Column) -> Column:
     """Lower-case sub-words of identifiers in ``text``; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), _SPLIT)
     lowered = F.transform(parts, F.lower)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(lowered, lambda t: F.length(t).between(MIN_LENGTH, MAX_LENGTH) & ~F.array_contains(stop, t))
+    # a list this long is a hash lookup; array_contains would compare with every word
+    return F.filter(lowered, lambda t: F.length(t).between(MIN_LENGTH, MAX_LENGTH) & ~t.isin(STOP_WORDS))
 
 
 def weighted_tokens(method: Column, owner: Column, signature: Column, docstring: Column, path: Column) -> Column:
