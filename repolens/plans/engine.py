@@ -20,6 +20,7 @@ from repolens.functions.pytokens import tokenize, word_tokens
 from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch
 from repolens.plans import index
 from repolens.sources import config, store, tree
+from repolens.sources import files as file_columns
 
 INTENTS = {"project", "file", "symbol", "before_edit", "impact"}
 CHANGES = {"modify", "rename", "delete", "signature_change", "contract_change"}
@@ -105,7 +106,7 @@ class Engine:
         return None if row is None else readable(bytes(row["content"]))
 
     def _lines(self) -> DataFrame:
-        text = self.files.where(F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 != 1).select("path", F.decode("content", "UTF-8").alias("text"))
+        text = self.files.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
         return textsearch.lines_of(text, "path", "text")
 
     def call(self, tool: str, **arguments: Any) -> Any:
@@ -348,7 +349,7 @@ class Engine:
         if resolution:
             out["query_resolution"] = resolution
         if intent == "project":
-            return self._fitted(out | {"project_snapshot": self.get_project_snapshot(), "overview": f"{s.language} project, framework {s.framework}"})
+            return out | {"project_snapshot": self.get_project_snapshot(), "overview": f"{s.language} project, framework {s.framework}"}
         if not target:
             if query:
                 return out | {"status": "needs_target", "candidates": self.search_symbols(query, 8)}
@@ -451,9 +452,6 @@ class Engine:
         out["suggested_next_steps"] = ["build_deep_index"] if missing else [f"get_edit_region {target['file_path']}"]
         return out
 
-    def _fitted(self, out: dict) -> dict:
-        return out
-
     def spilled(self, out: dict[str, Any]) -> dict[str, Any]:
         """A large answer goes to a file in the project; the main keys and the path remain."""
         if len(text := json.dumps(out, default=str)) < SPILL_CHARS:
