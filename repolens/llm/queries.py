@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     sql6 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ")"
-    return {"op2_va_file_top_k": vafile.SQL, "op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL}
+    return {"op2_va_file_top_k": vafile.SQL, "op4_hash_tree_shards": sharding.SQL, "op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL}

@@ -104,10 +104,19 @@ def _sql() -> str:
             regions.append((f"g{g}", sum(w for _, w, _ in below), pick(below)))
         return pick(regions)
 
+    # the checksum, byte by byte, with the usual table of 256 remainders
     return f"""
-WITH a AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, strlen(coalesce(text, '')) + 1 AS size FROM documents)
-SELECT doc_id, size::BIGINT AS size, 'key' AS law, ({shard(tree(BASE_SHARDS))})::INTEGER AS shard, ({shard(tree(BASE_SHARDS + 1))})::INTEGER AS grown_shard FROM a"""
-
-
-#: Without slots, which follow the order of slices, and without the checksum, which this SQL lacks.
+WITH t AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS remainders),
+a AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(doc_id::VARCHAR, '') AS o, strlen(coalesce(text, '')) + 1 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+b AS (
+  SELECT doc_id, o, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc,
+    {shard(tree(BASE_SHARDS))} AS shard, {shard(tree(BASE_SHARDS + 1))} AS grown FROM a, t)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY o, size, crc) - 1)::BIGINT AS slot,
+  grown::INTEGER AS grown_shard FROM b"""
+
+
+#: Slots as for tables of one slice (up to 200,000 rows); larger ones are numbered slice by slice.
 SQL = _sql()
