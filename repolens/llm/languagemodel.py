@@ -299,3 +299,28 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     answers = asked.groupBy("shard").applyInArrow(_counter, _ASK)
     scored = grouped.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scorer(n_shards, int(n), int(v), mu), _OUT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+#: The same in DuckDB, quantisation included; for tables that one machine holds.
+SQL = rf"""
+WITH t AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS remainders),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+    list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+h AS (
+  SELECT doc_id, r, w, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 1 AS held_out FROM d, t),
+k AS (SELECT r, held_out, unnest(list_concat(w, [' end'])) AS token, unnest(list_concat([' start'], w)) AS before FROM h),
+c AS (SELECT token, count(*) AS n FROM k WHERE NOT held_out GROUP BY token),
+f AS (SELECT before, count(*) AS m FROM k WHERE NOT held_out GROUP BY before),
+p AS (SELECT before, token, count(*) AS b FROM k WHERE NOT held_out GROUP BY ALL),
+g AS (SELECT sum(n)::BIGINT AS total, count(*) AS v FROM c),
+s AS (
+  SELECT r, n, m, b, log10((coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1))) AS base, total
+  FROM k LEFT JOIN c USING (token) LEFT JOIN f USING (before) LEFT JOIN p USING (before, token) CROSS JOIN g),
+q AS (
+  SELECT r, n, base, total, CASE WHEN b > 0 THEN round(-log10((b + {MU} * pow(10.0, base)) / (m + {MU})) * {STEP})
+    ELSE round(-base * {STEP}) + round(-log10({MU} / (coalesce(m, 0) + {MU})) * {STEP}) END AS code FROM s),
+e AS (
+  SELECT r, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(base), 6) AS base_score, -sum(code) / {STEP} AS score FROM q GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM h JOIN e USING (r)"""
