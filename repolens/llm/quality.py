@@ -73,13 +73,12 @@ def _repeats(hashes: Column) -> Column:
 def features(text: Column) -> Column:
     """A struct of the counts that rules refer to; all are long."""
     full = F.coalesce(text, F.lit(""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
 
     def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             let(F.transform(w, lambda x: F.xxhash64(x)), _repeats).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x)))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
             F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("long").alias("longest_word"),
             F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).cast("long").alias("n_stutters"),
         )
