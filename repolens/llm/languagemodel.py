@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from repolens.llm.common import batch_count, shuffle_width, trim
 from repolens.llm.substrings import Vocabulary, _mixed, _pack, _unpack, packed_keys, unpacked_keys
 
 MU = 200.0
-BATCH_CHARS, SHARD_CHARS = 12_000_000, 6_000_000
+BATCH_CHARS, SHARD_CHARS = 6_000_000, 6_000_000
 BLOCK = 1 << 16
 STEP = 4096.0  #: quantised log10 probabilities are -code / STEP
 _END, _START = 0x51ED270B7F3C6A19, 0x2545F4914F6CDD1D  #: stand for the hashes of the end and of the start
@@ -214,6 +215,7 @@ _ASK_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("payload"
 def _asker(n_shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(_Batch(table, n_shards).packets())
+        trim()
         return pa.table([pa.array([s for s, _ in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=_ASK_ARROW)
 
     return run
@@ -227,6 +229,8 @@ def _counter(key: tuple, table: pa.Table) -> pa.Table:
     total = np.bincount(at, weights=np.concatenate([c for _, c in unpacked]), minlength=len(distinct)).astype(np.int64)
     bounds = np.cumsum([0, *map(len, keys)])
     blobs = [_pack(total[at[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    del unpacked, keys, distinct, at, total
+    trim()
     return pa.table([table.column("shard").combine_chunks(), table.column("batch").combine_chunks(), pa.array(blobs, pa.binary())], schema=_ASK_ARROW)
 
 
@@ -237,12 +241,14 @@ def _words_only(n_shards: int):
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=_ASK_ARROW)
 
         held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > BATCH_CHARS:
-                yield flush(held)
-                held, size = [], 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                held.append(whole.slice(a, 256))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
+                if size > BATCH_CHARS:
+                    yield flush(held)
+                    held, size = [], 0
+                    trim()
         if held:
             yield flush(held)
 
@@ -275,6 +281,7 @@ def _scorer(n_shards: int, n: int, v: int, mu: float):
         size = len(b.ids)
         known = words > 0
         known[0] = False
+        trim()
         return pa.table({
             "doc_id": docs.column("doc_id").combine_chunks(), "held_out": pa.array(b.held), "n_tokens": pa.array(b.n_tokens),
             "n_known": pa.array(np.bincount(b.doc, weights=known[b.token], minlength=size).astype(np.int64)),
