@@ -4,12 +4,14 @@ A text's k-mers are its sequences of ``K`` words, each labelled with how often i
 ``PICK`` labelled k-mers that are smallest under its hash and keeps them in text order, so that it agrees for texts whose alignment is good,
 not just for equal bags. ``BANDS`` bands of ``ROWS`` components each name a bucket.
 
-Candidates are stars, never all pairs of a bucket: each member is compared with two leaders of its bucket, one that all buckets prefer and one at
-random for each. A bucket holds texts of like length only (a text is in two classes of ratio ``SIMILARITY``, so that any two that could be similar
-meet). Nodes in buckets of more than two also get buckets by pairs of bands, with leaders of their own, so that texts that share no more than a
-common passage don't hide each other's links. A candidate is verified by banded alignment: the longest chain of common labelled k-mers that
-keeps order in both texts and stays within the band that the threshold allows gives the similarity chain / (a + b - chain), which is to be
-``SIMILARITY`` or more. Classes are the connected components of the verified links.
+Candidates are stars first: each member is compared with two leaders of its bucket, one that all buckets prefer and one at random for each. A
+bucket holds texts of like length only (a text is in two classes of ratio ``SIMILARITY``, so that any two that could be similar meet). Nodes in
+buckets of more than two also get buckets by pairs of bands, with leaders of their own. What the leaders leave open is settled exactly: where the
+members of a bucket, leaders aside, are not of one class by then, all of them go through a prefix filter on their rare k-mers, and every pair
+that the filter can't rule out is a candidate. Texts that share a common passage or a template thus don't hide each other's links. A candidate
+is verified by banded alignment: the longest chain of common labelled k-mers that keeps order in both texts and stays within the band that the
+threshold allows gives the similarity chain / (a + b - chain), which is to be ``SIMILARITY`` or more. Classes are the connected components of
+the verified links.
 
 Equal texts are one node from the start, found by their digest with a combining aggregate. Nulls: a null or blank text has no k-mers and is in
 a class with its equals only (null is a text of its own). A text of fewer than ``K`` words is one k-mer. A null id is larger than all others when
@@ -33,6 +35,7 @@ from repolens.llm.substrings import Vocabulary, _mixed
 
 K, PICK, ROWS, BANDS, SIMILARITY = 5, 2, 2, 20, 0.8
 _CHUNK = 8192
+_STEP = (1 / SIMILARITY) ** 0.25  #: ratio of the size classes of the prefix filter
 _B = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 2**63, ROWS * BANDS).astype(np.uint64)
@@ -168,18 +171,113 @@ def _shared(members: DataFrame) -> DataFrame:
     return cut(members.join(crowds, F.col("g") == F.col("_g")).select("g", "nid", "size", "n"))
 
 
-def _stars(shared: DataFrame, least: float) -> DataFrame:
-    """(a, b): each member of a bucket with its bucket's leaders, if their lengths allow a link."""
+def _leaders(shared: DataFrame) -> DataFrame:
+    """(_g, leaders): the members of each bucket that its others are compared with."""
     leaders = shared.groupBy("g").agg(F.min(F.struct("nid", "size")).alias("first"), F.min(F.struct(F.xxhash64("g", "nid"), F.col("nid"), F.col("size"))).alias("some"))
     one = lambda c: F.struct(F.col(f"{c}.nid").alias("nid"), F.col(f"{c}.size").alias("size"))
-    leaders = leaders.select(F.col("g").alias("_g"), F.array_distinct(F.array(one("first"), one("some"))).alias("leaders"))
-    pairs = shared.join(leaders, F.col("g") == F.col("_g")).select("nid", "size", F.explode("leaders").alias("l"))
+    return leaders.select(F.col("g").alias("_g"), F.array_distinct(F.array(one("first"), one("some"))).alias("leaders"))
+
+
+def _stars(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b): each member of a bucket with its bucket's leaders, if their lengths allow a link."""
+    pairs = shared.join(_leaders(shared), F.col("g") == F.col("_g")).select("nid", "size", F.explode("leaders").alias("l"))
     fits = F.least("size", "l.size") >= F.lit(least) * F.greatest("size", "l.size")
     return pairs.where((F.col("nid") != F.col("l.nid")) & fits).select(F.greatest("nid", "l.nid").alias("a"), F.least("nid", "l.nid").alias("b")).dropDuplicates()
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(nodes: nid, node, age, copies) and (links: a, b), both cut from their lineage. ``age`` is the smallest id that has the text."""
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(nid, size, label): the members, leaders aside, of buckets whose members aside from the leaders are in several classes so far."""
+    crowd = shared.where("n > 2").join(_leaders(shared), F.col("g") == F.col("_g")).where(~F.array_contains(F.transform("leaders", lambda x: x["nid"]), F.col("nid")))
+    crowd = cut(crowd.select("g", "nid", "size").join(labels.select(F.col("node").alias("_n"), "label"), F.col("nid") == F.col("_n"), "left").select("g", "nid", "size", F.coalesce("label", "nid").alias("label")))
+    several = crowd.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("g").alias("_g"))
+    return cut(crowd.join(several, F.col("g") == F.col("_g")).select("nid", "size", "label").dropDuplicates(["nid"]))
+
+
+def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, 128):
+            batch = whole.slice(a, 128)
+            found = [labelled_kmers(w).view(np.int64) for w in word_hashes(batch.column("text").to_pylist())]
+            nid = np.repeat(batch.column("nid").to_numpy(), [len(h) for h in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(np.concatenate(found))], names=["nid", "h"])
+
+
+def size_class(size: int) -> int:
+    return int(np.floor(np.log(size) / np.log(_STEP) + 1e-9))
+
+
+def prefixes(size: int, least: float) -> list[tuple[int, int]]:
+    """(size class of a partner, length of the prefix): a text of ``size`` k-mers shares one of its ``length`` rarest with any partner of that
+    class that is similar to it."""
+    out = []
+    smallest = max(1, int(np.ceil(least * size - 1e-6)))
+    for c in range(size_class(smallest), size_class(int(size / least + 1e-6)) + 1):
+        low = max(int(np.ceil(_STEP**c * (1 - 1e-6))), smallest)  # the smallest partner there
+        common = int(np.ceil((size + low) * least / (1 + least) - 1e-6))
+        out.append((c, size - common + 1))
+    return out
+
+
+def _keyer(least: float):
+    schema = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("nid", pa.int64()), ("size", pa.int32()), ("label", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = batch.column("common")
+            ends = shared.offsets.to_numpy()
+            h = shared.values.field("h").to_numpy().view(np.uint64)
+            key, twin, counts, ats = [], [], [], []
+            sizes = batch.column("size").to_pylist()
+            for i, size in enumerate(sizes):
+                mine, own, n = h[ends[i] : ends[i + 1]], np.uint64(size_class(size)), 0
+                single = size - len(mine)  # k-mers of this text alone come first
+                for c, length in prefixes(size, least):
+                    some = mine[: max(0, length - single)]
+                    other = np.uint64(c)
+                    key.append(_mixed(_mixed(some + own) * _B + other)), twin.append(_mixed(_mixed(some + other) * _B + own))
+                    ats.append(np.arange(single, single + len(some), dtype=np.int32))
+                    n += len(some)
+                counts.append(n)
+            if not sum(counts):
+                continue
+            columns = [np.repeat(batch.column(name).to_numpy(), counts) for name in ("nid", "size", "label")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(twin).view(np.int64)), pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(np.concatenate(ats))],
+                schema=schema,
+            )
+
+    return run
+
+
+def _rest(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of ``members`` in different classes that could be similar, by a prefix filter.
+
+    K-mers are ordered by the number of members that have them, rare ones first. Two texts with enough k-mers in common share one among the
+    first of each; how many, depends on both sizes, so keys are made for each size class of partners. What a family has in common is frequent
+    and comes last, so its members meet only where the lengths and their own k-mers leave it open.
+    """
+    texts = held.join(members.select(F.col("nid").alias("_n")), F.col("nid") == F.col("_n")).select("nid", "text")
+    flat = stash(texts.mapInArrow(_kmers, "nid long, h long"), "kmers")
+    counts = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"), "n")
+    common = flat.join(counts, F.col("h") == F.col("_h")).groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common"))
+    keyed = common.join(members.select(F.col("nid").alias("_n"), "size", "label"), F.col("nid") == F.col("_n")).select("nid", "size", "label", "common")
+    keys = stash(keyed.mapInArrow(_keyer(least), "key long, twin long, nid long, size int, label long, at int"), "prefixes")
+    other = keys.select("twin", *[F.col(c).alias(f"_{c}") for c in ("nid", "size", "label", "at")])
+    met = keys.drop("twin").join(other, (F.col("key") == F.col("twin")) & (F.col("nid") > F.col("_nid")) & (F.col("label") != F.col("_label")))
+    # no more can be common than what is before both places, this one, and what is after both
+    most = F.least("at", "_at") + 1 + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) - 1
+    open_ = (most >= F.lit(least / (1 + least)) * (F.col("size") + F.col("_size")) - 1e-6) & (F.least("size", "_size") >= F.lit(least) * F.greatest("size", "_size"))
+    return cut(met.where(open_).select(F.col("nid").alias("a"), F.col("_nid").alias("b")).dropDuplicates())
+
+
+def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    with_a = pairs.join(held.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(held.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(least), "a long, b long"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(nid, node, age, copies, label): every distinct text with its class's label. ``age`` is the smallest id that has the text."""
     full = F.col(f"`{text}`")
     rows = docs.select(_node(full).alias("node"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), full.alias("text"))
     sketched = rows.mapInArrow(_sketcher, "node binary, doc_id long, size int, bands array<long>")
@@ -191,21 +289,29 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: fl
     again = nodes.join(crowded, F.col("nid") == F.col("_n")).select("nid", "size", "bands", F.posexplode("bands").alias("i", "g"))
     double = again.select("nid", "size", F.explode(F.array(*[F.xxhash64(F.lit(step), F.col("g"), F.get("bands", (F.col("i") + step) % BANDS)) for step in (1, 3, 7)])).alias("g"))
     pairs = cut(_stars(shared, least).unionByName(_stars(_shared(double), least)).dropDuplicates())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("n")).dropDuplicates().join(nodes.select("nid", F.col("node").alias("_node"), F.col("age").alias("_age")), F.col("n") == F.col("nid")).select("nid", "_node", "_age")
+    asked = shared.select(F.col("nid").alias("n")).dropDuplicates().join(nodes.select("nid", F.col("node").alias("_node"), F.col("age").alias("_age")), F.col("n") == F.col("nid")).select("nid", "_node", "_age")
     # one copy's text for each node; copies differ in their ids, so a much copied text is no hot key here
     held = rows.join(asked, (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_age"))).select("nid", "text").dropDuplicates(["nid"])
     held = stash(held, "texts")
-    with_a = pairs.join(held.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(held.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    verified = with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(least), "a long, b long")
-    return nodes.select("nid", "node", "age", "copies"), cut(verified)
+    labels = cut(components(_verified(pairs, held, least), "a", "b"))
+    nodes = nodes.select("nid", "node", "age", "copies")
+    nodes = nodes.join(labels.withColumnRenamed("node", "_nid"), F.col("nid") == F.col("_nid"), "left").drop("_nid").withColumn("label", F.coalesce("label", "nid"))
+    members = _open(shared, labels)
+    if members.isEmpty():
+        return nodes
+    more = _verified(_rest(members, held, least), held, least)
+    if more.isEmpty():
+        return nodes
+    # the classes that the further links join
+    label_of = members.select(F.col("nid").alias("_n"), "label")
+    joined = more.join(label_of.select(F.col("_n").alias("a"), F.col("label").alias("x")), "a").join(label_of.select(F.col("_n").alias("b"), F.col("label").alias("y")), "b")
+    merged = components(joined.select("x", "y"), "x", "y").select(F.col("node").alias("_l"), F.col("label").alias("_to"))
+    return nodes.join(merged, F.col("label") == F.col("_l"), "left").select("nid", "node", "age", "copies", F.coalesce("_to", "label").alias("label"))
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
     """Every distinct text with its class's label, and the classes: label, head (age and node of the oldest text), class_size."""
-    nodes, verified = links(docs, doc_id, text, least)
-    labels = components(verified, "a", "b").select(F.col("node").alias("_nid"), "label")
-    labelled = nodes.join(labels, F.col("nid") == F.col("_nid"), "left").withColumn("label", F.coalesce("label", "nid"))
+    labelled = classes(docs, doc_id, text, least)
     sizes = labelled.groupBy("label").agg(F.min(F.struct("age", "node")).alias("head"), F.sum("copies").alias("class_size"))
     return labelled, sizes
 

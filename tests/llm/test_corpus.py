@@ -247,6 +247,37 @@ def test_near_duplicates(spark, seed):
     assert sorted(kept) == sorted(set(brute_classes(rows).values()))
 
 
+def test_pairs_in_a_family_of_one_template(spark):
+    # all share a template that gives 0.78; the planted pairs have four more words in common, which gives 0.81
+    template, n, planted = " ".join(f"t{k}" for k in range(200)), 2000, 40
+    tail = lambda i, a=0: " ".join(f"o{i}.{k}" for k in range(a, 27))
+    shared = lambda i: " ".join(f"s{i}.{k}" for k in range(4))
+    rows = [(i, f"{template} {tail(i)}") for i in range(n)]
+    rows += [(x * 10_000 + i, f"{template} {shared(i)} {tail(x * 10_000 + i, 4)}") for i in range(planted) for x in (1, 2)]
+    kmers = [orderminhash.labelled_kmers(w) for w in orderminhash.word_hashes([rows[0][1], rows[1][1], rows[n][1], rows[n + 1][1]])]
+    assert 0.7 < orderminhash.similarity(kmers[0], kmers[1], 0.5) < 0.79 and 0.8 <= orderminhash.similarity(kmers[2], kmers[3]) < 0.85
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 10_000 if i >= 20_000 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_prefix_filter_keeps_every_similar_pair(spark, seed):
+    rng = random.Random(seed)
+    template = rng.choices([f"t{k}" for k in range(90)], k=rng.choice([12, 60, 120]))
+    rows = []
+    for i in range(120):
+        text = template + [f"{rng.randint(0, 20)}.{k}" for k in range(rng.randint(0, len(template) // 3))]
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(len(text))] = f"x{rng.randint(0, 3)}"
+        rows.append((i, " ".join(text[rng.randint(0, 3) :])))
+    kmers = [orderminhash.labelled_kmers(w) for w in orderminhash.word_hashes([t for _, t in rows])]
+    similar = {(x, y) for x in range(len(rows)) for y in range(x) if orderminhash.similarity(kmers[x], kmers[y]) >= 0.8}
+    held = spark.createDataFrame(rows, "nid long, text string")
+    members = spark.createDataFrame([(i, len(kmers[i]), i) for i, _ in rows], "nid long, size int, label long")
+    found = {(r["a"], r["b"]) for r in orderminhash._rest(members, held, 0.8).collect()}
+    assert similar and similar <= found
+
+
 def test_near_duplicates_edges(documents, nothing):
     rows = orderminhash.near_duplicates(documents).collect()
     assert len(rows) == documents.count()
