@@ -90,17 +90,17 @@ def batch_count(spark: SparkSession, chars: int, most: int, least: int = 1_000_0
 def numbered(df: DataFrame, order: list[Column], out: str, within: str | None = None, span: int = 200_000) -> DataFrame:
     """``df`` with a gapless number from 0 in ``out``, by ``order`` (within each value of ``within``), without one task seeing all rows.
 
-    The rows fall into slices by the hash of their order columns; a slice's rows are numbered by a window, slices follow each other by
-    slice number, and only the slices' counts are summed in one place. The order is therefore by (slice, order): it is fixed for given
-    rows, which is all that a slot number needs. The number of slices follows the row count, about ``span`` rows each.
+    The rows fall into ranges of their order columns, about ``span`` rows each; a range's rows are numbered by a window, and only the ranges'
+    counts are summed in one place. The numbers are those of one sort at every size. Rows with equal order columns are in one range.
     """
-    slices = max(1, df.count() // span + 1)
+    rows = cut(df)
+    ranges = rows.count() // span + 1
+    ranged = cut(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))  # bounds are sampled: written once
     keys = [F.col(within)] if within else []
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    here = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = sliced.withColumn("_rank", F.row_number().over(here))
-    joined = ranked.join(starts, [*([within] if within else []), "_slice"])
-    return joined.withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_slice", "_rank", "_start")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    here = Window.partitionBy(*keys, "_range").orderBy(*order)
+    ranked = ranged.withColumn("_rank", F.row_number().over(here))
+    joined = ranked.join(starts, [*([within] if within else []), "_range"])
+    return joined.withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_start")

@@ -118,5 +118,4 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, sh
   grown::INTEGER AS grown_shard FROM b"""
 
 
-#: Slots as for tables of one slice (up to 200,000 rows); larger ones are numbered slice by slice.
 SQL = _sql()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from repolens.llm import mixing, quality, sharding, urlrules
+from repolens.llm.common import numbered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -143,3 +144,12 @@ def test_sharding_equals_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{source}'")
     got = sorted((r["doc_id"], r["size"], r["shard"], r["grown_shard"]) for r in sharding.assign(spark.read.parquet(source)).collect())
     assert got == sorted(con.sql(f"SELECT doc_id, size, shard, grown_shard FROM ({sharding.SQL})").fetchall())
+
+
+def test_slots_follow_one_order_at_every_size(spark):
+    rows = [(k * 7919 % 1000, k % 3) for k in range(1000)]
+    df = spark.createDataFrame(rows, "x long, shard long").repartition(4)
+    expected = {(x, g): i for g in range(3) for i, (x, _) in enumerate(sorted(r for r in rows if r[1] == g))}
+    for span in (10_000, 100):
+        got = {(r["x"], r["shard"]): r["slot"] for r in numbered(df, [df["x"]], "slot", within="shard", span=span).collect()}
+        assert got == expected
