@@ -10,7 +10,7 @@ Queries meet vectors as pairs of blocks of bounded size, one task per group of p
 
 Vectors that are null, or hold null or non-finite components, and rows with a null id take no part; empty vectors neither. Vectors are compared
 with those of the same length. Rows with the query's id are its own and no candidates; repeated candidate rows each count; a query row that
-repeats is answered once.
+repeats is answered once. Integers are of 32 bits where a block's components fit and of 64 where not; what 64 bits can't hold is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ def _packer(size: int, scale: float):
 
     def flush(dim: int, ids: list, rows: list) -> pa.RecordBatch:
         x = np.concatenate(rows)
-        cells = np.floor_divide(x, CELL).astype(np.int32)
+        if len(x) == 0 or (x.min() >= -(2**31) and x.max() < 2**31):
+            x = x.astype(np.int32)
+        cells = np.floor_divide(x, CELL)
         return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([np.concatenate(ids).tobytes()]), pa.array([x.tobytes()]), pa.array([cells.tobytes()])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,10 @@ def _packer(size: int, scale: float):
                 rows = np.flatnonzero(usable & (lengths == dim))
                 x = values[starts[rows][:, None] + np.arange(dim)]
                 fine = np.isfinite(x).all(1)
-                x, i = np.floor(x[fine] * scale).astype(np.int32), idn[rows][fine]
+                x, i = np.floor(x[fine] * scale), idn[rows][fine]
+                if (np.abs(x) >= 2.0**63).any():
+                    raise OverflowError("a scaled component is beyond 64 bits")
+                x = x.astype(np.int64)
                 for a in range(0, len(x), size):
                     kept_i, kept_x, n = held.pop(dim, ([], [], 0))
                     kept_i.append(i[a : a + size]), kept_x.append(x[a : a + size])
@@ -67,29 +72,48 @@ def _packer(size: int, scale: float):
     return run
 
 
+def _scores(x: np.ndarray, q: np.ndarray, wide: bool) -> np.ndarray:
+    """Exact inner products; ``wide`` ones by Python's integers, which raise OverflowError if the result is beyond 64 bits."""
+    if wide:
+        return np.array([sum(a * b for a, b in zip(v, q.tolist(), strict=True)) for v in x.tolist()], object).astype(np.int64)
+    return x.astype(np.int64) @ q.astype(np.int64)
+
+
+def _matrix(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """A block's integers, of 4 or 8 bytes each."""
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dim else np.int64).reshape(n, dim)
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, cells: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k best of one block for each query: (query number, vector number, score) and how many exact vectors were read.
 
     ``floor`` holds each query's kth best score so far (very small if it has fewer) and is raised.
     """
-    centres = cells.astype(np.float32) * CELL + np.float32((CELL - 1) / 2)
-    about = q.astype(np.float32) @ centres.T  # exact in float32: sums below 2**23 in steps of a half
-    slack = np.abs(q).sum(1) * ((CELL - 1) / 2)
+    n, half = len(x), (CELL - 1) / 2
+    size = np.abs(q.astype(np.float64)).sum(1)
+    largest = float(np.abs(cells.astype(np.float64)).max(initial=0)) * CELL + CELL
+    top = float(size.max(initial=0)) * largest
+    fit = np.float32 if top < 2**22 else np.float64  # exact in float32: sums below 2**23 in steps of a half
+    about = q.astype(fit) @ (cells.astype(fit) * CELL + fit(half)).T
+    slack = size * half
+    if top >= 2**51:  # no longer exact in float64 either
+        slack = slack + (q.shape[1] + 2) * 2.0**-50 * size * largest
+    own = x_ids[None, :] == q_ids[:, None]
+    others = np.where(own, fit(-np.inf), about)
+    kth = -np.partition(-others, k - 1, axis=1)[:, k - 1].astype(np.float64) if n >= k else np.full(len(q), -np.inf)
+    wide = top >= 2**62
     out_q, out_x, out_s, read = [], [], [], 0
-    n = len(x)
-    own_k = min(k + 1, n)  # one more, as the query itself may be among them
-    kth = -np.partition(-about, own_k - 1, axis=1)[:, own_k - 1] if n else np.zeros(len(q))
     for i in range(len(q)):
-        least = max(kth[i] - slack[i] if n >= k + 1 else -np.inf, floor[i])  # a lower bound of the kth score
+        least = max(kth[i] - slack[i], floor[i])  # a lower bound of the kth score
         near = np.flatnonzero(about[i] + slack[i] >= least)
-        near = near[x_ids[near] != q_ids[i]]
+        near = near[~own[i, near]]
         near = near[np.argsort(-about[i, near], kind="stable")]
         got_x, got_s, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k
         while at < len(near):
             if len(got_s) >= k and about[i, near[at]] + slack[i] < max(np.partition(got_s, -k)[-k], floor[i]):
                 break
             some = near[at : at + step]
-            got_x, got_s = np.r_[got_x, some], np.r_[got_s, x[some].astype(np.int64) @ q[i].astype(np.int64)]
+            got_x, got_s = np.r_[got_x, some], np.r_[got_s, _scores(x[some], q[i], wide)]
             at += step
         read += len(got_x)
         best = np.lexsort((x_ids[got_x], -got_s))[:k]
@@ -112,10 +136,9 @@ def _searcher(k: int):
             for row in batch.to_pylist():
                 if row["dim"] != row["q_dim"]:
                     continue
-                shape = (-1, row["dim"])
-                q, qi = np.frombuffer(row["q_exact"], np.int32).reshape(shape), np.frombuffer(row["q_ids"], np.int64)
-                x, xi = np.frombuffer(row["exact"], np.int32).reshape(shape), np.frombuffer(row["ids"], np.int64)
-                cells = np.frombuffer(row["cells"], np.int32).reshape(shape)
+                qi, xi = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                q = _matrix(row["q_exact"], len(qi), row["dim"])
+                x, cells = _matrix(row["exact"], len(xi), row["dim"]), _matrix(row["cells"], len(xi), row["dim"])
                 floor = floors.setdefault(row["q_block"], np.full(len(q), -(2**62), np.int64))
                 a, b, s, _ = search_block(q, qi, x, xi, cells, k, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(row["q_block"] * 65536 + a), pa.array(xi[b]), pa.array(s)], schema=schema)

@@ -71,6 +71,20 @@ def test_exact_top_k(spark):
     assert vafile.top_k(df.where("vec_id < 0"), df["vec_id"] % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 1e4, 2.3e7])
+def test_exact_top_k_of_large_values_and_repeated_ids(spark, size):
+    rng = random.Random(2)
+    rows = [(i, [size * rng.uniform(-1.5, 1.5), *(rng.uniform(-1.5, 1.5) for _ in range(7))]) for i in range(200)] + [(20, [1.5 * size] + [1.5] * 7)] * 30
+    scaled = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = []
+    for q in range(0, 200, 20):
+        for qv in {tuple(v) for i, v in scaled if i == q}:
+            scores = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in scaled if i != q)[:20]
+            expected += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in vafile.top_k(df, df["vec_id"] % 20 == 0).collect()) == sorted(expected)
+
+
 def test_bounds_skip_most_exact_vectors():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(0, 8, (4000, 64))).astype(np.int32)
