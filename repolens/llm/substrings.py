@@ -1,23 +1,27 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 A window is ``WINDOW`` consecutive words of one document. A window is a duplicate if its word sequence also starts in a document with a
-smaller id. Documents are parsed against reference blocks; a factor of at least one window whose source lies in a smaller document becomes a
-duplicate span, and the windows that straddle two factors are looked up by themselves, so nothing at a factor's boundary is missed.
+smaller id. Documents are factored greedily against the reference blocks that could hold a source; a factor of at least one window becomes a
+duplicate span, and parsing goes on ``WINDOW - 1`` words before the factor's end, so that the windows across its boundary are looked up too.
 
 Which block can hold a source for a window? The block that its anchor names: the smallest hash of the ``ANCHOR``-word sequences in the window.
 Equal windows have equal anchors, so every block that could match is asked and no other. Documents fall into batches of bounded size by hash.
 
-1. Each batch sends its anchors, once each, to counting shards and learns which of them lie in two documents or more.
-2. Around those alone a batch cuts runs of windows with one anchor (a run carries its windows' words) and sends them to the anchors'
-   blocks. Runs with the same words are sent once per batch, for the smallest document; the others are duplicates already. So a passage in a
-   third of all documents reaches its block once per batch, not once per document.
-3. A block's reference is the runs that it received, in document order; it parses them and returns the spans to the batches.
-
-Words travel as indexes into a dictionary of 48-bit hashes per packet (a false match needs 13 words that agree but for words of equal hash). A block's windows are sorted by a hash of their words and then compared
-word by word, so a window hash alone never makes a match.
-
-Nulls: a null text has no words; a null id counts as larger than any other. Rows with the same id aren't duplicates of each other. Texts of
-any length are parsed whole. Rows that repeat each get their result. Only the named columns are read; others pass through in ``deduped``.
+1. Each batch sends its anchors, once each, to counting shards and learns which of them lie in two documents or more. The number of shards is
+   the session's shuffle width, not a share of the corpus, so the packets grow with the batches alone.
+2. Around those a batch cuts pieces: runs of windows with one anchor, with their words. A piece is a row that goes to its anchor's block. An anchor
+   that more than ``HOT_DOCS`` documents hold would fill one block; its windows are pieces of their own instead and go to the blocks that the
+   hashes of their words name, so what differs around a common passage spreads out. Pieces with the same words (compared word by word) go
+   out once per batch, for the smallest document; the others are duplicates already.
+3. A block's reference is the pieces that it received, in document order, indexed by hash chains of their windows. It factors every piece
+   against the smaller documents and returns the spans to the batches.
+
+Words travel as 48-bit hashes; within a batch they are compared themselves. A window hash alone never makes a match: chains are split by their
+words, and a factor runs as far as the words agree. A false match needs windows that agree but for words of equal hash.
+
+Nulls: a null text has no words. A null id is neither smaller nor larger than another, so such rows lose nothing and are no source. Rows with the
+same id aren't duplicates of each other. Texts of any length are parsed whole. Rows that repeat each get their result. Only the named columns are
+read; others pass through in ``deduped``.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ from repolens.llm.common import batch_count, shuffle_width, trim
 
 WINDOW, ANCHOR = 13, 6
 BATCH_CHARS = 4_000_000
-BLOCK_CHARS = 8_000_000  #: of text per reference block, and per counting shard
-LAST = np.iinfo(np.int64).max  #: stands for a null id
+BLOCK_CHARS = 8_000_000  #: of text per reference block
+SHARD_CHARS = 200_000_000  #: of text per counting shard at most; only more text than the shuffle width times this adds shards
+HOT_DOCS = 1000
+CHAIN = 4  #: sources of a window that are tried for a longer factor; one settles whether there is any
 _B = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
 
@@ -140,7 +146,7 @@ class _Batch:
         ids, keys, texts = [], [], []
         for i, k, t in zip(table.column("doc_id").to_pylist(), table.column("text_key").to_pylist(), table.column("text"), strict=True):
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-            if len(words) >= WINDOW:
+            if i is not None and len(words) >= WINDOW:
                 ids.append(i), keys.append(k), texts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
         self.ids, self.keys = np.array(ids, np.int64), np.array(keys, np.int64)
         self.local = np.concatenate(texts) if texts else np.zeros(0, np.int32)
@@ -161,7 +167,8 @@ class _Batch:
         sums = np.r_[np.uint64(0), np.cumsum(whole, dtype=np.uint64)]
         # what tells runs apart: their windows' hashes and number
         self.mark = _mixed(whole[self.first] * np.uint64(3) + whole[stop - 1] * np.uint64(5) + sums[stop] - sums[self.first]) + self.n_windows.astype(np.uint64)
-        # distinct anchors in (shard, anchor) order, and whether the batch has them in two documents
+        self.whole = whole
+        # distinct anchors in (shard, anchor) order, and how many documents of the batch have them
         shard = ((self.anchor >> np.uint64(17)) % np.uint64(n_shards)).astype(np.int64)
         order = np.lexsort((self.ids[self.doc], self.anchor, shard))
         head = np.r_[True, self.anchor[order][1:] != self.anchor[order][:-1]][: len(order)]
@@ -170,14 +177,14 @@ class _Batch:
         self.of[order] = group
         self.distinct, self.shards = self.anchor[order][head], shard[order][head]
         owner = self.ids[self.doc][order]
-        self.several = np.zeros(len(self.distinct), np.uint8)
-        self.several[group[1:][(owner[1:] != owner[:-1]) & ~head[1:]]] = 1
+        other = np.r_[True, owner[1:] != owner[:-1]][: len(order)] | head
+        self.docs = np.minimum(np.bincount(group, weights=other, minlength=len(self.distinct)), 65535).astype(np.uint16)
 
 
 def _asker(n_shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         b = _Batch(table, n_shards)
-        rows = [(int(b.shards[x]), _pack(packed_keys(b.distinct[x:y]), b.several[x:y])) for x, y in _slices(b.shards)]
+        rows = [(int(b.shards[x]), _pack(packed_keys(b.distinct[x:y]), b.docs[x:y])) for x, y in _slices(b.shards)]
         del b
         trim()
         return _flow([s for s, _ in rows], [key[0].as_py()] * len(rows), [p for _, p in rows])
@@ -185,152 +192,219 @@ def _asker(n_shards: int):
     return run
 
 
-def _counter(key: tuple, table: pa.Table) -> pa.Table:
-    """One counting shard: which anchors lie in two documents, a bit for each anchor of each batch."""
-    unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-    keys = [unpacked_keys(k) for k, _ in unpacked]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    shared = np.bincount(at, weights=1 + np.concatenate([s for _, s in unpacked]), minlength=len(distinct))[at] > 1
-    bounds = np.cumsum([0, *map(len, keys)]).tolist()
-    return _flow(table.column("to").to_pylist(), table.column("batch").to_pylist(), [_pack(np.packbits(shared[x:y])) for x, y in zip(bounds, bounds[1:], strict=False)])
+def _counter(hot_docs: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """One counting shard: for each anchor of each batch 0, 1 if it lies in two documents, 2 if in more than ``hot_docs``."""
+        unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
+        keys = [unpacked_keys(k) for k, _ in unpacked]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        docs = np.bincount(at, weights=np.concatenate([n for _, n in unpacked]), minlength=len(distinct))
+        kind = ((docs > 1).astype(np.uint8) + (docs > hot_docs))[at].astype(np.uint8)
+        bounds = np.cumsum([0, *map(len, keys)]).tolist()
+        return _flow(table.column("to").to_pylist(), table.column("batch").to_pylist(), [_pack(kind[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)])
+
+    return run
+
+
+_PIECES = "block int, batch int, doc_id long, text_key int, start int, length int, words binary"
+_SPANS = "batch int, doc_id long, text_key int, start int, length int"
+_WIDTH = 6  #: bytes of a word's hash in a piece
+
 
+def _piece_words(hashes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value per piece from its words' hashes, piece after piece."""
+    raw = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH])
+    offsets = np.r_[0, np.cumsum(lengths * _WIDTH)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
-def _spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
-    return _pack(ids, keys.astype(np.int32), starts.astype(np.uint32), lengths.astype(np.uint32))
 
+def _read_words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all pieces, and each piece's number of words."""
+    hashes, lengths = [], []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        raw = np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _WIDTH)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :_WIDTH] = raw
+        hashes.append(wide.view("<u8").ravel()), lengths.append(np.diff(offsets) // _WIDTH)
+    return np.concatenate(hashes), np.concatenate(lengths).astype(np.int64)
 
-def _cutter(n_shards: int):
+
+def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the ``lengths`` words from ``a`` on are those from ``b`` on."""
+    if not len(a):
+        return np.zeros(0, bool)
+    equal = words[_spread(a, lengths)] == words[_spread(b, lengths)]
+    return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
+
+
+def _cutter(n_shards: int, n_blocks: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """Packets for blocks (``to`` is the block) and spans that the batch itself decides (``to`` is -1)."""
+        """Pieces for blocks, and spans that the batch itself decides (``block`` is -1)."""
         b, me = _Batch(docs, n_shards), key[0].as_py()
-        if not len(b.distinct):
-            return _flow([], [], [])
-        shared = np.zeros(len(b.distinct), bool)
+        kind = np.zeros(len(b.distinct), np.uint8)
         bits = {s: _unpack(p)[0] for s, p in zip(answers.column("to").to_pylist(), answers.column("payload").to_pylist(), strict=True)}
         for x, y in _slices(b.shards):
-            shared[x:y] = np.unpackbits(bits[int(b.shards[x])], count=y - x)
-        runs = np.flatnonzero(shared[b.of])
-        owner, block = b.ids[b.doc[runs]], b.shards[b.of[runs]]
-        order = np.lexsort((owner, b.mark[runs], block))
-        runs, owner, block, mark = runs[order], owner[order], block[order], b.mark[runs][order]
-        head = np.r_[True, (mark[1:] != mark[:-1]) | (block[1:] != block[:-1])][: len(runs)]
-        known = owner > owner[head][np.cumsum(head) - 1]
-        to, payloads = [], []
-        if known.any():
-            done = runs[known]
-            to.append(-1), payloads.append(_spans(owner[known], b.keys[b.doc[done]], b.place[b.first[done]], b.n_windows[done] + WINDOW - 1))
-        send, block = runs[~known], block[~known]
-        remap, flags = np.zeros(len(b.hashes), np.int64), np.zeros(len(b.hashes), bool)
-        for x, y in _slices(block):
-            pick = np.sort(send[x:y])
-            piece = b.local[_spread(b.first[pick], b.n_windows[pick] + WINDOW - 1)]
-            flags[piece] = True
-            used = np.flatnonzero(flags)
-            flags[used] = False
-            remap[used] = np.arange(len(used))
-            short = remap[piece].astype(np.uint16 if len(used) < 65536 else np.uint32)
-            doc = b.doc[pick]
-            payloads.append(_pack(b.hashes[used].astype(np.uint32), (b.hashes[used] >> np.uint64(32)).astype(np.uint16), short, b.ids[doc], b.keys[doc].astype(np.int32), b.place[b.first[pick]].astype(np.uint32), b.n_windows[pick].astype(np.uint32)))
-            to.append(int(block[x]))
+            kind[x:y] = bits[int(b.shards[x])]
+        kind = kind[b.of]
+        runs, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        first = np.r_[b.first[runs], _spread(b.first[hot], b.n_windows[hot])]
+        doc = np.r_[b.doc[runs], np.repeat(b.doc[hot], b.n_windows[hot])]
+        n = np.r_[b.n_windows[runs], np.ones(len(first) - len(runs), np.int64)]
+        single = b.whole[first[len(runs) :]]
+        route, mark = np.r_[b.anchor[runs], single], np.r_[b.mark[runs], _mixed(single)]
+        owner, length = b.ids[doc], n + WINDOW - 1
+        order = np.lexsort((owner, mark, n))
+        head = np.r_[True, (mark[order][1:] != mark[order][:-1]) | (n[order][1:] != n[order][:-1])][: len(order)]
+        source = np.empty(len(order), np.int64)
+        source[order] = order[head][np.cumsum(head) - 1]
+        known = np.flatnonzero(owner > owner[source])
+        known = known[_same(b.local, first[known], first[source[known]], length[known])]
+        send = np.ones(len(first), bool)
+        send[known] = False
+        send = np.flatnonzero(send)
+        block = np.r_[np.full(len(known), -1), (route[send] >> np.uint64(17)) % np.uint64(n_blocks)].astype(np.int32)
+        pick = np.r_[known, send]
+        words = _piece_words(b.hashes[b.local[_spread(first[send], length[send])]], length[send])
+        out = pa.table({
+            "block": pa.array(block), "batch": pa.array(np.full(len(pick), me, np.int32)), "doc_id": pa.array(owner[pick]), "text_key": pa.array(b.keys[doc[pick]].astype(np.int32)),
+            "start": pa.array(b.place[first[pick]].astype(np.int32)), "length": pa.array(length[pick].astype(np.int32)), "words": pa.chunked_array([pa.nulls(len(known), pa.binary()), words]),
+        })
         del b
         trim()
-        return _flow(to, [me] * len(to), payloads)
+        return out
 
     return run
 
 
+def _common(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many windows from ``a`` on are those from ``b`` on. ``kind`` tells windows apart; -1, also at its end, is none."""
+    count, open_, at, width, last = np.zeros(len(a), np.int64), np.arange(len(a)), 0, 8, len(kind) - 1
+    while len(open_):
+        step = np.arange(at, at + width)
+        x = kind[np.minimum(a[open_, None] + step, last)]
+        same = (x == kind[np.minimum(b[open_, None] + step, last)]) & (x >= 0)
+        whole = same.all(1)
+        count[open_] += np.where(whole, width, same.argmin(1))
+        open_, at, width = open_[whole], at + width, min(2 * width, 4096)
+    return count
+
+
 def factors(words: np.ndarray, piece: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Relative Lempel-Ziv factors of the pieces of one reference block.
+    """Greedy relative Lempel-Ziv factors of the pieces of one reference block.
+
+    ``words``: the block's text as word hashes, piece after piece in the order of their documents; ``piece``: each word's piece; ``ids``: each
+    piece's document, ascending. Gives where a factor begins, its number of windows, and where its source, in a smaller document, begins.
 
-    ``words``: the block's text as word hashes, piece after piece; ``piece``: each word's piece; ``ids``: each piece's document. Gives the
-    windows' starts at which a factor begins, the number of windows in it, and where its source begins. A factor ends where the next window
-    has no source in a smaller document or its source doesn't follow on.
+    Each piece is parsed from left to right, all pieces in step: at a window with a source, the first sources in its hash chain are followed
+    for as long as the words agree, and the longest is the factor. Parsing goes on at the first window that isn't whole in the factor.
     """
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return none, none, none
     _, whole = sequence_hashes(words)
-    at = np.flatnonzero(piece[: len(whole)] == piece[WINDOW - 1 :])  # windows within a piece
-    owner = ids[piece[at]]
-    order = np.lexsort((at, owner, whole[at]))
-    at_o, h_o = at[order], whole[at][order]
-    head = np.r_[True, h_o[1:] != h_o[:-1]]
+    chain = np.flatnonzero(piece[: len(whole)] == piece[WINDOW - 1 :])  # windows within a piece
+    if not len(chain):
+        return none, none, none
+    chain = chain[np.argsort(whole[chain], kind="stable")]
+    head = np.r_[True, whole[chain][1:] != whole[chain][:-1]]
     group = np.cumsum(head) - 1
-    source = at_o[head][group]
-    equal = np.ones(len(at_o), bool)
+    first = chain[head][group]
+    equal = np.ones(len(chain), bool)
     for k in range(WINDOW):
-        equal &= words[at_o + k] == words[source + k]
-    if not equal.all():  # different windows with one hash: settle them by their words
+        equal &= words[chain + k] == words[first + k]
+    if not equal.all():  # different windows with one hash: chains of their own
         known: dict[bytes, int] = {}
         for i in np.flatnonzero(np.isin(group, group[~equal])):
-            source[i] = known.setdefault(words[at_o[i] : at_o[i] + WINDOW].tobytes(), at_o[i])
-    hit = ids[piece[source]] < ids[piece[at_o]]
-    start, origin = at_o[hit], source[hit]
-    order = np.argsort(start)
-    start, origin = start[order], origin[order]
-    if not len(start):
+            group[i] = known.setdefault(words[chain[i] : chain[i] + WINDOW].tobytes(), len(chain) + len(known))
+        order = np.lexsort((chain, group))
+        chain, group = chain[order], group[order]
+        head = np.r_[True, group[1:] != group[:-1]]
+        group = np.cumsum(head) - 1
+        first = chain[head][group]
+    kind = np.full(len(words) + 1, -1, np.int32)
+    kind[chain] = group
+    begin = np.r_[np.flatnonzero(head), len(chain)]
+    owner = ids[piece]
+    hits = np.sort(chain[owner[first] < owner[chain]])
+    if not len(hits):
         return none, none, none
-    fresh = np.r_[True, (start[1:] != start[:-1] + 1) | (origin[1:] != origin[:-1] + 1) | (piece[start[1:]] != piece[start[:-1]])]
-    begin = np.flatnonzero(fresh)
-    return start[begin], np.diff(np.r_[begin, len(start)]), origin[begin]
+    at = hits[np.r_[True, piece[hits][1:] != piece[hits][:-1]]]
+    starts, counts, sources = [], [], []
+    while len(at):
+        g = kind[at]
+        source, longest = chain[begin[g]], np.zeros(len(at), np.int64)
+        for k in range(CHAIN):
+            place = begin[g] + k
+            rows = np.flatnonzero(place < begin[g + 1])
+            rows = rows[owner[chain[place[rows]]] < owner[at[rows]]]
+            if not len(rows):
+                break
+            other = chain[place[rows]]
+            n = _common(kind, at[rows], other)
+            better = n > longest[rows]
+            longest[rows[better]], source[rows[better]] = n[better], other[better]
+        starts.append(at), counts.append(longest), sources.append(source)
+        here, next_ = piece[at], np.searchsorted(hits, at + longest)
+        going = next_ < len(hits)
+        going[going] = piece[hits[next_[going]]] == here[going]
+        at = hits[next_[going]]
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(sources)
 
 
 def _parser(key: tuple, table: pa.Table) -> pa.Table:
-    """One reference block: its packets are parsed against each other; spans go back to the batches."""
+    """One reference block: its pieces are factored against each other; spans go back to the batches."""
     if key[0].as_py() < 0:
-        return table.select(["to", "batch", "payload"])
-    words, n_windows, ids, keys, places, batches = [], [], [], [], [], []
-    for batch, blob in zip(table.column("batch").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        low, high, short, i, k, p, n = _unpack(blob)
-        words.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))[short])
-        ids.append(i), keys.append(k), places.append(p.astype(np.int64)), n_windows.append(n.astype(np.int64)), batches.append(np.full(len(n), batch))
-    word, doc, text, place, n, batch = (np.concatenate(x) for x in (words, ids, keys, places, n_windows, batches))
-    lengths = n + WINDOW - 1
-    piece = np.repeat(np.arange(len(n)), lengths)
-    start, count, _ = factors(word, piece, doc)
+        return table.select(["batch", "doc_id", "text_key", "start", "length"])
+    table = table.take(pc.sort_indices(table.column("doc_id")))
+    word, lengths = _read_words(table.column("words"))
+    ids = table.column("doc_id").to_numpy()
+    piece = np.repeat(np.arange(len(lengths)), lengths)
+    start, count, _ = factors(word, piece, ids)
     of = piece[start]
-    start = place[of] + start - (np.cumsum(lengths) - lengths)[of]
-    order = np.argsort(batch[of], kind="stable")
-    of, start, count = of[order], start[order], count[order]
-    cuts = _slices(batch[of])
+    offset = start - (np.cumsum(lengths) - lengths)[of]
+    found = table.select(["batch", "doc_id", "text_key"]).take(pa.array(of))
+    found = found.append_column("start", pa.array((table.column("start").to_numpy()[of] + offset).astype(np.int32)))
+    found = found.append_column("length", pa.array((count + WINDOW - 1).astype(np.int32)))
+    del table, word, piece
     trim()
-    return _flow([-1] * len(cuts), [int(batch[of[x]]) for x, _ in cuts], [_spans(doc[of[x:y]], text[of[x:y]], start[x:y], count[x:y] + WINDOW - 1) for x, y in cuts])
+    return found
 
 
-def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row: list[str], hot_docs: int = HOT_DOCS) -> DataFrame:
     """``finish(table, removed)`` of every batch; ``removed`` has a mask of words, or None, for each of the table's rows."""
     spark = docs.sparkSession
     full = F.col(f"`{text}`")
     chars = docs.agg(F.sum(F.length(full))).first()[0] or 0
-    n_batches, n_shards = batch_count(spark, chars, BATCH_CHARS), max(shuffle_width(spark), int(chars // BLOCK_CHARS) + 1)
+    n_batches, width = batch_count(spark, chars, BATCH_CHARS), shuffle_width(spark)
+    n_shards, n_blocks = max(width, int(chars // SHARD_CHARS) + 1), max(width, int(chars // BLOCK_CHARS) + 1)
     read = docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.hash(full).alias("text_key"), full.alias("text"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.hash(full).alias("text_key"), full.alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), F.pmod(F.xxhash64(doc_id, full), F.lit(n_batches)).cast("int").alias("batch"),
     )
     batches = read.groupBy("batch")
     asked = batches.applyInArrow(_asker(n_shards), _FLOW)
-    answers = asked.groupBy("to").applyInArrow(_counter, _FLOW)
-    packets = batches.cogroup(answers.groupBy("batch")).applyInArrow(_cutter(n_shards), _FLOW)
+    answers = asked.groupBy("to").applyInArrow(_counter(hot_docs), _FLOW)
+    pieces = batches.cogroup(answers.groupBy("batch")).applyInArrow(_cutter(n_shards, n_blocks), _PIECES)
     # what a batch has decided needs no block: it stays with its batch
-    spans = packets.groupBy("to", F.when(F.col("to") < 0, F.col("batch"))).applyInArrow(_parser, _FLOW)
+    spans = pieces.groupBy("block", F.when(F.col("block") < 0, F.col("batch"))).applyInArrow(_parser, _SPANS)
 
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        rows: dict[tuple[int, int], list[int]] = {}
+        rows: dict[tuple[int | None, int], list[int]] = {}
         for j, ik in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text_key").to_pylist(), strict=True)):
             rows.setdefault(ik, []).append(j)
         edges: list[np.ndarray | None] = [None] * table.num_rows
         texts = table.column("text")
-        for blob in found.column("payload").to_pylist():
-            ids, keys, starts, lengths = _unpack(blob)
-            order = np.lexsort((keys, ids))
-            ids, keys, starts, lengths = ids[order], keys[order], starts[order].astype(np.int64), lengths[order].astype(np.int64)
-            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist() if len(ids) else []
-            for x, y in zip(first, [*first[1:], len(ids)], strict=True):
-                for j in rows[int(ids[x]), int(keys[x])]:
-                    if edges[j] is None:
-                        edges[j] = np.zeros(len(texts[j].as_py().encode("utf-8", "surrogatepass").split()) + 1, np.int32)
-                    np.add.at(edges[j], starts[x:y], 1)
-                    np.add.at(edges[j], starts[x:y] + lengths[x:y], -1)
+        ids, keys, starts, lengths = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "text_key", "start", "length"))
+        order = np.lexsort((keys, ids))
+        ids, keys, starts, lengths = ids[order], keys[order], starts[order], lengths[order]
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist() if len(ids) else []
+        for x, y in zip(first, [*first[1:], len(ids)], strict=True):
+            for j in rows[int(ids[x]), int(keys[x])]:
+                if edges[j] is None:
+                    edges[j] = np.zeros(len(texts[j].as_py().encode("utf-8", "surrogatepass").split()) + 1, np.int32)
+                np.add.at(edges[j], starts[x:y], 1)
+                np.add.at(edges[j], starts[x:y] + lengths[x:y], -1)
         return finish(table, [None if e is None else np.cumsum(e[:-1]) > 0 for e in edges])
 
     return batches.cogroup(spans.groupBy("batch")).applyInArrow(run, out)
@@ -346,9 +420,9 @@ def _digest(table: pa.Table, removed: list) -> pa.Table:
     return pa.table({"doc_id": ids.cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    return _with_spans(docs, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", doc_id, text, [doc_id])
+    return _with_spans(docs, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", doc_id, text, [doc_id], hot_docs)
 
 
 def _remove(table: pa.Table, removed: list) -> pa.Table:

@@ -182,7 +182,7 @@ def brute_spans(rows):
     out = []
     for i, t in rows:
         w = (t or "").encode().split()
-        gone = {k + j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < (big if i is None else i) for j in range(13)}
+        gone = {k + j for k in range(len(w) - 12) if i is not None and least[tuple(w[k : k + 13])] < i for j in range(13)}
         out.append((str(i), len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
     return sorted(out)
 
@@ -210,6 +210,42 @@ def test_substrings_random(spark, seed):
     assert spans(df) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("hot_docs", [1, 3])
+def test_common_anchors_are_split(spark, hot_docs):
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(i, " ".join([*rng.choices("abcdef", k=8), *passage[rng.randint(0, 5) : rng.randint(20, 30)], *rng.choices("abcdef", k=8)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.digests(df, hot_docs=hot_docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_spans(rows)
+
+
+def test_packets_grow_with_the_batches_alone():
+    table = lambda n: substrings.pa.table({"doc_id": list(range(n)), "text_key": [0] * n, "text": [" ".join(f"{i}.{k}" for k in range(60)) for i in range(n)]})
+    key = (substrings.pa.scalar(0),)
+    for shards in (1, 7):
+        sizes = [substrings._asker(shards)(key, table(n)).num_rows for n in (50, 500)]
+        assert sizes == [shards, shards]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factors_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    ids = np.sort(rng.integers(0, 12, 25))
+    seeds = [rng.integers(0, 3, 40) for _ in range(3)]
+    pieces = [np.concatenate([s[rng.integers(0, 10) : rng.integers(20, 40)] for s in rng.permutation(seeds)[: rng.integers(1, 3)]]).astype(np.uint64) for _ in ids]
+    words, piece = np.concatenate(pieces), np.repeat(np.arange(25), list(map(len, pieces)))
+    start, count, origin = substrings.factors(words, piece, ids)
+    grams = defaultdict(list)
+    for x in range(len(words) - 12):
+        if piece[x] == piece[x + 12]:
+            grams[words[x : x + 13].tobytes()].append(x)
+    expected = {x for g in grams.values() for x in g if ids[piece[g[0]]] < ids[piece[x]]}
+    assert {x + k for x, n in zip(start, count, strict=True) for k in range(n)} == expected
+    for x, n, o in zip(start, count, origin, strict=True):
+        assert (words[x : x + n + 12] == words[o : o + n + 12]).all() and ids[piece[o]] < ids[piece[x]] and piece[o] == piece[o + n + 11]
+
+
 def test_factors_follow_their_source():
     a = list(range(1, 31))
     words = np.array(a + [99] + a[5:25], np.uint64)
