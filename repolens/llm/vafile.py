@@ -1,16 +1,20 @@
 """Exact top-k search with vector-approximation files.
 
-Vectors become integers, floor(scale * x), and are kept in blocks: ids, exact values and an approximation that gives each component's cell
-of ``CELL`` values. For a block of queries against a block of vectors the cells alone are scanned: the inner product with the cells' centres,
-plus or minus half a cell times the query's absolute sum, bounds every score from both sides. A query then reads exact vectors in the order
-of their upper bounds and stops when its kth exact score is above every bound that is left. Blocks keep a query's k best so far, which
-also bounds later blocks of the same task; the parts are merged by a ranking window.
+Vectors become integers, floor(scale * x), and are kept in blocks of two files. The approximation has ``BITS`` bits a component, packed: the
+cell between the block's smallest and largest value of that component. The exact file has the integers, in as few bytes as they need.
 
-Queries meet vectors as pairs of blocks of bounded size, one task per group of pairs; no pair of rows is ever a row.
+1. Scan. Blocks of queries meet blocks of approximations; exact vectors stay where they are. A cell's lower edge and width bound every inner
+   product from both sides. A query keeps the vectors whose upper bound reaches its kth largest lower bound so far, as row numbers of the block.
+2. The kth largest lower bound over all blocks is no more than the kth result. What lies below it with its upper bound is out.
+3. Read. Each block's exact vectors are read by row number for the queries that are left, in the order of their bounds, until a query's kth exact
+   score is above every bound to come. A block that many queries ask for is dealt to several tasks. A ranking window merges the blocks.
+
+Queries meet vectors as pairs of blocks of bounded size; no pair of rows is ever a row. Both files are written once to the shared folder, so
+that row numbers hold if a task runs again.
 
 Vectors that are null, or hold null or non-finite components, and rows with a null id take no part; empty vectors neither. Vectors are compared
 with those of the same length. Rows with the query's id are its own and no candidates; repeated candidate rows each count; a query row that
-repeats is answered once. Integers are of 32 bits where a block's components fit and of 64 where not; what 64 bits can't hold is an error.
+repeats is answered once. Integers have 64 bits at most; what they can't hold is an error.
 """
 
 from __future__ import annotations
@@ -22,144 +26,255 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL, BLOCK, QUERIES = 2, 8192, 1024
+from repolens.llm.common import shuffle_width, stash
+
+BITS, BLOCK, QUERIES = 6, 8192, 1024
+TASK_PAIRS = 256  #: pairs of blocks in a task at most
+READS = 200_000  #: (query, block) rows in a task of exact reads, about
+
+_SHIFTS = np.arange(BITS, dtype=np.uint8)
+
+
+def _integers(values: np.ndarray, scale: float) -> np.ndarray:
+    x = np.floor(values * scale)
+    if (np.abs(x) >= 2.0**63).any():
+        raise OverflowError("a scaled component is beyond 64 bits")
+    return x.astype(np.int64)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes as they need."""
+    least, most = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
+def _matrix(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{len(raw) // (n * dim)}").reshape(n, dim)
+
+
+def approximate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Each component's least value and cell width in a block, and the packed cells."""
+    low, u = x.min(0), x.view(np.uint64)
+    span = x.max(0).view(np.uint64) - low.view(np.uint64)  # without overflow
+    width = (span >> np.uint64(BITS)) + np.uint64(1)
+    cells = ((u - low.view(np.uint64)) // width).astype(np.uint8)
+    return low, width.view(np.int64), np.packbits(((cells[:, :, None] >> _SHIFTS) & 1).reshape(len(x), -1), axis=1).tobytes()
+
+
+def edges(low: np.ndarray, width: np.ndarray, packed: bytes, n: int) -> np.ndarray:
+    """The lower edges of a block's cells."""
+    dim = len(low)
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(n, -1), axis=1, count=dim * BITS).reshape(n, dim, BITS)
+    cells = (bits << _SHIFTS).sum(2, dtype=np.uint64)
+    return (low.view(np.uint64) + cells * width.view(np.uint64)).view(np.int64)
+
+
+def scan(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, width: np.ndarray, edge: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query with any: its number, the rows that may be among its k best, their upper bounds, and the k largest lower bounds.
+
+    ``floor`` holds each query's kth largest lower bound so far (very small if it has fewer) and is raised.
+    """
+    size = np.abs(q.astype(np.float64)).sum(1)
+    largest = float(np.abs(edge.astype(np.float64)).max(initial=0)) + float(width.max(initial=0))
+    top = float(size.max(initial=0)) * largest
+    fit = np.float32 if top < 2**24 else np.float64  # whole numbers that it holds
+    about = (q.astype(fit) @ edge.astype(fit).T).astype(np.float64)
+    room = (width - 1).astype(np.float64)
+    up, down = np.maximum(q, 0).astype(np.float64) @ room, np.minimum(q, 0).astype(np.float64) @ room
+    if top >= 2**52:  # no longer exact
+        error = (q.shape[1] + 4) * 2.0**-50 * size * largest
+        up, down = up + error, down - error
+    about[ids[None, :] == q_ids[:, None]] = -np.inf
+    if len(ids) > k:
+        kth = np.partition(about, len(ids) - k, axis=1)[:, len(ids) - k] + down
+    else:
+        kth = np.where(np.isfinite(about).sum(1) >= k, about.min(1) + down, -np.inf)
+    np.maximum(floor, kth, out=floor)
+    for i in range(len(q)):
+        rows = np.flatnonzero(about[i] + up[i] >= floor[i])
+        rows = rows[np.isfinite(about[i, rows])]
+        if len(rows):
+            found = about[i, rows]
+            lows = -np.sort(-found)[:k] + down[i]
+            yield i, rows.astype(np.int32), found + up[i], lows
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products; those that might not fit by Python's integers, which raise OverflowError if the result is beyond 64 bits."""
+    if float(np.abs(q.astype(np.float64)).sum()) * float(np.abs(x.astype(np.float64)).max(initial=0)) >= 2**62:
+        return np.array([sum(a * b for a, b in zip(v, q.tolist(), strict=True)) for v in x.tolist()], object).astype(np.int64)
+    return x.astype(np.int64) @ q.astype(np.int64)
+
 
-_PACKED = "dim int, n int, ids binary, exact binary, cells binary"
+def read_exact(q: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, upper: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best of a block's ``rows`` (ids, scores), and how many exact vectors were read; the kth result is ``least`` or more."""
+    order = np.argsort(-upper, kind="stable")
+    rows, upper = rows[order], upper[order]
+    rows, at, step = rows[upper >= least], 0, 2 * k
+    scores = np.zeros(0, np.int64)
+    while at < len(rows) and not (len(scores) >= k and upper[at] < np.partition(scores, -k)[-k]):
+        scores = np.r_[scores, _scores(x[rows[at : at + step]], q)]
+        at += step
+    rows = rows[: len(scores)]
+    best = np.lexsort((ids[rows], -scores))[:k]
+    return ids[rows[best]], scores[best], len(rows)
 
 
-def _packer(size: int, scale: float):
-    schema = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("exact", pa.binary()), ("cells", pa.binary())])
+_VECTORS = "block string, dim int, n int, ids binary, low binary, width binary, cells binary, exact binary"
+_QUERIES = "q_dim int, q_n int, q_ids binary, q_keys binary, q_exact binary"
 
-    def flush(dim: int, ids: list, rows: list) -> pa.RecordBatch:
-        x = np.concatenate(rows)
-        if len(x) == 0 or (x.min() >= -(2**31) and x.max() < 2**31):
-            x = x.astype(np.int32)
-        cells = np.floor_divide(x, CELL)
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([np.concatenate(ids).tobytes()]), pa.array([x.tobytes()]), pa.array([cells.tobytes()])], schema=schema)
+
+def _usable(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows of the batch, their integers) of the vectors that take part."""
+    vectors = batch.column("v")
+    if not isinstance(vectors, pa.ListArray):
+        vectors = vectors.cast(pa.list_(pa.float64()))
+    values = vectors.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    usable = batch.column("id").is_valid().to_numpy(zero_copy_only=False) & (lengths > 0)
+    for dim in np.unique(lengths[usable]).tolist():
+        rows = np.flatnonzero(usable & (lengths == dim))
+        x = values[starts[rows][:, None] + np.arange(dim)]
+        fine = np.isfinite(x).all(1)
+        yield dim, rows[fine], _integers(x[fine], scale)
+
+
+def _packer(size: int, scale: float, flush, schema: pa.Schema):
+    """Batches of rows as blocks of ``size`` rows of one length; ``flush(dim, columns, integers, number)`` makes a block's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, int]] = {}
+        number = 0
+
+        def block(dim: int, columns: list, rows: list) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            made = flush(dim, np.concatenate(columns), np.concatenate(rows), number)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(made, schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            vectors = batch.column(1)
-            if not isinstance(vectors, pa.ListArray):
-                vectors = vectors.cast(pa.list_(pa.float64()))
-            flat = vectors.flatten().cast(pa.float64())
-            values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
-            lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.cumsum(lengths) - lengths
-            ids = batch.column(0)
-            usable = ids.is_valid().to_numpy(zero_copy_only=False) & (lengths > 0)
-            idn = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for dim in np.unique(lengths[usable]).tolist():
-                rows = np.flatnonzero(usable & (lengths == dim))
-                x = values[starts[rows][:, None] + np.arange(dim)]
-                fine = np.isfinite(x).all(1)
-                x, i = np.floor(x[fine] * scale), idn[rows][fine]
-                if (np.abs(x) >= 2.0**63).any():
-                    raise OverflowError("a scaled component is beyond 64 bits")
-                x = x.astype(np.int64)
+            own = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "v"], 1)
+            for dim, rows, x in _usable(batch, scale):
                 for a in range(0, len(x), size):
-                    kept_i, kept_x, n = held.pop(dim, ([], [], 0))
-                    kept_i.append(i[a : a + size]), kept_x.append(x[a : a + size])
-                    n += len(i[a : a + size])
+                    columns, kept, n = held.pop(dim, ([], [], 0))
+                    columns.append(own[rows[a : a + size]]), kept.append(x[a : a + size])
+                    n += len(kept[-1])
                     if n >= size:
-                        yield flush(dim, kept_i, kept_x)
-                    else:
-                        held[dim] = (kept_i, kept_x, n)
-        for dim, (kept_i, kept_x, _) in held.items():
-            yield flush(dim, kept_i, kept_x)
+                        yield block(dim, columns, kept)
+                    elif n:
+                        held[dim] = (columns, kept, n)
+        for dim, (columns, kept, _) in held.items():
+            yield block(dim, columns, kept)
 
     return run
 
 
-def _scores(x: np.ndarray, q: np.ndarray, wide: bool) -> np.ndarray:
-    """Exact inner products; ``wide`` ones by Python's integers, which raise OverflowError if the result is beyond 64 bits."""
-    if wide:
-        return np.array([sum(a * b for a, b in zip(v, q.tolist(), strict=True)) for v in x.tolist()], object).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def _vector_blocks(scale: float):
+    import uuid
 
+    schema = pa.schema([("block", pa.string()), ("dim", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "low", "width", "cells", "exact"))])
 
-def _matrix(raw: bytes, n: int, dim: int) -> np.ndarray:
-    """A block's integers, of 4 or 8 bytes each."""
-    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dim else np.int64).reshape(n, dim)
+    def flush(dim: int, own: np.ndarray, x: np.ndarray, number: int) -> tuple:
+        low, width, cells = approximate(x)
+        return uuid.uuid4().hex, dim, len(x), own[:, 0].tobytes(), low.tobytes(), width.tobytes(), cells, _narrow(x).tobytes()
 
+    return _packer(BLOCK, scale, flush, schema)
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, cells: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The k best of one block for each query: (query number, vector number, score) and how many exact vectors were read.
 
-    ``floor`` holds each query's kth best score so far (very small if it has fewer) and is raised.
-    """
-    n, half = len(x), (CELL - 1) / 2
-    size = np.abs(q.astype(np.float64)).sum(1)
-    largest = float(np.abs(cells.astype(np.float64)).max(initial=0)) * CELL + CELL
-    top = float(size.max(initial=0)) * largest
-    fit = np.float32 if top < 2**22 else np.float64  # exact in float32: sums below 2**23 in steps of a half
-    about = q.astype(fit) @ (cells.astype(fit) * CELL + fit(half)).T
-    slack = size * half
-    if top >= 2**51:  # no longer exact in float64 either
-        slack = slack + (q.shape[1] + 2) * 2.0**-50 * size * largest
-    own = x_ids[None, :] == q_ids[:, None]
-    others = np.where(own, fit(-np.inf), about)
-    kth = -np.partition(-others, k - 1, axis=1)[:, k - 1].astype(np.float64) if n >= k else np.full(len(q), -np.inf)
-    wide = top >= 2**62
-    out_q, out_x, out_s, read = [], [], [], 0
-    for i in range(len(q)):
-        least = max(kth[i] - slack[i], floor[i])  # a lower bound of the kth score
-        near = np.flatnonzero(about[i] + slack[i] >= least)
-        near = near[~own[i, near]]
-        near = near[np.argsort(-about[i, near], kind="stable")]
-        got_x, got_s, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k
-        while at < len(near):
-            if len(got_s) >= k and about[i, near[at]] + slack[i] < max(np.partition(got_s, -k)[-k], floor[i]):
-                break
-            some = near[at : at + step]
-            got_x, got_s = np.r_[got_x, some], np.r_[got_s, _scores(x[some], q[i], wide)]
-            at += step
-        read += len(got_x)
-        best = np.lexsort((x_ids[got_x], -got_s))[:k]
-        best = best[got_s[best] >= floor[i]]
-        if len(best) == k:
-            floor[i] = max(floor[i], got_s[best[-1]])
-        out_q.append(np.full(len(best), i)), out_x.append(got_x[best]), out_s.append(got_s[best])
-    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s), read
+def _query_blocks(scale: float):
+    schema = pa.schema([("q_dim", pa.int32()), ("q_n", pa.int32()), *((c, pa.binary()) for c in ("q_ids", "q_keys", "q_exact"))])
 
+    def flush(dim: int, own: np.ndarray, x: np.ndarray, number: int) -> tuple:
+        return dim, len(x), own[:, 0].tobytes(), own[:, 1].tobytes(), _narrow(x).tobytes()
 
-_FOUND = "query_id long, query_key long, vec_id long, score long"
+    return _packer(QUERIES, scale, flush, schema)
 
 
-def _searcher(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_KEPT = "query_id long, query_key long, block string, rows binary, uppers binary, top double, lows array<double>"
+
+
+def _scanner(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("block", pa.string()), ("rows", pa.binary()), ("uppers", pa.binary()), ("top", pa.float64()), ("lows", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, np.ndarray] = {}
+        floors: dict[bytes, np.ndarray] = {}
+        last, now = None, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for j in range(batch.num_rows):
+                row = {c: batch.column(c)[j].as_py() for c in ("block", "dim", "q_dim")}
                 if row["dim"] != row["q_dim"]:
                     continue
-                qi, xi = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q = _matrix(row["q_exact"], len(qi), row["dim"])
-                x, cells = _matrix(row["exact"], len(xi), row["dim"]), _matrix(row["cells"], len(xi), row["dim"])
-                floor = floors.setdefault(row["q_block"], np.full(len(q), -(2**62), np.int64))
-                a, b, s, _ = search_block(q, qi, x, xi, cells, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(row["q_block"] * 65536 + a), pa.array(xi[b]), pa.array(s)], schema=schema)
+                if row["block"] != last:  # a block's queries follow each other
+                    last, raw = row["block"], {c: batch.column(c)[j].as_py() for c in ("n", "ids", "low", "width", "cells")}
+                    low, width, ids = (np.frombuffer(raw[c], np.int64) for c in ("low", "width", "ids"))
+                    now = low, width, edges(low, width, raw["cells"], raw["n"]), ids
+                q_n, q_keys = batch.column("q_n")[j].as_py(), batch.column("q_keys")[j].as_py()
+                q_ids, q = np.frombuffer(batch.column("q_ids")[j].as_py(), np.int64), _matrix(batch.column("q_exact")[j].as_py(), q_n, row["dim"])
+                floor = floors.setdefault(q_keys, np.full(q_n, -np.inf))
+                out = [(i, r.tobytes(), u.tobytes(), float(u.max()), lows) for i, r, u, lows in scan(q, q_ids, *now, k, floor)]
+                if out:
+                    at, rows, uppers, top, lows = zip(*out, strict=True)
+                    at, keys = np.array(at), np.frombuffer(q_keys, np.int64)
+                    columns = [pa.array(q_ids[at]), pa.array(keys[at]), pa.array([row["block"]] * len(at)), pa.array(rows, pa.binary()), pa.array(uppers, pa.binary()), pa.array(top), pa.array(lows, pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+_FOUND = "query_id long, query_key long, vec_id long, score long"
+
+
+def _reader(k: int, scale: float):
+    def run(key: tuple, asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and blocks.num_rows:
+            block = blocks.select(["dim", "n", "ids", "exact"]).slice(0, 1).to_pylist()[0]
+            x, ids = _matrix(block["exact"], block["n"], block["dim"]), np.frombuffer(block["ids"], np.int64)
+            for row in asked.select(["query_id", "query_key", "rows", "uppers", "least", "v"]).to_pylist():
+                q = _integers(np.array(row["v"], np.float64), scale)
+                found, scores, _ = read_exact(q, x, ids, np.frombuffer(row["rows"], np.int32), np.frombuffer(row["uppers"], np.float64), k, row["least"])
+                out.append((np.full(len(found), row["query_id"]), np.full(len(found), row["query_key"]), found, scores))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)})
 
     return run
 
 
+def _dealt(n_blocks: int, n_queries: int, width: int) -> tuple[int, int]:
+    """Into how many parts blocks and query blocks are dealt: every pair of parts is a task, and the data read by all tasks is about least."""
+    tasks = max(4 * width, n_blocks * n_queries // TASK_PAIRS)
+    queries = max(1, min(n_queries, round((tasks / 8) ** 0.5)))
+    return max(1, min(n_blocks, -(-tasks // queries))), queries
+
+
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a Column) holds for, the k largest inner products, ties to smaller ids."""
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    asked = vectors.where(is_query).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).dropDuplicates()
-    n_queries, n_rows = asked.count(), rows.count()
-    blocks = rows.repartition(int(n_rows // BLOCK) + 1).mapInArrow(_packer(BLOCK, scale), _PACKED)
-    queries = asked.repartition(int(n_queries // QUERIES) + 1).mapInArrow(_packer(QUERIES, scale), _PACKED)
-    queries = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.abs(F.xxhash64("ids", "exact") % (1 << 40)).alias("q_block"))
-    # the stated query set against all rows, block by block
-    pairs = blocks.crossJoin(queries)  # lengths are compared in the task: as a join key they would send every block to one
-    found = pairs.select("dim", "q_dim", "ids", "exact", "cells", "q_ids", "q_exact", "q_block").mapInArrow(_searcher(k), _FOUND)
-    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    own = [F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")]
+    asked = vectors.where(is_query).select(*own).dropDuplicates().withColumn("key", F.xxhash64("id", "v"))
+    n_queries, n_rows = asked.count(), vectors.count()
+    blocks = stash(vectors.select(*own).repartition(int(n_rows // BLOCK) + 1).mapInArrow(_vector_blocks(scale), _VECTORS), "vectors")
+    queries = stash(asked.select("id", "key", "v").repartition(int(n_queries // QUERIES) + 1).mapInArrow(_query_blocks(scale), _QUERIES), "queries")
+    for_blocks, for_queries = _dealt(int(n_rows // BLOCK) + 1, int(n_queries // QUERIES) + 1, shuffle_width(spark))
+    cells = blocks.select("block", "dim", "n", "ids", "low", "width", "cells").repartition(for_blocks)
+    # the stated query set against all rows, block by block; lengths are compared in the task: as a join key they would send every block to one
+    kept = stash(cells.crossJoin(queries.repartition(for_queries)).mapInArrow(_scanner(k), _KEPT), "kept")
+
+    query = ["query_id", "query_key"]
+    lows = kept.select(*query, F.explode("lows").alias("low"))
+    ranked = lows.withColumn("place", F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("low")))).where(F.col("place") == k)
+    least = ranked.select(*query, F.col("low").alias("_least"))
+    left = kept.drop("lows").join(least, query, "left").withColumn("least", F.coalesce("_least", F.lit(float("-inf")))).where(F.col("top") >= F.col("least"))
+    texts = asked.select(F.col("id").alias("query_id"), F.col("key").alias("query_key"), "v")
+    left = left.join(texts, query).select(*query, "block", "rows", "uppers", "least", "v")
+    parts = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / READS).cast("int").alias("parts"))
+    left = left.join(parts, "block").withColumn("part", F.pmod("query_key", F.col("parts")).cast("int")).drop("parts")
+    exact = blocks.select("block", "dim", "n", "ids", "exact").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = left.groupBy("block", "part").cogroup(exact.groupBy("block", "part")).applyInArrow(_reader(k, scale), _FOUND)
+    order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -71,10 +71,11 @@ def test_exact_top_k(spark):
     assert vafile.top_k(df.where("vec_id < 0"), df["vec_id"] % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 1e4, 2.3e7])
+@pytest.mark.parametrize("size", [1, 1e4, 2.3e7, 1e9])
 def test_exact_top_k_of_large_values_and_repeated_ids(spark, size):
     rng = random.Random(2)
-    rows = [(i, [size * rng.uniform(-1.5, 1.5), *(rng.uniform(-1.5, 1.5) for _ in range(7))]) for i in range(200)] + [(20, [1.5 * size] + [1.5] * 7)] * 30
+    first = lambda i: size if i % 20 else min(size, 2.3e7**2 / size)  # noqa: E731  queries so that 64 bits hold the products
+    rows = [(i, [first(i) * rng.uniform(-1.5, 1.5), *(rng.uniform(-1.5, 1.5) for _ in range(7))]) for i in range(200)] + [(20, [1.5 * first(20)] + [1.5] * 7)] * 30
     scaled = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     expected = []
@@ -85,12 +86,23 @@ def test_exact_top_k_of_large_values_and_repeated_ids(spark, size):
     assert sorted(tuple(r) for r in vafile.top_k(df, df["vec_id"] % 20 == 0).collect()) == sorted(expected)
 
 
-def test_bounds_skip_most_exact_vectors():
+def test_bounds_skip_nearly_all_exact_vectors():
     rng = np.random.default_rng(3)
-    x = np.floor(rng.normal(0, 8, (4000, 64))).astype(np.int32)
-    q = x[:5]
-    *_, read = vafile.search_block(q, np.arange(5), x, np.arange(4000), np.floor_divide(x, 2), 20, np.full(5, -(2**62)))
-    assert read < 0.5 * 5 * 4000
+    x = rng.normal(0, 1, (8000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None] * rng.choice([1, 5000])).astype(np.int64)
+    low, width, cells = vafile.approximate(x)
+    assert len(cells) == len(x) * 64 * vafile.BITS / 8
+    edge, ids, k = vafile.edges(low, width, cells, len(x)), np.arange(len(x)), 20
+    assert ((edge <= x) & (x < edge + width)).all()
+    read = 0
+    for i, rows, upper, lows in vafile.scan(x[:50], ids[:50], low, width, edge, ids, k, np.full(50, -np.inf)):
+        found, scores, n = vafile.read_exact(x[i], x, ids, rows, upper, k, lows[k - 1])
+        exact = x @ x[i]
+        exact[i] = -(2**62)
+        order = np.lexsort((ids, -exact))[:k]
+        assert found.tolist() == order.tolist() and scores.tolist() == exact[order].tolist()
+        read += n
+    assert read < 0.02 * 50 * len(x)
 
 
 def test_packing_round_trip(spark, documents, nothing):
