@@ -12,7 +12,7 @@ Equal windows have equal anchors, so every block that could match is asked and n
 2. Around those a batch cuts pieces: runs of windows with one anchor, with their words. A piece is a row that goes to its anchor's block. An anchor
    that more than ``HOT_DOCS`` documents hold would fill one block; its windows are pieces of their own instead and go to the blocks that the
    hashes of their words name, so what differs around a common passage spreads out. Pieces with the same words (compared word by word) go
-   out once per batch, for the smallest document; the others are duplicates already.
+   out once per batch, for the smallest document; the others are duplicates already. A piece that a document repeats is one row with its starts.
 3. A block's reference is the pieces that it received, in document order, indexed by hash chains of their windows. It factors every piece
    against the smaller documents and returns the spans to the batches.
 
@@ -206,28 +206,39 @@ def _counter(hot_docs: int):
     return run
 
 
-_PIECES = "block int, batch int, doc_id long, text_key int, start int, length int, words binary"
-_SPANS = "batch int, doc_id long, text_key int, start int, length int"
+_PIECES = "block int, batch int, doc_id long, text_key int, starts binary, length int, words binary"
+_SPANS = "batch int, doc_id long, text_key int, starts binary, offset int, length int"
 _WIDTH = 6  #: bytes of a word's hash in a piece
 
 
-def _piece_words(hashes: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """One binary value per piece from its words' hashes, piece after piece."""
-    raw = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH])
-    offsets = np.r_[0, np.cumsum(lengths * _WIDTH)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary value for each of ``counts`` rows, from so many of the ``values`` each."""
+    values = np.ascontiguousarray(values)
+    offsets = np.r_[0, np.cumsum(counts * (values.nbytes // max(len(values), 1)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _rows(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``width`` bytes in a binary column, as rows of bytes, and how many each row has."""
+    raw, counts = [np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+            data = chunk.buffers()[2]
+            raw.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if data else raw[0]), counts.append(np.diff(offsets) // width)
+    return np.concatenate(raw), np.concatenate(counts)
+
+
+def _piece_words(hashes: np.ndarray) -> np.ndarray:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]
 
 
 def _read_words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all pieces, and each piece's number of words."""
-    hashes, lengths = [], []
-    for chunk in column.chunks:
-        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        raw = np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _WIDTH)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :_WIDTH] = raw
-        hashes.append(wide.view("<u8").ravel()), lengths.append(np.diff(offsets) // _WIDTH)
-    return np.concatenate(hashes), np.concatenate(lengths).astype(np.int64)
+    raw, counts = _rows(column, _WIDTH)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :_WIDTH] = raw
+    return wide.view("<u8").ravel(), counts
 
 
 def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -253,22 +264,21 @@ def _cutter(n_shards: int, n_blocks: int):
         n = np.r_[b.n_windows[runs], np.ones(len(first) - len(runs), np.int64)]
         single = b.whole[first[len(runs) :]]
         route, mark = np.r_[b.anchor[runs], single], np.r_[b.mark[runs], _mixed(single)]
-        owner, length = b.ids[doc], n + WINDOW - 1
-        order = np.lexsort((owner, mark, n))
-        head = np.r_[True, (mark[order][1:] != mark[order][:-1]) | (n[order][1:] != n[order][:-1])][: len(order)]
-        source = np.empty(len(order), np.int64)
-        source[order] = order[head][np.cumsum(head) - 1]
-        known = np.flatnonzero(owner > owner[source])
-        known = known[_same(b.local, first[known], first[source[known]], length[known])]
-        send = np.ones(len(first), bool)
-        send[known] = False
-        send = np.flatnonzero(send)
-        block = np.r_[np.full(len(known), -1), (route[send] >> np.uint64(17)) % np.uint64(n_blocks)].astype(np.int32)
-        pick = np.r_[known, send]
-        words = _piece_words(b.hashes[b.local[_spread(first[send], length[send])]], length[send])
+        order = np.lexsort((first, doc, b.ids[doc], mark, n))
+        first, doc, n, route, mark = first[order], doc[order], n[order], route[order], mark[order]
+        owner, length, m = b.ids[doc], n + WINDOW - 1, len(order)
+        head = np.r_[True, (mark[1:] != mark[:-1]) | (n[1:] != n[:-1])][:m]
+        source = np.flatnonzero(head)[np.cumsum(head) - 1] if m else head.astype(np.int64)
+        same = _same(b.local, first, first[source], length)
+        # a piece that a document repeats is one row with several starts
+        row = np.flatnonzero(head | np.r_[True, doc[1:] != doc[:-1]][:m] | ~same | np.r_[True, ~same[:-1]][:m])
+        copies = np.diff(np.r_[row, m])
+        known = same[row] & (owner[row] > owner[source[row]])
+        block = np.where(known, -1, ((route[row] >> np.uint64(17)) % np.uint64(n_blocks)).astype(np.int64)).astype(np.int32)
+        sent = np.where(known, 0, length[row])
         out = pa.table({
-            "block": pa.array(block), "batch": pa.array(np.full(len(pick), me, np.int32)), "doc_id": pa.array(owner[pick]), "text_key": pa.array(b.keys[doc[pick]].astype(np.int32)),
-            "start": pa.array(b.place[first[pick]].astype(np.int32)), "length": pa.array(length[pick].astype(np.int32)), "words": pa.chunked_array([pa.nulls(len(known), pa.binary()), words]),
+            "block": pa.array(block), "batch": pa.array(np.full(len(row), me, np.int32)), "doc_id": pa.array(owner[row]), "text_key": pa.array(b.keys[doc[row]].astype(np.int32)),
+            "starts": _binary(b.place[first].astype("<i4"), copies), "length": pa.array(length[row].astype(np.int32)), "words": _binary(_piece_words(b.hashes[b.local[_spread(first[row], sent)]]), sent),
         })
         del b
         trim()
@@ -355,16 +365,15 @@ def factors(words: np.ndarray, piece: np.ndarray, ids: np.ndarray) -> tuple[np.n
 def _parser(key: tuple, table: pa.Table) -> pa.Table:
     """One reference block: its pieces are factored against each other; spans go back to the batches."""
     if key[0].as_py() < 0:
-        return table.select(["batch", "doc_id", "text_key", "start", "length"])
+        return table.select(["batch", "doc_id", "text_key", "starts"]).append_column("offset", pa.array(np.zeros(table.num_rows, np.int32))).append_column("length", table.column("length"))
     table = table.take(pc.sort_indices(table.column("doc_id")))
     word, lengths = _read_words(table.column("words"))
     ids = table.column("doc_id").to_numpy()
     piece = np.repeat(np.arange(len(lengths)), lengths)
     start, count, _ = factors(word, piece, ids)
     of = piece[start]
-    offset = start - (np.cumsum(lengths) - lengths)[of]
-    found = table.select(["batch", "doc_id", "text_key"]).take(pa.array(of))
-    found = found.append_column("start", pa.array((table.column("start").to_numpy()[of] + offset).astype(np.int32)))
+    found = table.select(["batch", "doc_id", "text_key", "starts"]).take(pa.array(of))
+    found = found.append_column("offset", pa.array((start - (np.cumsum(lengths) - lengths)[of]).astype(np.int32)))
     found = found.append_column("length", pa.array((count + WINDOW - 1).astype(np.int32)))
     del table, word, piece
     trim()
@@ -395,9 +404,10 @@ def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row:
             rows.setdefault(ik, []).append(j)
         edges: list[np.ndarray | None] = [None] * table.num_rows
         texts = table.column("text")
-        ids, keys, starts, lengths = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "text_key", "start", "length"))
+        raw, copies = _rows(found.column("starts"), 4)
+        ids, keys, offsets, lengths = (np.repeat(found.column(c).to_numpy().astype(np.int64), copies) for c in ("doc_id", "text_key", "offset", "length"))
         order = np.lexsort((keys, ids))
-        ids, keys, starts, lengths = ids[order], keys[order], starts[order], lengths[order]
+        ids, keys, starts, lengths = ids[order], keys[order], (np.ascontiguousarray(raw).view("<i4").ravel() + offsets)[order], lengths[order]
         first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist() if len(ids) else []
         for x, y in zip(first, [*first[1:], len(ids)], strict=True):
             for j in rows[int(ids[x]), int(keys[x])]:
