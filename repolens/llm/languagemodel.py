@@ -1,19 +1,25 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model over all training documents: p(w | c) = (n(c, w) + mu * p(w)) / (n(c) + mu) with the additive unigram
-p(w) = (n(w) + 1/2) / (N + (V + 1)/2). It sums to one over the words and one unknown. A document's probability is that of its words and one
-end, from a start.
+A trigram model over all training documents, smoothed step by step:
 
-Counts are a distributed join, so that no machine needs the corpus's n-grams. Documents fall into batches of bounded size by hash. A batch
-sends each counter shard the sorted keys (64-bit hashes of words and of pairs) that its documents hold, with their training counts; a shard
-adds them up over all batches and answers every batch with the totals in the order asked. A batch thus receives the part of the model that its
-documents can touch, lays it out as a trie, and scores its documents from it. A frequent word or pair reaches its shard once per batch, and
-a frequent context's pairs are spread over all shards.
+    p1(w) = (n(w) + 1/2) / (N + (V + 1)/2),  p2(w | v) = (n(v, w) + MU_2 p1(w)) / (n(v) + MU_2),  p3(w | u, v) = (n(u, v, w) + MU_3 p2(w | v)) / (n(u, v) + MU_3)
 
-The trie has two levels in one memory-mapped file. Level 1 has a word's quantised log probability and back-off weight; monotone pointers to
-the successors are an Elias-Fano sequence. Level 2 holds the successors of each context: context-relative ids become one monotone sequence by
-adding the context's base, also Elias-Fano coded, beside quantised log probabilities. A pair is found by binary search among its context's
-successors; a pair that training hasn't seen is the back-off weight plus the word's own probability.
+It sums to one over the words and one unknown, but for quantisation. A document's probability is that of its words and one end, from a start.
+
+1. Documents are parsed once, in batches of bounded size: word numbers, in the order of 64-bit hashes, and the hashes. That table is written.
+2. Word counts: a batch sends its words to word shards, each word once, and gets the totals back.
+3. Tries: the n-grams are dealt to trie shards by the hash of their context (u, v), so that all successors of a context meet, and no frequent word
+   is a key. A batch sends each distinct n-gram once with its training count. A shard adds up the counts of all batches and builds one trie of
+   the n-grams that training has, and of no others.
+4. Queries: each batch's n-grams, seen in training or not, are searched in their shard's trie, and the codes found go back to the batch.
+
+A trie has three levels in one memory-mapped file of its task. Monotone pointers, an Elias-Fano sequence, lead from a word to its successors in
+level 2, and from a pair to its successors in level 3. Successors are Elias-Fano coded too: context-relative ids become one monotone sequence by
+adding the context's base. A pair has the quantised log of n(u, v) / N, which gives its back-off weight as well; a triple that of
+n(u, v, w) / (n(u, v) + MU_3). Every query at every size goes through the pointers and bisects its context's successors.
+
+The number of shards is the session's shuffle width, so packets grow with the batches alone; only a corpus beyond ``SHARD_CHARS`` times the width
+has more. A context's load is one entry per batch and successor.
 
 Nulls: a null text is empty and scores its end alone; a null id is hashed as an empty text, so it trains. Rows that repeat each count and each
 get a score. Extra columns aren't read.
@@ -22,6 +28,7 @@ get a score. Extra columns aren't read.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,14 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import batch_count, shuffle_width, trim
-from repolens.llm.substrings import Vocabulary, _mixed, _pack, _unpack, packed_keys, unpacked_keys
+from repolens.llm.common import shuffle_width, stash, trim
+from repolens.llm.substrings import Vocabulary, _mixed, _pack, _slices, _unpack, packed_keys, unpacked_keys
 
-MU = 200.0
-BATCH_CHARS, SHARD_CHARS = 6_000_000, 6_000_000
-BLOCK = 1 << 16
+MU_2, MU_3 = 200.0, 20.0
+BATCH_CHARS, SHARD_CHARS = 6_000_000, 24_000_000
 STEP = 4096.0  #: quantised log10 probabilities are -code / STEP
-_END, _START = 0x51ED270B7F3C6A19, 0x2545F4914F6CDD1D  #: stand for the hashes of the end and of the start
+UNSEEN = 65535
+START, END = b" start", b" end"  #: no word has a space
 
 
 class EliasFano:
@@ -61,26 +68,23 @@ class EliasFano:
         return {"low": np.r_[lows, np.zeros(8, np.uint8)], "high": packed, "rank": rank, "width": np.array([low, n], np.int64)}
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.low, self.high, self.rank = parts["low"], parts["high"], parts["rank"]
+        self.low, self.high, self.rank = parts["low"], parts["high"].view(np.uint64), parts["rank"]
         self.width, self.n = (int(x) for x in parts["width"])
 
-    _SELECT = np.array([[([k for k in range(8) if byte >> k & 1] + [0] * 8)[j] for j in range(8)] for byte in range(256)], np.int64)
-    _COUNT = np.array([bin(byte).count("1") for byte in range(256)], np.int64)
+    _SELECT = np.array([[([k for k in range(8) if byte >> k & 1] + [0] * 8)[j] for j in range(8)] for byte in range(256)], np.uint8)
+    _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
         word = np.searchsorted(self.rank, i, side="right") - 1
-        left, byte = i - self.rank[word], word * 8
-        for _ in range(7):
-            n = self._COUNT[self.high[byte]]
-            go = left >= n
-            left, byte = np.where(go, left - n, left), byte + go
-            if not go.any():
-                break
-        # bytes without enough ones are passed one by one
-        while (more := left >= self._COUNT[self.high[byte]]).any():
-            left, byte = np.where(more, left - self._COUNT[self.high[byte]], left), byte + more
-        high = byte * 8 + self._SELECT[self.high[byte], left] - i
+        left, bits = (i - self.rank[word]).astype(np.uint64), self.high[word]
+        # ones up to and with each byte of the word, then the byte that holds the one sought
+        s = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * self._ONES
+        byte = np.bitwise_count(((left * self._ONES | self._TOPS) - s) & self._TOPS).astype(np.uint64) * np.uint64(8)
+        left -= (s << np.uint64(8) >> byte) & np.uint64(255)
+        high = word * 64 + byte.astype(np.int64) + self._SELECT[(bits >> byte) & np.uint64(255), left] - i
         return (high << self.width) | self._lows(i)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
@@ -93,24 +97,23 @@ class EliasFano:
             chunk |= self.low[start + k].astype(np.uint64) << np.uint64(8 * k)
         return ((chunk >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
-    def decode(self, a: int, b: int) -> np.ndarray:
-        """The values at places ``a`` to ``b``, in one pass over their bits."""
-        first, last = np.searchsorted(self.rank, [a, b - 1], side="right") - 1
-        ones = np.flatnonzero(np.unpackbits(self.high[first * 8 : last * 8 + 8], bitorder="little")) + first * 64
-        i = np.arange(a, b)
-        return ((ones[a - self.rank[first] :][: b - a] - i) << self.width) | self._lows(i)
+
+def codes(logs: np.ndarray) -> np.ndarray:
+    """Quantised log10 probabilities; the largest code stands for what isn't there."""
+    return np.clip(np.rint(-logs * STEP), 0, UNSEEN - 1).astype(np.uint16)
 
 
 class Trie:
-    """Two levels of an n-gram model in one memory-mapped temporary file."""
-
-    def __init__(self, n_words: int, context: np.ndarray, successor: np.ndarray, pair_log: np.ndarray, word_log: np.ndarray, back_log: np.ndarray):
-        """``context`` and ``successor``: word numbers of the pairs, in (context, successor) order. Logs are log10."""
-        pointers = np.searchsorted(context, np.arange(n_words + 1))
-        parts: dict[str, np.ndarray] = {}
-        for name, coded in (("p", EliasFano.encode(pointers, len(context) + 1)), ("s", EliasFano.encode(context * n_words + successor, max(1, n_words * n_words)))):
-            parts |= {f"{name}.{k}": v for k, v in coded.items()}
-        parts |= {"pair": self._codes(pair_log), "word": self._codes(word_log), "back": self._codes(back_log)}
+    """Words, pairs and triples of an n-gram model in one memory-mapped temporary file."""
+
+    def __init__(self, n_words: int, first: np.ndarray, second: np.ndarray, pair_code: np.ndarray, context: np.ndarray, third: np.ndarray, triple_code: np.ndarray):
+        """Pairs (``first``, ``second``) of word numbers in order; triples (``context``, ``third``) in order, where a context is a pair's place."""
+        sequences = {
+            "p2": (np.searchsorted(first, np.arange(n_words + 1)), len(first) + 1), "s2": (first * n_words + second, max(1, n_words * n_words)),
+            "p3": (np.searchsorted(context, np.arange(len(first) + 1)), len(third) + 1), "s3": (context * n_words + third, max(1, len(first) * n_words)),
+        }
+        parts = {f"{name}.{k}": v for name, (values, universe) in sequences.items() for k, v in EliasFano.encode(values, universe).items()}
+        parts |= {"c2": pair_code, "c3": triple_code}
         self._file = tempfile.TemporaryFile()
         layout, at = {}, 0
         for name, a in parts.items():
@@ -118,194 +121,290 @@ class Trie:
             self._file.write(a.tobytes())
             layout[name] = (at, a.dtype, len(a))
             at += (a.nbytes + 63) // 64 * 64
-        self._file.truncate(at)
+        self._file.truncate(max(at, 64))
         self._file.flush()
-        mapped = np.memmap(self._file, np.uint8, "r", shape=(at,))
+        mapped = np.memmap(self._file, np.uint8, "r", shape=(max(at, 64),))
         got = {name: mapped[o : o + n * d.itemsize].view(d) for name, (o, d, n) in layout.items()}
         self.n_words, self.nbytes = n_words, at
-        self.pointers = EliasFano({k[2:]: v for k, v in got.items() if k.startswith("p.")})
-        self.successors = EliasFano({k[2:]: v for k, v in got.items() if k.startswith("s.")})
-        self.pair, self.word, self.back = got["pair"], got["word"], got["back"]
+        self.p2, self.s2, self.p3, self.s3 = (EliasFano({k[3:]: v for k, v in got.items() if k.startswith(f"{name}.")}) for name in sequences)
+        self.c2, self.c3 = got["c2"], got["c3"]
 
-    @staticmethod
-    def _codes(logs: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(-logs * STEP), 0, 65535).astype(np.uint16)
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The places of pairs in level 2, -1 for those that aren't there.
-
-        Few pairs are searched by bisection among their context's successors; many, which are to be in (context, successor) order, meet a
-        block of contexts at a time, decoded once.
-        """
-        target, out = context * self.n_words + successor, np.full(len(context), -1, np.int64)
-        if len(target) > 1000:
-            for a in range(0, self.successors.n, BLOCK):
-                values = self.successors.decode(a, min(a + BLOCK, self.successors.n))
-                x, y = np.searchsorted(target, values[0]), np.searchsorted(target, values[-1], side="right")
-                place = np.searchsorted(values, target[x:y])
-                out[x:y] = np.where(values[place] == target[x:y], place + a, out[x:y])
-            return out
-        low, high = self.pointers.get(context), self.pointers.get(context + 1)
+    def _search(self, pointers: EliasFano, successors: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of ``word`` among the successors of ``context``, -1 for those that aren't there."""
+        target, out = context * self.n_words + word, np.full(len(context), -1, np.int64)
+        low, high = pointers.get(context), pointers.get(context + 1)
         open_ = np.flatnonzero(low < high)
+        low, high, target = low[open_], high[open_], target[open_]
         while len(open_):
-            middle = (low[open_] + high[open_]) // 2
-            value = self.successors.get(middle)
-            out[open_[value == target[open_]]] = middle[value == target[open_]]
-            less = value < target[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-            open_ = open_[(low[open_] < high[open_]) & (value != target[open_])]
+            middle = (low + high) // 2
+            value = successors.get(middle)
+            hit, less = value == target, value < target
+            out[open_[hit]] = middle[hit]
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            go = ~hit & (low < high)
+            open_, low, high, target = open_[go], low[go], high[go], target[go]
         return out
 
-    def score(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """log10 p(successor | context)."""
-        place = self.find(context, successor)
-        backed = self.back[context].astype(np.float64) + self.word[successor]
-        seen = self.pair[np.maximum(place, 0)].astype(np.float64) if len(self.pair) else backed
-        return -np.where(place >= 0, seen, backed) / STEP
-
-
-class _Batch:
-    """The tokens of a batch of documents and the keys that they need counts of."""
-
-    def __init__(self, table: pa.Table, n_shards: int, pairs: bool = True):
-        vocabulary = Vocabulary()
-        _ = vocabulary[b" start"], vocabulary[b" end"]  # no word has a space
-        self.ids = table.column("doc_id").to_pylist()
-        self.held = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i in self.ids], bool)
-        docs = []
-        for t in table.column("text"):
-            words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            docs.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-        self.n_tokens = np.array([len(d) + 1 for d in docs], np.int64)
-        self.doc = np.repeat(np.arange(len(docs)), self.n_tokens)
-        end, start = np.array([1]), np.array([0])
-        self.token = np.concatenate([x for d in docs for x in (d, end)]) if docs else end[:0]
-        self.previous = np.concatenate([x for d in docs for x in (start, d)]) if docs else end[:0]
-        train = ~self.held[self.doc]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-        hashes[:2] = _START, _END
-        self.n_words = len(vocabulary)
-        word_train = np.bincount(self.token[train], minlength=self.n_words)
-        word_train[0] = int((~self.held).sum())  # contexts at the start
-        keys, counts = hashes, word_train
-        if pairs:
-            both = self.previous * self.n_words + self.token
-            self.pair, self.of = np.unique(both, return_inverse=True)
-            pair_train = np.bincount(self.of[train], minlength=len(self.pair))
-            mixed = _mixed(hashes[self.pair // self.n_words] * np.uint64(0x9E3779B97F4A7C15) + _mixed(hashes[self.pair % self.n_words]))
-            keys, counts = np.r_[hashes, mixed], np.r_[word_train, pair_train]
-        else:
-            keys, counts = hashes[1:], word_train[1:]
-        shard = ((keys >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64)
-        self.order = np.lexsort((keys, shard))
-        self.keys, self.counts, self.shards = keys[self.order], counts[self.order], shard[self.order]
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self._search(self.p2, self.s2, first, second)
 
-    def packets(self) -> Iterator[tuple[int, bytes]]:
-        """(shard, packed keys and training counts)."""
-        bounds = np.flatnonzero(np.r_[True, self.shards[1:] != self.shards[:-1]])
-        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(self.shards)], strict=True):
-            yield int(self.shards[a]), _pack(packed_keys(self.keys[a:b]), self.counts[a:b].astype(np.uint32))
+    def triples(self, context: np.ndarray, third: np.ndarray) -> np.ndarray:
+        return self._search(self.p3, self.s3, context, third)
 
 
-_ASK = "shard int, batch int, payload binary"
-_ASK_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("payload", pa.binary())])
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the number of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    head = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(head) - 1
+    return ordered[head], of
 
 
-def _asker(n_shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = list(_Batch(table, n_shards).packets())
-        trim()
-        return pa.table([pa.array([s for s, _ in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=_ASK_ARROW)
+_PARSED = "batch string, ids array<long>, held binary, lengths binary, tokens binary, keys binary, counts binary"
+_PARSED_ARROW = pa.schema([("batch", pa.string()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("held", "lengths", "tokens", "keys", "counts"))])
+
+
+def _parsed(held_rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Documents as word numbers in the order of their hashes; ``counts`` are those of the training documents."""
+    table = pa.Table.from_batches(held_rows)
+    vocabulary = Vocabulary()
+    _ = vocabulary[START], vocabulary[END]
+    ids = table.column("doc_id").to_pylist()
+    held = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i in ids], bool)
+    docs, end = [], np.array([1], np.int32)
+    for t in table.column("text"):
+        words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+        docs += [np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)), end]
+    token = np.concatenate(docs)
+    lengths = np.array([len(d) + 1 for d in docs[::2]], np.int64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+    order = np.argsort(hashes)
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order))
+    token = number[token]
+    counts = np.bincount(token[np.repeat(~held, lengths)], minlength=len(order)).astype(np.uint32)
+    values = [uuid.uuid4().hex, ids, _pack(held), _pack(lengths), _pack(token), _pack(packed_keys(hashes[order]), number[:2]), _pack(counts)]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _PARSED_ARROW.types, strict=True)], schema=_PARSED_ARROW)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            held.append(whole.slice(a, 256))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size > BATCH_CHARS:
+                yield _parsed(held)
+                held, size = [], 0
+                trim()
+    if held:
+        yield _parsed(held)
+
+
+_ASK = "shard int, batch string, payload binary"
+_ASK_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.string()), ("payload", pa.binary())])
+
+
+def _flow(shards: list[int], batch: str, payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([batch] * len(shards), pa.string()), pa.array(payloads, pa.binary())], schema=_ASK_ARROW)
+
+
+def _by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the hashes by shard, and the shards in that order."""
+    shard = ((hashes >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
+
+
+def _word_asker(n_shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, counts = unpacked_keys(_unpack(row["keys"])[0]), _unpack(row["counts"])[0]
+                order, shard = _by_shard(hashes, n_shards)
+                hashes, counts = hashes[order], counts[order]
+                cuts = _slices(shard)
+                yield _flow([int(shard[x]) for x, _ in cuts], row["batch"], [_pack(packed_keys(hashes[x:y]), counts[x:y]) for x, y in cuts])
 
     return run
 
 
-def _counter(key: tuple, table: pa.Table) -> pa.Table:
-    """One counter shard: totals over all batches, in each batch's own order."""
+_TOTALS = "shard int, batch string, payload binary, n long, v long"
+
+
+def _word_counter(key: tuple, table: pa.Table) -> pa.Table:
+    """One word shard: totals over all batches in each batch's order, and, in a row without a batch, the tokens and distinct words of training."""
     unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-    keys = [unpacked_keys(planes) for planes, _ in unpacked]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, at = _distinct(np.concatenate([unpacked_keys(planes) for planes, _ in unpacked]))
     total = np.bincount(at, weights=np.concatenate([c for _, c in unpacked]), minlength=len(distinct)).astype(np.int64)
-    bounds = np.cumsum([0, *map(len, keys)])
-    blobs = [_pack(total[at[a:b]]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    del unpacked, keys, distinct, at, total
-    trim()
-    return pa.table([table.column("shard").combine_chunks(), table.column("batch").combine_chunks(), pa.array(blobs, pa.binary())], schema=_ASK_ARROW)
+    bounds = np.cumsum([0, *(len(c) for _, c in unpacked)]).tolist()
+    blobs = [_pack(total[at[x:y]]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    m = len(blobs)
+    return pa.table({
+        "shard": pa.array([key[0].as_py()] * (m + 1), pa.int32()), "batch": pa.array([*table.column("batch").to_pylist(), None], pa.string()), "payload": pa.array([*blobs, None], pa.binary()),
+        "n": pa.array([None] * m + [int(total.sum())], pa.int64()), "v": pa.array([None] * m + [int((total > 0).sum())], pa.int64()),
+    })
+
+
+class _Grams:
+    """The pairs and triples of a parsed batch, in the order in which shards are asked."""
+
+    def __init__(self, row: dict, n_shards: int):
+        planes, marks = _unpack(row["keys"])
+        self.hashes = unpacked_keys(planes)
+        start, n = int(marks[0]), len(self.hashes)
+        self.token, self.lengths = _unpack(row["tokens"])[0].astype(np.int64), _unpack(row["lengths"])[0]
+        held = _unpack(row["held"])[0]
+        first = np.cumsum(self.lengths) - self.lengths
+        before = np.r_[start, self.token[:-1]] if len(self.token) else self.token
+        before[first] = start
+        self.before = before
+        train = np.repeat(~held, self.lengths)
+        # the last key is the pair of two starts, from which documents begin
+        pair, of = _distinct(np.r_[before * n + self.token, start * n + start])
+        pair_count = np.bincount(of, weights=np.r_[train, int((~held).sum())], minlength=len(pair))
+        context = np.r_[of[-1], of[:-2]] if len(self.token) else of[:0]
+        context[first] = of[-1]
+        triple, of_triple = _distinct(context * n + self.token)
+        triple_count = np.bincount(of_triple[train], minlength=len(triple))
+        self.first, self.second, self.context, self.third = pair // n, pair % n, triple // n, triple % n
+        mixed = _mixed(self.hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) + _mixed(self.hashes[self.second]))
+        self.pair_order, self.pair_shard = _by_shard(mixed, n_shards)
+        shard = np.empty(len(pair), np.int32)
+        shard[self.pair_order] = self.pair_shard
+        self.triple_order = np.argsort(shard[self.context], kind="stable")
+        self.triple_shard = shard[self.context][self.triple_order]
+        self.of_pair, self.of_context, self.of_triple = of[:-1], context, of_triple
+        self.pair_count, self.triple_count = pair_count.astype(np.uint32), triple_count.astype(np.uint32)
 
-
-def _words_only(n_shards: int):
+    def packets(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, payload): the words that it names, its pairs, and its pairs' successors, with training counts."""
+        seen, short = np.zeros(len(self.hashes), bool), np.zeros(len(self.hashes), np.int64)
+        triples = dict(zip(self.triple_shard[[x for x, _ in _slices(self.triple_shard)]].tolist(), _slices(self.triple_shard), strict=True)) if len(self.triple_shard) else {}
+        for x, y in _slices(self.pair_shard):
+            shard = int(self.pair_shard[x])
+            p, (a, b) = self.pair_order[x:y], triples.get(shard, (0, 0))
+            t = self.triple_order[a:b]
+            first, second, third = self.first[p], self.second[p], self.third[t]
+            seen[first] = seen[second] = seen[third] = True
+            used = np.flatnonzero(seen)
+            seen[used] = False
+            short[used] = np.arange(len(used))
+            kind = np.uint16 if len(used) < 65536 else np.uint32
+            successors = np.bincount(np.searchsorted(p, self.context[t]), minlength=len(p))
+            yield shard, _pack(packed_keys(self.hashes[used]), np.diff(short[first], prepend=0).astype(kind), short[second].astype(kind), self.pair_count[p], successors.astype(np.uint32), short[third].astype(kind), self.triple_count[t])
+
+
+def _gram_asker(n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = list(_Batch(pa.Table.from_batches(held), n_shards, pairs=False).packets())
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=_ASK_ARROW)
-
-        held, size = [], 0
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                held.append(whole.slice(a, 256))
-                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
-                if size > BATCH_CHARS:
-                    yield flush(held)
-                    held, size = [], 0
-                    trim()
-        if held:
-            yield flush(held)
+        for batch in batches:
+            for row in batch.to_pylist():
+                packets = list(_Grams(row, n_shards).packets())
+                yield _flow([s for s, _ in packets], row["batch"], [p for _, p in packets])
+                trim()
 
     return run
 
 
-def _totals(key: tuple, table: pa.Table) -> pa.Table:
-    unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-    seen = np.concatenate([unpacked_keys(planes)[counts > 0] for planes, counts in unpacked])
-    return pa.table({"n": pa.array([int(sum(int(c.sum()) for _, c in unpacked))], pa.int64()), "v": pa.array([len(np.unique(seen))], pa.int64())})
+def _trie_shard(n: int, mu: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Build the shard's trie from the training counts of all batches, then look every batch's pairs and triples up in it."""
+        unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
+        keys = [unpacked_keys(u[0]) for u in unpacked]
+        words, number = _distinct(np.concatenate(keys))
+        base = np.cumsum([0, *map(len, keys)])
+        n_words = len(words)
+        first = np.concatenate([number[b + np.cumsum(u[1].astype(np.int64))] for b, u in zip(base, unpacked, strict=False)])
+        second, third = (np.concatenate([number[b + u[k].astype(np.int64)] for b, u in zip(base, unpacked, strict=False)]) for k in (2, 5))
+        pair_count, triple_count, successors = (np.concatenate([u[k] for u in unpacked]) for k in (3, 6, 4))
+        pair_ends, triple_ends = (np.cumsum([0, *(len(u[k]) for u in unpacked)]).tolist() for k in (2, 5))
+        del unpacked, keys, number
+        pair, of = _distinct(first * n_words + second)
+        context = np.repeat(of, successors)
+        triple, of_triple = _distinct(context * n_words + third)
+        del first, second, third, context, successors
+        pair_total = np.bincount(of, weights=pair_count, minlength=len(pair))
+        triple_total = np.bincount(of_triple, weights=triple_count, minlength=len(triple))
+        # training's n-grams alone
+        trained, known = pair_total > 0, triple_total > 0
+        place = np.cumsum(trained) - 1
+        context = triple // n_words
+        trie = Trie(
+            n_words, pair[trained] // n_words, pair[trained] % n_words, codes(np.log10(pair_total[trained] / max(n, 1))),
+            place[context[known]], triple[known] % n_words, codes(np.log10(triple_total[known] / (pair_total[context[known]] + mu))),
+        )
+        del pair_total, triple_total, trained, known, place
+        # every distinct query once, by its context
+        at = trie.pairs(pair // n_words, pair % n_words)
+        pair_code = np.where(at >= 0, trie.c2[np.maximum(at, 0)], UNSEEN).astype(np.uint16) if len(trie.c2) else np.full(len(pair), UNSEEN, np.uint16)
+        triple_code = np.full(len(triple), UNSEEN, np.uint16)
+        if len(trie.c3):
+            asked = np.flatnonzero(at[context] >= 0)
+            found = trie.triples(at[context[asked]], triple[asked] % n_words)
+            triple_code[asked[found >= 0]] = trie.c3[found[found >= 0]]
+        blobs = [_pack(pair_code[of[a:b]], triple_code[of_triple[c:d]]) for a, b, c, d in zip(pair_ends, pair_ends[1:], triple_ends, triple_ends[1:], strict=False)]
+        del trie, pair, triple, of, of_triple
+        trim()
+        return pa.table([table.column("shard").combine_chunks(), table.column("batch").combine_chunks(), pa.array(blobs, pa.binary())], schema=_ASK_ARROW)
+
+    return run
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scorer(n_shards: int, n: int, v: int, mu: float):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        b = _Batch(docs, n_shards)
-        got = sorted(zip(answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
-        totals = np.empty(len(b.order), np.int64)
-        totals[b.order] = np.concatenate([_unpack(p)[0] for _, p in got]) if got else 0
-        words, pairs = totals[: b.n_words], totals[b.n_words :]
-        base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))
-        context, successor = b.pair // b.n_words, b.pair % b.n_words
-        smoothed = np.log10((pairs + mu * 10.0 ** base[successor]) / (words[context] + mu))
-        seen = pairs > 0
-        trie = Trie(b.n_words, context[seen], successor[seen], smoothed[seen], base, np.log10(mu / (words + mu)))
-        per_token = trie.score(context, successor)[b.of]
-        del trie
-        size = len(b.ids)
-        known = words > 0
-        known[0] = False
-        trim()
-        return pa.table({
-            "doc_id": docs.column("doc_id").combine_chunks(), "held_out": pa.array(b.held), "n_tokens": pa.array(b.n_tokens),
-            "n_known": pa.array(np.bincount(b.doc, weights=known[b.token], minlength=size).astype(np.int64)),
-            "base_score": pa.array(np.bincount(b.doc, weights=base[b.token], minlength=size)),
-            "score": pa.array(np.bincount(b.doc, weights=per_token, minlength=size)),
+def _scorer(n_shards: int, n: int, v: int, mu_2: float, mu_3: float):
+    def run(key: tuple, parsed: pa.Table, answers: pa.Table) -> pa.Table:
+        row = parsed.to_pylist()[0]
+        g = _Grams(row, n_shards)
+        got = sorted(zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+        words = np.empty(len(g.hashes), np.int64)
+        words[_by_shard(g.hashes, n_shards)[0]] = np.concatenate([_unpack(p)[0] for level, _, p in got if level == 1])
+        replies = [_unpack(p) for level, _, p in got if level == 2]
+        pair_code, triple_code = np.empty(len(g.pair_order), np.uint16), np.empty(len(g.triple_order), np.uint16)
+        pair_code[g.pair_order] = np.concatenate([p for p, _ in replies])
+        triple_code[g.triple_order] = np.concatenate([t for _, t in replies])
+        start, end = _unpack(row["keys"])[1].tolist()
+        base = (words + 0.5) / (n + 0.5 * (v + 1))
+        contexts = words.astype(np.float64)
+        contexts[start] = words[end]  # every training document begins and ends once
+        pairs = np.where(pair_code < UNSEEN, n * 10.0 ** (-pair_code.astype(np.float64) / STEP), 0.0)
+        two = (pairs[g.of_pair] + mu_2 * base[g.token]) / (contexts[g.before] + mu_2)
+        three = np.where(triple_code < UNSEEN, 10.0 ** (-triple_code.astype(np.float64) / STEP), 0.0)[g.of_triple]
+        cost = np.rint(-np.log10(three + mu_3 / (pairs[g.of_context] + mu_3) * two) * STEP)
+        size = len(g.lengths)
+        doc = np.repeat(np.arange(size), g.lengths)
+        out = pa.table({
+            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(_unpack(row["held"])[0]), "n_tokens": pa.array(g.lengths.astype(np.int64)),
+            "n_known": pa.array(np.bincount(doc, weights=(words > 0)[g.token], minlength=size).astype(np.int64)),
+            "base_score": pa.array(np.bincount(doc, weights=np.log10(base)[g.token], minlength=size)),
+            "score": pa.array(-np.bincount(doc, weights=cost, minlength=size) / STEP),
         })
+        del g
+        trim()
+        return out
 
     return run
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float = MU) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu_2: float = MU_2, mu_3: float = MU_3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     chars = docs.agg(F.sum(F.length(full))).first()[0] or 0
-    n_batches, n_shards = batch_count(spark, chars, BATCH_CHARS), max(shuffle_width(spark), int(chars // SHARD_CHARS) + 1)
-    read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), full.alias("text"))
-    words = read.mapInArrow(_words_only(n_shards), _ASK)
-    n, v = words.groupBy("shard").applyInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    grouped = read.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
-    asked = grouped.groupBy("batch").applyInArrow(_asker(n_shards), _ASK)
-    answers = asked.groupBy("shard").applyInArrow(_counter, _ASK)
-    scored = grouped.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scorer(n_shards, int(n), int(v), mu), _OUT)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    n_shards = max(shuffle_width(spark), int(chars // SHARD_CHARS) + 1)
+    parsed = stash(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), full.alias("text")).mapInArrow(_parse, _PARSED), "parsed")
+    words = parsed.select("batch", "keys", "counts").mapInArrow(_word_asker(n_shards), _ASK)
+    totals = stash(words.groupBy("shard").applyInArrow(_word_counter, _TOTALS), "words")
+    n, v = (int(x) for x in totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+    asked = parsed.select("batch", "held", "lengths", "tokens", "keys").mapInArrow(_gram_asker(n_shards), _ASK)
+    found = asked.groupBy("shard").applyInArrow(_trie_shard(n, mu_3), _ASK)
+    answers = totals.where(F.col("batch").isNotNull()).select("shard", "batch", "payload", F.lit(1).alias("level")).unionByName(found.withColumn("level", F.lit(2)))
+    batches = parsed.drop("counts").groupBy("batch")
+    scored = batches.cogroup(answers.groupBy("batch")).applyInArrow(_scorer(n_shards, n, v, mu_2, mu_3), _OUT)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 #: The same in DuckDB, quantisation included; for tables that one machine holds.
@@ -317,17 +416,24 @@ d AS (
     list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
 h AS (
   SELECT doc_id, r, w, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 1 AS held_out FROM d, t),
-k AS (SELECT r, held_out, unnest(list_concat(w, [' end'])) AS token, unnest(list_concat([' start'], w)) AS before FROM h),
+k AS (
+  SELECT r, held_out, unnest(list_concat(w, [' end'])) AS token, unnest(list_concat([' start'], w)) AS before,
+    unnest(list_slice(list_concat([' start', ' start'], w), 1, len(w) + 1)) AS earlier FROM h),
 c AS (SELECT token, count(*) AS n FROM k WHERE NOT held_out GROUP BY token),
 f AS (SELECT before, count(*) AS m FROM k WHERE NOT held_out GROUP BY before),
-p AS (SELECT before, token, count(*) AS b FROM k WHERE NOT held_out GROUP BY ALL),
 g AS (SELECT sum(n)::BIGINT AS total, count(*) AS v FROM c),
-s AS (
-  SELECT r, n, m, b, log10((coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1))) AS base, total
-  FROM k LEFT JOIN c USING (token) LEFT JOIN f USING (before) LEFT JOIN p USING (before, token) CROSS JOIN g),
+p AS (
+  SELECT a, b, n2, total * pow(10.0, -round(-log10(n2 / total) * {STEP}) / {STEP}) AS near FROM (
+    SELECT before AS a, token AS b, count(*) AS n2 FROM k WHERE NOT held_out GROUP BY ALL
+    UNION ALL SELECT ' start', ' start', count(*) FROM h WHERE NOT held_out HAVING count(*) > 0) CROSS JOIN g),
 q AS (
-  SELECT r, n, base, total, CASE WHEN b > 0 THEN round(-log10((b + {MU} * pow(10.0, base)) / (m + {MU})) * {STEP})
-    ELSE round(-base * {STEP}) + round(-log10({MU} / (coalesce(m, 0) + {MU})) * {STEP}) END AS code FROM s),
+  SELECT x.earlier, x.before, x.token, pow(10.0, -round(-log10(n3 / (n2 + {MU_3})) * {STEP}) / {STEP}) AS share
+  FROM (SELECT earlier, before, token, count(*) AS n3 FROM k WHERE NOT held_out GROUP BY ALL) x JOIN p ON p.a = x.earlier AND p.b = x.before),
+s AS (
+  SELECT r, n, total, (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) AS base, coalesce(share, 0) AS share, coalesce(ctx.near, 0) AS context, coalesce(here.near, 0) AS pair, coalesce(m, 0) AS m
+  FROM k LEFT JOIN c USING (token) LEFT JOIN f USING (before) LEFT JOIN p here ON here.a = k.before AND here.b = k.token
+    LEFT JOIN p ctx ON ctx.a = k.earlier AND ctx.b = k.before LEFT JOIN q USING (earlier, before, token) CROSS JOIN g),
 e AS (
-  SELECT r, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(base), 6) AS base_score, -sum(code) / {STEP} AS score FROM q GROUP BY r)
+  SELECT r, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(log10(base)), 6) AS base_score,
+    -sum(round(-log10(share + {MU_3} / (context + {MU_3}) * ((pair + {MU_2} * base) / (m + {MU_2}))) * {STEP})) / {STEP} AS score FROM s GROUP BY r)
 SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM h JOIN e USING (r)"""

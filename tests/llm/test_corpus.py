@@ -148,38 +148,51 @@ def test_language_model(spark, documents, nothing):
     got = languagemodel.score_documents(documents).collect()
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"<e>"]) for r in documents.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    c, first, pairs = Counter(), Counter(), Counter()
+    c, pairs, triples, docs = Counter(), Counter(), Counter(), 0
     for i, w in rows:
         if not held(i):
+            docs += 1
             c.update(w)
-            p = [b"<s>", *w[:-1]]
-            first.update(p), pairs.update(zip(p, w, strict=True))
-    n, v = sum(c.values()), len(c)
-    p1 = lambda w: math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))
-    mu = languagemodel.MU
-    full = lambda a, b: math.log10((pairs[a, b] + mu * 10 ** p1(b)) / (first[a] + mu))
-    expected = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(map(p1, w)), 6)) for i, w in rows)
+            pairs.update(zip([b"<s>", *w[:-1]], w, strict=True)), triples.update(zip([b"<s>", b"<s>", *w[:-2]][: len(w)], [b"<s>", *w[:-1]], w, strict=True))
+    pairs[b"<s>", b"<s>"] = c[b"<s>"] = docs
+    n, v = sum(c.values()) - docs, len(c) - 1
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    mu_2, mu_3 = languagemodel.MU_2, languagemodel.MU_3
+    p2 = lambda v, w: (pairs[v, w] + mu_2 * p1(w)) / (c[v] + mu_2)
+    p3 = lambda u, v, w: (triples[u, v, w] + mu_3 * p2(v, w)) / (pairs[u, v] + mu_3)
+    expected = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(math.log10(p1(x)) for x in w), 6)) for i, w in rows)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == expected
     by_id = {r["doc_id"]: r for r in got}
     for i, w in rows:
-        assert abs(by_id[i]["score"] - sum(full(a, b) for a, b in zip([b"<s>", *w[:-1]], w, strict=True))) < 3e-4 * len(w)
+        score = sum(math.log10(p3(*x)) for x in zip([b"<s>", b"<s>", *w[:-2]][: len(w)], [b"<s>", *w[:-1]], w, strict=True))
+        assert abs(by_id[i]["score"] - score) < 5e-4 * len(w)
     assert languagemodel.score_documents(nothing).count() == 0
 
 
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(1)
-    for n, u in ((0, 1), (1, 5), (1000, 10), (5000, 10**9), (300, 301)):
+    for n, u in ((0, 1), (1, 5), (1000, 10), (5000, 10**9), (300, 301), (70000, 2**40)):
         v = np.sort(rng.integers(0, u, n))
         e = languagemodel.EliasFano(languagemodel.EliasFano.encode(v, u))
-        assert (e.get(np.arange(n)) == v).all() and (n == 0 or (e.decode(n // 3, n) == v[n // 3 :]).all())
-    pairs = np.unique(rng.integers(0, 500 * 500, 4000))
-    trie = languagemodel.Trie(500, pairs // 500, pairs % 500, np.full(len(pairs), -1.0), np.full(500, -2.0), np.full(500, -0.5))
-    asked = np.arange(500 * 500)
-    found = trie.find(asked // 500, asked % 500)
-    assert (np.flatnonzero(found >= 0) == pairs).all()
-    few = asked[:900]
-    assert (trie.find(few // 500, few % 500) == found[:900]).all()
-    assert trie.nbytes < 16 * len(pairs) + 8000
+        assert (e.get(np.arange(n)) == v).all() and (e.get(np.arange(n)[::-7]) == v[::-7]).all()
+    w = 300
+    pairs = np.unique(rng.integers(0, w * w, 4000))
+    triples = np.unique(rng.integers(0, len(pairs) * w, 6000))
+    trie = languagemodel.Trie(w, pairs // w, pairs % w, np.arange(len(pairs), dtype=np.uint16), triples // w, triples % w, np.arange(len(triples), dtype=np.uint16))
+    asked = rng.permutation(w * w)
+    found = trie.pairs(asked // w, asked % w)
+    assert sorted(asked[found >= 0]) == pairs.tolist() and (pairs[found[found >= 0]] == asked[found >= 0]).all()
+    asked = rng.permutation(len(pairs) * w)
+    found = trie.triples(asked // w, asked % w)
+    assert sorted(asked[found >= 0]) == triples.tolist() and (triples[found[found >= 0]] == asked[found >= 0]).all()
+    assert trie.nbytes < 6 * (len(pairs) + len(triples)) + 8000
+
+
+def test_language_model_packets_grow_with_the_batches_alone():
+    rows = lambda n: languagemodel._parsed([languagemodel.pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [" ".join(f"{i}.{k}" for k in range(60)) for i in range(n)]})])
+    for shards in (1, 7):
+        for n in (50, 500):
+            assert [b.num_rows for b in languagemodel._gram_asker(shards)(iter([rows(n)]))] == [shards]
 
 
 def brute_spans(rows):
