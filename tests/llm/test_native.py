@@ -49,8 +49,14 @@ def expected_url(url):
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     fits = [(len(s), s, v) for v, s in urlrules.SITE_RULES if (host == s.partition("/")[0] or host.endswith("." + s.partition("/")[0])) and path.startswith("/" + s.partition("/")[2])]
     rule = max(fits) if fits else None
-    words = {p for label in host.split(".") for p in [label]}
-    bad = any(w in words or re.search(rf"(^|[-.]){re.escape(w)}([-.:]|$)", host) for w in urlrules.BLOCKED_WORDS)
+    low = u.lower() if u else ""
+    rest = low.split("://", 1)[1] if "://" in low else None
+    bad = any(re.search(rf"[?&;]{re.escape(k)}=", low) for k in urlrules.QUERY_KEYS)
+    if rest is not None:
+        site = re.split("[/?#]", rest, maxsplit=1)[0]
+        tail = re.split("[?#]", rest[len(site) :], maxsplit=1)[0]
+        bad |= any(re.search(rf"(^|[-.]){re.escape(w)}([-.:]|$)", site) for w in urlrules.HOST_WORDS)
+        bad |= bool(set(tail.split("/")[1:]) & set(urlrules.PATH_SEGMENTS)) or any(tail.endswith("." + e) for e in urlrules.EXTENSIONS)
     return host, path, rule[1] if rule else None, rule[2] if rule else ("block" if bad else "allow")
 
 
@@ -61,12 +67,22 @@ def test_urls(spark):
     assert urlrules.filter_urls(pages.where("page_id < 0")).count() == 0
 
 
-def test_url_rules_are_bounded(spark):
-    pages = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
-    with pytest.raises(ValueError):
-        urlrules.filter_urls(pages, rules=[urlrules.word_rule("a")] * (urlrules.MAX_RULES + 1))
+def test_url_rules_of_any_number(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (2, "http://k77.b/x"), (3, "http://k7.b/" + "x" * 100_000 + "/k2999")], "page_id long, url string")
     with pytest.raises(ValueError):
         urlrules.filter_urls(pages, rules=[urlrules.Rule(None, "block", "url", ".", (), 1)])
+    rules = [urlrules.host_word(f"k{i}") for i in range(2000)] + [urlrules.path_segment(f"k{i}") for i in range(2000, 3000)]
+    for most in (urlrules.BROADCAST_RULES, 0):
+        monkeypatch.setattr(urlrules, "BROADCAST_RULES", most)
+        got = urlrules.filter_urls(pages, rules=urlrules.rules_table(spark, rules))
+        assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "allow", 2: "block", 3: "block"}
+    assert len(urlrules.RULES) >= 200
+
+
+def test_rules_are_filed_under_their_rarest_token(spark):
+    urls = spark.createDataFrame([(t,) for t in ["com"] * 5 + ["en"] * 9 + ["de"] * 2], "token string")
+    table = urlrules.rules_table(spark, [urlrules.site_rule("block", s) for s in ("com/en/", "com/de/", "org/es/")])
+    assert {r["name"]: r["token"] for r in urlrules.rule_index(urls, table).collect()} == {"com/en/": "com", "com/de/": "de", "org/es/": "es"}
 
 
 def test_sharding_law(spark, documents, nothing):
