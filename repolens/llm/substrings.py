@@ -249,6 +249,19 @@ def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray)
     return np.logical_and.reduceat(equal, np.cumsum(lengths) - lengths)
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words of each document as spans that don't touch: document, start, length."""
+    if not len(doc):
+        return doc, start, length
+    scale = int((start + length).max()) + 1
+    order = np.lexsort((start, doc))
+    doc, begin = doc[order].astype(np.int64), start[order].astype(np.int64)
+    reach = np.maximum.accumulate(doc * scale + begin + length[order])
+    head = np.flatnonzero(np.r_[True, doc[1:] * scale + begin[1:] > reach[:-1]])
+    last = np.r_[head[1:], len(doc)] - 1
+    return doc[head], begin[head], reach[last] - doc[head] * scale - begin[head]
+
+
 def _cutter(n_shards: int, n_blocks: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Pieces for blocks, and spans that the batch itself decides (``block`` is -1)."""
@@ -274,11 +287,15 @@ def _cutter(n_shards: int, n_blocks: int):
         row = np.flatnonzero(head | np.r_[True, doc[1:] != doc[:-1]][:m] | ~same | np.r_[True, ~same[:-1]][:m])
         copies = np.diff(np.r_[row, m])
         known = same[row] & (owner[row] > owner[source[row]])
-        block = np.where(known, -1, ((route[row] >> np.uint64(17)) % np.uint64(n_blocks)).astype(np.int64)).astype(np.int32)
-        sent = np.where(known, 0, length[row])
+        spans = _merged(doc[np.repeat(known, copies)], b.place[first][np.repeat(known, copies)], length[np.repeat(known, copies)])
+        row, place = row[~known], b.place[first[np.repeat(~known, copies)]]
+        block = ((route[row] >> np.uint64(17)) % np.uint64(n_blocks)).astype(np.int32)
+        n_spans, of = len(spans[0]), np.r_[spans[0], doc[row]]
+        sent = np.r_[np.zeros(n_spans, np.int64), length[row]]
         out = pa.table({
-            "block": pa.array(block), "batch": pa.array(np.full(len(row), me, np.int32)), "doc_id": pa.array(owner[row]), "text_key": pa.array(b.keys[doc[row]].astype(np.int32)),
-            "starts": _binary(b.place[first].astype("<i4"), copies), "length": pa.array(length[row].astype(np.int32)), "words": _binary(_piece_words(b.hashes[b.local[_spread(first[row], sent)]]), sent),
+            "block": pa.array(np.r_[np.full(n_spans, -1, np.int32), block]), "batch": pa.array(np.full(len(of), me, np.int32)), "doc_id": pa.array(b.ids[of]), "text_key": pa.array(b.keys[of].astype(np.int32)),
+            "starts": _binary(np.r_[spans[1], place].astype("<i4"), np.r_[np.ones(n_spans, np.int64), copies[~known]]), "length": pa.array(np.r_[spans[2], length[row]].astype(np.int32)),
+            "words": _binary(_piece_words(b.hashes[b.local[_spread(first[row], length[row])]]), sent),
         })
         del b
         trim()

@@ -38,6 +38,7 @@ def test_quality_keeps_columns_and_verdicts(documents, nothing):
 URLS = [
     "http://a.example.com/en/71?x", "https://EXAMPLE.com/en/8#t", "http://com/en/", "http://x.example.net/de/81/y", "http://net/de", "ftp://b.org/es/1", "no scheme", None, "", "http://",
     "http://www.spam-farm.example.org/", "http://antispam-farmer.org/", "http://h.net/de/1?u=http://x", "x://notcom/en/", "http://\u00c9.com/en/7", "http://a.com:80/en/1",
+    "http://a.fr/WP-Admin/x", "http://a.fr/x/wp-admins", "http://a.fr/file.EXE?x", "http://a.fr/fileexe", "http://zip/x", "http://a.fr/p;jsessionid=7", "http://a.fr/?mysid=7&u=1", "http://a.fr/?u=1&sid=7", "http://a.fr/" + "y/" * 9000 + "login",
 ]
 
 
