@@ -7,10 +7,10 @@ A trigram model over all training documents, smoothed step by step:
 It sums to one over the words and one unknown, but for quantisation. A document's probability is that of its words and one end, from a start.
 
 1. Documents are parsed once, in batches of bounded size: word numbers, in the order of 64-bit hashes, and the hashes. That table is written.
-2. Word counts: a batch sends its words to word shards, each word once, and gets the totals back.
+2. Word counts: a batch sends its words to word shards, each word once, and gets the totals back, with numbers that are small for frequent words.
 3. Tries: the n-grams are dealt to trie shards by the hash of their context (u, v), so that all successors of a context meet, and no frequent word
-   is a key. A batch sends each distinct n-gram once with its training count. A shard adds up the counts of all batches and builds one trie of
-   the n-grams that training has, and of no others.
+   is a key. A batch sends each distinct n-gram of training's words once with its training count, as word numbers. A shard adds up the counts of
+   all batches and builds one trie of the n-grams that training has, and of no others.
 4. Queries: each batch's n-grams, seen in training or not, are searched in their shard's trie, and the codes found go back to the batch.
 
 A trie has three levels in one memory-mapped file of its task. Monotone pointers, an Elias-Fano sequence, lead from a word to its successors in
@@ -152,6 +152,21 @@ class Trie:
         return self._search(self.p3, self.s3, context, third)
 
 
+def _split(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 with equal bytes side by side, as many as the largest needs."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return planes[:width].ravel()
+
+
+def _join(planes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_split``."""
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        wide[:, : len(planes) // n] = planes.reshape(-1, n).T
+    return wide.view("<i8").ravel()
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and the number of each key among them."""
     order = np.argsort(keys)
@@ -235,12 +250,14 @@ _TOTALS = "shard int, batch string, payload binary, n long, v long"
 
 
 def _word_counter(key: tuple, table: pa.Table) -> pa.Table:
-    """One word shard: totals over all batches in each batch's order, and, in a row without a batch, the tokens and distinct words of training."""
+    """One word shard: totals over all batches and ranks by them in each batch's order; in a row without a batch training's tokens and words."""
     unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
     distinct, at = _distinct(np.concatenate([unpacked_keys(planes) for planes, _ in unpacked]))
     total = np.bincount(at, weights=np.concatenate([c for _, c in unpacked]), minlength=len(distinct)).astype(np.int64)
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
     bounds = np.cumsum([0, *(len(c) for _, c in unpacked)]).tolist()
-    blobs = [_pack(total[at[x:y]]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    blobs = [_pack(_split(total[at[x:y]]), _split(rank[at[x:y]])) for x, y in zip(bounds, bounds[1:], strict=False)]
     m = len(blobs)
     return pa.table({
         "shard": pa.array([key[0].as_py()] * (m + 1), pa.int32()), "batch": pa.array([*table.column("batch").to_pylist(), None], pa.string()), "payload": pa.array([*blobs, None], pa.binary()),
@@ -249,40 +266,59 @@ def _word_counter(key: tuple, table: pa.Table) -> pa.Table:
 
 
 class _Grams:
-    """The pairs and triples of a parsed batch, in the order in which shards are asked."""
+    """The pairs and triples of training's words in a parsed batch, in the order in which shards are asked."""
 
-    def __init__(self, row: dict, n_shards: int):
+    def __init__(self, row: dict, totals: pa.Table, n_words_shards: int, n_shards: int):
         planes, marks = _unpack(row["keys"])
-        self.hashes = unpacked_keys(planes)
-        start, n = int(marks[0]), len(self.hashes)
-        self.token, self.lengths = _unpack(row["tokens"])[0].astype(np.int64), _unpack(row["lengths"])[0]
+        hashes, (start, end) = unpacked_keys(planes), marks.tolist()
+        order, shard = _by_shard(hashes, n_words_shards)
+        got = sorted(zip(totals.column("shard").to_pylist(), totals.column("payload").to_pylist(), strict=True))
+        known = [(s, _unpack(p)) for s, p in got]
+        sizes = np.diff(np.r_[[x for x, _ in _slices(shard)], len(shard)]).tolist()
+        count, number = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        count[order] = np.concatenate([_join(p[0], n) for (_, p), n in zip(known, sizes, strict=True)])
+        number[order] = np.concatenate([1 + _join(p[1], n) * n_words_shards + s for (s, p), n in zip(known, sizes, strict=True)])
         held = _unpack(row["held"])[0]
+        count[start], number[start] = count[end], 0  # every training document begins and ends once
+        # words by their numbers, those without training last
+        number[count == 0] = np.iinfo(np.int64).max
+        order = np.argsort(number, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.count, self.number, self.start = count[order], number[order], int(place[start])
+        n, trained, start = len(order), int((count > 0).sum()), self.start
+        self.token, self.lengths, self.held = place[_unpack(row["tokens"])[0]], _unpack(row["lengths"])[0], held
         first = np.cumsum(self.lengths) - self.lengths
-        before = np.r_[start, self.token[:-1]] if len(self.token) else self.token
+        self.before = before = np.r_[start, self.token[:-1]] if len(self.token) else self.token
         before[first] = start
-        self.before = before
         train = np.repeat(~held, self.lengths)
+        fits = np.flatnonzero((before < trained) & (self.token < trained))
         # the last key is the pair of two starts, from which documents begin
-        pair, of = _distinct(np.r_[before * n + self.token, start * n + start])
-        pair_count = np.bincount(of, weights=np.r_[train, int((~held).sum())], minlength=len(pair))
-        context = np.r_[of[-1], of[:-2]] if len(self.token) else of[:0]
-        context[first] = of[-1]
-        triple, of_triple = _distinct(context * n + self.token)
-        triple_count = np.bincount(of_triple[train], minlength=len(triple))
+        some = int(trained > 0)
+        pair, of = _distinct(np.r_[before[fits] * n + self.token[fits], [start * n + start] * some].astype(np.int64))
+        self.pair_count = np.bincount(of, weights=np.r_[train[fits], [int((~held).sum())] * some], minlength=len(pair)).astype(np.int64)
+        self.of_pair = np.full(len(self.token), -1)
+        self.of_pair[fits] = of[: len(fits)]
+        self.of_context = np.r_[-1, self.of_pair[:-1]] if len(self.token) else self.of_pair
+        self.of_context[first] = of[-1] if some else -1
+        fits = np.flatnonzero((self.of_context >= 0) & (self.token < trained))
+        triple, of = _distinct(self.of_context[fits] * n + self.token[fits])
+        self.triple_count = np.bincount(of[train[fits]], minlength=len(triple))
+        self.of_triple = np.full(len(self.token), -1)
+        self.of_triple[fits] = of
         self.first, self.second, self.context, self.third = pair // n, pair % n, triple // n, triple % n
-        mixed = _mixed(self.hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) + _mixed(self.hashes[self.second]))
+        mixed = _mixed(self.number[self.first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(self.number[self.second].astype(np.uint64)))
         self.pair_order, self.pair_shard = _by_shard(mixed, n_shards)
         shard = np.empty(len(pair), np.int32)
         shard[self.pair_order] = self.pair_shard
         self.triple_order = np.argsort(shard[self.context], kind="stable")
         self.triple_shard = shard[self.context][self.triple_order]
-        self.of_pair, self.of_context, self.of_triple = of[:-1], context, of_triple
-        self.pair_count, self.triple_count = pair_count.astype(np.uint32), triple_count.astype(np.uint32)
 
     def packets(self) -> Iterator[tuple[int, bytes]]:
         """(shard, payload): the words that it names, its pairs, and its pairs' successors, with training counts."""
-        seen, short = np.zeros(len(self.hashes), bool), np.zeros(len(self.hashes), np.int64)
-        triples = dict(zip(self.triple_shard[[x for x, _ in _slices(self.triple_shard)]].tolist(), _slices(self.triple_shard), strict=True)) if len(self.triple_shard) else {}
+        seen, short = np.zeros(len(self.number), bool), np.zeros(len(self.number), np.int64)
+        cuts = _slices(self.triple_shard)
+        triples = {int(self.triple_shard[x]): (x, y) for x, y in cuts}
         for x, y in _slices(self.pair_shard):
             shard = int(self.pair_shard[x])
             p, (a, b) = self.pair_order[x:y], triples.get(shard, (0, 0))
@@ -292,18 +328,16 @@ class _Grams:
             used = np.flatnonzero(seen)
             seen[used] = False
             short[used] = np.arange(len(used))
-            kind = np.uint16 if len(used) < 65536 else np.uint32
             successors = np.bincount(np.searchsorted(p, self.context[t]), minlength=len(p))
-            yield shard, _pack(packed_keys(self.hashes[used]), np.diff(short[first], prepend=0).astype(kind), short[second].astype(kind), self.pair_count[p], successors.astype(np.uint32), short[third].astype(kind), self.triple_count[t])
+            numbers = [np.diff(short[first], prepend=0), short[second], self.pair_count[p], successors, short[third], self.triple_count[t]]
+            yield shard, _pack(np.array([len(p), len(t)]), packed_keys(self.number[used].astype(np.uint64)), *map(_split, numbers))
 
 
-def _gram_asker(n_shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                packets = list(_Grams(row, n_shards).packets())
-                yield _flow([s for s, _ in packets], row["batch"], [p for _, p in packets])
-                trim()
+def _gram_asker(n_words_shards: int, n_shards: int):
+    def run(key: tuple, parsed: pa.Table, totals: pa.Table) -> pa.Table:
+        packets = list(_Grams(parsed.to_pylist()[0], totals, n_words_shards, n_shards).packets())
+        trim()
+        return pa.Table.from_batches([_flow([s for s, _ in packets], key[0].as_py(), [p for _, p in packets])])
 
     return run
 
@@ -312,15 +346,16 @@ def _trie_shard(n: int, mu: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Build the shard's trie from the training counts of all batches, then look every batch's pairs and triples up in it."""
         unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
-        keys = [unpacked_keys(u[0]) for u in unpacked]
+        keys = [unpacked_keys(u[1]).astype(np.int64) for u in unpacked]
         words, number = _distinct(np.concatenate(keys))
         base = np.cumsum([0, *map(len, keys)])
         n_words = len(words)
-        first = np.concatenate([number[b + np.cumsum(u[1].astype(np.int64))] for b, u in zip(base, unpacked, strict=False)])
-        second, third = (np.concatenate([number[b + u[k].astype(np.int64)] for b, u in zip(base, unpacked, strict=False)]) for k in (2, 5))
-        pair_count, triple_count, successors = (np.concatenate([u[k] for u in unpacked]) for k in (3, 6, 4))
-        pair_ends, triple_ends = (np.cumsum([0, *(len(u[k]) for u in unpacked)]).tolist() for k in (2, 5))
-        del unpacked, keys, number
+        pair_ends, triple_ends = (np.cumsum([0, *(int(u[0][k]) for u in unpacked)]).tolist() for k in (0, 1))
+        part = lambda k, of: [_join(u[k], int(u[0][of])) for u in unpacked]
+        first = np.concatenate([number[b + np.cumsum(x)] for b, x in zip(base, part(2, 0), strict=False)])
+        second, third = (np.concatenate([number[b + x] for b, x in zip(base, part(k, of), strict=False)]) for k, of in ((3, 0), (6, 1)))
+        pair_count, successors, triple_count = (np.concatenate(part(k, of)) for k, of in ((4, 0), (5, 0), (7, 1)))
+        del unpacked, keys, number, part
         pair, of = _distinct(first * n_words + second)
         context = np.repeat(of, successors)
         triple, of_triple = _distinct(context * n_words + third)
@@ -344,7 +379,7 @@ def _trie_shard(n: int, mu: float):
             asked = np.flatnonzero(at[context] >= 0)
             found = trie.triples(at[context[asked]], triple[asked] % n_words)
             triple_code[asked[found >= 0]] = trie.c3[found[found >= 0]]
-        blobs = [_pack(pair_code[of[a:b]], triple_code[of_triple[c:d]]) for a, b, c, d in zip(pair_ends, pair_ends[1:], triple_ends, triple_ends[1:], strict=False)]
+        blobs = [_pack(pair_code[of[a:b]].view(np.uint8).reshape(-1, 2).T.ravel(), triple_code[of_triple[c:d]].view(np.uint8).reshape(-1, 2).T.ravel()) for a, b, c, d in zip(pair_ends, pair_ends[1:], triple_ends, triple_ends[1:], strict=False)]
         del trie, pair, triple, of, of_triple
         trim()
         return pa.table([table.column("shard").combine_chunks(), table.column("batch").combine_chunks(), pa.array(blobs, pa.binary())], schema=_ASK_ARROW)
@@ -355,30 +390,28 @@ def _trie_shard(n: int, mu: float):
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scorer(n_shards: int, n: int, v: int, mu_2: float, mu_3: float):
+def _scorer(n_words_shards: int, n_shards: int, n: int, v: int, mu_2: float, mu_3: float):
     def run(key: tuple, parsed: pa.Table, answers: pa.Table) -> pa.Table:
         row = parsed.to_pylist()[0]
-        g = _Grams(row, n_shards)
-        got = sorted(zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
-        words = np.empty(len(g.hashes), np.int64)
-        words[_by_shard(g.hashes, n_shards)[0]] = np.concatenate([_unpack(p)[0] for level, _, p in got if level == 1])
-        replies = [_unpack(p) for level, _, p in got if level == 2]
-        pair_code, triple_code = np.empty(len(g.pair_order), np.uint16), np.empty(len(g.triple_order), np.uint16)
-        pair_code[g.pair_order] = np.concatenate([p for p, _ in replies])
-        triple_code[g.triple_order] = np.concatenate([t for _, t in replies])
-        start, end = _unpack(row["keys"])[1].tolist()
-        base = (words + 0.5) / (n + 0.5 * (v + 1))
-        contexts = words.astype(np.float64)
-        contexts[start] = words[end]  # every training document begins and ends once
+        level = answers.column("level").to_numpy()
+        g = _Grams(row, answers.filter(pa.array(level == 1)), n_words_shards, n_shards)
+        grams = answers.filter(pa.array(level == 2))
+        replies = [_unpack(p) for _, p in sorted(zip(grams.column("shard").to_pylist(), grams.column("payload").to_pylist(), strict=True))]
+        none = np.zeros(0, np.uint16)
+        # the last code of each is that of n-grams that can't be there
+        pair_code, triple_code = np.full(len(g.pair_order) + 1, UNSEEN, np.uint16), np.full(len(g.triple_order) + 1, UNSEEN, np.uint16)
+        for k, (code, order) in enumerate(((pair_code, g.pair_order), (triple_code, g.triple_order))):
+            code[order] = np.concatenate([none, *(np.ascontiguousarray(p[k].reshape(2, -1).T).view(np.uint16).ravel() for p in replies)])
+        base = (g.count + 0.5) / (n + 0.5 * (v + 1))
         pairs = np.where(pair_code < UNSEEN, n * 10.0 ** (-pair_code.astype(np.float64) / STEP), 0.0)
-        two = (pairs[g.of_pair] + mu_2 * base[g.token]) / (contexts[g.before] + mu_2)
+        two = (pairs[g.of_pair] + mu_2 * base[g.token]) / (g.count[g.before] + mu_2)
         three = np.where(triple_code < UNSEEN, 10.0 ** (-triple_code.astype(np.float64) / STEP), 0.0)[g.of_triple]
         cost = np.rint(-np.log10(three + mu_3 / (pairs[g.of_context] + mu_3) * two) * STEP)
         size = len(g.lengths)
         doc = np.repeat(np.arange(size), g.lengths)
         out = pa.table({
-            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(_unpack(row["held"])[0]), "n_tokens": pa.array(g.lengths.astype(np.int64)),
-            "n_known": pa.array(np.bincount(doc, weights=(words > 0)[g.token], minlength=size).astype(np.int64)),
+            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(g.held), "n_tokens": pa.array(g.lengths.astype(np.int64)),
+            "n_known": pa.array(np.bincount(doc, weights=(g.count > 0)[g.token], minlength=size).astype(np.int64)),
             "base_score": pa.array(np.bincount(doc, weights=np.log10(base)[g.token], minlength=size)),
             "score": pa.array(-np.bincount(doc, weights=cost, minlength=size) / STEP),
         })
@@ -399,11 +432,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words = parsed.select("batch", "keys", "counts").mapInArrow(_word_asker(n_shards), _ASK)
     totals = stash(words.groupBy("shard").applyInArrow(_word_counter, _TOTALS), "words")
     n, v = (int(x) for x in totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
-    asked = parsed.select("batch", "held", "lengths", "tokens", "keys").mapInArrow(_gram_asker(n_shards), _ASK)
-    found = asked.groupBy("shard").applyInArrow(_trie_shard(n, mu_3), _ASK)
-    answers = totals.where(F.col("batch").isNotNull()).select("shard", "batch", "payload", F.lit(1).alias("level")).unionByName(found.withColumn("level", F.lit(2)))
+    replies = totals.where(F.col("batch").isNotNull()).select("shard", "batch", "payload")
     batches = parsed.drop("counts").groupBy("batch")
-    scored = batches.cogroup(answers.groupBy("batch")).applyInArrow(_scorer(n_shards, n, v, mu_2, mu_3), _OUT)
+    asked = batches.cogroup(replies.groupBy("batch")).applyInArrow(_gram_asker(n_shards, n_shards), _ASK)
+    found = asked.groupBy("shard").applyInArrow(_trie_shard(n, mu_3), _ASK)
+    answers = replies.withColumn("level", F.lit(1)).unionByName(found.withColumn("level", F.lit(2)))
+    scored = batches.cogroup(answers.groupBy("batch")).applyInArrow(_scorer(n_shards, n_shards, n, v, mu_2, mu_3), _OUT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -189,10 +189,16 @@ def test_elias_fano_and_trie():
 
 
 def test_language_model_packets_grow_with_the_batches_alone():
-    rows = lambda n: languagemodel._parsed([languagemodel.pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [" ".join(f"{i}.{k}" for k in range(60)) for i in range(n)]})])
+    pa, key = languagemodel.pa, (languagemodel.pa.scalar("b"),)
     for shards in (1, 7):
         for n in (50, 500):
-            assert [b.num_rows for b in languagemodel._gram_asker(shards)(iter([rows(n)]))] == [shards]
+            parsed = languagemodel._parsed([pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [" ".join(f"{i}.{k}" for k in range(60)) for i in range(n)]})])
+            asked = pa.Table.from_batches(languagemodel._word_asker(shards)(iter([parsed])))
+            totals = [languagemodel._word_counter((pa.scalar(s),), asked.filter(pa.compute.equal(asked.column("shard"), s))) for s in range(shards)]
+            totals = pa.concat_tables(totals)
+            assert asked.num_rows == shards
+            packets = languagemodel._gram_asker(shards, shards)(key, pa.Table.from_batches([parsed]), totals.filter(totals.column("batch").is_valid()))
+            assert packets.num_rows == shards
 
 
 def brute_spans(rows):
