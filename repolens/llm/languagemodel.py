@@ -6,7 +6,7 @@ A trigram model over all training documents, smoothed step by step:
 
 It sums to one over the words and one unknown, but for quantisation. A document's probability is that of its words and one end, from a start.
 
-1. Documents are parsed once, in batches of bounded size: word numbers, in the order of 64-bit hashes, and the hashes. That table is written.
+1. Documents are parsed once, in batches of bounded size: word numbers and the words' 64-bit hashes. That table is written.
 2. Word counts: a batch sends its words to word shards, each word once, and gets the totals back, with numbers that are small for frequent words.
 3. Tries: the n-grams are dealt to trie shards by the hash of their context (u, v), so that all successors of a context meet, and no frequent word
    is a key. A batch sends each distinct n-gram of training's words once with its training count, as word numbers. A shard adds up the counts of
@@ -62,10 +62,11 @@ class EliasFano:
         bits[ones] = 1
         packed = np.packbits(bits, bitorder="little")
         rank = np.r_[0, np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))]
-        # the low parts, bit by bit
-        shifts = np.arange(low, dtype=np.uint64)
-        lows = np.packbits(((v[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if low and n else np.zeros(0, np.uint8)
-        return {"low": np.r_[lows, np.zeros(8, np.uint8)], "high": packed, "rank": rank, "width": np.array([low, n], np.int64)}
+        # the low parts, bit by bit; whole bytes in each round
+        shifts, lows = np.arange(low, dtype=np.uint64), []
+        for a in range(0, n if low else 0, 1 << 16):
+            lows.append(np.packbits(((v[a : a + (1 << 16), None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
+        return {"low": np.concatenate([*lows, np.zeros(8, np.uint8)]), "high": packed, "rank": rank, "width": np.array([low, n], np.int64)}
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.high, self.rank = parts["low"], parts["high"].view(np.uint64), parts["rank"]
@@ -171,9 +172,10 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and the number of each key among them."""
     order = np.argsort(keys)
     ordered = keys[order]
-    head = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.cumsum(head) - 1
+    head = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=head[1:])
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
     return ordered[head], of
 
 
@@ -182,7 +184,7 @@ _PARSED_ARROW = pa.schema([("batch", pa.string()), ("ids", pa.list_(pa.int64()))
 
 
 def _parsed(held_rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Documents as word numbers in the order of their hashes; ``counts`` are those of the training documents."""
+    """Documents as word numbers, frequent words first, then by hash; ``counts`` are those of the training documents."""
     table = pa.Table.from_batches(held_rows)
     vocabulary = Vocabulary()
     _ = vocabulary[START], vocabulary[END]
@@ -195,12 +197,12 @@ def _parsed(held_rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     token = np.concatenate(docs)
     lengths = np.array([len(d) + 1 for d in docs[::2]], np.int64)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-    order = np.argsort(hashes)
-    number = np.empty(len(order), np.uint32)
+    order = np.lexsort((hashes, -np.bincount(token, minlength=len(hashes))))
+    number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
     token = number[token]
-    counts = np.bincount(token[np.repeat(~held, lengths)], minlength=len(order)).astype(np.uint32)
-    values = [uuid.uuid4().hex, ids, _pack(held), _pack(lengths), _pack(token), _pack(packed_keys(hashes[order]), number[:2]), _pack(counts)]
+    counts = np.bincount(token[np.repeat(~held, lengths)], minlength=len(order))
+    values = [uuid.uuid4().hex, ids, _pack(held), _pack(lengths), _pack(_split(token)), _pack(packed_keys(hashes[order]), number[:2]), _pack(_split(counts))]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _PARSED_ARROW.types, strict=True)], schema=_PARSED_ARROW)
 
 
@@ -233,15 +235,24 @@ def _by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray
     return order, shard[order]
 
 
+def _words_by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, by hash within a shard."""
+    by_hash = np.argsort(hashes)
+    order, shard = _by_shard(hashes[by_hash], n_shards)
+    return by_hash[order], shard
+
+
 def _word_asker(n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                hashes, counts = unpacked_keys(_unpack(row["keys"])[0]), _unpack(row["counts"])[0]
-                order, shard = _by_shard(hashes, n_shards)
+            for j in range(batch.num_rows):
+                row = batch.slice(j, 1).to_pylist()[0]
+                hashes = unpacked_keys(_unpack(row["keys"])[0])
+                counts = _join(_unpack(row["counts"])[0], len(hashes))
+                order, shard = _words_by_shard(hashes, n_shards)
                 hashes, counts = hashes[order], counts[order]
                 cuts = _slices(shard)
-                yield _flow([int(shard[x]) for x, _ in cuts], row["batch"], [_pack(packed_keys(hashes[x:y]), counts[x:y]) for x, y in cuts])
+                yield _flow([int(shard[x]) for x, _ in cuts], row["batch"], [_pack(packed_keys(hashes[x:y]), counts[x:y].astype(np.uint32)) for x, y in cuts])
 
     return run
 
@@ -271,7 +282,7 @@ class _Grams:
     def __init__(self, row: dict, totals: pa.Table, n_words_shards: int, n_shards: int):
         planes, marks = _unpack(row["keys"])
         hashes, (start, end) = unpacked_keys(planes), marks.tolist()
-        order, shard = _by_shard(hashes, n_words_shards)
+        order, shard = _words_by_shard(hashes, n_words_shards)
         got = sorted(zip(totals.column("shard").to_pylist(), totals.column("payload").to_pylist(), strict=True))
         known = [(s, _unpack(p)) for s, p in got]
         sizes = np.diff(np.r_[[x for x, _ in _slices(shard)], len(shard)]).tolist()
@@ -287,7 +298,8 @@ class _Grams:
         place[order] = np.arange(len(order))
         self.count, self.number, self.start = count[order], number[order], int(place[start])
         n, trained, start = len(order), int((count > 0).sum()), self.start
-        self.token, self.lengths, self.held = place[_unpack(row["tokens"])[0]], _unpack(row["lengths"])[0], held
+        self.lengths, self.held = _unpack(row["lengths"])[0], held
+        self.token = place[_join(_unpack(row["tokens"])[0], int(self.lengths.sum()))]
         first = np.cumsum(self.lengths) - self.lengths
         self.before = before = np.r_[start, self.token[:-1]] if len(self.token) else self.token
         before[first] = start
@@ -297,6 +309,7 @@ class _Grams:
         some = int(trained > 0)
         pair, of = _distinct(np.r_[before[fits] * n + self.token[fits], [start * n + start] * some].astype(np.int64))
         self.pair_count = np.bincount(of, weights=np.r_[train[fits], [int((~held).sum())] * some], minlength=len(pair)).astype(np.int64)
+        of = of.astype(np.int64)
         self.of_pair = np.full(len(self.token), -1)
         self.of_pair[fits] = of[: len(fits)]
         self.of_context = np.r_[-1, self.of_pair[:-1]] if len(self.token) else self.of_pair
@@ -357,7 +370,7 @@ def _trie_shard(n: int, mu: float):
         pair_count, successors, triple_count = (np.concatenate(part(k, of)) for k, of in ((4, 0), (5, 0), (7, 1)))
         del unpacked, keys, number, part
         pair, of = _distinct(first * n_words + second)
-        context = np.repeat(of, successors)
+        context = np.repeat(of.astype(np.int64), successors)
         triple, of_triple = _distinct(context * n_words + third)
         del first, second, third, context, successors
         pair_total = np.bincount(of, weights=pair_count, minlength=len(pair))
