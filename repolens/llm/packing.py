@@ -44,18 +44,19 @@ class Encoder:
     """Token ids of texts by a tokenizers file.
 
     Plain byte-level BPE files are run by tiktoken's faster loop over the same vocabulary, once the two agree on a probe; other files, and texts
-    with extremely long words, by the tokenizers library.
+    with extremely long words or with an added token in them, by the tokenizers library.
     """
 
-    _PROBE = "It's  a probe,\n\n of 12 things: <|endoftext|> \u00e9\u00df \u4e2d\u6587 don't\tstop \n"
+    _PROBE = "It's  a probe,\n\n of 12 things: <|end|> \u00e9\u00df \u4e2d\u6587 don't\tstop \n"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.fast = self._fast(json.loads(Path(path).read_text()))
+        spec = json.loads(Path(path).read_text())
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.fast = self._fast(spec)
 
     def _fast(self, spec: dict):
         split = spec.get("pre_tokenizer") or {}
@@ -63,8 +64,7 @@ class Encoder:
             return None
         import tiktoken
 
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = byte_ranks({t: i for t, i in spec["model"]["vocab"].items() if t not in special})
+        ranks = byte_ranks({t: i for t, i in spec["model"]["vocab"].items() if t not in self.added})
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return fast if fast.encode_ordinary(self._PROBE) == self._slow(self._PROBE) else None
 
@@ -74,7 +74,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
-            if self.fast is None or (len(t) > LONG and max(map(len, t.split()), default=len(t)) > LONG):
+            if self.fast is None or any(a in t for a in self.added) or (len(t) > LONG and max(map(len, t.split()), default=len(t)) > LONG):
                 out.append(np.array(self._slow(t), self.kind))
             else:
                 out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind))
