@@ -5,8 +5,9 @@ the open sources by weight until none is above its clamp. Each round is one aggr
 source or is the last. A source's target is then met to the word: every document is taken as often as whole repetitions fit, and the rest is
 a seeded sample without replacement, in md5 order, whose last document is taken in part.
 
-The sample's threshold is found without sorting a source in one task: sizes are summed in ``CELLS`` cells of the hash for each source, a
-window over those sums finds the cell in which the target falls, and only that cell's documents (about one in ``CELLS``) are ordered.
+The sample's threshold is found without sorting a source in one task: sizes are summed in cells of the hash for each source, a window over those
+sums finds the cell in which the target falls, and only that cell's documents (about ``CELL_ROWS``) are ordered. The hash covers id and text, so that
+rows with null or equal ids spread out too. Words are counted once: sizes and hashes are written to the shared folder before anything is summed.
 
 Nulls: a null text has no words, takes part with size 0 and is taken 0 times; a null source is a source, last in order. Rows that repeat are
 told apart by nothing and are interchangeable. An empty table gives an empty mix.
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import cut, n_words, numbered
+from repolens.llm.common import cut, n_words, stash
 
-WEIGHTS, SHARE, MAX_EPOCHS, SEED, CELLS = (3, 1, 2), 1.5, 2.0, "mix-1", 4096
+WEIGHTS, SHARE, MAX_EPOCHS, SEED, CELL_ROWS = (3, 1, 2), 1.5, 2.0, "mix-1", 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -57,17 +58,18 @@ def _ordinal(sources: DataFrame, n: int) -> DataFrame:
     return ranked.join(starts, "_part").withColumn("ord", F.col("_start") + F.col("_rank")).drop("_part", "_start", "_rank")
 
 
-def _digest(key: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"/{seed}")))
+def _digest(key: Column, text: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"/{seed}/"), F.coalesce(text, F.lit(""))))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, carry: list[str] | None = None) -> DataFrame:
     """(key, [carried columns], size, source_size, target, taken): one row for each row of ``docs``. Texts aren't shuffled unless carried."""
     size = n_words(F.col("text")) if size is None else size
     carried = [F.col(f"`{c}`").alias(f"_c_{c}") for c in (carry or [])]
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"), *carried)
-    rows = rows.withColumn("_hash", _digest(F.col("_key"), seed)).withColumn("_cell", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    sized = rows
+    digest = _digest(F.col(f"`{key}`"), F.col("`text`") if "text" in docs.columns else F.lit(""), seed)
+    rows = stash(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"), digest.alias("_hash"), *carried), "sizes")
+    digits = 1 + len(f"{rows.count() // CELL_ROWS:x}")  # of the hash that name a cell
+    sized = rows.withColumn("_cell", F.conv(F.substring("_hash", 1, digits), 16, 10).cast("long"))
     targets = cut(source_targets(rows.select("source", "size"), weights, share, max_epochs))
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0)
     plan = targets.withColumn("_whole", whole.cast("long")).withColumn("_rest", (F.round("target") - F.col("_whole") * F.col("source_size")).cast("long"))
@@ -117,7 +119,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, 'null') || '/{SEED}') AS h FROM documents),
+    md5(coalesce(doc_id::VARCHAR, 'null') || '/{SEED}/' || coalesce(text, '')) AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight
   FROM d GROUP BY source),

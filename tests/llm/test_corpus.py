@@ -107,7 +107,6 @@ def test_bounds_skip_nearly_all_exact_vectors():
 
 def test_packing_round_trip(spark, documents, nothing):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     got = defaultdict(list)
     sequences = defaultdict(list)
     for r in packing.pack(documents, PATH).collect():
@@ -132,7 +131,6 @@ def test_packing_round_trip(spark, documents, nothing):
 
 def test_encoder_equals_library():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     odd = ["a  b\n\n c\t\td \n", "  ", "\n", " x", "don't  <|endoftext|> it's ok  z", "a\x1cb \x1d c", "\u00e9\u0085x  \u3000 y", "\r\n\r\nq  ", "x" * 150_000, ""]
     assert [i.tolist() for i in packing.Encoder(PATH)(odd)] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
 

@@ -28,6 +28,19 @@ def test_quality_counts(documents):
     assert got == expected
 
 
+def test_clean_texts_of_any_language_stay(spark):
+    rows = [
+        (1, "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, a woda w rzece jest czysta, bo nikt jej nie brudzi przez cały rok", None),
+        (2, "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e non so ben ridir come", None),
+        (3, "人 人生 而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并 应 以 兄弟 关系 的 精神 相对待 大家 都", None),
+        (4, "Watu wote wamezaliwa huru hadhi zao sawa wote wamejaliwa akili dhamiri hivyo yapasa watendeane kindugu kila mmoja wao siku zote duniani kote pamoja", "sw"),
+        (5, "qzv wxk plm trb gfd hjk zzq vbn mnb lkj hgf dsa poi uyt rew qaz wsx edc rfv tgb yhn ujm iko lpo", "en"),
+        (6, "qzv wxk plm trb gfd hjk zzq vbn mnb lkj hgf dsa poi uyt rew qaz wsx edc rfv tgb yhn ujm iko lpo", None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.kept_documents(df).collect()} == {1, 2, 3, 4}
+
+
 def test_quality_keeps_columns_and_verdicts(documents, nothing):
     kept = quality.kept_documents(documents)
     assert kept.columns == documents.columns
@@ -149,8 +162,8 @@ def test_mixing(documents, nothing):
 
 
 def test_digest_order_is_md5(documents):
-    h = documents.select(mixing._digest(documents["doc_id"], "s").alias("h"), "doc_id").where("doc_id = 3").first()["h"]
-    assert h == hashlib.md5(b"3/s").hexdigest()
+    row = documents.select(mixing._digest(documents["doc_id"], documents["text"], "s").alias("h"), "doc_id", "text").where("doc_id = 3").first()
+    assert row["h"] == hashlib.md5(b"3/s/" + row["text"].encode()).hexdigest()
 
 
 def test_sharding_equals_sql(spark):
