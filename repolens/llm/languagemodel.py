@@ -361,6 +361,7 @@ def _trie_shard(n: int, mu: float):
         unpacked = [_unpack(p) for p in table.column("payload").to_pylist()]
         keys = [unpacked_keys(u[1]).astype(np.int64) for u in unpacked]
         words, number = _distinct(np.concatenate(keys))
+        number = number.astype(np.int64)  # products of these don't fit 32 bits
         base = np.cumsum([0, *map(len, keys)])
         n_words = len(words)
         pair_ends, triple_ends = (np.cumsum([0, *(int(u[0][k]) for u in unpacked)]).tolist() for k in (0, 1))
