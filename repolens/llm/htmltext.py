@@ -1,19 +1,23 @@
-"""HTML extraction: page structure first, then a host's suffix array.
-
-A page is read into blocks with a tolerant tag scanner. Structure settles what it can: scripts, styles, forms, menus, headers, footers, asides and
-elements whose class, id or role says advert, notice, sidebar, comments and the like are out; what is in the article (``article``, else ``main``,
-else a container named as content) is in. Two kinds of blocks are left to the repetition on their host: blocks of pages that mark no article, and
-blocks inside articles that a template put there.
-
-For those, the host's pages become token streams (the words of undecided blocks; one token for a block inside an article), which are joined
-with a separator of its own after each page and sorted as a suffix array. Neighbours in it share their longest common prefixes, so runs of
-neighbours with ``MIN_TOKENS`` common tokens or more are the long repeated substrings. A token is covered if it lies in one that occurs in
-enough distinct pages. A covered block goes; unique runs stay. Pages with equal streams count once: copies of an article are no template.
-
-A large host is dealt into groups of ``GROUP_PAGES`` pages by hash, each with a suffix array of its own: a template is on most pages, so it is
-in every group. The texts themselves are never shuffled: the suffix arrays give back only (page, block numbers), which are few.
-
-Nulls: a null page or one without blocks gives the empty text, a null URL a host of its own. Repeated rows each get a row. Pages of any length
+"""HTML extraction: page structure first, then a host's suffix arrays.
+
+A page is read once, into blocks, with a tolerant tag scanner. Several signals decide about a block. Elements that are no text by their tag or role
+(scripts, styles, forms, menus, footers, asides) are out. A class or id puts an element out only if all its words say advert, notice, sidebar,
+comments and the like, or are mere layout (``cookie-box``); where only some do (``legal-analysis``), the element's own text decides: its length,
+sentences and share of links. Comments are known by their heading too. The main text is what is in articles, else in ``main``, else in a container
+named as content, unless one of the others holds far more text. What is left is up to repetition on the host.
+
+For that, the words of the blocks left form a page's token stream, with a mark between blocks. A host's streams are joined with a separator of its
+own after each page and sorted as a suffix array; neighbours that share ``MIN_RUN`` tokens or more are the long repeated substrings. A token of
+a page is boilerplate if it lies in a substring of ``MIN_RUN`` tokens or more that is on enough of the host's distinct pages, which is the case
+if and only if it lies in a window of ``MIN_RUN`` tokens that is: so a run of any length is counted by its windows. Blocks too short for a window
+count as a whole. A block that is covered goes; unique runs stay. Pages with equal streams count once: copies of an article are no template.
+Blocks inside a marked article have to be nearly everywhere to go, since articles do share passages; others go if a good share of pages has them.
+
+A large host is dealt into groups of about ``GROUP_PAGES`` pages or ``GROUP_BYTES`` of text by their streams, each with a suffix array of its own. What is on a share of the
+host's pages is on that share of at least one group's, so the groups' arrays find every candidate; the candidates are then counted in all groups, and
+the sums decide. So the decision is that of the whole host, however its pages are dealt.
+
+Nulls: a null page or one without blocks gives the empty text, a null URL is a host of its own. Repeated rows each get a row. Pages of any length
 are read whole. Extra columns aren't read.
 """
 
@@ -26,15 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import cut
+from repolens.llm.common import cut, stash
+from repolens.llm.substrings import _mixed
 
-MIN_TOKENS, MIN_PAGES, MIN_SHARE, COVER = 4, 3, 0.3, 0.8
+MIN_RUN, MIN_PAGES, MIN_SHARE, COVER = 12, 3, 0.3, 0.8
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.8  #: inside an article, a template's block has to be nearly everywhere
-GROUP_PAGES, PREFIX = 2000, 64
-BROADCAST_ROWS = 50_000  #: of (page, block numbers); more are joined by a shuffle
+GROUP_PAGES, GROUP_BYTES = 2000, 12_000_000  #: of distinct streams in a group, about
+SUSPECT_WORDS, SUSPECT_LINKS = 25, 0.3  #: an element with a doubtful name stays if it has so many words, sentences, and fewer links
+OTHER_TEXT = 3  #: articles are teasers if something else named as content has so many times their text
+BROADCAST_ROWS = 50_000  #: of hosts, or of (stream, block numbers); more are joined by a shuffle
 
 # Elements by what they mean for the text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -45,6 +53,7 @@ BLOCKS = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre",
     "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
+HOLDERS = {"article", "aside", "details", "div", "li", "main", "section", "table", "ul", "ol", "dl", "blockquote", "body"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 NAMES_OUT = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adsbygoogle", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion",
@@ -54,65 +63,86 @@ NAMES_OUT = {
     "disqus", "respond", "replies", "reply", "responses", "discussion", "search", "pagination", "pager", "toolbar", "skip", "hidden", "disclaimer", "feedback",
 }
 NAMES_IN = {"content", "main", "article", "post", "entry", "story", "maincontent", "articlebody", "postbody", "text"}
+#: Words that say nothing about what an element holds.
+LAYOUT = {
+    "list", "lists", "box", "boxes", "bar", "area", "wrap", "wrapper", "container", "block", "section", "button", "buttons", "btn", "link", "links", "item", "items", "inner", "outer", "left", "right",
+    "top", "bottom", "primary", "secondary", "group", "panel", "form", "holder", "module", "slot", "unit", "title", "icon", "icons", "site", "page", "global", "post", "posts", "entry", "article",
+    "articles", "wide", "small", "large", "row", "col", "column", "columns", "desktop", "mobile", "fixed", "sticky", "thread", "count", "meta", "view", "reader", "user", "users", "web", "main", "div",
+}
 #: Beside these a name tells what the page has or does, not what the element is (``no-sidebar``, ``comments-open``).
-STATES = {"no", "not", "has", "have", "with", "without", "is", "js", "open", "closed", "enabled", "disabled", "hide", "show", "layout"}
+STATES = {"no", "not", "has", "have", "with", "without", "is", "js", "open", "closed", "enabled", "disabled", "hide", "show", "layout", "free", "less", "off", "ready"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# Headings over reader comments, in the languages of most pages.
+COMMENTS = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:reader|user|all|latest)\s+)?(?:comments?|replies|kommentare?|commentaires?|comentarios?|coment[áa]rios|commenti|reacties|kommentarer|komentarze|комментарии)(?:\s*[(\[]?\d+[)\]]?)?\W*"
+    r"|\W*(?:\d+\s+)(?:responses|réponses|respuestas|antworten)\W*|\W*(?:leave a (?:comment|reply)|post a comment|write a comment|join the (?:conversation|discussion)|laisser un commentaire|deja un comentario"
+    r"|schreiben sie einen kommentar|what (?:do )?(?:you|readers) (?:think|say))\W*", re.I,
+)
+#: A quoted value ends where a tag or another attribute can go on; a quote that doesn't end so is a stray one, and the tag ends at the next ``>``.
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*(?:[\"'][^>]*)?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
+#: What ``out`` says: no text, none but headings (an article's own header), and out by name, where the text is kept in case nothing else is left.
+NO_TEXT, HEADINGS_ONLY, BY_NAME = 1, 2, 3
+
 
 class Block:
-    __slots__ = ("text", "out", "article", "main", "named", "linked")
+    __slots__ = ("text", "out", "article", "main", "named", "linked", "suspect", "holder", "tag")
 
-    def __init__(self, text: str, out: bool, article: bool, main: bool, named: int, linked: int):
-        self.text, self.out, self.article, self.main, self.named, self.linked = text, out, article, main, named, linked
+    def __init__(self, text: str, linked: int, tag: str, out: int, article: bool, main: bool, named: int, suspect: int, holder: int):
+        self.text, self.linked, self.tag, self.out, self.article, self.main, self.named, self.suspect, self.holder = text, linked, tag, out, article, main, named, suspect, holder
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2].strip("\"'")) if m[2] else "" for m in _ATTR.finditer(raw)}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    """The words in an element's classes and id, without those that only tell a state."""
-    found: set[str] = set()
+def _names(attributes: dict[str, str]) -> tuple[set[str], bool, bool]:
+    """The words in an element's classes and id, without labels that only tell a state; whether a label says "out", and whether one may."""
+    found, says, may = set(), False, False
     for label in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
-        parts = {n.lower() for n in _NAME.findall(label)} | {n.lower() for n in re.split(r"[^A-Za-z0-9]+", label) if n}
-        if not parts & STATES:
-            found |= parts
-    return found
-
-
-#: ``out`` of an article's own header: its headings stay.
-HEADINGS_ONLY = 2
+        parts = {n.lower() for n in _NAME.findall(label)}
+        whole = {n.lower() for n in re.split(r"[^A-Za-z0-9]+", label) if n}
+        if (parts | whole) & STATES:
+            continue
+        found |= parts | whole
+        for words in (parts, whole):
+            if words & NAMES_OUT:
+                rest = {w for w in words if not w.isdigit() and len(w) > 1} - NAMES_OUT - LAYOUT
+                says, may = says or not rest, may or bool(rest)
+    return found, says, may
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks that have text, in page order."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks that have text, in page order, and the holder around each holder (elements that can hold several blocks)."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, int]] = []  # name, out, article, main, number of a container named as content
+    root = ("", 0, False, False, 0, 0, 0)
+    stack: list[tuple[str, int, bool, bool, int, int, int]] = []  # name, out, article, main, number of a container named as content, of a suspect, of the holder
     parts: list[str] = []
-    linked, in_link, named_last = 0, False, 0
+    around = [0]
+    linked, in_link, named_last, suspect_last = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", False, False, False, 0)
-                found.append(Block(text, bool(top[1]), top[2], top[3], top[4], linked))
+                top = stack[-1] if stack else root
+                found.append(Block(text, linked, *top))
             parts.clear()
         linked = 0
 
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
+        skipped = bool(stack) and stack[-1][1] in (NO_TEXT, HEADINGS_ONLY)  # what is out gives no text, also within a line
         if m is None:
-            if not (stack and stack[-1][1]):
+            if not skipped:
                 parts.append(page[at:])
             break
-        if m.start() > at and not (stack and stack[-1][1]):  # what is out gives no text, also within a line
+        if m.start() > at and not skipped:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
@@ -154,83 +184,129 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == "li":
                     del stack[k:]
                     break
-        names = _names(attributes) if attributes else set()
-        top = stack[-1] if stack else ("", False, False, False, 0)
-        _, out, article, main, named = top
+        names, says, may = _names(attributes) if attributes else (set(), False, False)
+        before, out, article, main, named, suspect, holder = stack[-1] if stack else root
         role = attributes.get("role", "").lower()
         style = attributes.get("style", "").replace(" ", "").lower()
-        if name in DROPPED or role in ROLES_OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-            out = True
+        if out in (NO_TEXT, BY_NAME):
+            out = NO_TEXT if name in DROPPED or not boundary and says else out
+        elif name in DROPPED or role in ROLES_OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
+            out = NO_TEXT
         elif name in ("html", "body", "main"):
             pass
         elif name in HEADINGS:
-            out = False if out == HEADINGS_ONLY else out
-        elif name == "header" or names & NAMES_OUT == {"header"}:
-            out = out or (HEADINGS_ONLY if article or main or named else True)
-        elif names & NAMES_OUT and not (name == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "sponsored", "related"}):
-            out = True
+            out = 0 if out == HEADINGS_ONLY else out
+        elif name == "header" or says and names & NAMES_OUT == {"header"}:
+            out = out or (HEADINGS_ONLY if article or main or named else NO_TEXT)
+        elif says and not (name == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "sponsored", "related"}):
+            out = BY_NAME if boundary else NO_TEXT
+        elif may and not says and name != "article" and boundary and not suspect:
+            suspect_last += 1
+            suspect = suspect_last
         if name == "article" and not out:
             article = True
         if name == "main" or role == "main":
             main = True
-        if not out and names & NAMES_IN and name in ("div", "section", "td", "td", "span"):
+        if not out and names & NAMES_IN and name in ("div", "section", "td", "span"):
             named_last += 1
             named = named or named_last
-        if boundary or names or out != top[1]:
-            stack.append((name, out, article, main, named))
+        if name in HOLDERS:
+            around.append(holder)
+            holder = len(around) - 1
+        if boundary or names or out != (stack[-1][1] if stack else 0):
+            stack.append((name, out, article, main, named, suspect, holder))
         elif name in ("span", "b", "i", "em", "strong", "a", "u", "font", "small", "sup", "sub", "code", "label"):
             continue
         else:
-            stack.append((name, out, article, main, named))
+            stack.append((name, out, article, main, named, suspect, holder))
     flush()
-    return found
+    return found, around
 
 
-def marked(found: list[Block]) -> tuple[list[bool], bool]:
-    """Which blocks structure leaves in, and whether it found an article."""
-    for attribute in ("article", "main"):
-        inside = [getattr(b, attribute) and not b.out for b in found]
-        if any(inside):
-            return inside, True
-    sizes: dict[int, int] = {}
-    for b in found:
-        if b.named and not b.out:
-            sizes[b.named] = sizes.get(b.named, 0) + len(b.text)
-    if sizes:
-        best = max(sizes, key=lambda n: (sizes[n], -n))
-        return [b.named == best and not b.out for b in found], True
-    return [not b.out and 2 * b.linked <= len(b.text) for b in found], False
+def _words(text: str) -> int:
+    return text.count(" ") + 1
+
+
+def _like_text(some: list[Block]) -> bool:
+    """Whether blocks read like an article: enough words in sentences, and few of them links."""
+    chars = sum(len(b.text) for b in some)
+    sentences = any(_words(b.text) >= 8 and b.text[-1] in ".!?…。！？\"”»" for b in some)
+    return sum(_words(b.text) for b in some) >= SUSPECT_WORDS and sentences and sum(b.linked for b in some) < SUSPECT_LINKS * chars
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+def _commented(found: list[Block], around: list[int]) -> set[int]:
+    """The blocks of reader comments: from a heading that says so to the end of its section, or to the next heading of its level."""
+    out: set[int] = set()
+    for j, b in enumerate(found):
+        if b.tag in HEADINGS - {"h1"} and j not in out and COMMENTS.fullmatch(b.text):
+            own = not any(_within(x.holder, b.holder, around) for x in found[:j])
+            for k in range(j, len(found)):
+                if not _within(found[k].holder, b.holder, around) or (not own and k > j and found[k].tag in HEADINGS and found[k].tag <= b.tag):
+                    break
+                out.add(k)
+    return out
 
 
-_STREAM = "page_id long, page_key int, host string, tokens binary, blocks binary"
+def _within(holder: int, outer: int, around: list[int]) -> bool:
+    while holder > outer:
+        holder = around[holder]
+    return holder == outer
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's tokens as 64-bit hashes and the block of each; tokens of blocks inside an article are negative."""
+def marked(found: list[Block], around: list[int]) -> tuple[list[bool], bool]:
+    """Which blocks structure leaves in, and whether it found an article."""
+    suspects: dict[int, list[Block]] = {}
+    for b in found:
+        if b.suspect and not b.out:
+            suspects.setdefault(b.suspect, []).append(b)
+    doubtful = {s for s, some in suspects.items() if not _like_text(some)}
+    comments = _commented(found, around)
+    fits = [not b.out and b.suspect not in doubtful and j not in comments for j, b in enumerate(found)]
+    sizes: dict[int, int] = {}
+    for b, fit in zip(found, fits, strict=True):
+        if b.named and fit:
+            sizes[b.named] = sizes.get(b.named, 0) + len(b.text) - b.linked
+    best = max(sizes, key=lambda n: (sizes[n], -n)) if sizes else -1
+    ways = [[fit and w for b, fit, w in zip(found, fits, ws, strict=True)] for ws in ([b.article for b in found], [b.main for b in found], [b.named == best for b in found])]
+    text = [sum(len(b.text) - b.linked for b, i in zip(found, way, strict=True) if i) for way in ways]
+    for k, way in enumerate(ways):
+        if any(way) and text[k] * OTHER_TEXT >= max(text):
+            return way, True
+    # a paragraph stays although it is mostly a link; a menu's line doesn't
+    inside = [fit and (2 * b.linked <= len(b.text) or b.tag == "p" and _words(b.text) >= 6) for b, fit in zip(found, fits, strict=True)]
+    if not any(inside):
+        named: dict[int, list[Block]] = {}
+        for b in found:
+            if b.out == BY_NAME:
+                named.setdefault(b.holder, []).append(b)
+        keep = {h for h, some in named.items() if _like_text(some)}
+        inside = [b.out == BY_NAME and b.holder in keep and j not in comments for j, b in enumerate(found)]
+    return inside, False
+
+
+_PAGE = "page_id long, url string, host string, article boolean, key long, lead boolean, size long, blob binary"
+_PAGE_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.bool_()), ("key", pa.int64()), ("lead", pa.bool_()), ("size", pa.int64()), ("blob", pa.binary())])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's blocks that structure leaves in, a line each, packed; ``lead`` marks the first of equal ones of a host in the partition."""
+    packer, seen = zstandard.ZstdCompressor(level=3), set()
     for batch in batches:
-        ids, keys, hosts, tokens, numbers = [], [], [], [], []
-        for i, k, h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            found = blocks(page.as_py() or "")
-            inside, article = marked(found)
-            t, n = [], []
-            for j, b in enumerate(found):
-                if inside[j] and article:
-                    t.append(~_hash(b.text)), n.append(j)
-                elif inside[j]:
-                    words = b.text.split(" ")
-                    t += map(_hash, words)
-                    n += [j] * len(words)
-            if t:
-                ids.append(i), keys.append(k), hosts.append(h), tokens.append(np.array(t, np.int64).tobytes()), numbers.append(np.array(n, np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(hosts, pa.string()), pa.array(tokens, pa.binary()), pa.array(numbers, pa.binary())], names=["page_id", "page_key", "host", "tokens", "blocks"])
-
-
-def suffix_array(stream: np.ndarray, depth: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes by their first ``depth`` tokens, and each one's common prefix with the one before it (``depth`` at most)."""
+        article, keys, lead, sizes, blobs = [], [], [], [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            found, around = blocks(page.as_py() or "")
+            inside, marks = marked(found, around)
+            raw = "\n".join(b.text for b, i in zip(found, inside, strict=True) if i).encode("utf-8", "surrogatepass")
+            key = xxhash.xxh3_64_intdigest(raw, seed=marks) >> 1
+            article.append(marks), keys.append(key), lead.append(bool(raw) and (host, key) not in seen)
+            seen.add((host, key)), sizes.append(len(raw))
+            blobs.append(packer.compress(raw) if raw else b"")
+        columns = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(article), pa.array(keys, pa.int64()), pa.array(lead), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, schema=_PAGE_ARROW)
+
+
+def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes by their first ``depth`` tokens at least, and each one's common prefix with the one before it."""
     n = len(stream)
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
     levels, width = [rank], 1
@@ -257,90 +333,177 @@ def suffix_array(stream: np.ndarray, depth: int = PREFIX) -> tuple[np.ndarray, n
     return order, np.r_[0, common][:n]
 
 
-def _covered(stream: np.ndarray, page: np.ndarray, least: int, pages: int) -> np.ndarray:
-    """Tokens in substrings of ``least`` tokens or more that occur in ``pages`` distinct pages or more."""
-    n = len(stream)
-    if n < least:
-        return np.zeros(n, bool)
-    order, common = suffix_array(stream)
-    group = np.cumsum(common < least)  # neighbours with so long a common prefix
-    owner = page[order]
-    both = np.unique(group * np.int64(page.max() + 1) + owner)
-    count = np.bincount(both // np.int64(page.max() + 1), minlength=int(group[-1]) + 1)
-    start = order[count[group] >= pages]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(start + least, n), -1)
-    return np.cumsum(edge[:n]) > 0
-
-
-_GONE = "page_id long, page_key int, gone array<int>"
-
-
-def _host_group(table: pa.Table) -> pa.Table:
-    """One host's suffix arrays: the blocks that repetition removes from each page."""
-    pages = [np.frombuffer(t, np.int64) for t in table.column("tokens").to_pylist()]
-    numbers = [np.frombuffer(b, np.int32) for b in table.column("blocks").to_pylist()]
-    ids, keys = table.column("page_id").to_pylist(), table.column("page_key").to_pylist()
-    first: dict[bytes, int] = {}
-    distinct = [first.setdefault(p.tobytes(), i) for i, p in enumerate(pages)]
-    out: list[tuple] = []
-    heads = sorted(first.values())
-    gone: dict[int, list[int]] = {}
-    for inside, least, few, share in ((False, MIN_TOKENS, MIN_PAGES, MIN_SHARE), (True, 1, ARTICLE_PAGES, ARTICLE_SHARE)):
-        some = [i for i in heads if (pages[i][0] < 0) == inside]
-        need = max(few, int(np.ceil(share * len(some))))
-        if len(some) < need:
-            continue
-        # a separator of its own after each page; no hash is so large
-        parts = [x for k, i in enumerate(some) for x in (pages[i], np.array([np.iinfo(np.int64).max - k]))]
-        stream = np.concatenate(parts)
-        page = np.repeat(np.arange(len(some)), [len(pages[i]) + 1 for i in some])
-        hit = _covered(stream, page, least, need)
-        at = 0
-        for i in some:
-            mine = hit[at : at + len(pages[i])]
-            at += len(pages[i]) + 1
-            if mine.any():
-                total, covered = np.bincount(numbers[i]), np.bincount(numbers[i], weights=mine)
-                if len(found := np.flatnonzero((total > 0) & (covered >= COVER * total))):
-                    gone[i] = found.tolist()
-    for i, d in enumerate(distinct):
-        if d in gone:
-            out.append((ids[i], keys[i], gone[d]))
-    return pa.table({"page_id": pa.array([o[0] for o in out], pa.int64()), "page_key": pa.array([o[1] for o in out], pa.int32()), "gone": pa.array([o[2] for o in out], pa.list_(pa.int32()))})
+_MARK = np.uint64(0x5BD1E9955BD1E995)  #: stands between blocks
+
+
+class _Streams:
+    """The distinct token streams of a group: per page a mark, the words of a block, a mark, and so on, then the page's separator."""
+
+    def __init__(self, table: pa.Table):
+        first: dict[int, bytes] = {}
+        for key, blob in zip(table.column("key").to_pylist(), table.column("blob"), strict=True):
+            if key not in first:
+                first[key] = blob.as_py()
+        unpack, numbers = zstandard.ZstdDecompressor(), {}
+        self.keys = sorted(first)
+        words, block, page = [], [], []
+        self.n_blocks = []
+        for k, key in enumerate(self.keys):
+            lines = unpack.decompress(first[key]).split(b"\n")
+            self.n_blocks.append(len(lines))
+            for j, line in enumerate(lines):
+                own = line.split(b" ")
+                words.append(0), block.append(-1 - j), page.append(k)
+                words += [numbers.setdefault(w, len(numbers) + 1) for w in own]
+                block += [j] * len(own)
+                page += [k] * len(own)
+            words += [0, -1 - k]
+            block += [-1 - len(lines)] * 2
+            page += [k] * 2
+        self.token, self.block, self.page = np.array(words, np.int64), np.array(block, np.int64), np.array(page, np.int64)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        value = np.r_[_MARK, hashes, np.zeros(0, np.uint64)][np.maximum(self.token, 0)]
+        n = max(0, len(self.token) - MIN_RUN + 1)
+        self.run = np.zeros(n, np.uint64)
+        for k in range(MIN_RUN):
+            self.run = self.run * np.uint64(0x9E3779B97F4A7C15) + value[k : n + k]
+        self.run = _mixed(self.run)
+        separators = np.cumsum(self.token < 0)
+        self.whole = separators[:n] == separators[MIN_RUN - 1 :] if n else np.zeros(0, bool)  # windows within a page
+        if n:
+            self.whole &= self.token[:n] >= 0
+        # blocks that are too short for a window, marks included, count as a whole
+        edge = np.flatnonzero(self.token <= 0)
+        length = np.diff(edge) - 1
+        short = (length > 0) & (length + 2 < MIN_RUN)
+        self.short_at, self.short_length = edge[:-1][short] + 1, length[short]
+        self.short = np.zeros(len(self.short_at), np.uint64)
+        for k in range(MIN_RUN):
+            more = self.short_length > k
+            self.short[more] = self.short[more] * np.uint64(0xBF58476D1CE4E5B9) + value[self.short_at[more] + k]
+        self.short = _mixed(self.short + np.uint64(1))
+
+    def pages_of(self, value: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values, and on how many pages each is."""
+        order = np.lexsort((page, value))
+        value, page = value[order], page[order]
+        head = np.r_[True, value[1:] != value[:-1]][: len(value)]
+        fresh = head | np.r_[True, page[1:] != page[:-1]][: len(value)]
+        return value[head], np.bincount(np.cumsum(head) - 1, weights=fresh, minlength=int(head.sum())).astype(np.int64)
+
+
+def needed(pages: int, article: bool) -> int:
+    """On how many of a host's distinct pages a run has to be."""
+    few, share = (ARTICLE_PAGES, ARTICLE_SHARE) if article else (MIN_PAGES, MIN_SHARE)
+    return max(few, int(np.ceil(share * pages)))
+
+
+_RUNS = "host string, article boolean, run long, pages long"
+
+
+def _runs(host: str | None, article: bool, run: np.ndarray, pages: np.ndarray) -> pa.Table:
+    return pa.table({"host": pa.array([host] * len(run), pa.string()), "article": pa.array([article] * len(run), pa.bool_()), "run": pa.array(run.view(np.int64)), "pages": pa.array(pages, pa.int64())})
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """The runs that are on the host's share of this group's pages, from its suffix array."""
+    host, article = table.column("host")[0].as_py(), table.column("article")[0].as_py()
+    need = -(-needed(table.column("n")[0].as_py(), article) // table.column("groups")[0].as_py())
+    s = _Streams(table)
+    runs, pages = [], []
+    if len(s.keys) >= need:
+        order, common = suffix_array(s.token, MIN_RUN)
+        group = np.cumsum(common < MIN_RUN)  # neighbours with so long a common prefix
+        fits = np.flatnonzero((order < len(s.run)) & s.whole[np.minimum(order, max(len(s.run) - 1, 0))]) if len(s.run) else np.zeros(0, np.int64)
+        at, group = order[fits], group[fits]
+        distinct, count = s.pages_of(group, s.page[at])
+        first = np.searchsorted(group, distinct)
+        runs.append(s.run[at[first]][count >= need]), pages.append(count[count >= need])
+        distinct, count = s.pages_of(s.short, s.page[s.short_at])
+        runs.append(distinct[count >= need]), pages.append(count[count >= need])
+    return _runs(host, article, np.concatenate([*runs, np.zeros(0, np.uint64)]), np.concatenate([*pages, np.zeros(0, np.int64)]))
+
+
+def _counts(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+    """On how many of a group's pages each candidate of its host is."""
+    if not table.num_rows or not asked.num_rows:
+        return _runs(None, False, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    s, wanted = _Streams(table), np.unique(asked.column("run").to_numpy().view(np.uint64))
+    hit, short = np.flatnonzero(s.whole & np.isin(s.run, wanted)), np.flatnonzero(np.isin(s.short, wanted))
+    run, pages = s.pages_of(np.r_[s.run[hit], s.short[short]], np.r_[s.page[hit], s.page[s.short_at[short]]])
+    return _runs(table.column("host")[0].as_py(), table.column("article")[0].as_py(), run, pages)
+
+
+_GONE = "host string, key long, gone array<int>"
+
+
+def _gone(key: tuple, table: pa.Table, boilerplate: pa.Table) -> pa.Table:
+    """The blocks that the host's boilerplate covers in each of a group's streams that loses any."""
+    keys, gone = [], []
+    if table.num_rows and boilerplate.num_rows:
+        s, runs = _Streams(table), np.unique(boilerplate.column("run").to_numpy().view(np.uint64))
+        edge = np.zeros(len(s.token) + 1, np.int64)
+        hit, short = np.flatnonzero(s.whole & np.isin(s.run, runs)), np.isin(s.short, runs)
+        np.add.at(edge, hit, 1), np.add.at(edge, hit + MIN_RUN, -1)
+        np.add.at(edge, s.short_at[short], 1), np.add.at(edge, (s.short_at + s.short_length)[short], -1)
+        words = s.block >= 0
+        starts = np.cumsum([0, *s.n_blocks])
+        place = (starts[s.page] + s.block)[words]
+        total = np.bincount(place, minlength=int(starts[-1]))
+        covered = np.bincount(place, weights=(np.cumsum(edge[:-1]) > 0)[words], minlength=int(starts[-1]))
+        out = covered >= COVER * total
+        for k, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            if out[x:y].any():
+                keys.append(s.keys[k]), gone.append(np.flatnonzero(out[x:y]).tolist())
+    host = table.column("host")[0].as_py() if table.num_rows else None
+    return pa.table({"host": pa.array([host] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts = []
-        for page, gone in zip(batch.column("html"), batch.column("gone"), strict=True):
-            found = blocks(page.as_py() or "")
-            inside, _ = marked(found)
-            out = set(gone.as_py() or ())
-            texts.append("\n".join(b.text for j, b in enumerate(found) if inside[j] and j not in out))
+        for blob, gone in zip(batch.column("blob"), batch.column("gone"), strict=True):
+            raw, out = blob.as_py(), set(gone.as_py() or ())
+            lines = unpack.decompress(raw).decode("utf-8", "surrogatepass").split("\n") if raw else []
+            texts.append("\n".join(t for j, t in enumerate(lines) if j not in out))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def removed_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, page_key, gone): what the hosts' suffix arrays remove; pages that lose nothing have no row."""
-    address = F.col(f"`{url}`")
-    host = F.lower(F.regexp_extract(F.coalesce(address, F.lit("")), r"^[^/?#]*//([^/?#]*)", 1))
-    read = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.hash(F.col(f"`{page}`")).alias("page_key"), host.alias("host"), F.col(f"`{page}`").alias("html"))
-    streams = cut(read.mapInArrow(_streams, _STREAM))
-    sizes = streams.groupBy("host").count().select(F.col("host").alias("_h"), "count")
-    dealt = streams.join(sizes, F.col("host") == F.col("_h")).withColumn("part", F.pmod(F.xxhash64("page_id", "page_key"), F.ceil(F.col("count") / GROUP_PAGES)))
-    # one column, so that rows that are already together by host are dealt again by group
-    dealt = dealt.select(F.concat_ws("#", F.col("part").cast("string"), "host").alias("group"), "page_id", "page_key", "tokens", "blocks")
-    return dealt.groupBy("group").applyInArrow(_host_group, _GONE)
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, which is written, to be broadcast if it has few rows; they are counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def removed_blocks(parsed: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+    """(host, key, gone): what repetition on the hosts removes from the streams of ``_parse``; streams that lose nothing have no row."""
+    leads = parsed.where("lead")
+    own = ["host", "article"]
+    sizes = leads.select(*own, "key", "size").distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    hosts = sizes.withColumn("groups", F.ceil(F.greatest(F.col("n") / group_pages, F.col("bytes") / GROUP_BYTES))).drop("bytes")
+    hosts = _few(cut(hosts.where(F.col("n") >= F.when(F.col("article"), ARTICLE_PAGES).otherwise(MIN_PAGES))))
+    dealt = leads.join(hosts, own).withColumn("group", F.concat_ws("#", F.pmod("key", "groups").cast("string"), F.col("article").cast("string"), "host"))
+    streams = dealt.select("group", "host", "article", "n", "groups", "key", "blob")
+    found = streams.groupBy("group").applyInArrow(_candidates, _RUNS).select(*own, "run").distinct()
+
+    def sent(runs: DataFrame) -> DataFrame:
+        """Runs of a host to each of its groups."""
+        to = runs.join(hosts, own).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        return to.select(F.concat_ws("#", F.col("part").cast("string"), F.col("article").cast("string"), "host").alias("group"), "run")
 
+    counted = streams.groupBy("group").cogroup(sent(found).groupBy("group")).applyInArrow(_counts, _RUNS)
+    totals = counted.groupBy(*own, "run").agg(F.sum("pages").alias("pages")).join(hosts, own)
+    least = F.when(F.col("article"), F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.lit(ARTICLE_SHARE) * F.col("n")))).otherwise(F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(MIN_SHARE) * F.col("n"))))
+    boilerplate = totals.where(F.col("pages") >= least).select(*own, "run")
+    return streams.groupBy("group").cogroup(sent(boilerplate).groupBy("group")).applyInArrow(_gone, _GONE)
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars): one row for each row of ``pages``."""
-    gone = cut(removed_blocks(pages, page_id, url, page)).dropDuplicates(["page_id", "page_key"])
-    gone = gone.select(F.col("page_id").alias("_i"), F.col("page_key").alias("_k"), "gone")
-    if gone.count() <= BROADCAST_ROWS:  # checked: a row holds a few numbers
-        gone = F.broadcast(gone)
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
-    joined = rows.join(gone, F.col("page_id").eqNullSafe(F.col("_i")) & (F.hash("html") == F.col("_k")), "left")
-    return joined.select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    address = F.col(f"`{url}`")
+    host = F.lower(F.regexp_extract(F.coalesce(address, F.lit("")), r"^[^/?#]*//([^/?#]*)", 1))
+    read = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), address.alias("url"), host.alias("host"), F.col(f"`{page}`").alias("html"))
+    parsed = stash(read.mapInArrow(_parse, _PAGE), "pages")
+    gone = _few(cut(removed_blocks(parsed, group_pages)))
+    joined = parsed.select("page_id", "url", "host", "key", "blob").join(gone, ["host", "key"], "left")
+    return joined.select("page_id", "url", "blob", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -45,6 +45,53 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {t for _, t, _ in got} == {"the very same article text"}
 
 
+def boilerplate(streams, article):
+    """Per stream the blocks that windows on enough pages cover, by brute force."""
+    run, need = htmltext.MIN_RUN, htmltext.needed(len(streams), article)
+    tokens = [[x for j, line in enumerate(lines) for x in [(None, -1), *((w, j) for w in line.split())]] + [(None, -1)] for lines in streams]
+    where = defaultdict(set)
+    for k, t in enumerate(tokens):
+        for i in range(len(t) - run + 1):
+            where[tuple(w for w, _ in t[i : i + run])].add(k)
+    out = []
+    for lines, t in zip(streams, tokens, strict=True):
+        hit = {i + d for i in range(len(t) - run + 1) if len(where[tuple(w for w, _ in t[i : i + run])]) >= need for d in range(run)}
+        gone = set()
+        for j, line in enumerate(lines):
+            n = len(line.split())
+            covered = sum(i in hit for i, (_, b) in enumerate(t) if b == j)
+            if n + 2 < run and sum(line in other for other in streams) >= need:
+                covered = n
+            if covered >= htmltext.COVER * n:
+                gone.add(j)
+        out.append([line for j, line in enumerate(lines) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize(("group_pages", "article"), [(2000, False), (7, False), (7, True), (1, False)])
+def test_runs_against_brute_force_however_pages_are_dealt(spark, group_pages, article):
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(60)]
+    streams = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(2, 6)):
+            a = rng.randint(0, 45)
+            kind = rng.random()
+            lines.append(" ".join(template[a : a + rng.randint(3, 30)] if kind < 0.3 else template[:20] if kind < 0.5 else ["same", "line"] if kind < 0.6 else [f"u{i}.{rng.randint(0, 99)}" for _ in range(rng.randint(1, 20))]))
+        streams.append(lines + ([" ".join(template[30:55])] if rng.random() < 0.95 else []))
+    wrap = "<article>{}</article>" if article else "<body>{}</body>"
+    rows = [(i, "http://h/x", wrap.format("".join(f"<p>{x}</p>" for x in lines))) for i, lines in enumerate(streams)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=group_pages).collect()}
+    assert got == {i: "\n".join(lines) for i, lines in enumerate(boilerplate(streams, article))}
+
+
+def test_one_page_on_two_hosts(spark):
+    rows = [(1, f"http://{h}/", "<p>our common line of words</p><p>unique words of one</p>") for h in "ab"]
+    rows += [(i, "http://a/", f"<p>our common line of words</p><p>others {i}</p>") for i in range(2, 9)]
+    assert {(t, n) for i, t, n in texts(spark, rows) if i == 1} == {("unique words of one", 19), ("our common line of words\nunique words of one", 44)}
+
+
 def test_suffix_array():
     r = np.random.default_rng(0).integers(0, 3, 200)
     order, common = htmltext.suffix_array(r, 1024)
@@ -374,6 +421,9 @@ def test_alignment_follows_order():
     assert orderminhash.similarity(a, b) > 0.95 and orderminhash.similarity(a, c) < 0.8
 
 
+LONG = "This is a paragraph of the article itself, which has more than twenty-five words in two sentences. So it reads like text, and it has no links at all."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -382,10 +432,20 @@ def test_alignment_follows_order():
         ("<main><h1>H</h1><p>x &amp; y</p><div role=alert>n</div><div style='display: none'>h</div><p hidden>z</p><ol><li>1</li><li>2</ol><nav>m</nav></main><aside>q</aside>", "H\nx & y\n1\n2"),
         ("<article><p>a<b>b</b>c</p><pre>  p\n q </pre><table><tr><td>1<td>2<tr><td>3</table><textarea>t</textarea><select><option>o</select><style>s{}</style></article>", "abc\np q\n1 2\n3"),
         ("<article><p>One</p><article class=comment><p>c</p></article><div id=disqus_thread>d</div><div class='ad ad-wide'>x</div><p>Two</article>", "One\nTwo"),
+        ("<article class='post ad-free'><p>Text of it</p></article>", "Text of it"),
+        ("<article><p>One.</p><section class='legal-analysis'><p>" + LONG + "</p></section><div class='search-results'><a href=1>a</a> <a href=2>b</a></div><section class=search-results><p>" + LONG + "</p></section></article>", f"One.\n{LONG}\n{LONG}"),
+        ("<article><p>One.</p><section><h2>3 Comments</h2><p>" + LONG + "</p><div><p>me too</p></div></section><p>Two.</p></article>", "One.\nTwo."),
+        ("<article><h1>T</h1><p>One.</p><h2>Comments (2)</h2><p>first!</p><h3>re</h3><p>second</p><h2>Sources</h2><p>Two.</p></article>", "T\nOne.\nSources\nTwo."),
+        ("<article class=card><p>A teaser.</p></article><div id=content><p>" + LONG + "</p><p>" + LONG + "</p></div>", f"{LONG}\n{LONG}"),
+        ('<article><p>go <a title="oops>here</a> now <b class="x">bold</b>', "go here now bold"),
+        ('<article><p title="a > b" data-x="<i>">fine</p><p><a title="oops>end</a>', "fine\nend"),
+        ("<div><p>See <a href=x>the whole long story of this here</a> now</p><ul><li><a href=y>Home</a><li><a href=z>About</a></ul></div>", "See the whole long story of this here now"),
+        ("<div class=sidebar><p>" + LONG + "</p></div>", LONG),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<article><p>unclosed <a href='x>y'>l</a> <!-- c > d --> end <img alt='>'> &#233;&#x41;&nosuchthing; 1<2 <button>b</button>tail</article>", "unclosed l end éA&nosuchthing; 1<2 tail"),
     ],
 )
 def test_tricky_pages(page, text):
-    found = htmltext.blocks(page)
-    inside, _ = htmltext.marked(found)
+    found, around = htmltext.blocks(page)
+    inside, _ = htmltext.marked(found, around)
     assert "\n".join(b.text for j, b in enumerate(found) if inside[j]) == text
