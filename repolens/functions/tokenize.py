@@ -12,12 +12,15 @@ STOP_WORDS = [
 ]
 MIN_LENGTH, MAX_LENGTH = 2, 48
 
+_INNER = r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"  #: a word to be split inside, without look-around
 _SPLIT = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case sub-words of identifiers in ``text``; null gives an empty array."""
-    parts = F.split(F.coalesce(text, F.lit("")), _SPLIT)
+    text = F.coalesce(text, F.lit(""))
+    # most prose has no word to be split inside; the plain split is far cheaper
+    parts = F.when(text.rlike(_INNER), F.split(text, _SPLIT)).otherwise(F.split(text, "[^A-Za-z0-9]+"))
     lowered = F.transform(parts, F.lower)
     # a list this long is a hash lookup; array_contains would compare with every word
     return F.filter(lowered, lambda t: F.length(t).between(MIN_LENGTH, MAX_LENGTH) & ~t.isin(STOP_WORDS))

@@ -28,18 +28,24 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25_scores(docs: DataFrame, key: str, terms: str, query: list[str]) -> DataFrame:
-    """(key, score) of the documents that hold a query term. ``terms`` is an array column.
+    """(key, score) of the documents that hold a query term. ``terms`` is an array column, ``key`` is unique and not null.
 
-    Only postings of the query's terms are exploded; the corpus statistics are one aggregate row.
+    Documents are read and their terms counted once: a document becomes its length and its counts of the query's terms, and those small rows
+    pass one exchange, which both the corpus statistics (one row) and the scores read.
     """
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
-    sized = docs.select(key, F.size(terms).alias("dl"), F.filter(terms, lambda t: F.array_contains(wanted, t)).alias("hits")).where("dl > 0")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.where(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most one row for each query term
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    return joined.groupBy(key).agg(F.round(F.sum(idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm), 4).alias("score"))
+    wanted = list(dict.fromkeys(query))
+    times = lambda term: F.size(F.filter(terms, lambda x: x == term))
+    counts = F.array(*map(times, wanted))
+    sized = docs.select(F.col(key), F.size(terms).alias("dl"), counts.alias("tf")).where("dl > 0").repartition(F.col(key))
+    held = lambda i: F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).alias(f"df{i}")
+    stats = sized.agg(F.count(key).alias("n"), F.avg("dl").alias("avgdl"), *[held(i) for i in range(len(wanted))])
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf = F.col("tf")[i]
+        norm = tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+        score = score + idf(F.col("n"), F.col(f"df{i}")) * tf * (K1 + 1) / norm
+    # a hit scores above 0; a test of the counts would be pushed below the exchange, and then the two sides could not share it
+    return sized.crossJoin(F.broadcast(stats)).select(key, F.round(score, 4).alias("score"), score.alias("_s")).where("_s > 0").drop("_s")
 
 
 def index_scores(index: DataFrame, lengths: DataFrame, key: str, query: list[str]) -> DataFrame:

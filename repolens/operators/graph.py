@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.functions import risk
+from repolens.functions import names, paths, risk
 
 MAX_EXPANDED, MAX_SYMBOL_FILES = 6, 10
 
@@ -44,17 +44,30 @@ def callee_match(symbols: DataFrame, name: str, short_name: str = "short_name",
     return symbols.where((F.col(short_name) == wanted) | F.col(short_name).endswith("." + wanted))
 
 
-def callers_of(refs: DataFrame, symbols: DataFrame, callees: DataFrame, caller: str = "caller_symbol_id", called: str = "called_symbol_id") -> DataFrame:
-    """Edges into ``callees`` (column symbol_id) with both ends' path, short name and line."""
-    ends = symbols.select("symbol_id", "path", "short_name", "line")
-    hit = refs.join(callees.select(F.col("symbol_id").alias(called)).dropDuplicates(), called, "left_semi")
-    side = lambda p, key: ends.select(F.col("symbol_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("path", "short_name", "line")])
+def callers_of(refs: DataFrame, symbols: DataFrame, callees: DataFrame | None = None, caller: str = "caller_symbol_id", called: str = "called_symbol_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """Edges, or those into ``callees`` (column symbol_id), with both ends' path, short name, line and ``more``."""
+    hit = refs if callees is None else refs.join(callees.select(F.col("symbol_id").alias(called)).dropDuplicates(), called, "left_semi")
+    side = lambda p, key: symbols.select(F.col("symbol_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("path", "short_name", "line", *more)])
     return hit.join(side("caller", caller), caller).join(side("called", called), called)
 
 
-def usages_by_file(usages: DataFrame, file: str, line: str, kind: str) -> DataFrame:
-    """(file, usages sorted by line, count)."""
-    return usages.groupBy(F.col(file).alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(kind).alias("type")))).alias("usages"), F.count(F.lit(1)).alias("count"))
+def usages_by_file(usages: DataFrame, file: str, line: str, kind: str, group: list[str] | None = None) -> DataFrame:
+    """([group], file, usages sorted by line, count)."""
+    some = F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(kind).alias("type"))))
+    return usages.groupBy(*(group or []), F.col(file).alias("file")).agg(some.alias("usages"), F.count(F.lit(1)).alias("count"))
+
+
+def ripple(usages: DataFrame, file: str, line: str, kind: str, category: str, shown: int = 5) -> DataFrame:
+    """(category, files, usages, names, examples): a symbol's external usages by category; each example has a file's first ``shown`` usages."""
+    per_file = usages_by_file(usages.withColumn("category", F.col(category)), file, line, kind, ["category"])
+    example = F.struct("file", F.slice("usages", 1, shown).alias("usages"))
+    return per_file.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"), F.array_sort(F.collect_list("file")).alias("names"), F.array_sort(F.collect_list(example)).alias("examples"))
+
+
+def affected(edges: DataFrame, origin: str, file: str) -> DataFrame:
+    """(origin, affected, risk): distinct other files that use anything of a file, with the level of their number."""
+    counted = edges.where(F.col(origin) != F.col(file)).groupBy(F.col(origin).alias("origin")).agg(F.countDistinct(file).alias("affected"))
+    return counted.withColumn("risk", risk.file_count_level(F.col("affected")))
 
 
 def impact(edges: DataFrame, origin: str, symbol: str, file: str, max_files: int = MAX_SYMBOL_FILES) -> DataFrame:
@@ -82,12 +95,36 @@ def indirect_dependents(direct: DataFrame, impacts: DataFrame, target, file: str
     return out if limit is None else out.orderBy(F.desc("count"), "file").limit(limit)
 
 
-def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category: str, limit: int = 10) -> DataFrame:
-    """(file, category, count, strongest_usage, usage_types, rank) of the strongest referencing files."""
+def trusted(symbol: Column, kind: Column, source: Column, category: Column, file: Column, scoped: bool = False) -> Column:
+    """Whether a usage counts: names that many things have (``names.AMBIGUOUS``) need more than their text.
+
+    In migrations they mean the schema, found by the index or by a scan. A scan's bare mention in tests, docs and views says nothing, nor do its
+    calls in migration, bootstrap and config folders, unless the search is ``scoped`` by an owner or a file.
+    """
+    path, generic = F.lower(paths.normalised(file)), kind.isin("method_call", "reference")
+    schema = path.rlike("^(database/migrations|migrations)/")
+    group = F.coalesce(category, F.lit("other"))
+    by_index = (group == "migrations") | schema
+    by_scan = (group == "migrations") & generic
+    if not scoped:
+        by_scan = by_scan | ((kind == "reference") & group.isin("tests", "docs", "views")) | (generic & (schema | path.rlike("^(bootstrap|config)/")))
+    return ~(F.lower(F.trim(symbol)).isin(names.AMBIGUOUS) & F.when(source == "index", by_index).otherwise(by_scan))
+
+
+def in_scope(category: Column, file: Column, scope: str) -> Column:
+    """A scope is a category or the beginning of a path."""
+    return (category == scope) | paths.normalised(file).startswith(scope.rstrip("/") + "/")
+
+
+def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category: str, limit: int = 10, source: str | None = None) -> DataFrame:
+    """(file, category, count, strongest_usage, usage_types, rank) of the strongest referencing files; with ``source`` also (evidence_source, snippets)."""
+    more = []
+    if source is not None:
+        more = [F.min(source).alias("evidence_source"), F.slice(F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(kind).alias("type")))), 1, 3).alias("snippets")]
     weight = risk.weight(F.col(kind), risk.USAGE_WEIGHTS)
     grouped = usages.groupBy(F.col(file).alias("file")).agg(
         F.first(category).alias("category"), F.count(F.lit(1)).alias("count"), F.max(weight).alias("_w"),
-        F.min_by(F.col(kind), F.struct(-weight, F.col(kind))).alias("strongest_usage"), F.array_sort(F.collect_set(kind)).alias("usage_types"),
+        F.min_by(F.col(kind), F.struct(-weight, F.col(kind))).alias("strongest_usage"), F.array_sort(F.collect_set(kind)).alias("usage_types"), *more,
     )
     order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("_w"), F.desc("count"), F.col("file")]
     best = grouped.orderBy(*order).limit(limit)
@@ -118,9 +155,3 @@ def blast_radius(risk_score: Column, indirect_files: Column, n_categories: Colum
     """(score, level)."""
     score = (F.round(risk_score * 100).cast("long") + indirect_files * 90 + n_categories * 50).cast("double") / 100
     return score, risk.level(score, risk.BLAST_LEVELS)
-
-
-def hierarchy_edges(lines: DataFrame, file: str, text: str, pattern: str) -> DataFrame:
-    """(file, child, parent) of every match of ``pattern``, whose groups are the child and the parent. One pass gives both directions."""
-    pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), 1).alias("child"), F.regexp_extract_all(F.col(text), F.lit(pattern), 2).alias("parent"))
-    return lines.select(F.col(file).alias("file"), F.explode(pairs).alias("e")).select("file", "e.child", "e.parent")

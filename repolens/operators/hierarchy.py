@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How languages write inheritance, by extension. The first group is the child, the second the parents.
@@ -27,6 +27,14 @@ def _split(parents: Column) -> Column:
     return F.filter(F.transform(bare, lambda p: F.element_at(F.split(p, r"[\\.]"), -1)), lambda p: (p != "") & ~p.isin(PLAIN_BASES))
 
 
+def headers(lines: DataFrame, more: int = 3) -> DataFrame:
+    """``lines`` (file, line, text) where a class header that doesn't end on its line goes on with the next ``more``."""
+    begins = F.col("text").rlike(r"\b(class|interface|struct|record|object|trait)\s+[A-Za-z_$]") & ~F.col("text").rlike(r"[{;]|:\s*(#.*)?$")
+    order = Window.partitionBy("file").orderBy("line")
+    rest = F.concat_ws(" ", *[F.lead("text", k).over(order) for k in range(1, more + 1)])
+    return lines.withColumn("_rest", rest).withColumn("text", F.when(begins, F.concat_ws(" ", "text", F.regexp_replace("_rest", r"[{;].*$", "{"))).otherwise(F.col("text"))).drop("_rest")
+
+
 def edges(lines: DataFrame, extension: Column) -> DataFrame:
     """(file, kind, child, parent) of lines (file, line, text)."""
     found = F.array().cast("array<struct<kind:string,child:string,parents:string>>")

@@ -16,11 +16,14 @@ FRAMEWORK_MARKERS = [
 ]
 ROLE_FACTORS = {"test": 0.72, "docs": 0.45, "example": 0.35, "fixture": 0.18, "generated": 0.08}
 ROLE_PRIORITY = {"source": 5, "test": 4, "docs": 3, "example": 2, "fixture": 1, "generated": 0}
+# Words by which a query asks for paths that aren't source.
 AUXILIARY_WORDS = {
     "test": {"test", "tests", "spec", "specs"}, "fixture": {"fixture", "fixtures", "eval", "evals"}, "example": {"example", "examples", "sample", "samples"},
     "docs": {"doc", "docs", "documentation"}, "generated": {"generated", "build", "dist", "cache", "output"},
 }
+# Words that name a language.
 LANGUAGE_WORDS = {"php", "python", "javascript", "typescript", "java", "kotlin", "dart", "flutter", "go", "golang", "zig", "csharp", "node", "nodejs", "reactnative"}
+# Words that name a framework's files.
 FRAMEWORK_WORDS = {
     "route", "routes", "router", "web", "api", "controller", "controllers", "middleware", "navigation", "screen", "page", "pages", "homepage", "home", "index",
     "bootstrap", "config", "entrypoint", "method",
@@ -28,11 +31,13 @@ FRAMEWORK_WORDS = {
 
 
 def cosine_top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """(key, score): inner products with one query vector, ties by key; vectors of another length are skipped."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(F.transform(vector, lambda x: x.cast("double")), q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.where(F.size(vector) == len(query)).select(key, F.round(dot, 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    """(key, score): cosines with one query vector, ties by key; vectors of another length or without length are skipped."""
+    norm = sum(float(x) ** 2 for x in query) ** 0.5
+    q = F.array(*[F.lit(float(x) / norm if norm else 0.0) for x in query])
+    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    wide = vectors.where(F.size(vector) == len(query)).select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    measured = wide.select(key, summed(F.zip_with("_v", q, lambda a, b: a * b)).alias("_dot"), F.sqrt(summed(F.transform("_v", lambda x: x * x))).alias("_norm"))
+    return measured.where("_norm > 0").select(key, F.round(F.col("_dot") / F.col("_norm"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str, limit: int, k: int = RRF_K) -> DataFrame:
@@ -135,6 +140,7 @@ def resolve_query(ranked: DataFrame, key: str, wants_auxiliary: bool = False) ->
 
     A source hit is preferred unless the query asks for something else. Weak or close calls give no row.
     """
+    # The gaps, ratios and framework scores below which a hit is no clear target.
     order = [F.desc("adjusted_score"), F.desc(role_priority(F.col("path_role"))), F.desc("short_name"), F.col(key)]
     first = [F.desc(F.col("path_role") == "source"), *order] if not wants_auxiliary else order
     place = ranked.withColumn("_top", F.row_number().over(Window.orderBy(*first))).withColumn("_rest", F.row_number().over(Window.orderBy(F.col("_top") == 1, *order)))

@@ -11,17 +11,18 @@ import os
 import uuid
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions import names, paths, risk, syntax, validation
-from repolens.functions.parsing.dispatch import readable
 from repolens.functions.pytokens import tokenize, word_tokens
 from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch
 from repolens.plans import index
 from repolens.sources import config, store, tree
 from repolens.sources import files as file_columns
 
+# What a caller may ask for, and the keys of an answer that stay when it is spilled.
 INTENTS = {"project", "file", "symbol", "before_edit", "impact"}
 CHANGES = {"modify", "rename", "delete", "signature_change", "contract_change"}
 SPILL_CHARS, SPILLS_KEPT = 3500, 20
@@ -29,6 +30,15 @@ SPILL_KEYS = [
     "status", "intent", "change_type", "project", "target", "overview", "confidence", "confidence_details", "blast_radius", "risk_reasons", "safe_edit_hints", "related_files",
     "missing_context", "edit_plan", "suggested_next_steps",
 ]
+#: What an answer says about a related file, by role: its evidence and a sentence.
+EVIDENCE = {
+    "definition": ("definition", "The file under edit."), "direct_caller": ("cross_file_reference", "Uses the target itself."),
+    "file_scope_caller": ("cross_file_reference", "Uses the target from its top level, outside any function."), "indirect_dependent": ("dependency_expansion", "Depends on a direct caller."),
+    "ripple": ("ripple_model", "Among the files that a change of the symbol reaches."), "file_impact": ("file_impact", "Uses other symbols of the file."),
+    "framework_entrypoint": ("framework_wiring", "An entry point of the framework that names the target."), "co_change": ("history", "Changes together with the file."),
+    "semantic_related": ("semantic_search", "Its symbols read alike."),
+}
+STRENGTH = {"certain": "strong", "probable": "medium", "inferred": "light"}
 USAGE_REASONS = {
     "extends_or_implements": "Other types inherit from or implement this symbol.", "instantiation": "The way this symbol is constructed matters elsewhere.",
     "static_call": "It is called statically by name.", "method_call": "Method calls elsewhere rely on its behaviour.",
@@ -49,6 +59,7 @@ class Engine:
         self.files: DataFrame | None = None
         self._edges: DataFrame | None = None
         self._scan_languages: list[syntax.Syntax] | None = None
+        self._line_table: DataFrame | None = None
 
     # project and index
 
@@ -62,15 +73,30 @@ class Engine:
 
     def refresh_index(self) -> str:
         """List the files again."""
-        self.files, self._scan_languages = tree.scan(self.spark, self._root()).cache(), None
+        for held in (self.files, self._line_table):
+            if held is not None:
+                held.unpersist()
+        self.files, self._scan_languages, self._line_table = tree.scan(self.spark, self._root()).persist(StorageLevel.MEMORY_AND_DISK), None, None
         return f"{self.files.count()} files listed"
 
     def build_deep_index(self) -> str:
-        """Parse every file, build all tables, and swap them in."""
-        built = index.build(tree.parse_files(self.files or tree.scan(self.spark, self._root())).cache(), tree.git_log(self.spark, self._root()))
+        """Parse every file, straight from the scan, build all tables, and swap them in."""
+        return self._swap(tree.parse_files(tree.scan(self.spark, self._root())).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def reindex_file(self, file_path: str) -> str:
+        """Parse one changed, new or deleted file again; what other files have is taken from the index, and all tables are derived anew."""
+        if self.tables is None:
+            return self.build_deep_index()
+        self.refresh_index()
+        fresh = tree.parse_files(self.files.where(F.col("path") == file_path))
+        return self._swap(index.reindex(self.tables["parsed"], fresh, [file_path]).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def _swap(self, parsed: DataFrame) -> str:
+        built = index.build(parsed, tree.git_log(self.spark, self._root()))
         if self.store_path:
             store.save(built, self.store_path)
             self.tables = store.load(self.spark, self.store_path)
+            parsed.unpersist()
         else:
             self.tables = {k: v.cache() for k, v in built.items()}
         if self._edges is not None:
@@ -101,13 +127,18 @@ class Engine:
     def _category(self, path):
         return F.coalesce(paths.category(path, self.structure.folders), F.lit("other"))
 
-    def _text(self, path: str) -> str | None:
-        row = self.files.where(F.col("path") == path).select("content").first()
-        return None if row is None else readable(bytes(row["content"]))
-
     def _lines(self) -> DataFrame:
-        text = self.files.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
-        return textsearch.lines_of(text, "path", "text")
+        """(file, line, text) of the text files, split once after each listing."""
+        if self._line_table is None:
+            self._line_table = textsearch.lines_of(self._texts(), "path", "text").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._line_table
+
+    def _texts(self) -> DataFrame:
+        return self.files.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
+
+    def _entry(self, path):
+        """Whether a file is one of the framework's entry points."""
+        return paths.framework_role(path, paths.category(path, self.structure.folders)).isNotNull()
 
     def call(self, tool: str, **arguments: Any) -> Any:
         """A tool by name, its arguments checked, a large answer spilled."""
@@ -142,13 +173,10 @@ class Engine:
             return {"status": "error", "message": str(e)}
         rows = [r.asDict() for r in shown.orderBy("place").collect()]
         if context_lines:
-            keys = self.spark.createDataFrame([(r["file"], r["line"]) for r in rows], "file string, hit int")
-            around = lines.join(F.broadcast(keys), "file").where(F.abs(F.col("line") - F.col("hit")) <= context_lines)  # one page of keys
-            near: dict[tuple, list] = {}
-            for r in around.orderBy("file", "hit", "line").collect():
-                near.setdefault((r["file"], r["hit"]), []).append({"line": r["line"], "text": r["text"]})
+            here = lines.where(F.col("file").isin(sorted({r["file"] for r in rows})))  # the files of one page
+            around = textsearch.with_context(here, hit, context_lines).orderBy("file", "line").collect()
             for r in rows:
-                r["context"] = near.get((r["file"], r["line"]), [])
+                r["context"] = [{"line": x["line"], "text": x["text"]} for x in around if x["file"] == r["file"] and abs(x["line"] - r["line"]) <= context_lines]
         return {"status": "success", "results": [{k: v for k, v in r.items() if k != "place"} for r in rows], "total_matches": total, "returned": len(rows), "has_more": start_index + len(rows) < total}
 
     def find_files(self, pattern: str) -> list[str]:
@@ -161,31 +189,28 @@ class Engine:
         row = self.tables["symbols"].where(F.col("path") == path).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "line").first()
         return None if row is None else row.asDict()
 
-    def _code(self, path: str, symbol: dict, text: str | None = None) -> str:
-        """A symbol's lines, cut where they are too many."""
-        lines = ((self._text(path) if text is None else text) or "").split("\n")
-        body = lines[symbol["line"] - 1 : symbol["end_line"] or symbol["line"] + 50]
-        return "\n".join(body[: textsearch.MAX_BODY_LINES]) + ("\n..." if len(body) > textsearch.MAX_BODY_LINES else "")
+    def _code(self, path: str, symbol: dict) -> str | None:
+        """A symbol's lines, cut where they are too many; None if the file is gone."""
+        wanted = self.spark.range(1).select(F.lit(path).alias("file"), F.lit(symbol["short_name"]).alias("symbol"), F.lit(symbol["line"]).cast("int").alias("start"), F.lit(symbol["end_line"]).cast("int").alias("end"))
+        row = textsearch.symbol_body(self._lines().where(F.col("file") == path), wanted).first()
+        return None if row is None else row["body"] + ("\n..." if row["truncated"] else "")
 
     def get_symbol_body(self, file_path: str, symbol_name: str, compact: bool = False, owner: str | None = None) -> dict[str, Any]:
         if self.tables is None:
             return {"status": "needs_deep_index"}
         found = self._symbol(file_path, symbol_name, owner)
-        text = self._text(file_path)
-        if found is None or text is None:
+        code = found and self._code(file_path, found)
+        if code is None:
             return {"status": "error", "message": f"{symbol_name} not found in {file_path}"}
-        calls = self.edges.where((F.col("origin") == file_path) & (F.col("symbol") == found["short_name"]) & (F.col("file") != file_path)).select("file", "caller", "line").orderBy("file", "line").limit(10)
-        out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": found["end_line"] or found["line"] + 50, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": self._code(file_path, found, text)}
+        out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": found["end_line"] or found["line"] + 50, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": code}
         if not compact:
+            calls = self.edges.where((F.col("origin") == file_path) & (F.col("symbol") == found["short_name"]) & (F.col("file") != file_path)).select("file", "caller", "line").orderBy("file", "line").limit(10)
             out |= {"signature": found["signature"], "docstring": found["docstring"], "called_by": [r.asDict() for r in calls.collect()]}
         return out
 
     def get_edit_region(self, file_path: str, symbol: str | None = None, start_line: int | None = None, end_line: int | None = None, context_lines: int = 5) -> dict[str, Any]:
         if os.path.isabs(file_path) or ".." in file_path.split("/"):
             return {"status": "error", "message": "the path leaves the project"}
-        text = self._text(file_path)
-        if text is None:
-            return {"status": "error", "message": f"{file_path} not found"}
         if symbol:
             found = self._symbol(file_path, symbol, None) if self.tables else None
             if found is None:
@@ -193,9 +218,12 @@ class Engine:
             start_line, end_line = found["line"], found["end_line"] or found["line"]
         if not start_line:
             return {"status": "error", "message": "a symbol or a start line is needed"}
-        lines, end_line = text.split("\n"), end_line or start_line
-        first, last = max(1, start_line - context_lines), min(len(lines), end_line + context_lines)
-        return {"status": "success", "start_line": start_line, "end_line": end_line, "text": "\n".join(f"{n:4d} | {lines[n - 1]}" for n in range(first, last + 1))}
+        end_line = end_line or start_line
+        own = self._lines().where(F.col("file") == file_path)
+        shown = textsearch.edit_region(own, start_line, end_line, context_lines).orderBy("line").collect()
+        if not shown and own.isEmpty():
+            return {"status": "error", "message": f"{file_path} not found"}
+        return {"status": "success", "start_line": start_line, "end_line": end_line, "text": "\n".join(r["shown"] for r in shown)}
 
     # retrieval
 
@@ -209,82 +237,93 @@ class Engine:
         ranked = ranking.intent_rerank(hits, query).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "symbol_id").limit(limit)
         return [r.asDict() for r in ranked.collect()]
 
-    def _resolve(self, query: str) -> dict | None:
-        hits = self.search_symbols(query, 24)
+    def _reranked(self, query: str, limit: int) -> list[dict]:
+        """Hits with their path role, framework match and adjusted score, best first."""
+        hits = self.search_symbols(query, limit)
         if not hits:
-            return None
+            return []
         frame = self.spark.createDataFrame([(h["symbol_id"], h["file"], h["short_name"], float(h["score"])) for h in hits], "symbol_id string, file string, short_name string, score double")
         ranked = ranking.path_rerank(frame, query, category=paths.category(F.col("file"), self.structure.folders))
+        return [r.asDict() for r in ranked.orderBy(F.desc("adjusted_score"), F.desc(ranking.role_priority(F.col("path_role"))), F.desc("short_name"), "symbol_id").collect()]
+
+    def _candidates(self, query: str, limit: int = 8) -> list[dict]:
+        keys = ("symbol_id", "file", "short_name", "score", "adjusted_score", "path_role")
+        return [{k: h[k] for k in keys} for h in self._reranked(query, limit)]
+
+    def _resolve(self, query: str) -> dict | None:
+        hits = self._reranked(query, 24)
+        if not hits:
+            return None
+        schema = "symbol_id string, file string, short_name string, score double, path_role string, framework_match_score double, adjusted_score double"
+        frame = self.spark.createDataFrame([tuple(h[f.split(" ")[0]] for f in schema.split(", ")) for h in hits], schema)
         auxiliary = any(some & set(word_tokens(query)) for some in ranking.AUXILIARY_WORDS.values())
-        row = ranking.resolve_query(ranked, "symbol_id", auxiliary).first()
+        row = ranking.resolve_query(frame, "symbol_id", auxiliary).first()
         if row is None:
             return None
         best = next(h for h in hits if h["symbol_id"] == row["symbol_id"])
-        return {"query": query, "target": best["file"], **{k: row[k] for k in ("symbol", "owner", "adjusted_score", "score_gap", "score_ratio", "path_role", "selection_confidence")}, "match_symbol_id": best["symbol_id"], "alternatives": [h["symbol_id"] for h in hits[:6] if h is not best][:5]}
+        others = [h for h in hits if h is not best][:5]
+        margin = f", {row['score_gap']} above {others[0]['short_name']}" if others else ""
+        return {
+            "query": query, "target": best["file"], **{k: row[k] for k in ("symbol", "owner", "adjusted_score", "score_gap", "score_ratio", "path_role", "selection_confidence")}, "match_symbol_id": best["symbol_id"],
+            "selection_reason": f"{best['short_name']} in {best['file']}, a {row['path_role']} path{margin}.",
+            "alternatives": [{k: h[k] for k in ("symbol_id", "file", "short_name", "adjusted_score", "path_role")} | {"rejected_reason": _rejected(best, h)} for h in others],
+        }
 
     # graph
 
     def find_references(self, symbol: str, file_path: str | None = None, owner: str | None = None, scope: str | None = None) -> DataFrame:
         """(file, category, line, kind, source) of usages: index edges, and lines of files whose calls the index lacks."""
-        means = graph.callee_match(self.edges, symbol.rsplit(".", 1)[-1], "symbol", owner)
+        bare = symbol.rsplit(".", 1)[-1]
+        means = graph.callee_match(self.edges, bare, "symbol", owner)
         if file_path:
             means = means.where(F.col("origin") == file_path)
-        indexed = means.select("file", "line", "kind", F.lit("index").alias("source"))
-        bare = symbol.rsplit(".", 1)[-1]
-        if not self._scanned:
-            both = indexed.withColumn("category", self._category(F.col("file")))
-            return both if scope is None else both.where(F.col("category") == scope)
-        others = self._lines().where(~paths.has_indexed_edges(F.col("file"))).where(F.col("text").contains(bare))
-        kind = F.lit(None).cast("string")
-        for lang in self._scanned:
-            kind = F.when(paths.extension(F.col("file")).isin(list(lang.extensions)), syntax.classify_usage(F.col("text"), bare, lang)).otherwise(kind)
-        scanned = others.select("file", "line", kind.alias("kind"), F.lit("scan").alias("source")).where("kind IS NOT NULL")
-        if owner or bare in names.AMBIGUOUS:
-            # a scan can't tell whose method it is: only files that name the owner count
-            near = self._lines().where(F.col("text").contains(owner)).select("file").dropDuplicates() if owner else None
-            scanned = scanned.where("kind <> 'reference'") if near is None else scanned.join(near, "file", "left_semi")
-        scanned = scanned.join(indexed.select("file").dropDuplicates(), "file", "left_anti")
-        both = indexed.unionByName(scanned).withColumn("category", self._category(F.col("file")))
-        return both if scope is None else both.where(F.col("category") == scope)
+        both = means.select("file", "line", "kind", F.lit("index").alias("source"))
+        if self._scanned:
+            others = self._lines().where(~paths.has_indexed_edges(F.col("file"))).where(F.col("text").contains(bare))
+            kind = F.lit(None).cast("string")
+            for lang in self._scanned:
+                kind = F.when(paths.extension(F.col("file")).isin(list(lang.extensions)), syntax.classify_usage(F.col("text"), bare, lang)).otherwise(kind)
+            scanned = others.select("file", "line", kind.alias("kind"), F.lit("scan").alias("source")).where("kind IS NOT NULL")
+            if owner:
+                # a scan can't tell whose method it is: only files that name the owner count
+                scanned = scanned.join(self._lines().where(F.col("text").contains(owner)).select("file").dropDuplicates(), "file", "left_semi")
+            both = both.unionByName(scanned.join(both.select("file").dropDuplicates(), "file", "left_anti"))
+        both = both.withColumn("category", self._category(F.col("file")))
+        both = both.where(graph.trusted(F.lit(bare), F.col("kind"), F.col("source"), F.col("category"), F.col("file"), scoped=bool(owner)))
+        return both if scope is None else both.where(graph.in_scope(F.col("category"), F.col("file"), scope))
 
     def _change(self, path: str, symbol: dict, change: str, limit: int) -> dict[str, Any]:
         name, owner = names_of(symbol["short_name"])
-        usages = self.find_references(name, None if owner is None else path, owner).where(F.col("file") != path)
-        kind = F.col("kind")
-        weight = risk.whole_weight(kind, risk.USAGE_WEIGHTS)
-        per_file = usages.groupBy("file", "category").agg(
-            F.count(F.lit(1)).alias("count"), F.sum(weight).alias("u"), F.max(weight).alias("w"), F.min_by("kind", F.struct(-weight, kind)).alias("strongest_usage"), F.array_sort(F.collect_set("kind")).alias("usage_types"),
-            F.slice(F.array_sort(F.collect_list(F.struct("line", kind.alias("type")))), 1, 3).alias("snippets"), F.first("source").alias("evidence_source"),
-        )
-        per_file = per_file.withColumn("score", risk.file_score(F.col("category"), F.col("u"), F.col("count"), F.col("file"), change)).cache()
+        usages = self.find_references(name, None if owner is None else path, owner).where(F.col("file") != path).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            strength = F.struct(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS), "w", "count")
-            callers = [{k: r[k] for k in ("file", "category", "count", "evidence_source", "strongest_usage", "usage_types")} | {"snippets": [s.asDict() for s in r["snippets"]]} for r in per_file.orderBy(F.desc(strength), "file").limit(limit).collect()]
-            high_risk = F.slice(F.sort_array(F.collect_list(F.when(F.col("score") >= 1000 * risk.HIGH_RISK, F.struct("score", "file", "category", "count"))), asc=False), 1, 5)
-            total = per_file.agg(F.coalesce(F.sum("score"), F.lit(0)).alias("s"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.array_distinct(F.flatten(F.collect_set("usage_types"))).alias("kinds"), high_risk.alias("high")).first()
+            keys = ("file", "category", "count", "evidence_source", "strongest_usage", "usage_types")
+            found = graph.direct_callers(usages, "file", "line", "kind", "category", limit, source="source").orderBy("rank").collect()
+            callers = [{k: r[k] for k in keys} | {"snippets": [s.asDict() for s in r["snippets"]]} for r in found]
+            indirect = []
+            if callers:
+                frame = self.spark.createDataFrame([(c["file"],) for c in callers], "file string")
+                impacts = graph.impact(self.edges.where(F.length("symbol") > 2), "origin", "symbol", "file")
+                beyond = graph.indirect_dependents(frame.limit(graph.MAX_EXPANDED), impacts, path).join(F.broadcast(frame), "file", "left_anti").withColumn("category", self._category(F.col("file")))
+                order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("count"), "file"]
+                indirect = [r.asDict() for r in beyond.orderBy(*order).limit(limit).collect()]
+            categories = sorted({c["category"] for c in callers + indirect})
+            scored = graph.weighted_risk(usages, [], "file", "kind", "category", change)
+            top = scored.orderBy(F.desc("score"), "file").limit(10).agg(F.sort_array(F.collect_list(F.struct("score", "file", "category", "count")), asc=False).alias("top"))
+            kinds = usages.agg(F.collect_set("kind").alias("kinds"))
+            one = graph.risk_summary(scored, []).crossJoin(top).crossJoin(kinds)  # one row each
+            combined, level = graph.blast_radius(F.coalesce("risk_score", F.lit(0.0)), F.lit(len(indirect)), F.lit(len(categories)))
+            total = one.select("*", combined.alias("combined"), level.alias("blast_level")).first()
         finally:
-            per_file.unpersist()
-        high = [{"file": r["file"], "category": r["category"], "score": r["score"] / 1000, "count": r["count"]} for r in total["high"]]
-        kinds = set(total["kinds"])
-        indirect = []
-        if callers:
-            frame = self.spark.createDataFrame([(c["file"],) for c in callers], "file string")
-            impacts = graph.impact(self.edges.where(F.length("symbol") > 2), "origin", "symbol", "file")
-            found = graph.indirect_dependents(frame.limit(graph.MAX_EXPANDED), impacts, path).join(F.broadcast(frame), "file", "left_anti").withColumn("category", self._category(F.col("file")))
-            order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("count"), "file"]
-            indirect = [r.asDict() for r in found.orderBy(*order).limit(limit).collect()]
-        score = round(total["s"] / 1000, 2)
-        categories = sorted({c["category"] for c in callers + indirect})
-        combined = round(score + 0.9 * len(indirect) + 0.5 * len(categories), 2)
-        level = lambda value, steps: next((n for least, n in steps if value >= least), "low")
+            usages.unpersist()
+        high = [{"file": r["file"], "category": r["category"], "score": r["score"] / 1000, "count": r["count"]} for r in total["top"] if r["score"] >= 1000 * risk.HIGH_RISK][:5]
         return {
-            "direct_callers": callers, "indirect_dependents": indirect, "kinds": kinds, "risk_level": level(score, risk.RISK_LEVELS),
-            "blast_radius": {"risk_level": level(combined, risk.BLAST_LEVELS), "risk_score": combined, "direct_files": len(callers), "direct_usages": total["n"], "indirect_files": len(indirect), "total_files": len(callers) + len(indirect), "categories": categories, "high_risk_files": high},
+            "direct_callers": callers, "indirect_dependents": indirect, "kinds": set(total["kinds"]), "risk_level": total["risk_level"] or "low", "ripple": [r["file"] for r in total["top"]],
+            "blast_radius": {"risk_level": total["blast_level"], "risk_score": total["combined"], "direct_files": len(callers), "direct_usages": total["usages"] or 0, "indirect_files": len(indirect), "total_files": len(callers) + len(indirect), "categories": categories, "high_risk_files": high},
         }
 
     def get_class_hierarchy(self, name: str) -> dict[str, Any]:
         """What a class extends, implements and mixes in, and what does so with it."""
-        lines, ext = self._lines(), paths.extension(F.col("file"))
+        lines, ext = hierarchy.headers(self._lines()), paths.extension(F.col("file"))
         classes = self.tables["symbols"].where(F.col("type").isin("class", "trait")).select(F.col("path").alias("file"), F.col("short_name").alias("child"), F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end"))
         found = hierarchy.around(hierarchy.edges(lines, ext).unionByName(hierarchy.traits(lines, classes, ext)), name)
         out: dict[str, Any] = {"class": name, "extends": [], "implements": [], "mixes_in": [], "extended_by": [], "implemented_by": [], "mixed_into": []}
@@ -297,17 +336,18 @@ class Engine:
         """Which other files use a file's symbols."""
         found = graph.impact(self.edges.where((F.col("origin") == file_path) & (F.length("symbol") > 2)), "origin", "symbol", "file")
         rows = [r.asDict() for r in found.orderBy(F.desc("referenced_in"), "symbol").collect()]
-        affected = self.edges.where((F.col("origin") == file_path) & (F.col("file") != file_path)).agg(F.countDistinct("file")).first()[0]
-        level = next((name for most, name in risk.FILE_LEVELS if affected <= most), "critical")
-        return {"status": "success", "file": file_path, "impacts": rows, "affected_files": affected, "risk_level": level}
+        reached = graph.affected(self.edges.where(F.col("origin") == file_path), "origin", "file").first()
+        return {"status": "success", "file": file_path, "impacts": rows, "affected_files": reached["affected"] if reached else 0, "risk_level": reached["risk"] if reached else "low"}
 
     def get_ripple_effect(self, file_path: str, symbol: str, change_type: str = "modify", owner: str | None = None) -> dict[str, Any]:
         """A symbol's external usages by category, with their weighted risk."""
         usages = self.find_references(symbol, None if owner is None else file_path, owner).where(F.col("file") != file_path)
         scored = graph.weighted_risk(usages, [], "file", "kind", "category", change_type)
-        rows = scored.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"), F.sum("score").alias("s"), F.slice(F.array_sort(F.collect_list("file")), 1, 15).alias("names")).orderBy(F.desc("s"), "category").collect()
-        score = round(sum(r["s"] for r in rows) / 1000, 2)
-        return {"status": "success", "risk_score": score, "risk_level": next((n for least, n in risk.RISK_LEVELS if score >= least), "low"), "categories": [{"category": r["category"], "files": r["files"], "usages": r["usages"], "names": r["names"]} for r in rows]}
+        weights = scored.groupBy("category").agg(F.sum("score").alias("s"))
+        rows = graph.ripple(usages, "file", "line", "kind", "category").join(weights, "category").orderBy(F.desc("s"), "category").collect()
+        total = graph.risk_summary(scored, []).first()
+        listed = [{"category": r["category"], "files": r["files"], "usages": r["usages"], "names": r["names"][:15], "examples": [{"file": e["file"], "usages": [u.asDict() for u in e["usages"]]} for e in r["examples"][:15]]} for r in rows]
+        return {"status": "success", "risk_score": total["risk_score"] or 0.0, "risk_level": total["risk_level"] or "low", "categories": listed}
 
     def get_project_snapshot(self) -> dict[str, Any]:
         counts = project.count_by(self.files, extension=paths.extension(F.col("path")), category=self._category(F.col("path"))).collect()
@@ -352,23 +392,25 @@ class Engine:
             return out | {"project_snapshot": self.get_project_snapshot(), "overview": f"{s.language} project, framework {s.framework}"}
         if not target:
             if query:
-                return out | {"status": "needs_target", "candidates": self.search_symbols(query, 8)}
+                return out | {"status": "needs_target", "candidates": self._candidates(query)}
             return {"status": "error", "message": "a target or a query is needed"}
         if self.tables is None:
             out["missing_context"].append("deep_index")
             return self._finished(out, 0.0)
-        row = self.tables["files"].where(F.col("path") == target).withColumn("category", self._category(F.col("path"))).first()
+        row = self.tables["files"].where(F.col("path") == target).withColumn("category", self._category(F.col("path"))).withColumn("role", paths.path_role(F.col("path"))).first()
         if row is None:
             return {"status": "error", "message": f"{target} is not in the index"}
         out["target"]["category"] = row["category"]
         mine = self.tables["symbols"].where(F.col("path") == target)
         summary = project.file_summary(mine, "path", "type", "signature", "symbol_id", "short_name", "line").first()
         out["file_context"] = {k: row[k] for k in ("language", "line_count", "imports", "exports", "package")} | ({k: summary[k] for k in ("functions", "classes", "methods", "symbol_count")} if summary else {})
-        impacts = graph.impact(self.edges.where((F.col("origin") == target) & (F.length("symbol") > 2)), "origin", "symbol", "file")
-        affected = [r.asDict() for r in impacts.orderBy(F.desc("referenced_in"), "symbol").limit(50).collect()]
-        reached = sorted({f for a in affected for f in a["files"]})
-        out["impact_context"] = {"symbols": affected[:5], "affected_files": len(reached), "risk_level": "low" if len(reached) <= 3 else "medium" if len(reached) <= 8 else "high" if len(reached) <= 15 else "critical"}
-        lanes: list[tuple[str, str]] = [(f, "file_impact") for f in reached]
+        own = self.edges.where(F.col("origin") == target)
+        level = graph.affected(own, "origin", "file").select(F.col("origin").alias("_o"), F.col("affected"), "risk")
+        impacts = graph.impact(own.where(F.length("symbol") > 2), "origin", "symbol", "file").join(F.broadcast(level), F.col("origin") == F.col("_o"), "right")  # one row
+        used = impacts.withColumn("generic", names.is_generic_hook(F.col("symbol"))).orderBy(F.desc("referenced_in"), "symbol").limit(50).collect()
+        symbols = [{k: r[k] for k in ("origin", "symbol", "referenced_in", "total_usages", "files")} for r in used if r["symbol"] is not None]
+        out["impact_context"] = {"symbols": symbols[:5], "affected_files": used[0]["affected"] if used else 0, "risk_level": used[0]["risk"] if used else "low"}
+        lanes: list[tuple] = [(f, "file_impact", None, None, None) for f in sorted({f for r in used if r["symbol"] is not None and not r["generic"] for f in r["files"]})]
         if summary and summary["classes"] and intent in ("file", "impact"):
             out["relationship_context"] = self.get_class_hierarchy(summary["classes"][0].rsplit(".", 1)[-1])
         if symbol and intent != "file":
@@ -376,42 +418,63 @@ class Engine:
             out["symbol_context"] = {"found": found is not None, "symbol": symbol}
             if found:
                 out["target"]["canonical_symbol"] = found["short_name"]
-                out["symbol_context"] |= {"canonical_name": found["short_name"], "type": found["type"], "line": found["line"], "signature": found["signature"], **({"source": self._code(target, found)} if include_source else {})}
+                out["symbol_context"] |= {"canonical_name": found["short_name"], "type": found["type"], "line": found["line"], "signature": found["signature"], "docstring": found["docstring"], **({"source": self._code(target, found) or ""} if include_source else {})}
                 changed = self._change(target, found, change, max_related)
                 for k in ("direct_callers", "indirect_dependents", "blast_radius"):
                     out[k] = changed[k]
-                lanes += [(c["file"], "direct_caller") for c in out["direct_callers"]] + [(c["file"], "indirect") for c in out["indirect_dependents"]]
+                lanes += [(c["file"], "direct_caller", c["strongest_usage"], c["evidence_source"], c["category"]) for c in out["direct_callers"]]
+                lanes += [(c["file"], "indirect", None, None, c["category"]) for c in out["indirect_dependents"]] + [(f, "ripple", None, None, None) for f in changed["ripple"]]
                 out["risk_reasons"], out["safe_edit_hints"] = self._advice(target, out, changed)
-        peers = [r.asDict() for r in cochange.peers(self.tables["cochanges"], target, 7).collect()]
-        strong = [p for p in peers if p["count"] >= 2]
-        lanes += [(p["peer"], "co_change") for p in strong]
-        if len(strong) >= 5 or any(p["count"] >= 4 for p in strong):
-            out["risk_reasons"] = (out["risk_reasons"] + [f"History changes it together with {len(strong)} files, most with {', '.join(p['peer'] for p in strong[:3])}."])[:8]
-        entries = self.files.select("path").where(paths.framework_role(F.col("path"), paths.category(F.col("path"), s.folders)).isNotNull()).limit(30)
-        hint = os.path.basename(target).rsplit(".", 1)[0]
-        if len(hint) >= 4:
-            near = self._lines().join(F.broadcast(entries), F.col("file") == F.col("path")).where(F.instr(F.lower("text"), hint.lower().replace("controller", "").replace("service", "") or hint.lower()) > 0)
-            lanes += [(r["file"], "framework_entrypoint") for r in near.select("file").distinct().limit(30).collect()]
-        if query or out["symbol_context"].get("found"):
-            about = out["target"]["canonical_symbol"] or hint
-            lanes += [(h["file"], "semantic_related") for h in self.search_symbols(about, max_related) if h["file"] != target]
+        mates = cochange.peers(self.tables["cochanges"], target, 7)
+        peers = mates.crossJoin(F.broadcast(cochange.risk_gate(mates))).orderBy(F.desc("count"), F.desc("last_seen"), "peer").collect()  # the gate is one row
+        lanes += [(p["peer"], "co_change", None, None, None) for p in peers if p["count"] >= 2]
+        if peers and peers[0]["fires"]:
+            out["risk_reasons"] = (out["risk_reasons"] + [f"History changes it together with {peers[0]['strong']} files, most with {', '.join(p['peer'] for p in peers[:3])}."])[:8]
+        wired = self._wired(target, out["target"]["canonical_symbol"] or symbol, [c["file"] for c in out["direct_callers"]], sorted({f for f, *_ in lanes}))
+        lanes += [(f, "framework_entrypoint", None, None, None) for f in wired]
+        near = {f for f, lane, *_ in lanes if lane in ("direct_caller", "indirect", "ripple", "file_impact")} - set(wired)
+        if len(near) < evidence.SEMANTIC_BELOW:
+            lanes += [(f, "semantic_related", None, None, None) for f in self._alike(target, row["role"], out, max_related)]
         reasons = [{"file": target, "role": "definition", "certainty": "certain", "priority": 100}]
         if lanes:
-            frame = self.spark.createDataFrame(lanes, "file string, lane string")
-            entry = paths.framework_role(F.col("file"), paths.category(F.col("file"), s.folders)).isNotNull()
-            for r in evidence.related_reasons(frame, target, max_related, entrypoint=entry).orderBy("rank").collect():
-                role = "framework_entrypoint" if r["priority"] == evidence.FRAMEWORK_LEAST else {"indirect": "indirect_dependent"}.get(r["role"], r["role"])
-                certain = "certain" if r["role"] == "direct_caller" else "probable" if r["role"] in ("indirect", "ripple", "file_impact", "framework_entrypoint") else "inferred"
-                reasons.append({"file": r["file"], "role": role, "certainty": certain, "priority": r["priority"]})
+            frame = self.spark.createDataFrame(lanes, "file string, lane string, strongest string, source string, category string")
+            entry, lane = self._entry(F.col("file")), F.col("lane")
+            grade = (
+                F.when(lane == "direct_caller", evidence.caller_grade(F.col("strongest"), F.col("source"), F.col("category"), entry)).when(lane == "indirect", evidence.indirect_grade(entry))
+                .when(lane == "file_impact", evidence.impact_grade(entry)).otherwise(evidence.lane_grade(lane))
+            )
+            named = entry & F.col("file").isin(wired) if wired else F.lit(False)
+            for r in evidence.related_reasons(frame, target, max(1, max_related - 1), grade=grade, wired=named).orderBy("rank").collect():
+                reasons.append({k: r[k] for k in ("file", "role", "certainty", "priority")})
+        for r in reasons:
+            r["evidence_type"], r["reason"] = EVIDENCE[r["role"]]
+            r["evidence_strength"] = STRENGTH[r["certainty"]]
         out["related_file_reasons"] = reasons
         for r in reasons:
             out["relationship_buckets"][r["certainty"]].append(r["file"])
-        out["related_files"] = list(dict.fromkeys([target, *(c["file"] for c in out["direct_callers"]), *(c["file"] for c in out["indirect_dependents"]), *(r["file"] for r in reasons)]))[:max_related]
+        listed = [[target], [c["file"] for c in out["direct_callers"]], [c["file"] for c in out["indirect_dependents"]], [r["file"] for r in reasons]]
+        merged = evidence.related_files([self.spark.createDataFrame(list(enumerate(some)), "pos long, file string") for some in listed if some], max_related)
+        out["related_files"] = [r["file"] for r in merged.orderBy("rank").collect()]
         penalty = 0.0
         if resolution:
             penalty = 0.18 * (resolution["path_role"] != "source") + 0.12 * (resolution["score_gap"] < 0.35) + 0.08 * ((resolution["score_ratio"] or 9) < 1.12)
         return self._finished(out, penalty)
 
+    def _wired(self, target: str, canonical: str | None, callers: list[str], known: list[str]) -> list[str]:
+        """Files by which the framework wires the target: of its wiring folders, and known entry points, those that name it."""
+        if self.structure.framework not in evidence.FRAMEWORKS or not (wanted := evidence.hints(target, canonical, callers)):
+            return []
+        folders = [self.structure.folders[c] for c in evidence.WIRED_CATEGORIES if c in self.structure.folders] + evidence.WIRED_FOLDERS
+        also = F.col("path").isin(known) & self._entry(F.col("path")) if known else None
+        return sorted(r["file"] for r in evidence.wired_files(self._texts(), folders, wanted, target, also=also).collect())
+
+    def _alike(self, target: str, role: str, out: dict, limit: int) -> list[str]:
+        """Files whose symbols read like the target's name and docstring; for a source file only source files."""
+        about = [out["target"]["canonical_symbol"] or out["symbol_context"].get("symbol"), (out["symbol_context"].get("docstring") or "")[:160]]
+        query = " ".join(x for x in about if x) or os.path.basename(target)
+        hits = [h["file"] for h in self._reranked(query, 2 * limit) if h["file"] != target and (role != "source" or h["path_role"] == "source")]
+        return list(dict.fromkeys(hits))[:limit]
+
     def _advice(self, path: str, out: dict, changed: dict) -> tuple[list[str], list[str]]:
         direct, indirect, kinds = out["direct_callers"], out["indirect_dependents"], changed["kinds"]
         files = [c["file"] for c in direct + indirect]
@@ -434,14 +497,12 @@ class Engine:
 
     def _finished(self, out: dict, penalty: float) -> dict:
         found, missing = out["symbol_context"].get("found", False), out["missing_context"]
-        score, level = evidence.confidence_value(
-            not missing, found, bool(out["blast_radius"]), len(out["direct_callers"]), len(out["indirect_dependents"]), out.get("query_resolution", {}).get("path_role") == "source",
-            "deep_index" not in missing, bool(out["target"]["symbol"]) and not found, penalty,
-        )
+        known = [not missing, found, bool(out["blast_radius"]), len(out["direct_callers"]), len(out["indirect_dependents"]), out.get("query_resolution", {}).get("path_role") == "source", "deep_index" not in missing, bool(out["target"]["symbol"]) and not found, penalty]
+        score, level = self.spark.range(1).select(*evidence.confidence(*map(F.lit, known))).first()
         out["confidence"], out["confidence_details"] = level, {"score": score, "level": level, "missing_context": missing}
         target, related = out["target"], [r for r in out["related_file_reasons"] if r["role"] != "definition"]
         coordinated = out["change_type"] in ("rename", "signature_change", "contract_change")
-        tests = [r["file"] for r in related if r["role"] in ("direct_caller", "indirect_dependent") and "test" in r["file"].lower()]
+        tests = [r["file"] for r in related if r["role"] in ("direct_caller", "file_scope_caller", "indirect_dependent") and "test" in r["file"].lower()]
         steps = [f"Edit {target['file_path']}."] + (["Change all direct callers in the same patch."] if coordinated and out["direct_callers"] else []) + (["Then check the indirect dependents."] if out["indirect_dependents"] else [])
         out["edit_plan"] = {
             "change_type": out["change_type"], "coordination_level": "high" if coordinated or out["change_type"] == "delete" else out["blast_radius"].get("risk_level", "low"),
@@ -471,3 +532,12 @@ def names_of(short_name: str) -> tuple[str, str | None]:
     """The member and the owner of a dotted name."""
     owner, _, member = short_name.rpartition(".")
     return member, owner or None
+
+
+def _rejected(best: dict, other: dict) -> str:
+    """Why a hit isn't the target of a query."""
+    if best["path_role"] == "source" != other["path_role"]:
+        return f"A {other['path_role']} path, and there is a source path."
+    if other["adjusted_score"] < best["adjusted_score"]:
+        return f"A lower score: {other['adjusted_score']} under {best['adjusted_score']}."
+    return "Equal, but later in order."

@@ -105,15 +105,14 @@ def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @register("find_callers", """
-WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND p_size < 5))
+WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
 SELECT 'o' || l_orderkey AS caller_symbol_id, 'p' || l_partkey AS called_symbol_id, 'c' || o_custkey AS caller_path, o_orderpriority AS caller_short_name,
   (o_orderkey % 100)::INTEGER AS caller_line, p_brand AS called_path, p_name AS called_short_name, p_size AS called_line
 FROM e JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""")
 def find_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers of some parts with both ends' places."""
+    """Callers of all parts with both ends' places."""
     refs, symbols = _refs(spark, sf_dir)
-    callees = symbols.where("symbol_id LIKE 'p%' AND path = 'Brand#13' AND line < 5")
-    return graph.callers_of(refs, symbols, callees)
+    return graph.callers_of(refs, symbols, symbols.where("symbol_id LIKE 'p%'"))
 
 
 _KINDS = ["method_call", "reference", "import", "instantiation", "type_hint", "static_call", "extends_or_implements"]
@@ -173,12 +172,12 @@ def direct_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "category", "count", "strongest_usage", F.array_join("usage_types", ",").alias("usage_types"), "rank")
 
 
-_FILES = """e AS (SELECT (l_partkey % 200) AS origin, l_linenumber AS symbol, (l_orderkey % 200) AS file FROM lineitem),
+_FILES = """e AS (SELECT l_partkey AS origin, l_linenumber AS symbol, l_orderkey AS file FROM lineitem),
 i AS (SELECT origin, symbol, count(DISTINCT file) AS referenced_in, count(*) AS total_usages, list_slice(list_sort(list(DISTINCT file)), 1, 10) AS files FROM e WHERE origin <> file GROUP BY ALL)"""
 
 
 def _file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _R(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("origin"), F.col("l_linenumber").alias("symbol"), (F.col("l_orderkey") % 200).alias("file"))
+    return _R(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("origin"), F.col("l_linenumber").alias("symbol"), F.col("l_orderkey").alias("file"))
 
 
 @register("impact", f"WITH {_FILES} SELECT origin, symbol, referenced_in, total_usages, files FROM i")
@@ -187,20 +186,17 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(_file_edges(spark, sf_dir), "origin", "symbol", "file")
 
 
-@register("affected_files", "SELECT l_partkey % 200 AS origin, count(DISTINCT l_orderkey % 200) AS affected, CASE WHEN affected <= 3 THEN 'low' WHEN affected <= 8 THEN 'medium' WHEN affected <= 15 THEN 'high' ELSE 'critical' END AS risk FROM lineitem WHERE l_partkey % 200 <> l_orderkey % 200 GROUP BY origin")
+@register("affected_files", "SELECT l_partkey AS origin, count(DISTINCT l_orderkey) AS affected, CASE WHEN affected <= 3 THEN 'low' WHEN affected <= 8 THEN 'medium' WHEN affected <= 15 THEN 'high' ELSE 'critical' END AS risk FROM lineitem WHERE l_partkey <> l_orderkey GROUP BY origin")
 def affected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct files that a file's change affects, with the level of their count."""
-    edges = _file_edges(spark, sf_dir).where("origin <> file")
-    counted = edges.groupBy("origin").agg(F.countDistinct("file").alias("affected"))
-    return counted.withColumn("risk", risk.file_count_level(F.col("affected")))
+    return graph.affected(_file_edges(spark, sf_dir), "origin", "file")
 
 
 @register("ripple", f"""WITH {_USE}, f AS (SELECT file, category, count(*) AS n FROM u WHERE origin = {TARGET} GROUP BY ALL)
 SELECT category, count(*) AS files, sum(n)::BIGINT AS usages, list_sort(list(file)) AS names FROM f GROUP BY category""")
 def ripple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol's external usages by category."""
-    per_file = _usages(spark, sf_dir).where(F.col("origin") == TARGET).groupBy("file", "category").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("usages"), F.array_sort(F.collect_list("file")).alias("names"))
+    return graph.ripple(_usages(spark, sf_dir).where(F.col("origin") == TARGET), "file", "line", "kind", "category").drop("examples")
 
 
 _DIRECT = f"""d AS (SELECT file AS via FROM e WHERE origin = {TARGET} AND file <> {TARGET} GROUP BY file ORDER BY count(*) DESC, file LIMIT 6)"""
@@ -225,15 +221,64 @@ _ORDER_SQL = "list_position(['indirect', 'direct_caller', 'definition', 'ripple'
 @register("related_reasons", f"""
 WITH l AS (SELECT l_suppkey AS file, {_LANE_SQL} AS lane FROM lineitem),
 o AS (SELECT file, lane AS role FROM l WHERE file <> 3 QUALIFY row_number() OVER (PARTITION BY file ORDER BY {_ORDER_SQL}) = 1),
-p AS (SELECT file, role, greatest(CASE role WHEN 'definition' THEN 100 WHEN 'direct_caller' THEN 90 WHEN 'indirect' THEN 70 WHEN 'ripple' THEN 60 WHEN 'file_impact' THEN 50
-  WHEN 'framework_entrypoint' THEN 55 WHEN 'co_change' THEN 40 ELSE 30 END, CASE WHEN file % 4 = 0 THEN 76 ELSE 0 END)::INTEGER AS priority FROM o
-  WHERE role <> 'semantic_related' OR (SELECT count(*) FROM o WHERE role <> 'semantic_related') < 3)
+g AS (SELECT file, role = 'semantic_related' AS weak, file % 4 = 0 AND role <> 'semantic_related' AS wired, CASE role WHEN 'indirect' THEN 'indirect_dependent' ELSE role END AS lane,
+  CASE role WHEN 'definition' THEN 100 WHEN 'direct_caller' THEN 90 WHEN 'indirect' THEN 70 WHEN 'ripple' THEN 60 WHEN 'file_impact' THEN 50 WHEN 'framework_entrypoint' THEN 55 WHEN 'co_change' THEN 40 ELSE 30 END AS base FROM o),
+w AS (SELECT file, weak, CASE WHEN wired THEN 'framework_entrypoint' ELSE lane END AS role, CASE WHEN wired THEN 'probable' WHEN lane IN ('definition', 'direct_caller') THEN 'certain'
+  WHEN lane IN ('indirect_dependent', 'ripple', 'file_impact', 'framework_entrypoint') THEN 'probable' ELSE 'inferred' END AS certainty, (CASE WHEN wired THEN greatest(base, 76) ELSE base END)::INTEGER AS priority FROM g),
+p AS (SELECT file, role, certainty, priority FROM w WHERE NOT weak OR (SELECT count(*) FROM w WHERE role IN ('direct_caller', 'indirect_dependent', 'ripple', 'file_impact')) < 3)
 SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, file DESC) AS INTEGER) AS rank FROM p QUALIFY rank <= 40""")
 def related_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of evidence lanes, one reason per file."""
     lane = F.element_at(F.array(*[F.lit(x) for x in _LANES]), (F.col("l_linenumber") % 8 + 1).cast("int"))
     lanes = _R(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), lane.alias("lane"))
-    return evidence.related_reasons(lanes, 3, limit=40, entrypoint=F.col("file") % 4 == 0)
+    return evidence.related_reasons(lanes, 3, limit=40, wired=F.col("file") % 4 == 0)
+
+
+_SOURCE_SQL = "CASE WHEN l_partkey % 2 = 0 THEN 'index' ELSE 'scan' END"
+_STRONGEST_SQL = "['method_call', 'reference', 'import', 'instantiation', 'type_hint', 'static_call', 'extends_or_implements', 'module_script'][l_linenumber % 8 + 1]"
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda some, c: F.element_at(F.array(*[F.lit(s) for s in some]), (F.col(c) % len(some) + 1).cast("int"))
+    return _R(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", pick([*_KINDS, "module_script"], "l_linenumber").alias("kind"), pick(_CATS, "l_suppkey").alias("category"),
+        F.when(F.col("l_partkey") % 2 == 0, "index").otherwise("scan").alias("source"),
+    )
+
+
+@register("caller_grades", f"""
+WITH u AS (SELECT l_orderkey, l_linenumber, {_STRONGEST_SQL} AS kind, {_CAT_SQL} AS category, {_SOURCE_SQL} AS source FROM lineitem),
+g AS (SELECT *, category IN ('routes', 'middleware') AND kind IN ('module_script', 'method_call', 'reference') AS wired, category = 'migrations' AND kind IN ('method_call', 'reference') AS vague,
+  source = 'index' OR kind NOT IN ('module_script', 'method_call', 'reference') AS proof FROM u)
+SELECT l_orderkey, l_linenumber, CASE WHEN wired THEN 'framework_entrypoint' WHEN kind = 'module_script' THEN 'file_scope_caller' ELSE 'direct_caller' END AS role,
+  CASE WHEN wired THEN 'probable' WHEN kind = 'module_script' OR (proof AND NOT vague) THEN 'certain' ELSE 'probable' END AS certainty,
+  (CASE WHEN wired THEN 82 WHEN kind = 'module_script' THEN 80 WHEN proof AND NOT vague THEN 90 ELSE 78 END)::INTEGER AS priority FROM g""")
+def caller_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How certain a caller is by its usage, its source of evidence and its category."""
+    grade = evidence.caller_grade(F.col("kind"), F.col("source"), F.col("category"), F.col("category").isin("routes", "middleware"))
+    return _graded(spark, sf_dir).select("l_orderkey", "l_linenumber", grade.alias("g")).select("l_orderkey", "l_linenumber", "g.*")
+
+
+_NAME_SQL = "['index', 'total', 'Up', 'save', 'show'][l_partkey % 5 + 1]"
+_FOLDER_SQL = "['app/', 'migrations/', 'config/', 'database/migrations/', 'bootstrap/', 'src/config/'][l_orderkey % 6 + 1]"
+
+
+@register("usage_guards", f"""
+WITH u AS (SELECT l_orderkey, l_linenumber, {_NAME_SQL} AS symbol, {_KIND_SQL} AS kind, {_CAT_SQL} AS category, CASE WHEN l_suppkey % 2 = 0 THEN 'index' ELSE 'scan' END AS source, {_FOLDER_SQL} || 'f.php' AS file FROM lineitem),
+g AS (SELECT *, lower(symbol) IN ('index', 'up', 'show') AS vague, kind IN ('method_call', 'reference') AS generic, starts_with(file, 'migrations/') OR starts_with(file, 'database/migrations/') AS migration FROM u),
+s AS (SELECT *, category = 'migrations' AND generic AS scoped_out, CASE WHEN source = 'index' THEN category = 'migrations' OR migration END AS index_out,
+  (kind = 'reference' AND category IN ('tests', 'docs', 'views')) OR (generic AND (migration OR starts_with(file, 'bootstrap/') OR starts_with(file, 'config/'))) AS open_out FROM g)
+SELECT l_orderkey, l_linenumber, NOT (vague AND coalesce(index_out, scoped_out OR open_out)) AS open, NOT (vague AND coalesce(index_out, scoped_out)) AS scoped FROM s""")
+def usage_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which usages of names that many things have are trusted, in an open search and in one scoped by an owner."""
+    pick = lambda some, c: F.element_at(F.array(*[F.lit(s) for s in some]), (F.col(c) % len(some) + 1).cast("int"))
+    rows = _R(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", pick(["index", "total", "Up", "save", "show"], "l_partkey").alias("symbol"), pick(_KINDS, "l_linenumber").alias("kind"), pick(_CATS, "l_suppkey").alias("category"),
+        F.when(F.col("l_suppkey") % 2 == 0, "index").otherwise("scan").alias("source"),
+        F.concat(pick(["app/", "migrations/", "config/", "database/migrations/", "bootstrap/", "src/config/"], "l_orderkey"), F.lit("f.php")).alias("file"),
+    )
+    judged = lambda scoped: graph.trusted(F.col("symbol"), F.col("kind"), F.col("source"), F.col("category"), F.col("file"), scoped)
+    return rows.select("l_orderkey", "l_linenumber", judged(False).alias("open"), judged(True).alias("scoped"))
 
 
 @register("related_files", """
@@ -326,16 +371,29 @@ def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.import_graph(files, "file", "imports")
 
 
-@register("class_hierarchy", r"""
-WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT file, unnest(regexp_extract_all(t, '([a-z]+) of ([a-z]+)', 1)) AS child, unnest(regexp_extract_all(t, '([a-z]+) of ([a-z]+)', 2)) AS parent FROM l)
-SELECT parent, count(*) AS edges, count(DISTINCT child) AS children FROM m GROUP BY parent""")
-def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child and parent names of a pattern, gathered by parent."""
-    from repolens.operators import textsearch
+_CLASSES = ["class A{k} extends B{s}", "class A{k}(B{s}, mod.C{s}, metaclass=M):", "class A{k}(val x: Int) : B{s}(x), C{s}", "export class A{k}<T> extends B{s} implements C{s}, ns.D{s} {", "class A{k} < B{s}", "class A{k}"]
+_SUFFIXES = [".php", ".py", ".kt", ".ts", ".rb", ".java"]
+
 
-    lines = textsearch.lines_of(_R(spark, sf_dir, "documents"), "doc_id", "text")
-    edges = graph.hierarchy_edges(lines, "file", "text", "([a-z]+) of ([a-z]+)")
-    return edges.groupBy("parent").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("child").alias("children"))
+@register("class_hierarchy", """
+WITH l AS (SELECT l_linenumber % 6 AS n, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) || ['.php', '.py', '.kt', '.ts', '.rb', '.java'][l_linenumber % 6 + 1] AS file, 'A' || l_linenumber AS child, l_suppkey::VARCHAR AS s FROM lineitem),
+e AS (
+  SELECT file, 'extends' AS kind, child, 'B' || s AS parent FROM l
+  UNION ALL SELECT file, CASE n WHEN 3 THEN 'implements' ELSE 'extends' END, child, 'C' || s FROM l WHERE n IN (1, 2, 3)
+  UNION ALL SELECT file, 'implements', child, 'D' || s FROM l WHERE n = 3)
+SELECT DISTINCT * FROM e""")
+def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who extends and implements whom, as six languages write it; the last header of a file goes on over two lines."""
+    from repolens.functions import paths
+    from repolens.operators import hierarchy
+
+    lines = _R(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").dropDuplicates()
+    pick = lambda some: F.element_at(F.array(*[F.lit(x) for x in some]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    text = F.replace(F.replace(pick(_CLASSES), F.lit("{k}"), F.col("l_linenumber").cast("string")), F.lit("{s}"), F.col("l_suppkey").cast("string"))
+    file = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]), pick(_SUFFIXES))
+    first = lines.select(file.alias("file"), F.lit(1).alias("line"), text.alias("text"))
+    split = lines.where(F.col("l_linenumber") % 6 == 5).select(file.alias("file"), F.lit(2).alias("line"), F.concat(F.lit("    extends B"), F.col("l_suppkey"), F.lit(" {")).alias("text"))
+    return hierarchy.edges(hierarchy.headers(first.unionByName(split)), paths.extension(F.col("file")))
 
 
 @register("reindex_upsert", """

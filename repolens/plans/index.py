@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import names
 from repolens.functions.tokenize import weighted_tokens
-from repolens.operators import cochange, graph
+from repolens.operators import cochange, graph, project
 from repolens.operators.bm25 import postings
 from repolens.sources.store import SCHEMA_VERSION
 
@@ -39,21 +39,21 @@ def build(parsed: DataFrame, log: DataFrame | None = None, unique_only: bool = F
     counts = files.agg(F.count(F.lit(1)).alias("indexed_files"), F.array_sort(F.collect_set("language")).alias("languages"), F.sum(F.col("special").cast("long")).alias("special_files"))
     metadata = counts.crossJoin(kinds).withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("fallback_files", F.col("indexed_files") - F.coalesce("special_files", F.lit(0)))
     return {
-        "files": files, "symbols": symbols, "refs": refs, "cochanges": pairs, "search_docs": docs, "search_postings": index.repartition("term").sortWithinPartitions("term"),
+        "parsed": parsed, "files": files, "symbols": symbols, "refs": refs, "cochanges": pairs, "search_docs": docs, "search_postings": index.repartition("term").sortWithinPartitions("term"),
         "search_stats": docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg("doc_length").alias("avg_doc_length")), "metadata": metadata,
     }
 
 
-def reindex(spark: SparkSession, parsed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``parsed`` with the files of ``fresh`` replaced: an incremental build parses only those and derives the rest again."""
-    from repolens.operators.project import upsert
-
-    return upsert(parsed, fresh, "path")
+def reindex(parsed: DataFrame, fresh: DataFrame, gone: list[str] | None = None) -> DataFrame:
+    """``parsed`` with the files of ``fresh`` replaced and those in ``gone`` left out: only they are parsed, the rest is derived again."""
+    kept = parsed.where(~F.col("path").isin(gone)) if gone else parsed
+    return project.upsert(kept, fresh, "path")
 
 
 def edges(tables: dict[str, DataFrame]) -> DataFrame:
     """(origin, symbol, file, caller, line, kind): references with both ends' files."""
-    s = tables["symbols"]
-    caller = s.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("path").alias("file"), F.col("short_name").alias("caller"), "line", F.when(F.col("type") == "module", "module_script").otherwise("method_call").alias("kind"))
-    called = s.select(F.col("symbol_id").alias("called_symbol_id"), F.col("path").alias("origin"), F.col("short_name").alias("symbol"))
-    return tables["refs"].join(caller, "caller_symbol_id").join(called, "called_symbol_id").select("origin", "symbol", "file", "caller", "line", "kind")
+    both = graph.callers_of(tables["refs"], tables["symbols"], more=("type",))
+    return both.select(
+        F.col("called_path").alias("origin"), F.col("called_short_name").alias("symbol"), F.col("caller_path").alias("file"), F.col("caller_short_name").alias("caller"), F.col("caller_line").alias("line"),
+        F.when(F.col("caller_type") == "module", "module_script").otherwise("method_call").alias("kind"),
+    )

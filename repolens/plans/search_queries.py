@@ -90,7 +90,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 _VECTOR_SQL = f"""
-SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({_VECTOR}::DOUBLE[])[i])), 6) AS score
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), 6) AS score
 FROM embeddings WHERE len(embedding) = 64"""
 
 

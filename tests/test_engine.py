@@ -82,3 +82,112 @@ def test_calls_are_checked(engine):
     assert engine.call("search_code", pattern="x", max_results=0)["status"] == "error"
     assert engine.call("search_code", pattern="total_for")["total_matches"] == 3
     assert engine.call("get_context", target="app/orders.py", symbol="total_for")["status"] == "success"
+
+
+def project(spark, tmp_path, files, store=None):
+    for path, text in files.items():
+        (tmp_path / "p" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / path).write_text(text)
+    e = Engine(spark, store)
+    e.set_project_path(str(tmp_path / "p"))
+    e.build_deep_index()
+    return e
+
+
+LARAVEL = {
+    "composer.json": '{"require": {"laravel/framework": "^11"}}',
+    "artisan": "",
+    "app/Http/Controllers/HomeController.php": "<?php\nclass HomeController {\n    public function index() {\n        return 'ok';\n    }\n}\n",
+    "app/Services/PricingService.php": "<?php\nclass PricingService {\n    public function rateFor($x) {\n        return $x;\n    }\n}\n",
+    "app/Http/Controllers/CheckoutController.php": "<?php\nclass CheckoutController {\n    public function quote() {\n        return 1;\n    }\n}\n",
+    "routes/web.php": "<?php\nRoute::get('/', [HomeController::class, 'index']);\nRoute::post('/checkout', [PricingService::class, 'quote']);\n",
+    "bootstrap/app.php": "<?php\napp()->singleton(PricingService::class);\n",
+    "database/migrations/2024_create_users.php": "<?php\nreturn new class {\n    public function up(): void {\n        Schema::table('users', function ($table) {\n            $table->index(['email']);\n        });\n    }\n};\n",
+    "resources/views/home.blade.php": "<p>{{ $x }}</p>\n",
+}
+
+
+@pytest.fixture(scope="module")
+def laravel(spark, tmp_path_factory):
+    return project(spark, tmp_path_factory.mktemp("laravel"), LARAVEL)
+
+
+def test_generic_names_in_migrations_are_no_callers(laravel):
+    c = laravel.get_context("app/Http/Controllers/HomeController.php", symbol="index")
+    assert c["symbol_context"]["found"]
+    assert "database/migrations/2024_create_users.php" not in {x["file"] for x in c["direct_callers"]}
+
+
+def test_framework_files_that_name_the_target_are_wired(laravel):
+    c = laravel.get_context("app/Services/PricingService.php", symbol="rateFor", include_source=False)
+    reasons = {r["file"]: r for r in c["related_file_reasons"]}
+    for file in ("routes/web.php", "bootstrap/app.php"):
+        assert reasons[file]["role"] == "framework_entrypoint" and reasons[file]["certainty"] == "probable" and reasons[file]["evidence_type"] == "framework_wiring"
+        assert file in c["relationship_buckets"]["probable"]
+    assert "app/Http/Controllers/HomeController.php" not in {f for f, r in reasons.items() if r["role"] == "framework_entrypoint"}
+
+
+def test_callers_are_as_certain_as_their_evidence(spark):
+    from pyspark.sql import functions as F
+
+    from repolens.operators import evidence
+
+    rows = [
+        ("method_call", "index", "services", False, ("direct_caller", "certain", 90)), ("method_call", "scan", "services", False, ("direct_caller", "probable", 78)),
+        ("instantiation", "scan", "other", False, ("direct_caller", "certain", 90)), ("method_call", "scan", "migrations", False, ("direct_caller", "probable", 78)),
+        ("method_call", "index", "migrations", False, ("direct_caller", "probable", 78)), ("module_script", "index", "other", False, ("file_scope_caller", "certain", 80)),
+        ("method_call", "index", "routes", True, ("framework_entrypoint", "probable", 82)),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "kind string, source string, category string, entry boolean")
+    got = df.select(evidence.caller_grade(F.col("kind"), F.col("source"), F.col("category"), F.col("entry")).alias("g")).collect()
+    assert [tuple(r["g"]) for r in got] == [r[4] for r in rows]
+
+
+def test_hooks_are_no_impact_and_counts_are_whole(spark, tmp_path):
+    files = {"app/base.py": "class Base:\n    def __init__(self):\n        pass\n\n    def work_done(self):\n        return 1\n"}
+    files |= {f"app/user_{i:02d}.py": f"from app.base import Base\n\n\ndef use_{i}():\n    b = Base()\n    return b.work_done()\n" for i in range(60)}
+    e = project(spark, tmp_path, files)
+    c = e.get_context("app/base.py", symbol="work_done", owner="Base")
+    assert c["impact_context"]["affected_files"] == 60 and c["impact_context"]["risk_level"] == "critical"
+    assert e.get_impact_analysis("app/base.py")["affected_files"] == 60
+    assert c["blast_radius"]["direct_usages"] == 60 and len(c["direct_callers"]) == 10
+
+
+def test_excerpts_see_whole_files(spark, tmp_path):
+    long = "".join(f"x{i} = {i}\n" for i in range(20_000)) + "def at_the_end():\n    return 1\n"
+    e = project(spark, tmp_path, {"app/long.py": long, "app/short.py": "def short_one():\n    return 2\n"})
+    assert e.get_edit_region("app/long.py", start_line=20_001, end_line=20_002, context_lines=0)["text"] == "20001 | def at_the_end():\n20002 |     return 1"
+    assert e.get_edit_region("app/none.py", start_line=1)["status"] == "error"
+
+
+def test_one_file_is_parsed_again(spark, tmp_path):
+    e = project(spark, tmp_path, trees.PYTHON, str(tmp_path / "store"))
+    (tmp_path / "p/app/api.py").write_text("from app.orders import total_for\n\n\ndef show_all(order):\n    return total_for(order)\n")
+    (tmp_path / "p/app/models.py").unlink()
+    assert "6 files" in e.reindex_file("app/api.py") and "5 files" in e.reindex_file("app/models.py")
+    c = e.get_context("app/orders.py", symbol="total_for")
+    assert [x["snippets"][0]["line"] for x in c["direct_callers"]] == [4] and e.search_symbols("show all")[0]["short_name"] == "show_all"
+    assert e.search_symbols("User")[:1] == [] or e.search_symbols("User")[0]["file"] != "app/models.py"
+
+
+def test_semantic_peers_of_source_are_source(spark, tmp_path):
+    files = {"app/service.py": 'def greet(name):\n    """Greet a person by name."""\n    return name\n', "app/greeter_helpers.py": "def format_greet_name(x):\n    return x\n"}
+    files |= {"tests/test_service.py": "def test_greet_name():\n    pass\n", "fixtures/demo_case.py": "def greet_name_case():\n    pass\n"}
+    e = project(spark, tmp_path, files)
+    c = e.get_context("app/service.py", symbol="greet")
+    alike = {r["file"] for r in c["related_file_reasons"] if r["role"] == "semantic_related"}
+    assert alike == {"app/greeter_helpers.py"}
+    q = e.get_context(query="greet person name")
+    assert q["query_resolution"]["target"] == "app/service.py" and q["query_resolution"]["selection_reason"] and all(a["rejected_reason"] for a in q["query_resolution"]["alternatives"])
+
+
+def test_headers_over_two_lines_have_parents(spark, tmp_path):
+    files = {"src/a.ts": "export class Derived\n  extends Base\n  implements Shape, Other {\n}\n", "src/b.ts": "export class Base {}\n"}
+    h = project(spark, tmp_path, files).get_class_hierarchy("Derived")
+    assert h["extends"] == ["Base"] and sorted(h["implements"]) == ["Other", "Shape"]
+
+
+def test_scope_is_a_category_or_a_folder(engine):
+    found = engine.find_references("total_for", scope="app")
+    assert {r["file"] for r in found.collect()} == {"app/api.py"}
+    assert engine.find_references("total_for", scope="tests").count() == 0
