@@ -466,7 +466,8 @@ class Engine:
             return []
         folders = [self.structure.folders[c] for c in evidence.WIRED_CATEGORIES if c in self.structure.folders] + evidence.WIRED_FOLDERS
         also = F.col("path").isin(known) & self._entry(F.col("path")) if known else None
-        return sorted(r["file"] for r in evidence.wired_files(self._texts(), folders, wanted, target, also=also).collect())
+        source = self._texts().where(self.structure.holds(F.col("path")))
+        return sorted(r["file"] for r in evidence.wired_files(source, folders, wanted, target, also=also).collect())
 
     def _alike(self, target: str, role: str, out: dict, limit: int) -> list[str]:
         """Files whose symbols read like the target's name and docstring; for a source file only source files."""

@@ -32,11 +32,13 @@ def test_lists_and_dumps(spark, tmp_path):
     [
         ({"pyproject.toml": "dependencies=['fastapi']"}, "python", "fastapi"), ({"package.json": json.dumps({"dependencies": {"@nestjs/core": "1"}}), "tsconfig.json": "{}"}, "typescript", "nestjs"),
         ({"package.json": "{}"}, "javascript", "node"), ({"composer.json": json.dumps({"require": {"symfony/framework-bundle": "6"}})}, "php", "symfony"), ({"composer.json": "{}", "artisan": ""}, "php", "laravel"),
-        ({"pubspec.yaml": "flutter:\n"}, "dart", "flutter"), ({"go.mod": ""}, "go", "go"), ({"a.csproj": ""}, "csharp", "aspnet"), ({}, "unknown", "none"), ({"package.json": "not json"}, "javascript", "node"),
+        ({"pubspec.yaml": "flutter:\n"}, "dart", "flutter"), ({"go.mod": ""}, "go", "none"), ({"go.mod": "require github.com/gin-gonic/gin"}, "go", "go"), ({"a.csproj": '<Project Sdk="Microsoft.NET.Sdk.Web">'}, "csharp", "aspnet"), ({"a.csproj": ""}, "csharp", "none"),
+        ({"Gemfile": "", "config/routes.rb": ""}, "ruby", "rails"), ({"build.gradle.kts": "spring-boot"}, "kotlin", "spring"), ({"package.json": json.dumps({"dependencies": {"expo": "1"}})}, "javascript", "reactnative"), ({}, "unknown", "none"), ({"package.json": "not json"}, "javascript", "node"),
     ],
 )
 def test_detection(tmp_path, names, language, framework):
     for name, text in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     s = config.structure_of(str(tmp_path))
     assert (s.language, s.framework) == (language, framework)
@@ -86,3 +88,20 @@ def test_validation():
     assert validation.search_pattern("a(b", regex=True) and validation.search_pattern("(?=x)", regex=True) and validation.search_pattern("x" * 1001)
     assert validation.page(0, 10) is None and validation.page(-1, 10) and validation.page(0, 0)
     assert validation.extensions([".py"]) is None and validation.extensions(["py"])
+
+
+def test_folders_without_src_and_suffixes_of_workspaces(spark, tmp_path):
+    for path, text in {"package.json": json.dumps({"dependencies": {"next": "1"}, "workspaces": ["apps/*"]}), "app/api/x.ts": "", "services/y.ts": "", "apps/shop/composer.json": "{}", "apps/shop/artisan": "", "apps/shop/app/Models/U.php": "", ".repolens.yaml": "exclude_dirs:\n  - legacy\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    s = config.structure_of(str(tmp_path))
+    assert (s.framework, s.folders["controllers"], s.folders["services"], s.folders["models"]) == ("nextjs", "app/api", "services", "src/models")
+    assert s.workspaces == ["apps/shop"] and s.folders["shop_models"] == "apps/shop/app/Models"
+    paths = ["a.ts", "b.php", "c.blade.php", "d.cjs", "legacy/e.ts", "dist/f.ts", "g.py", "distance/h.jsx"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r["path"] for r in df.where(s.holds(df["path"])).collect()} == {"a.ts", "b.php", "c.blade.php", "d.cjs", "distance/h.jsx"}
+
+
+def test_broken_configuration_counts_as_none(tmp_path):
+    (tmp_path / ".repolens.json").write_text("{broken")
+    assert config.load_config(str(tmp_path)) == {}
