@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions.syntax import SYNTAX, classify_usage, usage_sql
+from repolens.functions.tokenize import SQL_TOKENS
 from repolens.operators import textsearch
 from repolens.plans import index
 from repolens.plans.registry import register
-from repolens.sources import tree
+from repolens.sources import store, tree
 
 TREE = {
     "app/orders.py": 'class Orders:\n    """All orders."""\n\n    def total_for(self, order):\n        return sum(order)\n',
@@ -42,25 +43,83 @@ def usage_classify_php(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.where("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("parse_symbols")
+# What each language writes around a symbol; a file's language is its number's.
+_AROUND = {
+    "php": "$x->{}();", "python": "from app import {}", "javascript": "return new {}(x)", "typescript": "class A implements Other, {} {{", "dart": "{} x = make();", "go": "x := pkg.{}(1)", "rust": "let x = {}::new();",
+    "java": "class A extends {} {{", "ruby": "class A < {}",
+}
+_KIND = "CASE file % 9 " + " ".join(f"WHEN {i} THEN {usage_sql('trim(t)', SYMBOL, SYNTAX[name])}" for i, name in enumerate(_AROUND)) + " END"
+_HEAD = "CASE file % 9 " + " ".join(f"WHEN {i} THEN '{line.format(SYMBOL)}'" for i, line in enumerate(_AROUND.values())) + " END"
+
+
+@register("usage_classify_languages", f"""
+WITH {_LINES}, v AS (SELECT file, t FROM lines UNION ALL SELECT doc_id, {_HEAD.replace("file", "doc_id")} FROM documents),
+k AS (SELECT file % 9 AS language, {_KIND} AS kind FROM v) SELECT language, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
+def usage_classify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages by kind in all nine languages: every line of every document, and a line of each language's own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    head, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, line) in enumerate(_AROUND.items()):
+        head = F.when(F.col("doc_id") % 9 == i, line.format(SYMBOL)).otherwise(head)
+        kind = F.when(F.col("file") % 9 == i, classify_usage(F.col("text"), SYMBOL, SYNTAX[name])).otherwise(kind)
+    lines = textsearch.lines_of(docs, "doc_id", "text").select("file", "text").unionByName(docs.select(F.col("doc_id").alias("file"), head.alias("text")))
+    return lines.select((F.col("file") % 9).alias("language"), kind.alias("kind")).where("kind IS NOT NULL").groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# What the tree above holds, by hand: symbols with their places, and who calls them.
+_SYMBOLS = """s(path, short_name, type, line, end_line, signature, docstring, called_by) AS (VALUES
+  ('app/api.py', 'show', 'function', 4, 6, 'def show(order):', NULL, []::VARCHAR[]),
+  ('app/orders.py', 'Orders', 'class', 1, 5, NULL, 'All orders.', []),
+  ('app/orders.py', 'Orders.total_for', 'method', 4, 5, 'def total_for(self, order):', NULL, ['app/api.py::show']),
+  ('cmd/main.go', 'main', 'function', 7, NULL, 'func main()', NULL, []),
+  ('cmd/main.go', 'rate', 'function', 3, NULL, 'func rate(x int) int', NULL, ['cmd/main.go::main']),
+  ('lib/pay.php', 'Pay', 'class', 2, 6, 'class Pay', NULL, ['lib/run.php::__file_scope__']),
+  ('lib/pay.php', 'Pay.charge', 'method', 3, 5, 'public function charge(int $x)', NULL, ['lib/run.php::__file_scope__']),
+  ('lib/run.php', '__file_scope__', 'module', 1, 3, NULL, NULL, []),
+  ('web/price.ts', 'Price', 'class', 1, 7, 'export class Price', NULL, []),
+  ('web/price.ts', 'Price.constructor', 'method', 2, 2, 'constructor(private readonly store: Store)', NULL, []),
+  ('web/price.ts', 'Price.rate', 'method', 4, 6, 'rate(id: string)', NULL, []),
+  ('web/store.ts', 'Store', 'class', 1, 5, 'export class Store', NULL, ['web/price.ts::Price.constructor']),
+  ('web/store.ts', 'Store.find', 'method', 2, 4, 'find(id: string)', NULL, ['web/price.ts::Price.rate']))"""
+
+
+def _built(spark: SparkSession) -> dict[str, DataFrame]:
+    return index.build(tree.parse_files(tree.from_tree(spark, TREE)))
+
+
+@register("parse_symbols", f"WITH {_SYMBOLS} SELECT path || '::' || short_name AS symbol_id, path, short_name, type, line, end_line, signature, called_by FROM s")
 def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols of a tree in seven files and four languages."""
-    return index.build(tree.parse_files(tree.from_tree(spark, TREE)))["symbols"].select("symbol_id", "path", "short_name", "type", "line", "end_line", "signature", "called_by")
+    return _built(spark)["symbols"].select("symbol_id", "path", "short_name", "type", "line", "end_line", "signature", "called_by")
 
 
-@register("index_references")
+@register("index_references", f"""
+WITH {_SYMBOLS}, e AS (SELECT path AS origin, short_name AS symbol, unnest(called_by) AS by FROM s)
+SELECT origin, symbol, s.path AS file, s.short_name AS caller, s.line, CASE s.type WHEN 'module' THEN 'module_script' ELSE 'method_call' END AS kind
+FROM e JOIN s ON s.path || '::' || s.short_name = e.by""")
 def index_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its call graph."""
-    return index.edges(index.build(tree.parse_files(tree.from_tree(spark, TREE))))
+    return index.edges(_built(spark))
 
 
-@register("index_postings")
+_FIELD = {c: SQL_TOKENS.format(text=c) for c in ("member", "owner", "signature", "docstring", "path")}
+
+
+@register("index_postings", f"""
+WITH {_SYMBOLS}, n AS (SELECT path || '::' || short_name AS symbol_id, *, regexp_extract(short_name, '([^.]*)$', 1) AS member, CASE WHEN contains(short_name, '.') THEN split_part(short_name, '.', 1) END AS owner FROM s WHERE type <> 'module'),
+t AS (SELECT symbol_id, unnest(list_concat(list_concat({_FIELD['member']}, {_FIELD['member']}), list_concat(list_concat({_FIELD['owner']}, {_FIELD['signature']}),
+  list_concat({_FIELD['docstring']}, list_filter({_FIELD['path']}, lambda x, i: i % 2 = 1))))) AS term FROM n)
+SELECT symbol_id, term, count(*) AS tf FROM t GROUP BY ALL""")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its inverted index."""
-    return index.build(tree.parse_files(tree.from_tree(spark, TREE)))["search_postings"]
+    return _built(spark)["search_postings"]
 
 
-@register("index_metadata")
+@register("index_metadata", f"""
+WITH {_SYMBOLS}, k AS (SELECT type, count(*) AS n FROM s GROUP BY type)
+SELECT (SELECT count(DISTINCT path) FROM s) AS indexed_files, ['go', 'php', 'python', 'typescript'] AS languages, 7::BIGINT AS special_files,
+  (SELECT list_sort(list(type || '=' || n)) FROM k) AS symbol_types, (SELECT count(*) FROM s) AS total_symbols, {store.SCHEMA_VERSION}::INTEGER AS schema_version, 0::BIGINT AS fallback_files""")
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its totals."""
-    return index.build(tree.parse_files(tree.from_tree(spark, TREE)))["metadata"]
+    kinds = F.array_sort(F.transform(F.map_entries("symbol_types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return _built(spark)["metadata"].withColumn("symbol_types", kinds)

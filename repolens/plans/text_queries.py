@@ -140,16 +140,20 @@ def symbol_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.symbol_body(_lines(spark, sf_dir), symbols).select("file", "symbol", "body", "truncated")
 
 
-@register("clean_names", r"""
-WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM documents)
-SELECT name, regexp_matches(name, '^[a-zA-Z_$][a-zA-Z0-9_$]*(\.[a-zA-Z_$][a-zA-Z0-9_$]*)*$') AS is_identifier FROM w
-WHERE length(name) BETWEEN 1 AND 128 AND NOT regexp_matches(name, '[\s(){}\[\]";,`'']') AND regexp_matches(name, '^[\x00-\x7f]*$')""")
+_BLANK = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"  #: white space of any script, for an engine that only knows ASCII's
+_WORDLY = r"\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
+
+
+@register("clean_names", rf"""
+WITH w AS (SELECT DISTINCT unnest(list_concat(string_split(text, ' '), [source || '.' || lang, lang || chr(160) || 'x', 'na' || chr(239) || 've', chr(233) || 't' || chr(233)])) AS name FROM documents)
+SELECT name, regexp_matches(name, '^[a-zA-Z_$][{_WORDLY}$]*(\.[a-zA-Z_$][{_WORDLY}$]*)*$') AS is_identifier FROM w
+WHERE length(name) BETWEEN 1 AND 128 AND NOT regexp_matches(name, '[{_BLANK}(){{}}\[\]";,`'']')""")
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names that the index keeps, and which of them summaries show."""
+    """Names of any script that the index keeps, and which of them summaries show."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = docs.select(F.explode(F.split("text", " ")).alias("name")).dropDuplicates()
-    ascii_only = F.col("name").rlike(r"^[\x00-\x7f]*$")
-    return words.where(names.is_clean(F.col("name")) & ascii_only).select("name", names.is_identifier(F.col("name")).alias("is_identifier"))
+    odd = F.array(F.concat_ws(".", "source", "lang"), F.concat("lang", F.lit("\u00a0x")), F.lit("na\u00efve"), F.lit("\u00e9t\u00e9"))
+    words = docs.select(F.explode(F.concat(F.split("text", " "), odd)).alias("name")).dropDuplicates()
+    return words.where(names.is_clean(F.col("name"))).select("name", names.is_identifier(F.col("name")).alias("is_identifier"))
 
 
 @register("qualified_names", rf"WITH {_PATHS} SELECT page_id, replace(regexp_replace(path, '\.[^./]+$', ''), '/', '.') || '.ns.f' AS qualified FROM paths WHERE NOT ends_with(path, '/')")
