@@ -89,11 +89,14 @@ _LETTER = r"\pL\pN_"
 
 def _re2(pattern: str) -> str:
     """The pattern with word boundaries and word characters of any script, for an engine that only knows ASCII ones."""
+    # one character may end the first word and begin the second
+    pattern = pattern.replace(r"\b.*\b", "\x00").replace(r"\s+.*\b", "\x01")
     out = ""
     for i, part in enumerate(pattern.split(r"\b")):
         if i:
             out += f"(?:$|[^{_LETTER}])" if out and (out[-1].isalnum() or out[-1] == "_") else f"(?:^|[^{_LETTER}])"
         out += part
+    out = out.replace("\x00", f"(?:[^{_LETTER}]|[^{_LETTER}].*[^{_LETTER}])").replace("\x01", rf"(?:\s+|\s+.*[^{_LETTER}])")
     return out.replace(r"[\w\\\s,]", rf"[{_LETTER}\\\s,]").replace(r"[\w\\]", rf"[{_LETTER}\\]").replace(r"\w+", f"[{_LETTER}]+")
 
 

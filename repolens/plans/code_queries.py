@@ -45,7 +45,7 @@ def usage_classify_php(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What each language writes around a symbol; a file's language is its number's.
 _AROUND = {
-    "php": "$x->{}();", "python": "from app import {}", "javascript": "return new {}(x)", "typescript": "class A implements Other, {} {{", "dart": "{} x = make();", "go": "x := pkg.{}(1)", "rust": "let x = {}::new();",
+    "php": "$x->{}();", "python": "from app import {}", "javascript": "return new {}(x)", "typescript": "class A implements {} {{", "dart": "{} x = make();", "go": "x := pkg.{}(1)", "rust": "let x = {}::new();",
     "java": "class A extends {} {{", "ruby": "class A < {}",
 }
 _KIND = "CASE file % 9 " + " ".join(f"WHEN {i} THEN {usage_sql('trim(t)', SYMBOL, SYNTAX[name])}" for i, name in enumerate(_AROUND)) + " END"
