@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -35,40 +36,69 @@ def n_words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none (local runs)."""
+    """The shared folder that the session names. One of our own only on a single machine; elsewhere each machine would have another."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="repolens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    at = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if at.isDefined():
+        _remember(at.get())
+    return out
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: columns that a reader leaves out aren't read."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _STASHED.append(path)
+    _remember(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_STASHED: list[str] = []
+def _remember(path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_at_exit)
+    _WRITTEN.append(path)
+
 
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be going down too
+            clean_scratch(spark)
 
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete the tables that ``stash`` has written. Call it when results that were built from them are written."""
-    jvm = spark.sparkContext._jvm
-    while _STASHED:
-        path = jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def clean_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables and checkpoints that ``stash`` and ``cut`` have written, but for the files of ``keep``.
+
+    Call it when results that were built from them are written; what is left goes when the program ends.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = {jvm.org.apache.hadoop.fs.Path(f).getParent().toUri().getPath() for f in (keep.inputFiles() if keep is not None else [])}
+    left = []
+    for written in _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(written)
+        if path.toUri().getPath() in kept:
+            left.append(written)
+        else:
+            path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[:] = left
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -425,8 +425,8 @@ def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row:
         ids, keys, offsets, lengths = (np.repeat(found.column(c).to_numpy().astype(np.int64), copies) for c in ("doc_id", "text_key", "offset", "length"))
         order = np.lexsort((keys, ids))
         ids, keys, starts, lengths = ids[order], keys[order], (np.ascontiguousarray(raw).view("<i4").ravel() + offsets)[order], lengths[order]
-        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist() if len(ids) else []
-        for x, y in zip(first, [*first[1:], len(ids)], strict=True):
+        head = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])][: len(ids)]
+        for x, y in _slices(np.cumsum(head)):
             for j in rows[int(ids[x]), int(keys[x])]:
                 if edges[j] is None:
                     edges[j] = np.zeros(len(texts[j].as_py().encode("utf-8", "surrogatepass").split()) + 1, np.int32)

@@ -271,6 +271,8 @@ def test_substrings(spark, documents, nothing, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert spans(documents) == brute_spans(rows)
     assert spans(nothing) == []
+    unlike = spark.createDataFrame([(i, " ".join(f"{i}.{k}" for k in range(40))) for i in range(5)], "doc_id long, text string")
+    assert [n for _, _, n, _ in spans(unlike)] == [0] * 5
     out = substrings.deduped(documents)
     assert out.columns == documents.columns and out.count() == documents.count()
     assert substrings.deduped(nothing).count() == 0
