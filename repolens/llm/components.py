@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars (Kiveris et al., 2014), as joins and aggregates."""
+"""Connected components by alternating large and small stars (Kiveris et al., 2014), as joins and aggregates.
+
+Links with a null end, and links of a node with itself, are no links. Repeated links count once. Without links there are no rows. Columns besides the
+two ends aren't read.
+"""
 
 from __future__ import annotations
 

@@ -189,16 +189,17 @@ def test_hilbert_neighbours_are_adjacent():
     assert sorted(key) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-def test_language_model(spark, documents, nothing):
-    got = languagemodel.score_documents(documents).collect()
-    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"<e>"]) for r in documents.collect()]
+def check_scores(rows, got):
+    """All columns against counts in dictionaries."""
+    rows = [(i, (t or "").encode().lower().split() + [b"<e>"]) for i, t in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     c, pairs, triples, docs = Counter(), Counter(), Counter(), 0
+    around = lambda w: zip([b"<s>", b"<s>", *w[:-2]][: len(w)], [b"<s>", *w[:-1]], w, strict=True)
     for i, w in rows:
         if not held(i):
             docs += 1
             c.update(w)
-            pairs.update(zip([b"<s>", *w[:-1]], w, strict=True)), triples.update(zip([b"<s>", b"<s>", *w[:-2]][: len(w)], [b"<s>", *w[:-1]], w, strict=True))
+            pairs.update(zip([b"<s>", *w[:-1]], w, strict=True)), triples.update(around(w))
     pairs[b"<s>", b"<s>"] = c[b"<s>"] = docs
     n, v = sum(c.values()) - docs, len(c) - 1
     p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
@@ -209,11 +210,19 @@ def test_language_model(spark, documents, nothing):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == expected
     by_id = {r["doc_id"]: r for r in got}
     for i, w in rows:
-        score = sum(math.log10(p3(*x)) for x in zip([b"<s>", b"<s>", *w[:-2]][: len(w)], [b"<s>", *w[:-1]], w, strict=True))
-        assert abs(by_id[i]["score"] - score) < 5e-4 * len(w)
+        assert abs(by_id[i]["score"] - sum(math.log10(p3(*x)) for x in around(w))) < 5e-4 * len(w)
+
+
+def test_language_model(spark, documents, nothing):
+    check_scores([(r["doc_id"], r["text"]) for r in documents.collect()], languagemodel.score_documents(documents).collect())
     assert languagemodel.score_documents(nothing).count() == 0
 
 
+def test_language_model_with_more_words_than_a_short_product_holds(spark):
+    rows = [(i, " ".join(f"w{(i * 7919 + k * k) % 250_000}" for k in range(9000))) for i in range(40)]
+    check_scores(rows, languagemodel.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(1)
     for n, u in ((0, 1), (1, 5), (1000, 10), (5000, 10**9), (300, 301), (70000, 2**40)):
@@ -406,6 +415,24 @@ def test_prefix_filter_keeps_every_similar_pair(spark, seed):
     assert similar and similar <= found
 
 
+def test_near_copies_of_five_thousand_rows_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    rows, twins = [], []
+    for i in range(2500):
+        words = rng.choices(vocabulary, k=rng.randint(60, 200))
+        copy = list(words)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, copy)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            twins.append(i)
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(twins) > 1500 and sum(got[2 * i] == got[2 * i + 1] for i in twins) >= 0.99 * len(twins)
+    assert all(got[i] // 2 == i // 2 for i, _ in rows)
+
+
 def test_near_duplicates_edges(documents, nothing):
     rows = orderminhash.near_duplicates(documents).collect()
     assert len(rows) == documents.count()
