@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import names, paths, risk, syntax, validation
 from repolens.functions.pytokens import tokenize, word_tokens
-from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch
+from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch, vectors
 from repolens.plans import index
 from repolens.sources import config, store, tree
 from repolens.sources import files as file_columns
@@ -51,8 +51,9 @@ TOOLS = {"set_project_path", "search_code", "find_files", "get_symbol_body", "re
 class Engine:
     """One project and its index. ``store_path`` keeps the index between sessions."""
 
-    def __init__(self, spark: SparkSession, store_path: str | None = None):
-        self.spark, self.store_path = spark, store_path
+    def __init__(self, spark: SparkSession, store_path: str | None = None, hybrid: bool = False):
+        """``hybrid`` fuses symbol search with a search of the stored vectors."""
+        self.spark, self.store_path, self.hybrid = spark, store_path, hybrid
         self.root: str | None = None
         self.structure: config.Structure | None = None
         self.tables: dict[str, DataFrame] | None = None
@@ -228,11 +229,19 @@ class Engine:
     # retrieval
 
     def search_symbols(self, query: str, limit: int = 10) -> list[dict]:
-        """BM25 over the stored index, then reranking by intent."""
+        """BM25 over the stored index, fused with vectors if asked for, then reranking by intent."""
         asked = tokenize(query)
         if not asked or self.tables is None:
             return []
-        scores = bm25.index_scores(self.tables["search_postings"], self.tables["search_docs"], "symbol_id", asked).orderBy(F.desc("score"), "symbol_id").limit(max(5 * limit, 100))
+        most = max(5 * limit, 100)
+        scores = bm25.index_scores(self.tables["search_postings"], self.tables["search_docs"], "symbol_id", asked)
+        if self.hybrid:
+            own = vectors.hashed_vectors(self.spark.createDataFrame([(0, asked)], "k int, terms array<string>"), "k", "terms").first()
+            near = ranking.cosine_top_k(self.tables["search_vectors"], "symbol_id", "vector", own["vector"], most) if own else None
+            lists = [bm25.top_k(scores, "symbol_id", most)] + ([bm25.top_k(near, "symbol_id", most)] if own else [])
+            scores = ranking.reciprocal_rank_fusion([x.select("symbol_id", "rank") for x in lists], "symbol_id", most)
+        else:
+            scores = scores.orderBy(F.desc("score"), "symbol_id").limit(most)
         hits = scores.join(self.tables["symbols"].select("symbol_id", F.col("path").alias("file"), "short_name", "type", "line", "signature", "docstring"), "symbol_id")
         ranked = ranking.intent_rerank(hits, query).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "symbol_id").limit(limit)
         return [r.asDict() for r in ranked.collect()]

@@ -9,6 +9,7 @@ from repolens.functions import names
 from repolens.functions.tokenize import weighted_tokens
 from repolens.operators import cochange, graph, project
 from repolens.operators.bm25 import postings
+from repolens.operators.vectors import hashed_vectors
 from repolens.sources.store import SCHEMA_VERSION
 
 
@@ -40,7 +41,7 @@ def build(parsed: DataFrame, log: DataFrame | None = None, unique_only: bool = F
     metadata = counts.crossJoin(kinds).withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("fallback_files", F.col("indexed_files") - F.coalesce("special_files", F.lit(0)))
     return {
         "parsed": parsed, "files": files, "symbols": symbols, "refs": refs, "cochanges": pairs, "search_docs": docs, "search_postings": index.repartition("term").sortWithinPartitions("term"),
-        "search_stats": docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg("doc_length").alias("avg_doc_length")), "metadata": metadata,
+        "search_vectors": hashed_vectors(searched, "symbol_id", "terms"), "search_stats": docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg("doc_length").alias("avg_doc_length")), "metadata": metadata,
     }
 
 

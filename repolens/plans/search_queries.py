@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolens.functions.tokenize import SQL_TOKENS, tokens, weighted_tokens
-from repolens.operators import ranking
-from repolens.operators.bm25 import bm25_scores, corpus_stats, postings, top_k
+from repolens.operators import ranking, vectors
+from repolens.operators.bm25 import bm25_scores, corpus_stats, index_scores, postings, top_k
 from repolens.plans.registry import register
 
 QUERY_TERMS = ["ththe", "nterti", "ouen", "retitioning", "elle"]
@@ -114,6 +114,34 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.reciprocal_rank_fusion([_bm25(spark, sf_dir).select(F.col("doc_id").alias("id"), "rank"), v.select(F.col("vec_id").alias("id"), "rank")], "id", 25)
 
 
+_PLACE = "(('0x' || md5(t)[1:6])::BIGINT % 128)"
+
+
+@register("hashed_vectors", f"""
+WITH t AS (SELECT p_partkey, unnest(list_concat({_PART_TOKS['p_name']}, {_PART_TOKS['p_type']})) AS t FROM part),
+e AS (SELECT p_partkey, {_PLACE} AS i, sum(CASE WHEN md5(t)[32] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END)::DOUBLE AS n FROM t GROUP BY ALL HAVING n <> 0)
+SELECT p_partkey, i::INTEGER AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)), 6) AS value FROM e""")
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed vectors of parts' names and types, component by component."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(tokens(F.col("p_name")), tokens(F.col("p_type"))).alias("terms"))
+    made = vectors.hashed_vectors(p, "p_partkey", "terms").select("p_partkey", F.posexplode("vector").alias("place", "value"))
+    return made.where("value <> 0").select("p_partkey", "place", F.round("value", 6).alias("value"))
+
+
+@register("bm25_index_topk", f"""
+WITH p AS ({_POSTINGS}), lens AS (SELECT doc_id, len({_TOKS}) AS dl FROM documents WHERE len({_TOKS}) > 0), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+tf AS (SELECT * FROM p WHERE term IN ({_sql_list(QUERY_TERMS)})), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
+  FROM tf JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN stats GROUP BY tf.doc_id)
+SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20""")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same terms against postings of 64 terms a document, as the tools search them."""
+    docs = _docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
+    lengths = docs.select("doc_id", F.size("terms").alias("doc_length")).where("doc_length > 0")
+    scores = index_scores(postings(docs, "doc_id", "terms"), lengths, "doc_id", QUERY_TERMS)
+    return top_k(scores.withColumn("score", F.round("score", 4)), "doc_id", 20)
+
+
 _KINDS = ["method", "function", "class", "interface", "trait", "enum", "struct"]
 _ASKED = "['cold', 'widget', 'brand', 'standard', 'copper']"
 

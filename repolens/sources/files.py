@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions import paths
@@ -52,6 +52,11 @@ def shallow(files: DataFrame, path: str) -> None:
     files.select("path").write.mode("overwrite").text(path)
 
 
+def load_json(spark: SparkSession, schemas: dict, path: str) -> dict[str, DataFrame]:
+    """The tables that ``dump_json`` wrote, by their schemas."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+
+
 def dump_json(tables: dict[str, DataFrame], path: str) -> None:
     """Index tables as JSON lines."""
     for name, df in tables.items():

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA_VERSION = 7
-TABLES = ["parsed", "files", "symbols", "refs", "cochanges", "search_docs", "search_postings", "search_stats", "metadata"]
+SCHEMA_VERSION = 8
+TABLES = ["parsed", "files", "symbols", "refs", "cochanges", "search_docs", "search_postings", "search_stats", "search_vectors", "metadata"]
 
 
 def save(tables: dict[str, DataFrame], path: str) -> str:

@@ -191,3 +191,35 @@ def test_scope_is_a_category_or_a_folder(engine):
     found = engine.find_references("total_for", scope="app")
     assert {r["file"] for r in found.collect()} == {"app/api.py"}
     assert engine.find_references("total_for", scope="tests").count() == 0
+
+
+def test_hybrid_search_fuses_vectors(engine):
+    plain = engine.search_symbols("total for order")
+    engine.hybrid = True
+    try:
+        fused = engine.search_symbols("total for order")
+    finally:
+        engine.hybrid = False
+    assert fused[0]["short_name"] == plain[0]["short_name"] == "total_for" and fused[0]["score"] != plain[0]["score"]
+
+
+def test_settings_are_kept_by_project(tmp_path):
+    from repolens.sources import settings
+
+    assert settings.load(str(tmp_path), "/a") == {}
+    assert settings.save(str(tmp_path), "/a", depth=3, theme="x") == {"depth": 3, "theme": "x"}
+    assert settings.save(str(tmp_path), "/a", theme=None) == {"depth": 3} == settings.load(str(tmp_path), "/a")
+    assert settings.load(str(tmp_path), "/b") == {}
+    settings.clear(str(tmp_path), "/a")
+    assert settings.load(str(tmp_path), "/a") == {}
+
+
+def test_index_as_json(spark, tmp_path):
+    from repolens.plans import index
+    from repolens.sources import files, tree
+
+    tables = index.build(tree.parse_files(tree.from_tree(spark, trees.PYTHON)))
+    files.dump_json(tables, str(tmp_path))
+    again = files.load_json(spark, {k: v.schema for k, v in tables.items()}, str(tmp_path))
+    for name, df in tables.items():
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, df.collect()))
