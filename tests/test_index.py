@@ -84,3 +84,35 @@ def test_parsers_survive_fragments(text):
 
     for suffix in ("py", "js", "ts", "java", "kt", "cs", "go", "dart", "php", "zig", "m", "rs", "rb", "blade.php", "html", "txt"):
         assert parse(f"a.{suffix}", text).symbols is not None
+
+
+BLADE = """@extends('layouts.app')
+@props(['type' => 'info', 'title'])
+@section('content')
+  @include('partials.menu')
+  <x-alert type="warning" :message="$msg"><x-slot name="icon">!</x-slot></x-alert>
+  <div x-data="{ open: false, items: ['}'],
+      toggle() { this.open = !this.open } }" @click.prevent="toggle()" x-on:keyup="go">
+    <input x-model.debounce="q" x-ref="box"><a href="{{ route('home.show') }}">x</a>
+    <span x-data="counter(1)" x-text="$store.cart.total"></span>
+  </div>
+  {{ $slot }} @yield('footer') @stack('scripts') @push('styles')
+  <script>Alpine.data('counter', () => ({})); Alpine.store('cart', {}); $dispatch('saved')</script>
+@endsection
+"""
+
+
+def test_blade_templates():
+    from repolens.functions.parsing import parse
+
+    p = parse("a/home.blade.php", BLADE)
+    got = {n: (s.kind, s.line, s.end_line) for n, s in p.symbols.items()}
+    assert got == {
+        "section:content": ("section", 3, None), "component:alert": ("component", 5, None), "slot:icon": ("slot", 5, None), "alpine-inline:6": ("alpine_inline", 6, 7), "props": ("props", 2, 2),
+        "alpine:counter": ("alpine_component", 9, None), "alpine-global:counter": ("alpine_global_component", 12, None), "alpine-store:cart": ("alpine_store", 12, None),
+    }
+    assert p.symbols["props"].signature == "@props([title, type])" and p.symbols["alpine-inline:6"].signature == 'x-data="{ open, items, toggle }"'
+    assert p.imports == ["extends:layouts.app", "include:partials.menu", "push:styles"]
+    assert set(p.exports) == {
+        "yield:footer", "stack:scripts", "dispatch:saved", "event:click", "event:keyup", "model:q", "ref:box", "store:cart", "route:home.show", "attribute:alert.type", "attribute:alert.:message", "slot",
+    }
