@@ -11,6 +11,7 @@ import os
 import uuid
 from typing import Any
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ EVIDENCE = {
     "framework_entrypoint": ("framework_wiring", "An entry point of the framework that names the target."), "co_change": ("history", "Changes together with the file."),
     "semantic_related": ("semantic_search", "Its symbols read alike."),
 }
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
 STRENGTH = {"certain": "strong", "probable": "medium", "inferred": "light"}
 USAGE_REASONS = {
     "extends_or_implements": "Other types inherit from or implement this symbol.", "instantiation": "The way this symbol is constructed matters elsewhere.",
@@ -128,6 +130,11 @@ class Engine:
     def _category(self, path):
         return F.coalesce(paths.category(path, self.structure.folders), F.lit("other"))
 
+    def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A few rows of the driver as a local relation: it costs no job."""
+        fields = [f.split(" ") for f in schema.split(", ")]
+        return self.spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)}))
+
     def _lines(self) -> DataFrame:
         """(file, line, text) of the text files, split once after each listing."""
         if self._line_table is None:
@@ -236,7 +243,7 @@ class Engine:
         most = max(5 * limit, 100)
         scores = bm25.index_scores(self.tables["search_postings"], self.tables["search_docs"], "symbol_id", asked)
         if self.hybrid:
-            own = vectors.hashed_vectors(self.spark.createDataFrame([(0, asked)], "k int, terms array<string>"), "k", "terms").first()
+            own = vectors.hashed_vectors(self._frame([(0, asked)], "k int, terms array<string>"), "k", "terms").first()
             near = ranking.cosine_top_k(self.tables["search_vectors"], "symbol_id", "vector", own["vector"], most) if own else None
             lists = [bm25.top_k(scores, "symbol_id", most)] + ([bm25.top_k(near, "symbol_id", most)] if own else [])
             scores = ranking.reciprocal_rank_fusion([x.select("symbol_id", "rank") for x in lists], "symbol_id", most)
@@ -251,7 +258,7 @@ class Engine:
         hits = self.search_symbols(query, limit)
         if not hits:
             return []
-        frame = self.spark.createDataFrame([(h["symbol_id"], h["file"], h["short_name"], float(h["score"])) for h in hits], "symbol_id string, file string, short_name string, score double")
+        frame = self._frame([(h["symbol_id"], h["file"], h["short_name"], float(h["score"])) for h in hits], "symbol_id string, file string, short_name string, score double")
         ranked = ranking.path_rerank(frame, query, category=paths.category(F.col("file"), self.structure.folders))
         return [r.asDict() for r in ranked.orderBy(F.desc("adjusted_score"), F.desc(ranking.role_priority(F.col("path_role"))), F.desc("short_name"), "symbol_id").collect()]
 
@@ -264,7 +271,7 @@ class Engine:
         if not hits:
             return None
         schema = "symbol_id string, file string, short_name string, score double, path_role string, framework_match_score double, adjusted_score double"
-        frame = self.spark.createDataFrame([tuple(h[f.split(" ")[0]] for f in schema.split(", ")) for h in hits], schema)
+        frame = self._frame([tuple(h[f.split(" ")[0]] for f in schema.split(", ")) for h in hits], schema)
         auxiliary = any(some & set(word_tokens(query)) for some in ranking.AUXILIARY_WORDS.values())
         row = ranking.resolve_query(frame, "symbol_id", auxiliary).first()
         if row is None:
@@ -310,7 +317,7 @@ class Engine:
             callers = [{k: r[k] for k in keys} | {"snippets": [s.asDict() for s in r["snippets"]]} for r in found]
             indirect = []
             if callers:
-                frame = self.spark.createDataFrame([(c["file"],) for c in callers], "file string")
+                frame = self._frame([(c["file"],) for c in callers], "file string")
                 impacts = graph.impact(self.edges.where(F.length("symbol") > 2), "origin", "symbol", "file")
                 beyond = graph.indirect_dependents(frame.limit(graph.MAX_EXPANDED), impacts, path).join(F.broadcast(frame), "file", "left_anti").withColumn("category", self._category(F.col("file")))
                 order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("count"), "file"]
@@ -446,7 +453,7 @@ class Engine:
             lanes += [(f, "semantic_related", None, None, None) for f in self._alike(target, row["role"], out, max_related)]
         reasons = [{"file": target, "role": "definition", "certainty": "certain", "priority": 100}]
         if lanes:
-            frame = self.spark.createDataFrame(lanes, "file string, lane string, strongest string, source string, category string")
+            frame = self._frame(lanes, "file string, lane string, strongest string, source string, category string")
             entry, lane = self._entry(F.col("file")), F.col("lane")
             grade = (
                 F.when(lane == "direct_caller", evidence.caller_grade(F.col("strongest"), F.col("source"), F.col("category"), entry)).when(lane == "indirect", evidence.indirect_grade(entry))
@@ -462,7 +469,7 @@ class Engine:
         for r in reasons:
             out["relationship_buckets"][r["certainty"]].append(r["file"])
         listed = [[target], [c["file"] for c in out["direct_callers"]], [c["file"] for c in out["indirect_dependents"]], [r["file"] for r in reasons]]
-        merged = evidence.related_files([self.spark.createDataFrame(list(enumerate(some)), "pos long, file string") for some in listed if some], max_related)
+        merged = evidence.related_files([self._frame(list(enumerate(some)), "pos long, file string") for some in listed if some], max_related)
         out["related_files"] = [r["file"] for r in merged.orderBy("rank").collect()]
         penalty = 0.0
         if resolution:
