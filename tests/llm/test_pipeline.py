@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import duckdb
 import public_tokenizers
+import pytest
 from test_corpus import brute_classes
 from tokenizers import Tokenizer
 
 import __spark_entry__
 from repolens.llm import common, mixing, quality
+from repolens.llm import queries as llm_queries
 
 
 def test_stages_chain(spark, tmp_path):
@@ -101,3 +103,17 @@ def test_scratch_goes(spark, tmp_path):
     assert out.count() > 0
     common.clean_scratch(spark)
     assert not common._WRITTEN and not os.path.exists(held[0].removeprefix("file:"))
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    source, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{source}/{table}.parquet'")
+    df = llm_queries.queries()[name](spark, source)
+    found = con.execute(llm_queries.oracle_sql()[name])
+    columns, names = sorted(df.columns), [d[0] for d in found.description]
+    assert columns == sorted(names)
+    value = lambda x: f"{x:.4f}" if isinstance(x, float) else str(x)
+    expected = sorted(tuple(value(r[names.index(c)]) for c in columns) for r in found.fetchall())
+    assert sorted(tuple(value(r[c]) for c in columns) for r in df.collect()) == expected
