@@ -84,15 +84,20 @@ def _at_exit() -> None:
             clean_scratch(spark)
 
 
-def clean_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables and checkpoints that ``stash`` and ``cut`` have written, but for the files of ``keep``.
+def scratch_mark() -> int:
+    """How many tables and checkpoints there are; ``clean_scratch`` can spare them."""
+    return len(_WRITTEN)
+
+
+def clean_scratch(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete the tables and checkpoints that ``stash`` and ``cut`` have written, but for the first ``since`` and the files of ``keep``.
 
     Call it when results that were built from them are written; what is left goes when the program ends.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     kept = {jvm.org.apache.hadoop.fs.Path(f).getParent().toUri().getPath() for f in (keep.inputFiles() if keep is not None else [])}
-    left = []
-    for written in _WRITTEN:
+    left = _WRITTEN[:since]
+    for written in _WRITTEN[since:]:
         path = jvm.org.apache.hadoop.fs.Path(written)
         if path.toUri().getPath() in kept:
             left.append(written)

@@ -97,7 +97,9 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_scratch_goes(spark, tmp_path):
     common.clean_scratch(spark)
     spark.range(20).selectExpr("id AS doc_id", "concat('the cat and the dog of the house number ', id, ' is in a garden with that bird for it and was on a tree ', id) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    other = common.stash(spark.range(5), "other")
     out = corpus_pipeline.run(spark, str(tmp_path))
+    assert other.count() == 5  # what was there before the run stays
     held = [p for p in common._WRITTEN if "mix_sources" in p]
     assert len(held) == 1 and not any(n in p for p in common._WRITTEN for n in ("quality_rules", "near_dedup", "substring_dedup"))
     assert out.count() > 0
