@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from repolens.llm import mixing, orderminhash, packing, quality, substrings
-from repolens.llm.common import clean_scratch, stash
+from repolens.llm.common import clean_scratch, scratch_mark, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again; what a stage needed no more is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
-        clean_scratch(spark, keep=docs)
+        clean_scratch(spark, keep=docs, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)
