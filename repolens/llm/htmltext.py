@@ -39,7 +39,7 @@ from repolens.llm.substrings import _mixed
 
 MIN_RUN, MIN_PAGES, MIN_SHARE, COVER = 12, 3, 0.3, 0.8
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.8  #: inside an article, a template's block has to be nearly everywhere
-GROUP_PAGES, GROUP_BYTES = 2000, 12_000_000  #: of distinct streams in a group, about
+GROUP_PAGES, GROUP_BYTES = 500, 4_000_000  #: of distinct streams in a group, about
 SUSPECT_WORDS, SUSPECT_LINKS = 25, 0.3  #: an element with a doubtful name stays if it has so many words, sentences, and fewer links
 OTHER_TEXT = 3  #: articles are teasers if something else named as content has so many times their text
 BROADCAST_ROWS = 50_000  #: of hosts, or of (stream, block numbers); more are joined by a shuffle

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from repolens.llm.common import shuffle_width, stash, trim
 from repolens.llm.substrings import Vocabulary, _mixed, _pack, _slices, _unpack, packed_keys, unpacked_keys
 
-MU_2, MU_3 = 500.0, 5.0
+MU_2, MU_3 = 1000.0, 5.0
 BATCH_CHARS, SHARD_CHARS = 6_000_000, 24_000_000
 STEP = 4096.0  #: quantised log10 probabilities are -code / STEP
 UNSEEN = 65535

@@ -470,6 +470,7 @@ LONG = "This is a paragraph of the article itself, which has more than twenty-fi
         ('<article><p title="a > b" data-x="<i>">fine</p><p><a title="oops>end</a>', "fine\nend"),
         ("<div><p>See <a href=x>the whole long story of this here</a> now</p><ul><li><a href=y>Home</a><li><a href=z>About</a></ul></div>", "See the whole long story of this here now"),
         ("<div class=sidebar><p>" + LONG + "</p></div>", LONG),
+        ("<article><p>" + "long " * 300_000 + "<a " + "x" * 100_000 + "></p>" + "<p title=\"y>z</p>" * 2000 + "</article>", ("long " * 300_000).strip() + "\nz" * 2000),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<article><p>unclosed <a href='x>y'>l</a> <!-- c > d --> end <img alt='>'> &#233;&#x41;&nosuchthing; 1<2 <button>b</button>tail</article>", "unclosed l end éA&nosuchthing; 1<2 tail"),
     ],
