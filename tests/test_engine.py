@@ -223,3 +223,20 @@ def test_index_as_json(spark, tmp_path):
     again = files.load_json(spark, {k: v.schema for k, v in tables.items()}, str(tmp_path))
     for name, df in tables.items():
         assert sorted(map(str, again[name].collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize(
+    ("tree", "target", "symbol", "direct", "indirect"),
+    [
+        (trees.JAVASCRIPT | {"package.json": '{"dependencies": {"express": "4"}}'}, "src/services/pricing.js", "rateFor", {"src/controllers/api.js"}, {"tests/api.test.js"}),
+        (trees.GO | {"go.mod": "module shop"}, "internal/pricing/service.go", "RateFor", {"internal/api/handler.go"}, {"internal/api/handler_test.go"}),
+        (trees.DART | {"pubspec.yaml": "flutter:\n"}, "lib/services/pricing_service.dart", "rateFor", {"lib/screens/checkout_screen.dart"}, {"test/checkout_screen_test.dart"}),
+        (trees.JAVA, "src/main/java/PricingService.java", "rateFor", {"src/main/java/CheckoutController.java"}, set()),
+        (trees.PHP | {"composer.json": "{}"}, "src/SessionService.php", "refresh", {"bootstrap.php"}, set()),
+    ],
+    ids=["javascript", "go", "dart", "java", "php"],
+)
+def test_contexts_in_other_languages(spark, tmp_path, tree, target, symbol, direct, indirect):
+    c = project(spark, tmp_path, tree).get_context(target, symbol=symbol)
+    assert {x["file"] for x in c["direct_callers"]} == direct and {x["file"] for x in c["indirect_dependents"]} == indirect
+    assert c["confidence"] in ("medium", "high") and c["edit_plan"]["steps"] and set(c["related_files"]) >= {target} | direct | indirect
