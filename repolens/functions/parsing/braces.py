@@ -449,6 +449,11 @@ class Scanner:
                     self.read_assignments(brace, self.pairs.get(brace, brace), types, mine)
             elif self.lang.typed_after and t.kind == "name" and self.text_at(i + 1) == ":" and self.is_name(i + 2) and self.text_at(i - 1) in ("private", "public", "protected", "readonly", ";", "{", "val", "var"):
                 mine.setdefault(t.text, self.text_at(i + 2))
+                k = i - 1
+                while self.text_at(k) in ("private", "public", "protected", "readonly", "static"):
+                    k -= 1
+                if self.lang.annotations and self.text_at(k) in (";", "{", "}") and self.text_at(i + 2)[:1].isupper() and self.text_at(i + 2) not in PRIMITIVES:  # no parameter
+                    self.out.calls.append((owner_stack[-1][0], self.text_at(i + 2)))
             elif self.lang.name == "php" and t.text.startswith("$") and self.is_name(i - 1) and self.text_at(i - 1) not in CONTROL and self.text_at(i + 1) in (";", "="):
                 mine.setdefault(t.text[1:], self.text_at(i - 1).split("\\")[-1])
             elif t.kind == "name" and self.text_at(i + 1) == "=" and self.text_at(i + 2) == "new" and self.is_name(i + 3):
@@ -499,6 +504,8 @@ class Scanner:
             return i + 1
         scope = self.function()
         caller = scope.name if scope else FILE_SCOPE if lang.file_scope and self.owner() is None else None
+        if caller is None and lang.annotations and t.text == "new":
+            caller = self.owner()  # a field's value is made by its class
         if caller is None:
             return i + 1
         if t.text == "new" and self.is_name(i + 1) and lang.constructs:

@@ -116,3 +116,10 @@ def test_blade_templates():
     assert set(p.exports) == {
         "yield:footer", "stack:scripts", "dispatch:saved", "event:click", "event:keyup", "model:q", "ref:box", "store:cart", "route:home.show", "attribute:alert.type", "attribute:alert.:message", "slot",
     }
+
+
+def test_fields_of_a_class_are_its_edges():
+    from repolens.functions.parsing import parse
+
+    text = "import { B } from './b';\nexport class A {\n  x = new B();\n  private y: C;\n  n: string;\n  m() {\n    this.y.go();\n  }\n}\nconst z = new B();\n"
+    assert sorted(parse("a.ts", text).pending) == [("A", "B"), ("A", "C"), ("A.m", "C.go")]
