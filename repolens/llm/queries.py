@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import conversations, htmltext, languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
+from repolens.llm import conversations, hardnegatives, htmltext, languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each positive of every vector whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_trie_shared_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after damage."""
     return conversations.repair(_table(spark, sf_dir, "conversations"))
@@ -78,7 +84,7 @@ def op13_trie_shared_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_array_text, op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op7_order_minhash, op8_elias_fano_lm,
-        op9_lempel_ziv_spans, op10_url_rules, op13_trie_shared_repair,
+        op9_lempel_ziv_spans, op10_url_rules, op11_bit_sliced_negatives, op13_trie_shared_repair,
     )
     return {f.__name__: f for f in operators}
 
@@ -87,5 +93,5 @@ def oracle_sql() -> dict[str, str]:
     sql6 = "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ")"
     return {
         "op2_va_file_top_k": vafile.SQL, "op4_hash_tree_shards": sharding.SQL, "op5_water_filling": mixing.SQL, "op6_quality_rules": sql6, "op8_elias_fano_lm": languagemodel.SQL,
-        "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL, "op13_trie_shared_repair": conversations.SQL,
+        "op9_lempel_ziv_spans": substrings.SQL, "op10_url_rules": urlrules.SQL, "op11_bit_sliced_negatives": hardnegatives.SQL, "op13_trie_shared_repair": conversations.SQL,
     }
