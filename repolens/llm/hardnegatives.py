@@ -66,7 +66,7 @@ Sift = Callable[[np.ndarray | int, np.ndarray, np.ndarray], np.ndarray]
 
 
 def products(q: np.ndarray, planes: Planes, rows: np.ndarray, sift: Sift, reads: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(anchor, rows that stay, their scores), for the anchors ``q`` with any. ``reads`` gets the number of component bits that were used."""
+    """(anchor, rows that stay, their scores), for the anchors ``q`` with any. ``reads`` gets the number of candidates before each plane."""
     wide = planes.wide(q)
     kind = object if wide else np.float64
     exact = q.astype(object) if wide else q.astype(np.float64)
@@ -80,11 +80,11 @@ def products(q: np.ndarray, planes: Planes, rows: np.ndarray, sift: Sift, reads:
     whole = len(rows) == planes.n
     while bit and stay.mean() > FEW:
         bit -= 1
+        if reads is not None:
+            reads.append(int(stay.sum()))
         score += (fit @ read(bit, slice(None) if whole else rows).T).astype(kind) * (1 << bit)
         left = (1 << bit) - 1
         stay &= sift(every, score + less[:, None] * left, score + more[:, None] * left)
-        if reads is not None:
-            reads.append(stay.size)
     for i in np.flatnonzero(stay.any(1)):
         own = np.flatnonzero(stay[i])
         s = score[i, own]
