@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import conversations, hardnegatives, htmltext, languagemodel, mixing, orderminhash, packing, quality, sharding, substrings, urlrules, vafile
+from repolens.llm import conversations, hardnegatives, htmltext, languagemodel, mixing, orderminhash, packing, personal, quality, sharding, substrings, urlrules, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op11_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op12_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, by form and by context."""
+    return personal.find(_table(spark, sf_dir, "documents"))
+
+
 def op13_trie_shared_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after damage."""
     return conversations.repair(_table(spark, sf_dir, "conversations"))
@@ -84,7 +89,7 @@ def op13_trie_shared_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_array_text, op2_va_file_top_k, op3_hilbert_packing, op4_hash_tree_shards, op5_water_filling, op6_quality_rules, op7_order_minhash, op8_elias_fano_lm,
-        op9_lempel_ziv_spans, op10_url_rules, op11_bit_sliced_negatives, op13_trie_shared_repair,
+        op9_lempel_ziv_spans, op10_url_rules, op11_bit_sliced_negatives, op12_bootstrapped_pii, op13_trie_shared_repair,
     )
     return {f.__name__: f for f in operators}
 

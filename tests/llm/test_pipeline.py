@@ -38,7 +38,7 @@ def test_empty_and_awkward_tables(spark, documents, nothing, tmp_path):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
 
