@@ -71,6 +71,11 @@ def accepted(path: Column) -> Column:
     return clean & extension(path).isin([e.lower() for e in EXTENSIONS]) & ~unwanted
 
 
+def pruned(name: str) -> bool:
+    """Whether a folder of this name is left out with all that is below it; the rule of ``accepted``, for walking a tree."""
+    return name in EXCLUDED_DIRS or (name.startswith(".") and name not in VISIBLE_HIDDEN)
+
+
 def match_tier(path: Column, pattern: str) -> Column:
     """0 to 2 for the tiers of ``find_files``, null for no match. Only the best tier that any path reaches counts."""
     exact, nested = glob_regex(pattern), glob_regex("**/" + pattern)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +26,118 @@ PARSED = (
 GIT_WINDOW, GIT_SECONDS = 500, 15
 
 
+_LISTED = "path string, length long, modified long, folder boolean"
+WALKED = 2000  #: folders that a task opens in one round; it hands the others back
+MAX_CONTENT, BATCH_BYTES = 2**30, 32 * 2**20  #: larger files are listed without their content
+
+
+def _children(base: str, folder: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(path below ``base``, bytes, microseconds, whether it is a folder). Links to folders aren't followed; a folder that can't be opened is empty."""
+    prefix = f"{folder}/" if folder else ""
+    if "://" in base:
+        where, top = fs.FileSystem.from_uri(base)
+        for info in where.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"), allow_not_found=True)):
+            yield prefix + info.base_name, info.size or 0, (info.mtime_ns or 0) // 1000, info.type == fs.FileType.Directory
+        return
+    try:
+        entries = list(os.scandir(os.path.join(base, folder)))
+    except OSError:
+        return
+    for entry in entries:
+        try:
+            is_folder = entry.is_dir(follow_symlinks=False)
+            if is_folder or entry.is_file():
+                found = entry.stat()
+                yield prefix + entry.name.encode().decode(), found.st_size, found.st_mtime_ns // 1000, is_folder
+        except (OSError, UnicodeEncodeError):  # gone meanwhile, or a name that no string can hold
+            continue
+
+
+def _walker(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64()), ("folder", pa.bool_())])
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        todo = deque(f for b in batches for f in b.column(0).to_pylist())
+        for _ in range(WALKED):
+            if not todo:
+                break
+            for path, length, modified, folder in _children(base, todo.popleft()):
+                if not folder:
+                    rows.append((path, length, modified, False))
+                elif not paths.pruned(path.rsplit("/", 1)[-1]):
+                    todo.append(path)
+            if len(rows) >= 50_000:
+                yield batch()
+                rows.clear()
+        rows += [(f, 0, 0, True) for f in todo]
+        if rows:
+            yield batch()
+
+    return run
+
+
+def _base(root: str) -> str:
+    """A local path, or an address that ``pyarrow.fs`` can open."""
+    local = root.removeprefix("file://").removeprefix("file:")
+    return root.rstrip("/") if "://" in local else os.path.abspath(local)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified) of the files below ``root`` that the filters accept: no content is read, and excluded folders aren't opened.
+
+    Paths are relative, with the names as they are. Tasks walk the tree in rounds: each opens so many folders and hands the rest back, which
+    the next round deals out evenly, so a tree is listed in a few rounds however uneven it is. A path has to mean the same for every machine.
+    """
+    base, rounds = _base(root), []
+    todo = spark.createDataFrame([("",)], "path string")
+    while True:
+        found = todo.mapInArrow(_walker(base), _LISTED).persist(StorageLevel.MEMORY_AND_DISK)
+        rounds.append(found.where("NOT folder").select("path", "length", "modified"))
+        left = found.where("folder").select("path")
+        if not (n := left.count()):
+            break
+        todo = left.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+    return reduce(DataFrame.unionByName, rounds).where(paths.accepted(F.col("path")))
+
+
+def _reader(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = fs.FileSystem.from_uri(base) if "://" in base else (None, base)
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        held: list[tuple[str, bytes | None]] = []
+        size = 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([p for p, _ in held]), pa.array([c for _, c in held], pa.binary())], schema=schema)
+        for b in batches:
+            for path, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                content = None
+                if length <= MAX_CONTENT:
+                    try:
+                        with where.open_input_stream(f"{top}/{path}") if where else open(os.path.join(top, path), "rb") as f:
+                            content = f.read()
+                    except OSError:
+                        content = None
+                held.append((path, content))
+                size += len(content or b"")
+                if size >= BATCH_BYTES:
+                    yield batch()
+                    held.clear()
+                    size = 0
+        if held:
+            yield batch()
+
+    return run
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of listed files (path, length). What can't be read, or is larger than ``MAX_CONTENT``, has no content."""
+    return files.select("path", "length").mapInArrow(_reader(_base(root)), "path string, content binary")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of the files below ``root`` that the filters accept; paths are relative."""
-    base = root.rstrip("/") if "://" in root else "file:" + os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^" + "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in base) + "/", "")
-    return files.select(relative.alias("path"), "content").where(paths.accepted(F.col("path")))
+    """(path, content) of the files below ``root`` that the filters accept; only those are opened."""
+    found = listing(spark, root)
+    return contents(found.repartition(2 * spark.sparkContext.defaultParallelism), root)
 
 
 def from_tree(spark: SparkSession, tree: dict[str, str], partitions: int = 2) -> DataFrame:

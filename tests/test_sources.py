@@ -1,6 +1,8 @@
 """Files, configuration, validation and class hierarchies."""
 
+import fnmatch
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,11 +56,52 @@ def test_configuration_wins_and_workspaces(tmp_path):
     assert config.load_config(str(tmp_path)) == {}
 
 
-def test_scan_filters(spark, tmp_path):
-    for p in ("src/a b.py", "node_modules/x.js", ".git/y.py", "z.log", "src/ü+.ts"):
+def walked(root):
+    """A plain walk with the same filters."""
+    out = set()
+    for folder, folders, names in os.walk(root):
+        folders[:] = [f for f in folders if not (f in paths.EXCLUDED_DIRS or f.startswith("."))]
+        for name in names:
+            suffix = os.path.splitext(name)[1].lower()
+            unwanted = any(fnmatch.fnmatchcase(name, p) for p in paths.EXCLUDED_FILES) or name.startswith(".")
+            if suffix in {e.lower() for e in paths.EXTENSIONS} and not unwanted:
+                out.add(os.path.relpath(os.path.join(folder, name), root))
+    return out
+
+
+NAMES = [
+    "app/__init__.py", "app/__main__.py", "app/_util.py", "src/__tests__/a.test.js", "src/_app.tsx", "_private/_x/_y.py", "app/main.py", "web/a b+c%20d.py", "src/ü+.ts", "src/a b.py", "z.log", ".git/y.py",
+    "src/.hidden/x.py", ".env.py", "deep/" + "/".join("abcdefghij") + "/k.go", "build/out.py", "data/dump.bin", "x.PY", "package-lock.json", "a~", "q?*[1].py",
+]
+
+
+@pytest.mark.parametrize("opened", [2000, 1])
+def test_scan_finds_what_a_plain_walk_finds(spark, tmp_path, monkeypatch, opened):
+    monkeypatch.setattr(tree, "WALKED", opened)
+    for p in NAMES:
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text("x")
-    assert {r["path"] for r in tree.scan(spark, str(tmp_path)).collect()} == {"src/a b.py", "src/ü+.ts"}
+        (tmp_path / p).write_text(p)
+    (tmp_path / "app/loop").symlink_to(tmp_path / "app")
+    (tmp_path / "app/gone.py").symlink_to(tmp_path / "nowhere.py")
+    got = {r["path"]: bytes(r["content"]).decode() for r in tree.scan(spark, str(tmp_path)).collect()}
+    assert set(got) == walked(tmp_path) - {"app/gone.py"} and "app/__init__.py" in got and "web/a b+c%20d.py" in got
+    assert all(path == text for path, text in got.items())
+    assert {r["path"] for r in tree.scan(spark, f"file://{tmp_path}").collect()} == set(got)
+    listed = {r["path"]: r for r in tree.listing(spark, str(tmp_path)).collect()}
+    assert all(listed[p]["length"] == len(p.encode()) and listed[p]["modified"] > 0 for p in got)
+
+
+def test_scan_opens_nothing_that_is_excluded(spark, tmp_path):
+    (tmp_path / "node_modules/m").mkdir(parents=True)
+    os.mkfifo(tmp_path / "node_modules/m/x.js")  # to open it is to wait for ever
+    os.mkfifo(tmp_path / "pipe.py")
+    for large in ("data.sql", "node_modules/big.js", "big.bin"):
+        with open(tmp_path / large, "wb") as f:
+            f.truncate(3 * 2**30)
+    (tmp_path / "a.py").write_text("x = 1\n")
+    got = {r["path"]: r["content"] for r in tree.scan(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.py", "data.sql"} and got["data.sql"] is None and bytes(got["a.py"]) == b"x = 1\n"
+    assert tree.scan(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_git_log_without_history(spark, tmp_path):
