@@ -48,11 +48,12 @@ def bm25_scores(docs: DataFrame, key: str, terms: str, query: list[str]) -> Data
     return sized.crossJoin(F.broadcast(stats)).select(key, F.round(score, 4).alias("score"), score.alias("_s")).where("_s > 0").drop("_s")
 
 
-def index_scores(index: DataFrame, lengths: DataFrame, key: str, query: list[str]) -> DataFrame:
-    """The same from a stored index: postings (key, term, tf), of which only the query's terms are read, and lengths (key, doc_length)."""
+def index_scores(index: DataFrame, lengths: DataFrame, key: str, query: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """The same from a stored index: postings (key, term, tf), of which only the query's terms are read, and lengths (key, doc_length).
+    ``stats`` is one row (doc_count, avg_doc_length), where it is known."""
     hits = index.where(F.col("term").isin(list(dict.fromkeys(query))))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avgdl"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avgdl")) if stats is None else stats.select(F.col("doc_count").alias("n"), F.col("avg_doc_length").alias("avgdl"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("avgdl"))
     joined = hits.join(lengths.select(key, "doc_length"), key).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     return joined.groupBy(key).agg(F.sum(idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm).alias("score"))

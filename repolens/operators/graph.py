@@ -16,6 +16,12 @@ def dotted_suffixes(name: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
 
 
+def callable_names(symbol_id: Column, short_name: Column) -> Column:
+    """What a call may name a symbol by, as (name, tier): its id, its short name, the dotted suffixes of that."""
+    named = lambda name, tier: F.struct(name.alias("name"), F.lit(tier).alias("tier"))
+    return F.concat(F.array(named(symbol_id, 0), named(short_name, 1)), F.transform(dotted_suffixes(short_name), lambda s: named(s, 2)))
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, caller: str, called: str, symbol_id: str, short_name: str, unique_only: bool = False) -> DataFrame:
     """(caller, called, symbol_id, tier): calls matched to symbols by id, else by short name, else by dotted suffix.
 
@@ -51,15 +57,15 @@ def callers_of(refs: DataFrame, symbols: DataFrame, callees: DataFrame | None =
     return hit.join(side("caller", caller), caller).join(side("called", called), called)
 
 
-def usages_by_file(usages: DataFrame, file: str, line: str, kind: str, group: list[str] | None = None) -> DataFrame:
-    """([group], file, usages sorted by line, count)."""
+def usages_by_file(usages: DataFrame, file: str, line: str, kind: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
+    """([group], file, usages sorted by line, count); ``times`` as in ``direct_callers``."""
     some = F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(kind).alias("type"))))
-    return usages.groupBy(*(group or []), F.col(file).alias("file")).agg(some.alias("usages"), F.count(F.lit(1)).alias("count"))
+    return usages.groupBy(*(group or []), F.col(file).alias("file")).agg(some.alias("usages"), _count(times).alias("count"))
 
 
-def ripple(usages: DataFrame, file: str, line: str, kind: str, category: str, shown: int = 5) -> DataFrame:
+def ripple(usages: DataFrame, file: str, line: str, kind: str, category: str, shown: int = 5, times: str | None = None) -> DataFrame:
     """(category, files, usages, names, examples): a symbol's external usages by category; each example has a file's first ``shown`` usages."""
-    per_file = usages_by_file(usages.withColumn("category", F.col(category)), file, line, kind, ["category"])
+    per_file = usages_by_file(usages.withColumn("category", F.col(category)), file, line, kind, ["category"], times)
     example = F.struct("file", F.slice("usages", 1, shown).alias("usages"))
     return per_file.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("usages"), F.array_sort(F.collect_list("file")).alias("names"), F.array_sort(F.collect_list(example)).alias("examples"))
 
@@ -116,14 +122,17 @@ def in_scope(category: Column, file: Column, scope: str) -> Column:
     return (category == scope) | paths.normalised(file).startswith(scope.rstrip("/") + "/")
 
 
-def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category: str, limit: int = 10, source: str | None = None) -> DataFrame:
-    """(file, category, count, strongest_usage, usage_types, rank) of the strongest referencing files; with ``source`` also (evidence_source, snippets)."""
+def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category: str, limit: int = 10, source: str | None = None, times: str | None = None) -> DataFrame:
+    """(file, category, count, strongest_usage, usage_types, rank) of the strongest referencing files; with ``source`` also (evidence_source, snippets).
+
+    ``times`` is a column with how many usages a row stands for.
+    """
     more = []
     if source is not None:
         more = [F.min(source).alias("evidence_source"), F.slice(F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(kind).alias("type")))), 1, 3).alias("snippets")]
     weight = risk.weight(F.col(kind), risk.USAGE_WEIGHTS)
     grouped = usages.groupBy(F.col(file).alias("file")).agg(
-        F.first(category).alias("category"), F.count(F.lit(1)).alias("count"), F.max(weight).alias("_w"),
+        F.first(category).alias("category"), _count(times).alias("count"), F.max(weight).alias("_w"),
         F.min_by(F.col(kind), F.struct(-weight, F.col(kind))).alias("strongest_usage"), F.array_sort(F.collect_set(kind)).alias("usage_types"), *more,
     )
     order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("_w"), F.desc("count"), F.col("file")]
@@ -131,9 +140,14 @@ def direct_callers(usages: DataFrame, file: str, line: str, kind: str, category:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_w")
 
 
-def weighted_risk(usages: DataFrame, group: list[str], file: str, kind: str, category: str, change: str = "modify") -> DataFrame:
-    """(group, file, category, count, score): each referencing file's weighted risk in thousandths."""
-    weighed = usages.groupBy(*group, F.col(file).alias("file"), F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("count"), F.sum(risk.whole_weight(F.col(kind), risk.USAGE_WEIGHTS)).alias("_u"))
+def _count(times: str | None) -> Column:
+    return F.count(F.lit(1)) if times is None else F.sum(times)
+
+
+def weighted_risk(usages: DataFrame, group: list[str], file: str, kind: str, category: str, change: str = "modify", times: str | None = None) -> DataFrame:
+    """(group, file, category, count, score): each referencing file's weighted risk in thousandths; ``times`` as in ``direct_callers``."""
+    whole = risk.whole_weight(F.col(kind), risk.USAGE_WEIGHTS) * (F.lit(1) if times is None else F.col(times))
+    weighed = usages.groupBy(*group, F.col(file).alias("file"), F.col(category).alias("category")).agg(_count(times).alias("count"), F.sum(whole).alias("_u"))
     return weighed.withColumn("score", risk.file_score(F.col("category"), F.col("_u"), F.col("count"), F.col("file"), change)).drop("_u")
 
 

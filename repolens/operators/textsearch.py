@@ -20,9 +20,15 @@ class SearchError(ValueError):
     """A pattern or a page that can't be searched."""
 
 
-def lines_of(files: DataFrame, file: str, text: str) -> DataFrame:
-    """(file, line, text): one row per line, numbers from 1, without trailing carriage returns."""
-    exploded = files.select(F.col(file).alias("file"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text"))
+def lines_of(files: DataFrame, file: str, text: str, only: str | None = None) -> DataFrame:
+    """(file, line, text): one row per line, numbers from 1, without trailing carriage returns. ``only`` is a column with the numbers that count; null is all."""
+    each = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    if only is not None:
+        some = F.transform(F.col(only), lambda i: F.struct((i - 1).alias("line"), F.get(each, i - 1).alias("text")))
+        every = F.transform(each, lambda t, i: F.struct(i.alias("line"), t.alias("text")))
+        exploded = files.select(F.col(file).alias("file"), F.inline(F.coalesce(some, every))).where("text IS NOT NULL")
+    else:
+        exploded = files.select(F.col(file).alias("file"), F.posexplode(each).alias("line", "text"))
     return exploded.select("file", (F.col("line") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
@@ -64,10 +70,14 @@ def with_context(lines: DataFrame, hit: Column, k: int) -> DataFrame:
     return lines.withColumn("is_hit", hit).withColumn("_near", F.max("is_hit").over(near)).where("_near").drop("_near")
 
 
-def page(hits: DataFrame, start: int, size: int) -> DataFrame:
-    """One page of hits by (file, line), with the place of each."""
+def checked_page(start: int, size: int) -> None:
     if start < 0 or size < 1:
         raise SearchError("a page starts at 0 or later and holds a row or more")
+
+
+def page(hits: DataFrame, start: int, size: int) -> DataFrame:
+    """One page of hits by (file, line), with the place of each."""
+    checked_page(start, size)
     some = hits.orderBy("file", "line").limit(start + size)
     return some.withColumn("place", F.row_number().over(Window.orderBy("file", "line")) - 1).where(F.col("place") >= start)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import pyarrow as pa
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from repolens.functions import names, paths, risk, syntax, validation
 from repolens.functions.pytokens import tokenize, word_tokens
-from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textsearch, vectors
+from repolens.operators import bm25, cochange, evidence, graph, hierarchy, project, ranking, textindex, textsearch, vectors
 from repolens.plans import index
-from repolens.sources import config, store, tree
+from repolens.sources import config, settings, store, tree
 from repolens.sources import files as file_columns
 
 # What a caller may ask for, and the keys of an answer that stay when it is spilled.
@@ -47,22 +49,25 @@ USAGE_REASONS = {
 }
 
 
+#: What a project can set, and what holds where it sets nothing.
+SETTINGS = {"hybrid": False, "git_window": tree.GIT_WINDOW, "spill_chars": SPILL_CHARS, "max_related": 10}
 TOOLS = {"set_project_path", "search_code", "find_files", "get_symbol_body", "refresh_index", "build_deep_index", "get_edit_region", "get_project_snapshot", "get_context"}
 
 
 class Engine:
     """One project and its index. ``store_path`` keeps the index between sessions."""
 
-    def __init__(self, spark: SparkSession, store_path: str | None = None, hybrid: bool = False):
-        """``hybrid`` fuses symbol search with a search of the stored vectors."""
-        self.spark, self.store_path, self.hybrid = spark, store_path, hybrid
+    def __init__(self, spark: SparkSession, store_path: str | None = None, hybrid: bool = False, settings_path: str | None = None):
+        """``hybrid`` fuses symbol search with a search of the stored vectors; ``settings_path`` is where settings of projects are kept."""
+        self.spark, self.store_path, self.hybrid, self.settings_path = spark, store_path, hybrid, settings_path
+        self._held: list[DataFrame] = []
         self.root: str | None = None
         self.structure: config.Structure | None = None
         self.tables: dict[str, DataFrame] | None = None
         self.files: DataFrame | None = None
-        self._edges: DataFrame | None = None
+        self.settings: dict[str, Any] = {}
+        self._stale: DataFrame | None = None
         self._scan_languages: list[syntax.Syntax] | None = None
-        self._line_table: DataFrame | None = None
 
     # project and index
 
@@ -70,42 +75,113 @@ class Engine:
         if not os.path.isdir(path):
             return f"Error: {path} is not a directory"
         self.root, self.structure = os.path.abspath(path), config.structure_of(path)
+        self.settings = settings.load(self.settings_path, self.root) if self.settings_path else {}
+        self.hybrid = bool(self.settings.get("hybrid", self.hybrid))
         self.tables = store.load(self.spark, self.store_path) if self.store_path else None
         self.refresh_index()
         return f"Project {self.root}: {self.files.count()} files"
 
+    def configure(self, **values: Any) -> dict[str, Any]:
+        """Keep settings of the project; None removes one. ``SETTINGS`` says which there are."""
+        if wrong := sorted(set(values) - set(SETTINGS)):
+            return {"status": "error", "message": f"no setting {', '.join(wrong)}; there are {sorted(SETTINGS)}"}
+        if bad := sorted(k for k, v in values.items() if v is not None and type(v) is not type(SETTINGS[k])):
+            return {"status": "error", "message": f"a setting of another type: {', '.join(bad)}"}
+        kept = settings.save(self.settings_path, self._root(), **values) if self.settings_path else {k: v for k, v in (self.settings | values).items() if v is not None}
+        self.settings, self.hybrid = kept, bool(kept.get("hybrid", self.hybrid))
+        return {"status": "success", "settings": kept}
+
+    def setting(self, name: str) -> Any:
+        return self.settings.get(name, SETTINGS[name])
+
     def refresh_index(self) -> str:
-        """List the files again."""
-        for held in (self.files, self._line_table):
+        """List the files again; no content is read."""
+        for held in (self.files, self._stale):
             if held is not None:
                 held.unpersist()
-        self.files, self._scan_languages, self._line_table = tree.scan(self.spark, self._root()).persist(StorageLevel.MEMORY_AND_DISK), None, None
+        self.files, self._scan_languages, self._stale = tree.listing(self.spark, self._root()).persist(StorageLevel.MEMORY_AND_DISK), None, None
         return f"{self.files.count()} files listed"
 
     def build_deep_index(self) -> str:
-        """Parse every file, straight from the scan, build all tables, and swap them in."""
-        return self._swap(tree.parse_files(tree.scan(self.spark, self._root())).persist(StorageLevel.MEMORY_AND_DISK))
+        """Read every file, build all tables, and swap them in."""
+        self.refresh_index()
+        return self._swap(self._derived(self.files), None)
+
+    def update_index(self) -> str:
+        """Index the files that were changed, added or deleted since they were indexed, and only them."""
+        if self.tables is None:
+            return self.build_deep_index()
+        self.refresh_index()
+        suspects = self._differing().join(self.files, "path", "left_semi")
+        digests = self._read(self.files.join(suspects, "path", "left_semi")).select("path", F.sha2("content", 256).alias("now"))
+        known = self.tables["snapshot"].select("path", "digest")
+        changed = digests.join(known, "path", "left").where("digest IS NULL OR NOT now <=> digest").select("path")
+        return self._apply(changed.unionByName(known.select("path").join(self.files, "path", "left_anti")))
 
     def reindex_file(self, file_path: str) -> str:
-        """Parse one changed, new or deleted file again; what other files have is taken from the index, and all tables are derived anew."""
+        """Read one changed, new or deleted file again; the rows of the others stay as they are."""
         if self.tables is None:
             return self.build_deep_index()
         self.refresh_index()
-        fresh = tree.parse_files(self.files.where(F.col("path") == file_path))
-        return self._swap(index.reindex(self.tables["parsed"], fresh, [file_path]).persist(StorageLevel.MEMORY_AND_DISK))
+        return self._apply(self._frame([(file_path,)], "path string"))
 
-    def _swap(self, parsed: DataFrame) -> str:
-        built = index.build(parsed, tree.git_log(self.spark, self._root()))
+    def _apply(self, covers: DataFrame) -> str:
+        covers = covers.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._report() if covers.isEmpty() else self._swap(self._derived(self.files.join(covers, "path", "left_semi")), covers)
+        finally:
+            covers.unpersist()
+
+    def _differing(self) -> DataFrame:
+        """(path) of listed files that the index lacks, or knows with another size or time."""
+        known = self.tables["snapshot"].select("path", F.col("length").alias("_l"), F.col("modified").alias("_m"))
+        return self.files.join(known, "path", "left").where("_l IS NULL OR length <> _l OR modified <> _m").select("path")
+
+    def _derived(self, files: DataFrame) -> dict[str, DataFrame]:
+        """The tables by file of some listed files."""
+        n, ext = files.count(), paths.extension(F.col("path"))
+        parsed = tree.parse_files(self._read(files)).persist(StorageLevel.MEMORY_AND_DISK)
+        grams = textindex.gram_index(tree.contents(textindex.by_block(files, n), self._root()), n).persist(StorageLevel.MEMORY_AND_DISK)
+        tables = index.derive(parsed)
+        scanned = files.where(~paths.has_indexed_edges(F.col("path")) & ext.isin([e for lang in syntax.SYNTAX.values() for e in lang.extensions]))
+        texts = self._texts(files.where(ext.isin(hierarchy.SUFFIXES))).select(F.col("path").alias("file"), "text")
+        lists = grams.where("gram IS NOT NULL").select("block", "gram", "numbers")
+        numbered = grams.where("path IS NOT NULL").select("block", "number", "path", "digest")
+        self._held = [parsed, grams]
+        return tables | {
+            "grams": lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), "gram_files": numbered.drop("digest"), "identifiers": textindex.identifiers(self._read(scanned)),
+            "inherits": hierarchy.by_ends(texts, tables["symbols"]), "snapshot": files.select("path", "length", "modified").join(numbered.select("path", "digest"), "path"),
+        }
+
+    def _swap(self, fresh: dict[str, DataFrame], covers: DataFrame | None) -> str:
+        """Make the tables of all files, or those of the changed files ``covers``, the index's."""
+        log, old = tree.git_log(self.spark, self._root(), self.setting("git_window")), self.tables
+        if covers is None:
+            built = fresh | {"totals": index.totals(fresh), "cochanges": index.cochanges(log, fresh["files"])}
+        else:
+            gone = index.totals({k: old[k].join(covers, "path", "left_semi") for k in ("files", "symbols", "search_docs")})
+            files = old["files"].select("path").join(covers, "path", "left_anti").unionByName(fresh["files"].select("path"))
+            built = fresh | {"totals": index.moved_totals(old["totals"], gone, index.totals(fresh)), "cochanges": index.cochanges(log, files)}
         if self.store_path:
-            store.save(built, self.store_path)
+            if covers is None:
+                store.save(built, self.store_path)
+            else:
+                store.append(built, self.store_path, covers)
             self.tables = store.load(self.spark, self.store_path)
-            parsed.unpersist()
         else:
-            self.tables = {k: v.cache() for k, v in built.items()}
-        if self._edges is not None:
-            self._edges.unpersist()
-        self._edges = None
-        meta = self.tables["metadata"].first()
+            keep = lambda k, df: df if covers is None or k in store.WHOLE else (old[k] if k in store.BY_BLOCK else old[k].join(covers, "path", "left_anti")).unionByName(df)
+            self.tables = {k: keep(k, df).persist(StorageLevel.MEMORY_AND_DISK) for k, df in built.items()}
+            for df in self.tables.values():  # before what they are made from goes
+                df.count()
+        for held in self._held:
+            held.unpersist()
+        if self._stale is not None:
+            self._stale.unpersist()
+        self._held, self._stale = [], None
+        return self._report()
+
+    def _report(self) -> str:
+        meta = index.metadata(self.tables).first()
         return f"Indexed {meta['indexed_files']} files, {meta['total_symbols']} symbols"
 
     def _root(self) -> str:
@@ -121,11 +197,12 @@ class Engine:
             self._scan_languages = [lang for lang in syntax.SYNTAX.values() if here & set(lang.extensions)]
         return self._scan_languages
 
-    @property
-    def edges(self) -> DataFrame:
-        if self._edges is None:
-            self._edges = index.edges(self.tables).coalesce(8).cache()
-        return self._edges
+    def _edges(self, callees: DataFrame) -> DataFrame:
+        """Edges into some symbols."""
+        return index.edges(self.tables, callees)
+
+    def _own(self, path: str) -> DataFrame:
+        return self.tables["symbols"].where(F.col("path") == path)
 
     def _category(self, path):
         return F.coalesce(paths.category(path, self.structure.folders), F.lit("other"))
@@ -135,14 +212,36 @@ class Engine:
         fields = [f.split(" ") for f in schema.split(", ")]
         return self.spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)}))
 
-    def _lines(self) -> DataFrame:
-        """(file, line, text) of the text files, split once after each listing."""
-        if self._line_table is None:
-            self._line_table = textsearch.lines_of(self._texts(), "path", "text").persist(StorageLevel.MEMORY_AND_DISK)
-        return self._line_table
+    def _read(self, files: DataFrame) -> DataFrame:
+        """(path, content) of listed files."""
+        return tree.contents(files.repartition(2 * self.spark.sparkContext.defaultParallelism), self._root())
+
+    def _texts(self, files: DataFrame, one: bool = False) -> DataFrame:
+        """(path, text) of those listed files that are text; ``one`` where there is one file at most."""
+        read = tree.contents(files.coalesce(1), self._root()) if one else self._read(files)
+        return read.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
 
-    def _texts(self) -> DataFrame:
-        return self.files.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
+    def _lines(self, files: DataFrame, one: bool = False) -> DataFrame:
+        return textsearch.lines_of(self._texts(files, one), "path", "text")
+
+    def _lines_of(self, path: str) -> DataFrame:
+        return self._lines(self.files.where(F.col("path") == path), one=True)
+
+    @property
+    def stale(self) -> DataFrame | None:
+        """(path) of files that changed since they were indexed; None if there are none."""
+        if self._stale is None:
+            self._stale = self._differing().persist(StorageLevel.MEMORY_AND_DISK)
+        return None if self._stale.isEmpty() else self._stale
+
+    def _meeting(self, condition: textindex.Condition) -> DataFrame:
+        """The listed files that can hold a match: by the index those that meet the condition, and what it doesn't know yet."""
+        if self.tables is None:
+            return self.files
+        found = textindex.candidates(self.tables["grams"], self.tables["gram_files"], condition)
+        if self.stale is not None:
+            found = found.unionByName(self.stale)
+        return self.files.join(found, "path", "left_semi")
 
     def _entry(self, path):
         """Whether a file is one of the framework's entry points."""
@@ -171,17 +270,21 @@ class Engine:
             regex = not fuzzy and textsearch.is_regex(pattern)
         try:
             hit = textsearch.matcher(F.col("text"), pattern, case_sensitive, regex, fuzzy)
-            lines = self._lines()
-            if file_pattern:
-                lines = lines.where(paths.basename(F.col("file")).rlike(paths.name_regex(file_pattern)))
-            hits = lines.where(hit)
-            total = hits.count()
-            shown = textsearch.page(hits, start_index, max_results)
+            textsearch.checked_page(start_index, max_results)
         except textsearch.SearchError as e:
             return {"status": "error", "message": str(e)}
-        rows = [r.asDict() for r in shown.orderBy("place").collect()]
-        if context_lines:
-            here = lines.where(F.col("file").isin(sorted({r["file"] for r in rows})))  # the files of one page
+        asked = textindex.regex_condition(pattern, case_sensitive) if regex else textindex.literal_condition(pattern, case_sensitive)
+        files = self._meeting(asked)
+        if file_pattern:
+            files = files.where(paths.basename(F.col("path")).rlike(paths.name_regex(file_pattern)))
+        hits = self._lines(files).where(hit).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            total = hits.count()
+            rows = [r.asDict() for r in textsearch.page(hits, start_index, max_results).orderBy("place").collect()]
+        finally:
+            hits.unpersist()
+        if context_lines and rows:
+            here = self._lines(self.files.where(F.col("path").isin(sorted({r["file"] for r in rows}))))  # the files of one page
             around = textsearch.with_context(here, hit, context_lines).orderBy("file", "line").collect()
             for r in rows:
                 r["context"] = [{"line": x["line"], "text": x["text"]} for x in around if x["file"] == r["file"] and abs(x["line"] - r["line"]) <= context_lines]
@@ -200,7 +303,7 @@ class Engine:
     def _code(self, path: str, symbol: dict) -> str | None:
         """A symbol's lines, cut where they are too many; None if the file is gone."""
         wanted = self.spark.range(1).select(F.lit(path).alias("file"), F.lit(symbol["short_name"]).alias("symbol"), F.lit(symbol["line"]).cast("int").alias("start"), F.lit(symbol["end_line"]).cast("int").alias("end"))
-        row = textsearch.symbol_body(self._lines().where(F.col("file") == path), wanted).first()
+        row = textsearch.symbol_body(self._lines_of(path), wanted).first()
         return None if row is None else row["body"] + ("\n..." if row["truncated"] else "")
 
     def get_symbol_body(self, file_path: str, symbol_name: str, compact: bool = False, owner: str | None = None) -> dict[str, Any]:
@@ -212,7 +315,7 @@ class Engine:
             return {"status": "error", "message": f"{symbol_name} not found in {file_path}"}
         out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": found["end_line"] or found["line"] + 50, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": code}
         if not compact:
-            calls = self.edges.where((F.col("origin") == file_path) & (F.col("symbol") == found["short_name"]) & (F.col("file") != file_path)).select("file", "caller", "line").orderBy("file", "line").limit(10)
+            calls = self._edges(self._own(file_path).where(F.col("short_name") == found["short_name"])).where(F.col("file") != file_path).select("file", "caller", "line").orderBy("file", "line").limit(10)
             out |= {"signature": found["signature"], "docstring": found["docstring"], "called_by": [r.asDict() for r in calls.collect()]}
         return out
 
@@ -227,7 +330,7 @@ class Engine:
         if not start_line:
             return {"status": "error", "message": "a symbol or a start line is needed"}
         end_line = end_line or start_line
-        own = self._lines().where(F.col("file") == file_path)
+        own = self._lines_of(file_path)
         shown = textsearch.edit_region(own, start_line, end_line, context_lines).orderBy("line").collect()
         if not shown and own.isEmpty():
             return {"status": "error", "message": f"{file_path} not found"}
@@ -241,7 +344,7 @@ class Engine:
         if not asked or self.tables is None:
             return []
         most = max(5 * limit, 100)
-        scores = bm25.index_scores(self.tables["search_postings"], self.tables["search_docs"], "symbol_id", asked)
+        scores = bm25.index_scores(self.tables["search_postings"], self.tables["search_docs"], "symbol_id", asked, index.search_stats(self.tables))
         if self.hybrid:
             own = vectors.hashed_vectors(self._frame([(0, asked)], "k int, terms array<string>"), "k", "terms").first()
             near = ranking.cosine_top_k(self.tables["search_vectors"], "symbol_id", "vector", own["vector"], most) if own else None
@@ -288,42 +391,57 @@ class Engine:
     # graph
 
     def find_references(self, symbol: str, file_path: str | None = None, owner: str | None = None, scope: str | None = None) -> DataFrame:
-        """(file, category, line, kind, source) of usages: index edges, and lines of files whose calls the index lacks."""
+        """(file, category, line, kind, source, times) of usages: index edges, ``times`` being how many definitions a call may mean, and lines of
+        files whose calls the index lacks: those that its identifiers name."""
         bare = symbol.rsplit(".", 1)[-1]
-        means = graph.callee_match(self.edges, bare, "symbol", owner)
+        means = graph.callee_match(self.tables["symbols"], bare, owner=owner)
         if file_path:
-            means = means.where(F.col("origin") == file_path)
-        both = means.select("file", "line", "kind", F.lit("index").alias("source"))
+            means = means.where(F.col("path") == file_path)
+        both = index.usages(self.tables, means).select("file", "line", "kind", F.lit("index").alias("source"), "times")
         if self._scanned:
-            others = self._lines().where(~paths.has_indexed_edges(F.col("file"))).where(F.col("text").contains(bare))
-            kind = F.lit(None).cast("string")
-            for lang in self._scanned:
-                kind = F.when(paths.extension(F.col("file")).isin(list(lang.extensions)), syntax.classify_usage(F.col("text"), bare, lang)).otherwise(kind)
-            scanned = others.select("file", "line", kind.alias("kind"), F.lit("scan").alias("source")).where("kind IS NOT NULL")
-            if owner:
-                # a scan can't tell whose method it is: only files that name the owner count
-                scanned = scanned.join(self._lines().where(F.col("text").contains(owner)).select("file").dropDuplicates(), "file", "left_semi")
+            scanned = self._scanned_usages(bare, owner).select("file", "line", "kind", F.lit("scan").alias("source"), F.lit(1).cast("long").alias("times"))
             both = both.unionByName(scanned.join(both.select("file").dropDuplicates(), "file", "left_anti"))
         both = both.withColumn("category", self._category(F.col("file")))
         both = both.where(graph.trusted(F.lit(bare), F.col("kind"), F.col("source"), F.col("category"), F.col("file"), scoped=bool(owner)))
         return both if scope is None else both.where(graph.in_scope(F.col("category"), F.col("file"), scope))
 
+    def _scanned_usages(self, bare: str, owner: str | None) -> DataFrame:
+        """(file, line, kind) by the text of lines, of files that the index's edges don't cover; their lines are those of the identifier."""
+        word = textindex.key_word(bare)
+        if word:
+            at = self.tables["identifiers"].where(F.col("identifier") == word).select("path", "lines")
+        else:
+            at = textindex.candidates(self.tables["grams"], self.tables["gram_files"], textindex.literal_condition(bare)).select("path", F.lit(None).cast("array<int>").alias("lines"))
+        if self.stale is not None:  # all lines of what changed since
+            at = at.join(self.stale, "path", "left_anti").unionByName(self.stale.select("path", F.lit(None).cast("array<int>").alias("lines")))
+        files = self.files.where(~paths.has_indexed_edges(F.col("path"))).join(at.select("path"), "path", "left_semi")
+        texts = self._texts(files)
+        if owner:
+            # a scan can't tell whose method it is: only files that name the owner count
+            texts = texts.where(F.col("text").contains(owner))
+        lines = textsearch.lines_of(texts.join(at, "path"), "path", "text", only="lines")
+        kind = F.lit(None).cast("string")
+        for lang in self._scanned:
+            kind = F.when(paths.extension(F.col("file")).isin(list(lang.extensions)), syntax.classify_usage(F.col("text"), bare, lang)).otherwise(kind)
+        return lines.where(F.col("text").contains(bare)).select("file", "line", kind.alias("kind")).where("kind IS NOT NULL")
+
     def _change(self, path: str, symbol: dict, change: str, limit: int) -> dict[str, Any]:
         name, owner = names_of(symbol["short_name"])
         usages = self.find_references(name, None if owner is None else path, owner).where(F.col("file") != path).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             keys = ("file", "category", "count", "evidence_source", "strongest_usage", "usage_types")
-            found = graph.direct_callers(usages, "file", "line", "kind", "category", limit, source="source").orderBy("rank").collect()
+            found = graph.direct_callers(usages, "file", "line", "kind", "category", limit, source="source", times="times").orderBy("rank").collect()
             callers = [{k: r[k] for k in keys} | {"snippets": [s.asDict() for s in r["snippets"]]} for r in found]
             indirect = []
             if callers:
                 frame = self._frame([(c["file"],) for c in callers], "file string")
-                impacts = graph.impact(self.edges.where(F.length("symbol") > 2), "origin", "symbol", "file")
+                via = [c["file"] for c in callers][: graph.MAX_EXPANDED]
+                impacts = graph.impact(self._edges(self.tables["symbols"].where(F.col("path").isin(via) & (F.length("short_name") > 2))), "origin", "symbol", "file")
                 beyond = graph.indirect_dependents(frame.limit(graph.MAX_EXPANDED), impacts, path).join(F.broadcast(frame), "file", "left_anti").withColumn("category", self._category(F.col("file")))
                 order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("count"), "file"]
                 indirect = [r.asDict() for r in beyond.orderBy(*order).limit(limit).collect()]
             categories = sorted({c["category"] for c in callers + indirect})
-            scored = graph.weighted_risk(usages, [], "file", "kind", "category", change)
+            scored = graph.weighted_risk(usages, [], "file", "kind", "category", change, times="times")
             top = scored.orderBy(F.desc("score"), "file").limit(10).agg(F.sort_array(F.collect_list(F.struct("score", "file", "category", "count")), asc=False).alias("top"))
             kinds = usages.agg(F.collect_set("kind").alias("kinds"))
             one = graph.risk_summary(scored, []).crossJoin(top).crossJoin(kinds)  # one row each
@@ -337,30 +455,32 @@ class Engine:
             "blast_radius": {"risk_level": total["blast_level"], "risk_score": total["combined"], "direct_files": len(callers), "direct_usages": total["usages"] or 0, "indirect_files": len(indirect), "total_files": len(callers) + len(indirect), "categories": categories, "high_risk_files": high},
         }
 
-    def get_class_hierarchy(self, name: str) -> dict[str, Any]:
-        """What a class extends, implements and mixes in, and what does so with it."""
-        lines, ext = hierarchy.headers(self._lines()), paths.extension(F.col("file"))
-        classes = self.tables["symbols"].where(F.col("type").isin("class", "trait")).select(F.col("path").alias("file"), F.col("short_name").alias("child"), F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end"))
-        found = hierarchy.around(hierarchy.edges(lines, ext).unionByName(hierarchy.traits(lines, classes, ext)), name)
+    def get_class_hierarchy(self, name: str, start_index: int = 0, max_results: int = 1000) -> dict[str, Any]:
+        """What a class extends, implements and mixes in, and what does so with it; a page of ``total`` relations."""
+        found = self.tables["inherits"].where(F.col("end") == name).select("direction", "kind", "name", F.col("path").alias("file")).dropDuplicates()
         out: dict[str, Any] = {"class": name, "extends": [], "implements": [], "mixes_in": [], "extended_by": [], "implemented_by": [], "mixed_into": []}
         keys = {"parent": {"extends": "extends", "implements": "implements", "mixes_in": "mixes_in"}, "child": {"extends": "extended_by", "implements": "implemented_by", "mixes_in": "mixed_into"}}
-        for r in found.orderBy("name", "file").limit(1000).collect():
+        sized = found.orderBy("name", "file", "direction", "kind").offset(start_index).limit(max_results).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row
+        rows = sized.orderBy("name", "file", "direction", "kind").collect()
+        out["total"] = rows[0]["total"] if rows else found.count() if start_index else 0
+        for r in rows:
             out[keys[r["direction"]][r["kind"]]].append({"name": r["name"], "file": r["file"]} if r["direction"] == "child" else r["name"])
         return out
 
     def get_impact_analysis(self, file_path: str) -> dict[str, Any]:
         """Which other files use a file's symbols."""
-        found = graph.impact(self.edges.where((F.col("origin") == file_path) & (F.length("symbol") > 2)), "origin", "symbol", "file")
+        own = self._edges(self._own(file_path))
+        found = graph.impact(own.where(F.length("symbol") > 2), "origin", "symbol", "file")
         rows = [r.asDict() for r in found.orderBy(F.desc("referenced_in"), "symbol").collect()]
-        reached = graph.affected(self.edges.where(F.col("origin") == file_path), "origin", "file").first()
+        reached = graph.affected(own, "origin", "file").first()
         return {"status": "success", "file": file_path, "impacts": rows, "affected_files": reached["affected"] if reached else 0, "risk_level": reached["risk"] if reached else "low"}
 
     def get_ripple_effect(self, file_path: str, symbol: str, change_type: str = "modify", owner: str | None = None) -> dict[str, Any]:
         """A symbol's external usages by category, with their weighted risk."""
         usages = self.find_references(symbol, None if owner is None else file_path, owner).where(F.col("file") != file_path)
-        scored = graph.weighted_risk(usages, [], "file", "kind", "category", change_type)
+        scored = graph.weighted_risk(usages, [], "file", "kind", "category", change_type, times="times")
         weights = scored.groupBy("category").agg(F.sum("score").alias("s"))
-        rows = graph.ripple(usages, "file", "line", "kind", "category").join(weights, "category").orderBy(F.desc("s"), "category").collect()
+        rows = graph.ripple(usages, "file", "line", "kind", "category", times="times").join(weights, "category").orderBy(F.desc("s"), "category").collect()
         total = graph.risk_summary(scored, []).first()
         listed = [{"category": r["category"], "files": r["files"], "usages": r["usages"], "names": r["names"][:15], "examples": [{"file": e["file"], "usages": [u.asDict() for u in e["usages"]]} for e in r["examples"][:15]]} for r in rows]
         return {"status": "success", "risk_score": total["risk_score"] or 0.0, "risk_level": total["risk_level"] or "low", "categories": listed}
@@ -380,13 +500,16 @@ class Engine:
             out["import_graph"] = {r["file"]: r["imports"] for r in project.import_graph(f, "path", "imports").collect()}
         return out
 
-    def get_context(self, target: str = "", intent: str = "before_edit", symbol: str | None = None, include_source: bool = True, max_related: int = 10, change_type: str = "modify", owner: str | None = None, query: str | None = None) -> dict[str, Any]:
+    def get_context(self, target: str = "", intent: str = "before_edit", symbol: str | None = None, include_source: bool = True, max_related: int | None = None, change_type: str = "modify", owner: str | None = None, query: str | None = None) -> dict[str, Any]:
+        max_related = self.setting("max_related") if max_related is None else max_related
         intent, change = (intent or "before_edit").strip().lower(), (change_type or "modify").strip().lower()
         if intent not in INTENTS:
             return {"status": "error", "message": f"unknown intent {intent}; there are {sorted(INTENTS)}"}
         if change not in CHANGES:
             return {"status": "error", "message": f"unknown change type {change}; there are {sorted(CHANGES)}"}
         if target.startswith(os.path.join(".repolens", "output")):
+            if wrong := validation.file_path(target):
+                return {"status": "error", "message": wrong}
             with open(os.path.join(self._root(), target), encoding="utf-8") as f:
                 return json.load(f)
         resolution = self._resolve(query) if query and not target else None
@@ -420,7 +543,7 @@ class Engine:
         mine = self.tables["symbols"].where(F.col("path") == target)
         summary = project.file_summary(mine, "path", "type", "signature", "symbol_id", "short_name", "line").first()
         out["file_context"] = {k: row[k] for k in ("language", "line_count", "imports", "exports", "package")} | ({k: summary[k] for k in ("functions", "classes", "methods", "symbol_count")} if summary else {})
-        own = self.edges.where(F.col("origin") == target)
+        own = self._edges(self._own(target))
         level = graph.affected(own, "origin", "file").select(F.col("origin").alias("_o"), F.col("affected"), "risk")
         impacts = graph.impact(own.where(F.length("symbol") > 2), "origin", "symbol", "file").join(F.broadcast(level), F.col("origin") == F.col("_o"), "right")  # one row
         used = impacts.withColumn("generic", names.is_generic_hook(F.col("symbol"))).orderBy(F.desc("referenced_in"), "symbol").limit(50).collect()
@@ -482,7 +605,8 @@ class Engine:
             return []
         folders = [self.structure.folders[c] for c in evidence.WIRED_CATEGORIES if c in self.structure.folders] + evidence.WIRED_FOLDERS
         also = F.col("path").isin(known) & self._entry(F.col("path")) if known else None
-        source = self._texts().where(self.structure.holds(F.col("path")))
+        inside = reduce(or_, [F.col("path").startswith(f.rstrip("/") + "/") for f in folders])
+        source = self._texts(self.files.where(self.structure.holds(F.col("path")) & (inside if also is None else inside | also)))
         return sorted(r["file"] for r in evidence.wired_files(source, folders, wanted, target, also=also).collect())
 
     def _alike(self, target: str, role: str, out: dict, limit: int) -> list[str]:
@@ -532,7 +656,7 @@ class Engine:
 
     def spilled(self, out: dict[str, Any]) -> dict[str, Any]:
         """A large answer goes to a file in the project; the main keys and the path remain."""
-        if len(text := json.dumps(out, default=str)) < SPILL_CHARS:
+        if len(text := json.dumps(out, default=str)) < self.setting("spill_chars"):
             return out
         folder = os.path.join(self._root(), ".repolens", "output")
         os.makedirs(folder, exist_ok=True)

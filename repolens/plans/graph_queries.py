@@ -391,9 +391,8 @@ def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda some: F.element_at(F.array(*[F.lit(x) for x in some]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     text = F.replace(F.replace(pick(_CLASSES), F.lit("{k}"), F.col("l_linenumber").cast("string")), F.lit("{s}"), F.col("l_suppkey").cast("string"))
     file = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]), pick(_SUFFIXES))
-    first = lines.select(file.alias("file"), F.lit(1).alias("line"), text.alias("text"))
-    split = lines.where(F.col("l_linenumber") % 6 == 5).select(file.alias("file"), F.lit(2).alias("line"), F.concat(F.lit("    extends B"), F.col("l_suppkey"), F.lit(" {")).alias("text"))
-    return hierarchy.edges(hierarchy.headers(first.unionByName(split)), paths.extension(F.col("file")))
+    rest = F.when(F.col("l_linenumber") % 6 == 5, F.concat(F.lit("\n    extends B"), F.col("l_suppkey"), F.lit(" {"))).otherwise("")
+    return hierarchy.edges(lines.select(file.alias("file"), F.concat(text, rest).alias("text")), paths.extension(F.col("file")))
 
 
 @register("reindex_upsert", """

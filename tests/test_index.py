@@ -4,7 +4,7 @@ import pytest
 import trees
 
 from repolens.plans import index
-from repolens.sources import store, tree
+from repolens.sources import tree
 
 
 def edges(spark, files):
@@ -61,21 +61,11 @@ def test_syntax_errors_and_binaries(spark):
     assert set(rows) == {"a.py", "b.py"} and rows["a.py"]["symbols"] == []
 
 
-def test_store_round_trip_and_version_gate(spark, tmp_path, monkeypatch):
-    tables = index.build(tree.parse_files(tree.from_tree(spark, trees.PYTHON)))
-    store.save(tables, str(tmp_path))
-    again = store.load(spark, str(tmp_path))
-    assert again["refs"].count() == tables["refs"].count()
-    monkeypatch.setattr(store, "SCHEMA_VERSION", store.SCHEMA_VERSION + 1)
-    assert store.load(spark, str(tmp_path)) is None
-    assert store.load(spark, str(tmp_path / "nowhere")) is None
-
-
 def test_unique_only_drops_ambiguous_names(spark):
     files = {"a.py": "def f():\n    g()\n", "b.py": "def g():\n    pass\n", "c.py": "def g():\n    pass\n"}
     parsed = tree.parse_files(tree.from_tree(spark, files))
-    assert index.build(parsed)["refs"].count() == 2
-    assert index.build(parsed, unique_only=True)["refs"].count() == 0
+    assert index.refs(index.build(parsed)).count() == 2
+    assert index.refs(index.build(parsed), unique_only=True).count() == 0
 
 
 @pytest.mark.parametrize("text", ["", "\n", "class", "function f(", "def f():\n  return '''", "{" * 50, "x" * 5000])
