@@ -59,7 +59,7 @@ def by_ends(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     found = edges(texts, ext).unionByName(traits(lines, classes, ext)).dropDuplicates()
     end = lambda direction, at, other: F.struct(F.lit(direction).alias("direction"), F.col(at).alias("end"), F.col(other).alias("name"))
     both = found.select(F.explode(F.array(end("parent", "child", "parent"), end("child", "parent", "child"))).alias("e"), "kind", F.col("file").alias("path"))
-    return both.select("e.end", "e.direction", "e.name", "kind", "path").repartitionByRange("end", "path").sortWithinPartitions("end", "path")
+    return both.select("e.end", "e.direction", "e.name", "kind", "path")
 
 
 def around(all_edges: DataFrame, name: str) -> DataFrame:

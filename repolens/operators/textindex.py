@@ -119,9 +119,8 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def identifiers(contents: DataFrame) -> DataFrame:
-    """(identifier, path, lines): each run of ASCII word characters of each text, with its lines; sorted by identifier, a common one over several tasks."""
-    found = contents.select("path", "content").mapInArrow(_identifiers, "identifier string, path string, lines array<int>")
-    return found.repartitionByRange("identifier", "path").sortWithinPartitions("identifier", "path")
+    """(identifier, path, lines): each run of ASCII word characters of each text, with its lines."""
+    return contents.select("path", "content").mapInArrow(_identifiers, "identifier string, path string, lines array<int>")
 
 
 def key_word(symbol: str) -> str | None:

@@ -29,6 +29,8 @@ from repolens.sources import files as file_columns
 INTENTS = {"project", "file", "symbol", "before_edit", "impact"}
 CHANGES = {"modify", "rename", "delete", "signature_change", "contract_change"}
 SPILL_CHARS, SPILLS_KEPT = 3500, 20
+ONE_TASK = 64  #: changed files that are indexed in one task
+SMALL = 10_000  #: rows of an intermediate result that the driver holds
 SPILL_KEYS = [
     "status", "intent", "change_type", "project", "target", "overview", "confidence", "confidence_details", "blast_radius", "risk_reasons", "safe_edit_hints", "related_files",
     "missing_context", "edit_plan", "suggested_next_steps",
@@ -61,6 +63,7 @@ class Engine:
         """``hybrid`` fuses symbol search with a search of the stored vectors; ``settings_path`` is where settings of projects are kept."""
         self.spark, self.store_path, self.hybrid, self.settings_path = spark, store_path, hybrid, settings_path
         self._held: list[DataFrame] = []
+        self._pinned: list[DataFrame] = []
         self.root: str | None = None
         self.structure: config.Structure | None = None
         self.tables: dict[str, DataFrame] | None = None
@@ -139,18 +142,21 @@ class Engine:
 
     def _derived(self, files: DataFrame) -> dict[str, DataFrame]:
         """The tables by file of some listed files."""
+        files = files.persist(StorageLevel.MEMORY_AND_DISK)
         n, ext = files.count(), paths.extension(F.col("path"))
-        parsed = tree.parse_files(self._read(files)).persist(StorageLevel.MEMORY_AND_DISK)
-        grams = textindex.gram_index(tree.contents(textindex.by_block(files, n), self._root()), n).persist(StorageLevel.MEMORY_AND_DISK)
-        tables = index.derive(parsed)
+        few = n <= ONE_TASK
+        read = lambda some: tree.contents(some.coalesce(1), self._root()) if few else self._read(some)
+        parsed = tree.parse_files(read(files)).persist(StorageLevel.MEMORY_AND_DISK)
+        grams = textindex.gram_index(read(files) if few else tree.contents(textindex.by_block(files, n), self._root()), n).persist(StorageLevel.MEMORY_AND_DISK)
+        tables = index.derive(parsed, few)
         scanned = files.where(~paths.has_indexed_edges(F.col("path")) & ext.isin([e for lang in syntax.SYNTAX.values() for e in lang.extensions]))
-        texts = self._texts(files.where(ext.isin(hierarchy.SUFFIXES))).select(F.col("path").alias("file"), "text")
+        texts = self._decoded(read(files.where(ext.isin(hierarchy.SUFFIXES)))).select(F.col("path").alias("file"), "text")
         lists = grams.where("gram IS NOT NULL").select("block", "gram", "numbers")
         numbered = grams.where("path IS NOT NULL").select("block", "number", "path", "digest")
-        self._held = [parsed, grams]
+        self._held = [files, parsed, grams]
         return tables | {
-            "grams": lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), "gram_files": numbered.drop("digest"), "identifiers": textindex.identifiers(self._read(scanned)),
-            "inherits": hierarchy.by_ends(texts, tables["symbols"]), "snapshot": files.select("path", "length", "modified").join(numbered.select("path", "digest"), "path"),
+            "grams": index.ordered(lists, "gram", "block", few=few), "gram_files": numbered.drop("digest"), "identifiers": index.ordered(textindex.identifiers(read(scanned)), "identifier", "path", few=few),
+            "inherits": index.ordered(hierarchy.by_ends(texts, tables["symbols"]), "end", "path", few=few), "snapshot": files.select("path", "length", "modified").join(numbered.select("path", "digest"), "path"),
         }
 
     def _swap(self, fresh: dict[str, DataFrame], covers: DataFrame | None) -> str:
@@ -199,7 +205,15 @@ class Engine:
 
     def _edges(self, callees: DataFrame) -> DataFrame:
         """Edges into some symbols."""
-        return index.edges(self.tables, callees)
+        return self._small(index.edges(self.tables, callees, index.few(self.tables, callees)))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """The same rows as a local relation if there are few, so that what is built on them costs no scan; else kept until the next answer."""
+        rows = df.limit(SMALL + 1).toArrow()
+        if rows.num_rows <= SMALL:
+            return self.spark.createDataFrame(rows).coalesce(1)  # one partition needs no exchange
+        self._pinned.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
 
     def _own(self, path: str) -> DataFrame:
         return self.tables["symbols"].where(F.col("path") == path)
@@ -210,7 +224,7 @@ class Engine:
     def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
         """A few rows of the driver as a local relation: it costs no job."""
         fields = [f.split(" ") for f in schema.split(", ")]
-        return self.spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)}))
+        return self.spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)})).coalesce(1)
 
     def _read(self, files: DataFrame) -> DataFrame:
         """(path, content) of listed files."""
@@ -218,7 +232,9 @@ class Engine:
 
     def _texts(self, files: DataFrame, one: bool = False) -> DataFrame:
         """(path, text) of those listed files that are text; ``one`` where there is one file at most."""
-        read = tree.contents(files.coalesce(1), self._root()) if one else self._read(files)
+        return self._decoded(tree.contents(files.coalesce(1), self._root()) if one else self._read(files))
+
+    def _decoded(self, read: DataFrame) -> DataFrame:
         return read.where(file_columns.is_text(F.col("content"))).select("path", file_columns.decoded(F.col("content")).alias("text"))
 
     def _lines(self, files: DataFrame, one: bool = False) -> DataFrame:
@@ -397,7 +413,7 @@ class Engine:
         means = graph.callee_match(self.tables["symbols"], bare, owner=owner)
         if file_path:
             means = means.where(F.col("path") == file_path)
-        both = index.usages(self.tables, means).select("file", "line", "kind", F.lit("index").alias("source"), "times")
+        both = self._small(index.usages(self.tables, means, index.few(self.tables, means)).select("file", "line", "kind", F.lit("index").alias("source"), "times"))
         if self._scanned:
             scanned = self._scanned_usages(bare, owner).select("file", "line", "kind", F.lit("scan").alias("source"), F.lit(1).cast("long").alias("times"))
             both = both.unionByName(scanned.join(both.select("file").dropDuplicates(), "file", "left_anti"))
@@ -501,6 +517,9 @@ class Engine:
         return out
 
     def get_context(self, target: str = "", intent: str = "before_edit", symbol: str | None = None, include_source: bool = True, max_related: int | None = None, change_type: str = "modify", owner: str | None = None, query: str | None = None) -> dict[str, Any]:
+        for df in self._pinned:
+            df.unpersist()
+        self._pinned = []
         max_related = self.setting("max_related") if max_related is None else max_related
         intent, change = (intent or "before_edit").strip().lower(), (change_type or "modify").strip().lower()
         if intent not in INTENTS:

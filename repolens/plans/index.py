@@ -7,6 +7,9 @@ a question joins the two for the symbols that it is about.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,25 @@ from repolens.operators.bm25 import postings
 from repolens.operators.vectors import hashed_vectors
 from repolens.sources.store import SCHEMA_VERSION
 
+FEW = 300  #: symbols about which ``few`` answers
+
+
+class Some(NamedTuple):
+    """Names by which calls mean some symbols, (called, symbol_id) of what they mean, and the symbols; local relations."""
+
+    names: list[str]
+    means: DataFrame
+    callees: DataFrame
+
+
+def ordered(df: DataFrame, *columns: str, few: bool = False) -> DataFrame:
+    """Rows sorted over all tasks, so that a scan finds a value by the bounds of its row groups; a common value is spread by the last column.
+    ``few`` rows stay in one task."""
+    return (df.coalesce(1) if few else df.repartitionByRange(*columns)).sortWithinPartitions(*columns)
+
 
-def derive(parsed: DataFrame) -> dict[str, DataFrame]:
-    """The tables by file of ``sources.tree.parse_files``. Nothing is run here."""
+def derive(parsed: DataFrame, few: bool = False) -> dict[str, DataFrame]:
+    """The tables by file of ``sources.tree.parse_files``. Nothing is run here. ``few`` says that they are small."""
     files = parsed.select("path", "language", "special", "line_count", "imports", "exports", "package", "docstring")
     each = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.*").where(names.is_clean(F.col("name")))
     symbols = each.select(
@@ -31,9 +50,9 @@ def derive(parsed: DataFrame) -> dict[str, DataFrame]:
         F.struct("symbol_id", "path").alias("at"), weighted_tokens(names.member(F.col("short_name")), F.when(F.col("short_name").contains("."), names.owner_first(F.col("short_name"))), F.col("signature"), F.col("docstring"), F.col("path")).alias("terms")
     ).where(F.size("terms") > 0)
     return {
-        "files": files, "symbols": symbols, "calls": calls.repartitionByRange("called", "caller").sortWithinPartitions("called", "caller"),
-        "names": named.repartitionByRange("name", "symbol_id").sortWithinPartitions("name", "symbol_id"), "search_docs": searched.select("at.symbol_id", F.size("terms").alias("doc_length"), "at.path"),
-        "search_postings": postings(searched, "at", "terms").select("at.symbol_id", "term", "tf", "at.path").repartitionByRange("term", "symbol_id").sortWithinPartitions("term", "symbol_id"),
+        "files": files, "symbols": symbols, "calls": ordered(calls, "called", "caller", few=few),
+        "names": ordered(named, "name", "symbol_id", few=few), "search_docs": searched.select("at.symbol_id", F.size("terms").alias("doc_length"), "at.path"),
+        "search_postings": ordered(postings(searched, "at", "terms").select("at.symbol_id", "term", "tf", "at.path"), "term", "symbol_id", few=few),
         "search_vectors": hashed_vectors(searched, "at", "terms").select("at.symbol_id", "vector", "at.path"),
     }
 
@@ -109,25 +128,46 @@ def with_callers(tables: dict[str, DataFrame], symbols: DataFrame, unique_only:
     return joined.withColumn("called_by", F.array_distinct(F.concat("called_by", F.coalesce("more", F.array().cast("array<string>"))))).drop("more", "called_symbol_id")
 
 
-def edges(tables: dict[str, DataFrame], callees: DataFrame | None = None) -> DataFrame:
-    """(origin, symbol, file, caller, line, kind): references with both ends' files, of all symbols or into ``callees`` (rows of ``symbols``)."""
-    to = tables["symbols"] if callees is None else callees
-    called = to.select(F.col("symbol_id").alias("called_symbol_id"), F.col("path").alias("origin"), F.col("short_name").alias("symbol"))
-    caller = tables["symbols"].select(F.col("symbol_id").alias("caller_symbol_id"), F.col("path").alias("file"), F.col("short_name").alias("caller"), "line", F.when(F.col("type") == "module", "module_script").otherwise("method_call").alias("kind"))
-    means = matched(tables, to)
-    pairs = tables["calls"].join(means, "called").select(F.col("caller").alias("caller_symbol_id"), F.col("symbol_id").alias("called_symbol_id")).dropDuplicates()
-    return pairs.join(called, "called_symbol_id").join(caller, "caller_symbol_id").select("origin", "symbol", "file", "caller", "line", "kind")
+def few(tables: dict[str, DataFrame], callees: DataFrame) -> Some | None:
+    """What ``matched`` says about ``FEW`` symbols or fewer, in the driver; None if there are more. With it a question reads only the rows of some names."""
+    rows = callees.select("symbol_id", "short_name", "path").limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        return None
+    spark, parts = callees.sparkSession, {r["symbol_id"]: r["short_name"].split(".") for r in rows}
+    own = {(n, t, i) for i, p in parts.items() for n, t in [(i, 0), (".".join(p), 1), *((".".join(p[k:]), 2) for k in range(1, len(p)))]}
+    wanted = sorted({n for n, _, _ in own})
+    best = {r["name"]: r["tier"] for r in tables["names"].where(F.col("name").isin(wanted)).groupBy("name").agg(F.min("tier").alias("tier")).collect()}
+    means = sorted({(n, i) for n, t, i in own if best.get(n) == t})
+    table = lambda names, rows: spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(names)})).coalesce(1)
+    return Some(sorted({n for n, _ in means}), table(["called", "symbol_id"], means), table(["symbol_id", "short_name", "path"], [tuple(r) for r in rows]))
+
+
+def _calls(tables: dict[str, DataFrame], some: Some | None) -> DataFrame:
+    return tables["calls"] if some is None else tables["calls"].where(F.col("called").isin(some.names))
+
+
+def _callers(tables: dict[str, DataFrame]) -> DataFrame:
+    kind = F.when(F.col("type") == "module", "module_script").otherwise("method_call")
+    return tables["symbols"].select(F.col("symbol_id").alias("caller"), F.col("path").alias("file"), F.col("short_name").alias("caller_name"), "line", kind.alias("kind"))
+
+
+def edges(tables: dict[str, DataFrame], callees: DataFrame | None = None, some: Some | None = None) -> DataFrame:
+    """(origin, symbol, file, caller, line, kind): references with both ends' files, of all symbols or into ``callees`` (rows of ``symbols``), of
+    which ``some`` is what ``few`` said."""
+    to = tables["symbols"] if callees is None else callees if some is None else some.callees
+    called = to.select("symbol_id", F.col("path").alias("origin"), F.col("short_name").alias("symbol"))
+    means = matched(tables, to) if some is None else some.means
+    pairs = _calls(tables, some).join(means, "called").select("caller", "symbol_id").dropDuplicates()
+    return pairs.join(called, "symbol_id").join(_callers(tables), "caller").select("origin", "symbol", "file", F.col("caller_name").alias("caller"), "line", "kind")
 
 
-def usages(tables: dict[str, DataFrame], callees: DataFrame) -> DataFrame:
+def usages(tables: dict[str, DataFrame], callees: DataFrame, some: Some | None = None) -> DataFrame:
     """(file, caller, line, kind, times): the callers of any of ``callees``, ``times`` being how many of them a caller means. No row for each pair:
     a name with many symbols and many callers costs as much as both, not as their product."""
-    means = matched(tables, callees)
+    means = matched(tables, callees) if some is None else some.means
     by_name = means.groupBy("called").agg(F.count(F.lit(1)).alias("n"))
-    some = tables["calls"].join(by_name, "called")
-    each = some.groupBy("caller").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"), F.collect_set("called").alias("called"))
+    each = _calls(tables, some).join(by_name, "called").groupBy("caller").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"), F.collect_set("called").alias("called"))
     # only who calls by several of the names may mean one symbol twice
     several = each.where("forms > 1").select("caller", F.explode("called").alias("called")).join(means, "called").groupBy("caller").agg(F.countDistinct("symbol_id").alias("distinct"))
     counted = each.join(several, "caller", "left").select("caller", F.coalesce("distinct", "n").alias("times"))
-    caller = tables["symbols"].select(F.col("symbol_id").alias("caller"), F.col("path").alias("file"), F.col("short_name"), "line", F.when(F.col("type") == "module", "module_script").otherwise("method_call").alias("kind"))
-    return counted.join(caller, "caller").select("file", F.col("short_name").alias("caller"), "line", "kind", "times")
+    return counted.join(_callers(tables), "caller").select("file", F.col("caller_name").alias("caller"), "line", "kind", "times")

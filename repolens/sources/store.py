@@ -7,11 +7,15 @@ A row of a segment counts unless a later segment covers its file. So the work of
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 9
 #: Tables whose rows belong to a file (column ``path``).
@@ -20,7 +24,8 @@ BY_PATH = ["files", "symbols", "calls", "names", "inherits", "search_docs", "sea
 BY_BLOCK, WHOLE = ["grams"], ["cochanges", "totals"]
 MAX_SEGMENTS = 8
 
-_MANIFEST = "seq long, ordinal int, segment string, whole string, schema_version int"
+_MANIFEST = "seq long, ordinal int, segment string, whole string, schema_version int, schemas string"
+WRITERS = 6  #: tables that are written at a time
 
 
 def _manifest(spark: SparkSession, path: str) -> list:
@@ -35,14 +40,14 @@ def _manifest(spark: SparkSession, path: str) -> list:
     return last if last and all(r["schema_version"] == SCHEMA_VERSION for r in last) else []
 
 
-def _point(spark: SparkSession, path: str, segments: list[str], whole: str) -> None:
+def _point(spark: SparkSession, path: str, segments: list[str], whole: str, schemas: str) -> None:
     try:
         seq = spark.read.schema(_MANIFEST).parquet(f"{path}/manifests").agg(F.max("seq")).first()[0] or 0
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         seq = 0
-    rows = [(seq + 1, i, s, whole, SCHEMA_VERSION) for i, s in enumerate(segments)]
+    rows = [(seq + 1, i, s, whole, SCHEMA_VERSION, schemas) for i, s in enumerate(segments)]
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifests")
     _vacuum(spark, path)
 
@@ -59,29 +64,29 @@ def _vacuum(spark: SparkSession, path: str) -> None:
             gone.getFileSystem(conf).delete(gone, True)
 
 
-def _write(tables: dict[str, DataFrame], path: str, covers: DataFrame) -> tuple[str, str]:
+def _write(tables: dict[str, DataFrame], path: str, covers: DataFrame) -> tuple[str, str, str]:
+    """The names of the new segment and version, and the tables' schemas: a reader needn't open a file to learn them."""
     segment, whole = uuid.uuid4().hex, uuid.uuid4().hex
-    for name in BY_PATH + BY_BLOCK:
-        tables[name].write.parquet(f"{path}/segments/{segment}/{name}")
-    covers.select("path").write.parquet(f"{path}/segments/{segment}/covers")
-    for name in WHOLE:
-        tables[name].write.parquet(f"{path}/versions/{whole}/{name}")
-    return segment, whole
+    parts = {f"segments/{segment}/{name}": tables[name] for name in BY_PATH + BY_BLOCK} | {f"segments/{segment}/covers": covers.select("path")} | {f"versions/{whole}/{name}": tables[name] for name in WHOLE}
+    thread = inheritable_thread_target(covers.sparkSession)
+    with ThreadPoolExecutor(WRITERS) as pool:  # the tables are small jobs each, and none waits for another
+        for done in [pool.submit(thread(df.write.parquet), f"{path}/{name}") for name, df in parts.items()]:
+            done.result()
+    return segment, whole, json.dumps({name.split("/")[-1]: df.schema.jsonValue() for name, df in parts.items()})
 
 
 def save(tables: dict[str, DataFrame], path: str) -> None:
     """Write all tables as one segment, then point to it."""
-    spark = tables["files"].sparkSession
-    segment, whole = _write(tables, path, tables["snapshot"])
-    _point(spark, path, [segment], whole)
+    segment, whole, schemas = _write(tables, path, tables["snapshot"])
+    _point(tables["files"].sparkSession, path, [segment], whole, schemas)
 
 
 def append(tables: dict[str, DataFrame], path: str, covers: DataFrame) -> None:
     """Add a segment with the tables of changed files. ``covers`` (path) are the changed, new and deleted files; their older rows count no longer."""
     spark = covers.sparkSession
     before = [r["segment"] for r in _manifest(spark, path)]
-    segment, whole = _write(tables, path, covers)
-    _point(spark, path, [*before, segment], whole)
+    segment, whole, schemas = _write(tables, path, covers)
+    _point(spark, path, [*before, segment], whole, schemas)
     if len(before) + 1 > MAX_SEGMENTS:
         save(load(spark, path), path)
 
@@ -92,18 +97,20 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     if not rows:
         return None
     at = [f"{path}/segments/{r['segment']}" for r in rows]
-    covers = [spark.read.parquet(f"{s}/covers") for s in at]
+    schemas = {name: StructType.fromJson(x) for name, x in json.loads(rows[-1]["schemas"]).items()}
+    read = lambda folder, name: spark.read.schema(schemas[name]).parquet(f"{folder}/{name}")
+    covers = [read(s, "covers") for s in at]
 
     def live(name: str) -> DataFrame:
         parts = []
         for i, s in enumerate(at):
-            part = spark.read.parquet(f"{s}/{name}")
+            part = read(s, name)
             if i + 1 < len(at) and name not in BY_BLOCK:
                 part = part.join(reduce(DataFrame.unionByName, covers[i + 1 :]), "path", "left_anti")
             parts.append(part)
         return reduce(DataFrame.unionByName, parts)
 
-    return {name: live(name) for name in BY_PATH + BY_BLOCK} | {name: spark.read.parquet(f"{path}/versions/{rows[0]['whole']}/{name}") for name in WHOLE}
+    return {name: live(name) for name in BY_PATH + BY_BLOCK} | {name: read(f"{path}/versions/{rows[0]['whole']}", name) for name in WHOLE}
 
 
 def drop(spark: SparkSession, path: str) -> None:
