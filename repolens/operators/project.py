@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +57,26 @@ def best_tier(rows: DataFrame, tier: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(least)).where(F.col(tier) == F.col("_least")).drop("_least")
 
 
-def nearest_rank(values: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
-    """Percentiles by nearest rank on the rounded index (n - 1) * share."""
-    order = Window.partitionBy(*group).orderBy(value)
-    sized = values.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    picks = [F.max(F.when(F.col("_i") == F.round((F.col("_n") - 1) * F.lit(s)), F.col(value))).alias(name) for name, s in shares.items()]
-    return sized.groupBy(*group).agg(*picks)
+def nearest_rank(values: DataFrame, value: str, group: list[str], shares: dict[str, float], spans: int = 64) -> DataFrame:
+    """Percentiles by nearest rank on the rounded index (n - 1) * share; nulls come first.
+
+    Rows are counted by value before anything else. A group's distinct values fall into ``spans`` ranges of about equal count, by approximate
+    percentiles; ranges are summed up, and only the range that an index falls in is summed value by value: no task orders a group.
+    """
+    counted = values.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = counted.groupBy(*group).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", [k / spans for k in range(1, spans)], 1000).alias("_b"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    keyed = bounds.select(*[F.col(g).alias(f"_{g}") for g in group], "_n", "_b")
+    placed = counted.join(F.broadcast(keyed) if not group else keyed, reduce(and_, same, F.lit(True)))
+    span = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+    placed = placed.select(*group, "_n", "_v", "_c", span.alias("_s"))
+    sums = placed.groupBy(*group, "_s").agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_s")  # a row for each of the few ranges
+    ends = sums.withColumn("_end", F.sum("_c").over(before))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.round((F.col("_n") - 1) * F.lit(s)).alias("i")) for name, s in shares.items()]))
+    hit = ends.select(*group, "_s", (F.col("_end") - F.col("_c")).alias("_start"), "_end", asked.alias("_a")).where((F.col("_a.i") >= F.col("_start")) & (F.col("_a.i") < F.col("_end")))
+    right = hit.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_s").alias("__s"), "_start", "_a")
+    inside = placed.join(right, reduce(and_, same, F.col("_s") == F.col("__s")))
+    running = Window.partitionBy(*group, "_s", "_a.name").orderBy(F.asc_nulls_first("_v"))  # the distinct values of one range
+    found = inside.withColumn("_to", F.col("_start") + F.sum("_c").over(running)).where((F.col("_a.i") < F.col("_to")) & (F.col("_a.i") >= F.col("_to") - F.col("_c")))
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("_a.name") == name, F.col("_v"))).alias(name) for name in shares])

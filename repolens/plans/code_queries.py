@@ -1,4 +1,4 @@
-"""Usage classification over document lines, and parsing and indexing of a small tree that is part of the query."""
+"""Usage classification over document lines; parsing and indexing of source files that are made from the tables."""
 
 from __future__ import annotations
 
@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from repolens.functions.syntax import SYNTAX, classify_usage, usage_sql
 from repolens.functions.tokenize import SQL_TOKENS
-from repolens.operators import textsearch
+from repolens.operators import textindex, textsearch
 from repolens.plans import index
 from repolens.plans.registry import register
 from repolens.sources import store, tree
 
-TREE = {
-    "app/orders.py": 'class Orders:\n    """All orders."""\n\n    def total_for(self, order):\n        return sum(order)\n',
-    "app/api.py": "from app.orders import Orders\n\n\ndef show(order):\n    o = Orders()\n    return o.total_for(order)\n",
-    "web/price.ts": "export class Price {\n  constructor(private readonly store: Store) {}\n\n  rate(id: string) {\n    return this.store.find(id);\n  }\n}\n",
-    "web/store.ts": "export class Store {\n  find(id: string) {\n    return id;\n  }\n}\n",
-    "lib/pay.php": "<?php\nclass Pay {\n    public function charge(int $x) {\n        return $x;\n    }\n}\n",
-    "lib/run.php": "<?php\n$pay = new Pay();\n$pay->charge(3);\n",
-    "cmd/main.go": "package main\n\nfunc rate(x int) int {\n\treturn x\n}\n\nfunc main() {\n\trate(1)\n}\n",
-}
 _LINES = "lines AS (SELECT doc_id AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents)"
 SYMBOL = "tion"
 
@@ -66,60 +57,85 @@ def usage_classify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select((F.col("file") % 9).alias("language"), kind.alias("kind")).where("kind IS NOT NULL").groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-# What the tree above holds, by hand: symbols with their places, and who calls them.
-_SYMBOLS = """s(path, short_name, type, line, end_line, signature, docstring, called_by) AS (VALUES
-  ('app/api.py', 'show', 'function', 4, 6, 'def show(order):', NULL, []::VARCHAR[]),
-  ('app/orders.py', 'Orders', 'class', 1, 5, NULL, 'All orders.', []),
-  ('app/orders.py', 'Orders.total_for', 'method', 4, 5, 'def total_for(self, order):', NULL, ['app/api.py::show']),
-  ('cmd/main.go', 'main', 'function', 7, NULL, 'func main()', NULL, []),
-  ('cmd/main.go', 'rate', 'function', 3, NULL, 'func rate(x int) int', NULL, ['cmd/main.go::main']),
-  ('lib/pay.php', 'Pay', 'class', 2, 6, 'class Pay', NULL, ['lib/run.php::__file_scope__']),
-  ('lib/pay.php', 'Pay.charge', 'method', 3, 5, 'public function charge(int $x)', NULL, ['lib/run.php::__file_scope__']),
-  ('lib/run.php', '__file_scope__', 'module', 1, 3, NULL, NULL, []),
-  ('web/price.ts', 'Price', 'class', 1, 7, 'export class Price', NULL, []),
-  ('web/price.ts', 'Price.constructor', 'method', 2, 2, 'constructor(private readonly store: Store)', NULL, []),
-  ('web/price.ts', 'Price.rate', 'method', 4, 6, 'rate(id: string)', NULL, []),
-  ('web/store.ts', 'Store', 'class', 1, 5, 'export class Store', NULL, ['web/price.ts::Price.constructor']),
-  ('web/store.ts', 'Store.find', 'method', 2, 4, 'find(id: string)', NULL, ['web/price.ts::Price.rate']))"""
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): each part as a source file with one function, Python or Go by its key, which calls the parts on the lines after its own."""
+    line = lambda k: spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_linenumber") - k).alias("n"), F.col("l_partkey").alias(f"part{k}"))
+    calls = line(0).join(line(1), ["l_orderkey", "n"]).where("part0 <> part1").groupBy("part0").agg(F.array_sort(F.collect_set("part1")).alias("calls"))  # a part is on few lines
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).join(calls, F.col("k") == F.col("part0"), "left")
+    body = lambda indent: F.array_join(F.transform(F.coalesce("calls", F.array().cast("array<bigint>")), lambda c: F.format_string(f"{indent}part_%d(x)\n", c)), "")
+    python = F.concat(F.format_string("def part_%d(x):\n", "k"), body("    "), F.lit("    return x\n"))
+    go = F.concat(F.format_string("package parts\n\nfunc part_%d(x int) int {\n", "k"), body("\t"), F.lit("\treturn x\n}\n"))
+    odd = F.col("k") % 2 == 1
+    path = F.format_string("parts/%d/part_%d.%s", F.floor(F.col("k") / 1000), F.col("k"), F.when(odd, "go").otherwise("py"))
+    return part.select(path.alias("path"), F.when(odd, go).otherwise(python).cast("binary").alias("content"))
 
 
-def _built(spark: SparkSession) -> dict[str, DataFrame]:
-    return index.build(tree.parse_files(tree.from_tree(spark, TREE)))
+# What those files hold: symbols with their places, and who calls them.
+_SYMBOLS = """
+e AS (
+  SELECT DISTINCT a.l_partkey AS caller, b.l_partkey AS called FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+n AS (SELECT caller AS k, count(*) AS calls FROM e GROUP BY caller),
+s AS (
+  SELECT p_partkey AS k, 'parts/' || p_partkey // 1000 || '/part_' || p_partkey || CASE WHEN p_partkey % 2 = 1 THEN '.go' ELSE '.py' END AS path, 'part_' || p_partkey AS short_name, 'function' AS type,
+    CASE WHEN p_partkey % 2 = 1 THEN 3 ELSE 1 END::INTEGER AS line, CASE WHEN p_partkey % 2 = 0 THEN coalesce(calls, 0) + 2 END::INTEGER AS end_line,
+    CASE WHEN p_partkey % 2 = 1 THEN 'func part_' || p_partkey || '(x int) int' ELSE 'def part_' || p_partkey || '(x):' END AS signature FROM part LEFT JOIN n ON k = p_partkey),
+r AS (SELECT o.path AS origin, o.short_name AS symbol, c.path AS file, c.short_name AS caller, c.line, 'method_call' AS kind FROM e JOIN s o ON o.k = e.called JOIN s c ON c.k = e.caller)"""
 
 
-@register("parse_symbols", f"WITH {_SYMBOLS} SELECT path || '::' || short_name AS symbol_id, path, short_name, type, line, end_line, signature, called_by FROM s")
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return index.build(tree.parse_files(_sources(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)))
+
+
+@register("parse_symbols", f"""
+WITH {_SYMBOLS}, callers AS (SELECT origin, list_sort(list(file || '::' || caller)) AS called_by FROM r GROUP BY origin)
+SELECT path || '::' || short_name AS symbol_id, path, short_name, type, line, end_line, signature, coalesce(called_by, []) AS called_by FROM s LEFT JOIN callers ON origin = path""")
 def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbols of a tree in seven files and four languages."""
-    return _built(spark)["symbols"].select("symbol_id", "path", "short_name", "type", "line", "end_line", "signature", "called_by")
+    """The symbols of the parts' source files, with their callers."""
+    tables = _built(spark, sf_dir)
+    return index.with_callers(tables, tables["symbols"]).select("symbol_id", "path", "short_name", "type", "line", "end_line", "signature", "called_by")
 
 
-@register("index_references", f"""
-WITH {_SYMBOLS}, e AS (SELECT path AS origin, short_name AS symbol, unnest(called_by) AS by FROM s)
-SELECT origin, symbol, s.path AS file, s.short_name AS caller, s.line, CASE s.type WHEN 'module' THEN 'module_script' ELSE 'method_call' END AS kind
-FROM e JOIN s ON s.path || '::' || s.short_name = e.by""")
+@register("index_references", f"WITH {_SYMBOLS} SELECT * FROM r")
 def index_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its call graph."""
-    return index.edges(_built(spark))
+    """Their call graph."""
+    return index.edges(_built(spark, sf_dir))
+
+
+@register("index_usages", f"WITH {_SYMBOLS} SELECT file, caller, line, kind, count(*)::BIGINT AS times FROM r WHERE origin LIKE '%.py' GROUP BY ALL")
+def index_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls any part in Python, and how many of these."""
+    tables = _built(spark, sf_dir)
+    return index.usages(tables, tables["symbols"].where(F.col("path").endswith(".py")))
 
 
-_FIELD = {c: SQL_TOKENS.format(text=c) for c in ("member", "owner", "signature", "docstring", "path")}
+_FIELD = {c: SQL_TOKENS.format(text=c) for c in ("short_name", "signature", "path")}
 
 
 @register("index_postings", f"""
-WITH {_SYMBOLS}, n AS (SELECT path || '::' || short_name AS symbol_id, *, regexp_extract(short_name, '([^.]*)$', 1) AS member, CASE WHEN contains(short_name, '.') THEN split_part(short_name, '.', 1) END AS owner FROM s WHERE type <> 'module'),
-t AS (SELECT symbol_id, unnest(list_concat(list_concat({_FIELD['member']}, {_FIELD['member']}), list_concat(list_concat({_FIELD['owner']}, {_FIELD['signature']}),
-  list_concat({_FIELD['docstring']}, list_filter({_FIELD['path']}, lambda x, i: i % 2 = 1))))) AS term FROM n)
+WITH {_SYMBOLS}, t AS (SELECT path || '::' || short_name AS symbol_id, unnest(list_concat(list_concat({_FIELD['short_name']}, {_FIELD['short_name']}),
+  list_concat({_FIELD['signature']}, list_filter({_FIELD['path']}, lambda x, i: i % 2 = 1)))) AS term FROM s)
 SELECT symbol_id, term, count(*) AS tf FROM t GROUP BY ALL""")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its inverted index."""
-    return _built(spark)["search_postings"]
+    """Their inverted index."""
+    return _built(spark, sf_dir)["search_postings"].select("symbol_id", "term", "tf")
 
 
 @register("index_metadata", f"""
-WITH {_SYMBOLS}, k AS (SELECT type, count(*) AS n FROM s GROUP BY type)
-SELECT (SELECT count(DISTINCT path) FROM s) AS indexed_files, ['go', 'php', 'python', 'typescript'] AS languages, 7::BIGINT AS special_files,
-  (SELECT list_sort(list(type || '=' || n)) FROM k) AS symbol_types, (SELECT count(*) FROM s) AS total_symbols, {store.SCHEMA_VERSION}::INTEGER AS schema_version, 0::BIGINT AS fallback_files""")
+WITH {_SYMBOLS} SELECT count(*) AS indexed_files, list_sort(list(DISTINCT CASE WHEN path LIKE '%.go' THEN 'go' ELSE 'python' END)) AS languages, count(*) AS special_files,
+  ['function=' || count(*)] AS symbol_types, count(*) AS total_symbols, {store.SCHEMA_VERSION}::INTEGER AS schema_version, 0::BIGINT AS fallback_files FROM s""")
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its totals."""
+    """Their totals."""
     kinds = F.array_sort(F.transform(F.map_entries("symbol_types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
-    return _built(spark)["metadata"].withColumn("symbol_types", kinds)
+    return index.metadata(_built(spark, sf_dir)).withColumn("symbol_types", kinds)
+
+
+@register("trigram_candidates", """
+SELECT doc_id::VARCHAR AS path FROM documents WHERE contains(lower(coalesce(text, '')), 'ationth') OR contains(lower(coalesce(text, '')), '@mail')""")
+def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold one of two literals: those that meet the trigram condition of the expression, verified."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    n = docs.count()
+    found = textindex.gram_index(textindex.by_block(docs, n), n).persist()  # both tables come from one pass
+    some = textindex.candidates(found.where("gram IS NOT NULL"), found.where("path IS NOT NULL").select("block", "number", "path"), textindex.regex_condition("ationth|@mail", False))
+    text = F.lower(F.col("content").cast("string"))
+    return docs.join(some, "path", "left_semi").where(text.contains("ationth") | text.contains("@mail")).select("path")

@@ -19,6 +19,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt by their key before their words are taken apart: a text passes one exchange, and neither its terms' counts nor their ranking
+    need another."""
+    return _docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
+
+
 def _sql_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -33,14 +39,14 @@ SELECT doc_id, term, tf FROM tf QUALIFY row_number() OVER (PARTITION BY doc_id O
 @register("tokenize_terms", f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOKS}) AS term FROM documents) GROUP BY term")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token with its frequency and its number of documents."""
-    per_doc = postings(_docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms")), "doc_id", "terms", top=None)
+    per_doc = postings(_by_doc(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms")), "doc_id", "terms", top=None)
     return per_doc.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("docs"))
 
 
 @register("postings_tf", _POSTINGS)
 def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index of the documents."""
-    return postings(_docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms")), "doc_id", "terms")
+    return postings(_by_doc(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms")), "doc_id", "terms")
 
 
 @register("doc_stats", f"SELECT count(*) AS doc_count, avg(n) AS avg_doc_length FROM (SELECT len({_TOKS}) AS n FROM documents) WHERE n > 0")
@@ -78,7 +84,7 @@ QUALIFY rank <= 20"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
+    docs = _by_doc(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
     return top_k(bm25_scores(docs, "doc_id", "terms", QUERY_TERMS), "doc_id", 20)
 
 
@@ -136,7 +142,7 @@ scored AS (SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20""")
 def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same terms against postings of 64 terms a document, as the tools search them."""
-    docs = _docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
+    docs = _by_doc(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("terms"))
     lengths = docs.select("doc_id", F.size("terms").alias("doc_length")).where("doc_length > 0")
     scores = index_scores(postings(docs, "doc_id", "terms"), lengths, "doc_id", QUERY_TERMS)
     return top_k(scores.withColumn("score", F.round("score", 4)), "doc_id", 20)

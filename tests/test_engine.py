@@ -214,6 +214,20 @@ def test_settings_are_kept_by_project(tmp_path):
     assert settings.load(str(tmp_path), "/a") == {}
 
 
+def test_settings_steer_the_engine(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.py").write_text("def f():\n    pass\n")
+    e = Engine(spark, settings_path=str(tmp_path / "s"))
+    e.set_project_path(str(tmp_path / "p"))
+    assert e.configure(nothing=1)["status"] == e.configure(git_window="x")["status"] == "error"
+    assert e.configure(spill_chars=10, hybrid=True, max_related=3)["settings"] == {"hybrid": True, "max_related": 3, "spill_chars": 10}
+    again = Engine(spark, settings_path=str(tmp_path / "s"))
+    again.set_project_path(str(tmp_path / "p"))
+    assert again.hybrid and again.setting("git_window") == 500 and "detail_file" in again.spilled({"status": "success", "x": "y" * 20})
+    assert again.configure(spill_chars=None)["settings"] == {"hybrid": True, "max_related": 3} and again.setting("spill_chars") == 3500
+    assert again.get_context(".repolens/output/../../../../etc/passwd")["status"] == "error"
+
+
 def test_index_as_json(spark, tmp_path):
     from repolens.plans import index
     from repolens.sources import files, tree

@@ -122,3 +122,22 @@ def test_streaming_upserts(spark, tmp_path):
     upserts.start(read(), table, "key", "seq", str(tmp_path / "check")).awaitTermination()
     got = {(r["key"], r["v"]) for r in upserts.current(spark, table, read().schema).collect()}
     assert got == {(1, "c"), (2, "d"), (3, "e")}
+
+
+def test_percentiles_by_counts_equal_a_sort(spark):
+    import random
+
+    from repolens.operators import project
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([None, 1.5, *(rng.gauss(0, 9) for _ in range(9))])) for g in ("a", "b", None) for _ in range(700)] + [("one", 4.0), ("none", None)] + [("hot", 2.0)] * 3000 + [("hot", 3.0)] * 90
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    expected = set()
+    for g in {g for g, _ in rows}:
+        own = sorted((v for x, v in rows if x == g), key=lambda v: (v is not None, v or 0))
+        expected.add((g, *(own[int(s * (len(own) - 1) + 0.5)] for s in shares.values())))
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert {tuple(r) for r in project.nearest_rank(df, "v", ["g"], shares).collect()} == expected
+    own = sorted((v for _, v in rows), key=lambda v: (v is not None, v or 0))
+    assert [tuple(r) for r in project.nearest_rank(df, "v", [], {"p95": 0.95}).collect()] == [(own[int(0.95 * (len(own) - 1) + 0.5)],)]
+    assert project.nearest_rank(df.where("false"), "v", ["g"], shares).count() == 0

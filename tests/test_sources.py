@@ -3,12 +3,14 @@
 import fnmatch
 import json
 import os
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from repolens.functions import paths, validation
 from repolens.operators import hierarchy, textsearch
+from repolens.plans import index
 from repolens.sources import config, files, tree
 
 
@@ -148,3 +150,17 @@ def test_folders_without_src_and_suffixes_of_workspaces(spark, tmp_path):
 def test_broken_configuration_counts_as_none(tmp_path):
     (tmp_path / ".repolens.json").write_text("{broken")
     assert config.load_config(str(tmp_path)) == {}
+
+
+def test_git_log_of_commits(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for n, names in enumerate((["a.py", "b c.py"], ["a.py"], ["a.py", "b c.py", "d.py"])):
+        for name in names:
+            (tmp_path / name).write_text(str(n))
+        git("add", "-A"), git("commit", "-qm", f"{n}", "--date", f"2024-0{n + 1}-05T10:00:00")
+    rows = sorted(tuple(r) for r in tree.git_log(spark, str(tmp_path)).collect())
+    assert rows == [(0, "2024-03-05", "a.py"), (0, "2024-03-05", "b c.py"), (0, "2024-03-05", "d.py"), (1, "2024-02-05", "a.py"), (2, "2024-01-05", "a.py"), (2, "2024-01-05", "b c.py")]
+    assert tree.git_log(spark, str(tmp_path), window=1).count() == 3
+    pairs = index.cochanges(tree.git_log(spark, str(tmp_path)), spark.createDataFrame([("a.py",), ("b c.py",)], "path string"))
+    assert pairs.count() > 0 and not any("d.py" in str(r) for r in pairs.collect())
