@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,10 @@ from repolens.llm.substrings import _mixed
 MIN_RUN, MIN_PAGES, MIN_SHARE, COVER = 12, 3, 0.3, 0.8
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.8  #: inside an article, a template's block has to be nearly everywhere
 GROUP_PAGES, GROUP_BYTES = 500, 4_000_000  #: of distinct streams in a group, about
+LEAD_WORDS, SENTENCE_ENDS = 8, ".!?\u2026\u3002\uff01\uff1f\"\u201d\u00bb"  #: of a paragraph in an article's own header
 SUSPECT_WORDS, SUSPECT_LINKS = 25, 0.3  #: an element with a doubtful name stays if it has so many words, sentences, and fewer links
 OTHER_TEXT = 3  #: articles are teasers if something else named as content has so many times their text
-BROADCAST_ROWS = 50_000  #: of hosts, or of (stream, block numbers); more are joined by a shuffle
+BROADCAST_BYTES = 8_000_000  #: of hosts, or of (stream, block numbers); more are joined by a shuffle
 
 # Elements by what they mean for the text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -84,8 +86,9 @@ _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: What ``out`` says: no text, none but headings (an article's own header), and out by name, where the text is kept in case nothing else is left.
-NO_TEXT, HEADINGS_ONLY, BY_NAME = 1, 2, 3
+#: What ``out`` says: no text, none but headings (an article's own header), out by name, where the text is kept in case nothing else is left, and
+#: a paragraph in an article's own header, to be decided by its text.
+NO_TEXT, HEADINGS_ONLY, BY_NAME, LEAD = 1, 2, 3, 4
 
 
 class Block:
@@ -121,6 +124,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     root = ("", 0, False, False, 0, 0, 0)
     stack: list[tuple[str, int, bool, bool, int, int, int]] = []  # name, out, article, main, number of a container named as content, of a suspect, of the holder
     parts: list[str] = []
+    open_: Counter[str] = Counter()  # how often a name is on the stack, so that a stray end tag costs nothing
+    lists: list[int] = []  # where lists and their items are on the stack
     around = [0]
     linked, in_link, named_last, suspect_last = 0, False, 0, 0
 
@@ -134,6 +139,14 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             parts.clear()
         linked = 0
 
+    def shut() -> str:
+        """Take the innermost element off the stack."""
+        name = stack.pop()[0]
+        open_[name] -= 1
+        if lists and lists[-1] == len(stack):
+            lists.pop()
+        return name
+
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -170,20 +183,15 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if boundary:
             flush()
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack:
-                    if stack.pop()[0] == name:
-                        break
+            while open_[name]:
+                if shut() == name:
+                    break
             continue
         if boundary and stack and stack[-1][0] in ("p", *HEADINGS) and name != "span":
-            stack.pop()
-        if name == "li":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ("ul", "ol", "menu"):
-                    break
-                if stack[k][0] == "li":
-                    del stack[k:]
-                    break
+            shut()
+        if name == "li" and lists and stack[lists[-1]][0] == "li":
+            for _ in range(len(stack) - lists[-1]):
+                shut()
         names, says, may = _names(attributes) if attributes else (set(), False, False)
         before, out, article, main, named, suspect, holder = stack[-1] if stack else root
         role = attributes.get("role", "").lower()
@@ -196,6 +204,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             pass
         elif name in HEADINGS:
             out = 0 if out == HEADINGS_ONLY else out
+        elif name == "p" and out == HEADINGS_ONLY and not says and not may:
+            out = LEAD
         elif name == "header" or says and names & NAMES_OUT == {"header"}:
             out = out or (HEADINGS_ONLY if article or main or named else NO_TEXT)
         elif says and not (name == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "sponsored", "related"}):
@@ -213,14 +223,18 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if name in HOLDERS:
             around.append(holder)
             holder = len(around) - 1
-        if boundary or names or out != (stack[-1][1] if stack else 0):
-            stack.append((name, out, article, main, named, suspect, holder))
-        elif name in ("span", "b", "i", "em", "strong", "a", "u", "font", "small", "sup", "sub", "code", "label"):
+        if not (boundary or names or out != (stack[-1][1] if stack else 0)) and name in ("span", "b", "i", "em", "strong", "a", "u", "font", "small", "sup", "sub", "code", "label"):
             continue
-        else:
-            stack.append((name, out, article, main, named, suspect, holder))
+        if name in ("ul", "ol", "menu", "li"):
+            lists.append(len(stack))
+        stack.append((name, out, article, main, named, suspect, holder))
+        open_[name] += 1
     flush()
-    return found, around
+    # a paragraph in an article's own header is its lead if it reads like text; else it is a date or a name
+    kept = [b for b in found if b.out != LEAD or _words(b.text) >= LEAD_WORDS and b.text[-1] in SENTENCE_ENDS]
+    for b in kept:
+        b.out = 0 if b.out == LEAD else b.out
+    return kept, around
 
 
 def _words(text: str) -> int:
@@ -230,7 +244,7 @@ def _words(text: str) -> int:
 def _like_text(some: list[Block]) -> bool:
     """Whether blocks read like an article: enough words in sentences, and few of them links."""
     chars = sum(len(b.text) for b in some)
-    sentences = any(_words(b.text) >= 8 and b.text[-1] in ".!?…。！？\"”»" for b in some)
+    sentences = any(_words(b.text) >= 8 and b.text[-1] in SENTENCE_ENDS for b in some)
     return sum(_words(b.text) for b in some) >= SUSPECT_WORDS and sentences and sum(b.linked for b in some) < SUSPECT_LINKS * chars
 
 
@@ -471,8 +485,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df``, which is written, to be broadcast if it has few rows; they are counted."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, which is written, to be broadcast if it is small: its rows, texts and lists are measured."""
+    size = F.lit(64)
+    for name, kind in df.dtypes:
+        size = size + F.coalesce(F.size(name) * 8 if kind.startswith("array") else F.octet_length(name) if kind == "string" else F.lit(8), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def removed_blocks(parsed: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:

@@ -45,6 +45,20 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {t for _, t, _ in got} == {"the very same article text"}
 
 
+def test_the_lead_in_an_articles_own_header_is_text(spark):
+    page = "<body><article><header><h1>Title</h1><p>This is the lead of the whole article, in one sentence.</p><p>12 May</p><p class='byline'>By a person who writes about many things here.</p></header><p>Body text.</p></article></body>"
+    assert {t for _, t, _ in texts(spark, [(1, "http://h/1", page)])} == {"Title\nThis is the lead of the whole article, in one sentence.\nBody text."}
+
+
+def test_broken_pages_of_a_megabyte_take_linear_time():
+    import time
+
+    for page in ("<div><section>" * 40_000 + "</b></i></zz>" * 40_000, "<ul>" + "<div>" * 60_000 + "<li>x" * 60_000):
+        began = time.perf_counter()
+        htmltext.blocks(page)
+        assert time.perf_counter() - began < 10
+
+
 def boilerplate(streams, article):
     """Per stream the blocks that windows on enough pages cover, by brute force."""
     run, need = htmltext.MIN_RUN, htmltext.needed(len(streams), article)
