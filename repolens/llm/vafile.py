@@ -4,7 +4,8 @@ Vectors become integers, floor(scale * x), and are kept in blocks of two files.
 cell between the block's smallest and largest value of that component. The exact file has the integers, in as few bytes as they need.
 
 1. Scan. Blocks of queries meet blocks of approximations; exact vectors stay where they are. A cell's lower edge and width bound every inner
-   product from both sides. A query keeps the vectors whose upper bound reaches its kth largest lower bound so far, as row numbers of the block.
+   product from both sides. A query keeps the vectors whose upper bound reaches its kth largest lower bound over the task's blocks, as row numbers of
+   the block; its lower bounds leave the task once.
 2. The kth largest lower bound over all blocks is no more than the kth result. What lies below it with its upper bound is out.
 3. Read. Each block's exact vectors are read by row number for the queries that are left, in the order of their bounds, until a query's kth exact
    score is above every bound to come. A block that many queries ask for is dealt to several tasks. A ranking window merges the blocks.
@@ -31,6 +32,7 @@ from repolens.llm.common import shuffle_width, stash
 BITS, BLOCK, QUERIES = 6, 8192, 1024
 TASK_PAIRS = 256  #: pairs of blocks in a task at most
 READS = 200_000  #: (query, block) rows in a task of exact reads, about
+HELD_BYTES = 64 * 2**20  #: of rows that a scanning task holds before it writes some
 
 _SHIFTS = np.arange(BITS, dtype=np.uint8)
 
@@ -197,8 +199,15 @@ _KEPT = "query_id long, query_key long, block string, rows binary, uppers binary
 def _scanner(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("block", pa.string()), ("rows", pa.binary()), ("uppers", pa.binary()), ("top", pa.float64()), ("lows", pa.list_(pa.float64()))])
 
+    def kept(state: _Bounds, lows: bool) -> Iterator[pa.RecordBatch]:
+        out = state.left(lows)
+        for a in range(0, len(out), 4096):
+            at, rows, uppers, block, top, low = zip(*out[a : a + 4096], strict=True)
+            columns = [pa.array(state.ids[list(at)]), pa.array(state.keys[list(at)]), pa.array(block), pa.array(rows, pa.binary()), pa.array(uppers, pa.binary()), pa.array(top), pa.array(low, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[bytes, np.ndarray] = {}
+        states: dict[bytes, _Bounds] = {}
         last, now = None, None
         for batch in batches:
             for j in range(batch.num_rows):
@@ -209,19 +218,55 @@ def _scanner(k: int):
                     last, raw = row["block"], {c: batch.column(c)[j].as_py() for c in ("n", "ids", "low", "width", "cells")}
                     low, width, ids = (np.frombuffer(raw[c], np.int64) for c in ("low", "width", "ids"))
                     now = low, width, edges(low, width, raw["cells"], raw["n"]), ids
-                q_n, q_keys = batch.column("q_n")[j].as_py(), batch.column("q_keys")[j].as_py()
-                q_ids, q = np.frombuffer(batch.column("q_ids")[j].as_py(), np.int64), _matrix(batch.column("q_exact")[j].as_py(), q_n, row["dim"])
-                floor = floors.setdefault(q_keys, np.full(q_n, -np.inf))
-                out = [(i, r.tobytes(), u.tobytes(), float(u.max()), lows) for i, r, u, lows in scan(q, q_ids, *now, k, floor)]
-                if out:
-                    at, rows, uppers, top, lows = zip(*out, strict=True)
-                    at, keys = np.array(at), np.frombuffer(q_keys, np.int64)
-                    columns = [pa.array(q_ids[at]), pa.array(keys[at]), pa.array([row["block"]] * len(at)), pa.array(rows, pa.binary()), pa.array(uppers, pa.binary()), pa.array(top), pa.array(lows, pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                q_n, q_keys, q_ids = batch.column("q_n")[j].as_py(), batch.column("q_keys")[j].as_py(), np.frombuffer(batch.column("q_ids")[j].as_py(), np.int64)
+                q = _matrix(batch.column("q_exact")[j].as_py(), q_n, row["dim"])
+                if q_keys not in states:
+                    states[q_keys] = _Bounds(q_ids, np.frombuffer(q_keys, np.int64), k)
+                state = states[q_keys]
+                for i, r, u, lows in scan(q, q_ids, *now, k, state.floor):
+                    state.add(i, row["block"], r, u, lows)
+                if state.held > HELD_BYTES:
+                    state.prune()
+                    if state.held > HELD_BYTES // 2:
+                        yield from kept(state, False)
+        for state in states.values():
+            yield from kept(state, True)
 
     return run
 
 
+class _Bounds:
+    """What a task knows of a block of queries: of each query its k largest lower bounds over the blocks so far, and the rows that may still qualify."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, k: int) -> None:
+        self.ids, self.keys, self.k, self.held = ids, keys, k, 0
+        self.floor = np.full(len(ids), -np.inf)
+        self.lows = [np.zeros(0)] * len(ids)
+        self.rows: list[tuple[int, str, np.ndarray, np.ndarray]] = []
+
+    def add(self, i: int, block: str, rows: np.ndarray, upper: np.ndarray, lows: np.ndarray) -> None:
+        self.lows[i] = -np.sort(-np.r_[self.lows[i], lows])[: self.k]
+        if len(self.lows[i]) == self.k:
+            self.floor[i] = max(self.floor[i], self.lows[i][-1])
+        self.rows.append((i, block, rows, upper))
+        self.held += rows.nbytes + upper.nbytes + 100
+
+    def prune(self) -> None:
+        rows = [(i, block, r[u >= self.floor[i]], u[u >= self.floor[i]]) for i, block, r, u in self.rows]
+        self.rows = [x for x in rows if len(x[2])]
+        self.held = sum(r.nbytes + u.nbytes + 100 for _, _, r, u in self.rows)
+
+    def left(self, lows: bool) -> list[tuple]:
+        """What is to be read by block, and once for each query, if ``lows``, its lower bounds; nothing of that stays."""
+        self.prune()
+        none: list[float] = []
+        out = [(i, r.tobytes(), u.tobytes(), block, float(u.max()), none) for i, block, r, u in self.rows]
+        if lows:  # a row of their own: the last of a query's rows may have gone out before
+            out += [(i, b"", b"", "", -np.inf, x.tolist()) for i, x in enumerate(self.lows) if len(x)]
+        self.rows, self.held = [], 0
+        return out
+
+
 _FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -265,7 +310,7 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     lows = kept.select(*query, F.explode("lows").alias("low"))
     ranked = lows.withColumn("place", F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("low")))).where(F.col("place") == k)
     least = ranked.select(*query, F.col("low").alias("_least"))
-    left = kept.drop("lows").join(least, query, "left").withColumn("least", F.coalesce("_least", F.lit(float("-inf")))).where(F.col("top") >= F.col("least"))
+    left = kept.where("block <> ''").drop("lows").join(least, query, "left").withColumn("least", F.coalesce("_least", F.lit(float("-inf")))).where(F.col("top") >= F.col("least"))
     texts = asked.select(F.col("id").alias("query_id"), F.col("key").alias("query_key"), "v")
     left = left.join(texts, query).select(*query, "block", "rows", "uppers", "least", "v")
     parts = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / READS).cast("int").alias("parts"))
