@@ -5,8 +5,8 @@ the open sources by weight until none is above its clamp. Each round is one aggr
 source or is the last. A source's target is then met to the word: every document is taken as often as whole repetitions fit, and the rest is
 a seeded sample without replacement, in md5 order, whose last document is taken in part.
 
-The sample's threshold is found without sorting a source in one task: sizes are summed in cells of the hash for each source, a window over those
-sums finds the cell in which the target falls, and only that cell's documents (about ``CELL_ROWS``) are ordered. The hash covers id and text, so that
+The sample's threshold is found without sorting a source in one task: sizes are summed in cells of the hash for each source, running sums in two levels
+find the cell in which the target falls, and only that cell's documents (``CELL_ROWS`` at most, on average) are ordered. The hash covers id and text, so that
 rows with null or equal ids spread out too. Words are counted once: sizes and hashes are written to the shared folder before anything is summed.
 
 Nulls: a null text has no words, takes part with size 0 and is taken 0 times; a null source is a source, last in order. Rows that repeat are
@@ -68,15 +68,22 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
     carried = [F.col(f"`{c}`").alias(f"_c_{c}") for c in (carry or [])]
     digest = _digest(F.col(f"`{key}`"), F.col("`text`") if "text" in docs.columns else F.lit(""), seed)
     rows = stash(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"), digest.alias("_hash"), *carried), "sizes")
-    digits = 1 + len(f"{rows.count() // CELL_ROWS:x}")  # of the hash that name a cell
+    digits = len(f"{rows.count() // CELL_ROWS:x}")  # of the hash that name a cell
     sized = rows.withColumn("_cell", F.conv(F.substring("_hash", 1, digits), 16, 10).cast("long"))
     targets = cut(source_targets(rows.select("source", "size"), weights, share, max_epochs))
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0)
     plan = targets.withColumn("_whole", whole.cast("long")).withColumn("_rest", (F.round("target") - F.col("_whole") * F.col("source_size")).cast("long"))
     # where in the hash order does each source's remainder end?
-    cells = sized.groupBy("source", "_cell").agg(F.sum("size").alias("_in_cell"))
-    before = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before"), "_in_cell")
+    cells = sized.groupBy("source", "_cell").agg(F.sum("size").alias("_in_cell")).withColumn("_span", F.shiftright("_cell", 4 * (digits // 2)))
+    # running sums in two levels: of the cells in a span of cells, and of the spans; a source with n cells has about the root of n in either
+    spans = cells.groupBy("source", "_span").agg(F.sum("_in_cell").alias("_in_span"))
+    ahead = Window.partitionBy("source").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("source").alias("_t"), F.col("_span").alias("_p"), F.coalesce(F.sum("_in_span").over(ahead), F.lit(0)).alias("_ahead"))
+    before = Window.partitionBy("source", "_span").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cells.withColumn("_inside", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)))
+    starts = inside.join(spans, F.col("source").eqNullSafe(F.col("_t")) & (F.col("_span") == F.col("_p"))).select(
+        F.col("source").alias("_s"), F.col("_cell").alias("_c"), (F.col("_ahead") + F.col("_inside")).alias("_before"), "_in_cell"
+    )
     plans = plan.select(F.col("source").alias("_t"), "source_size", "target", "_whole", "_rest")
     known = starts.join(plans, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     joined = sized.join(known, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))).drop("_s", "_c")
