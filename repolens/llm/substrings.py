@@ -206,8 +206,8 @@ def _counter(hot_docs: int):
     return run
 
 
-_PIECES = "block int, batch int, doc_id long, text_key int, starts binary, length int, words binary"
-_SPANS = "batch int, doc_id long, text_key int, starts binary, offset int, length int"
+_PIECES = "block int, batch int, doc_id long, text_key long, starts binary, length int, words binary"
+_SPANS = "batch int, doc_id long, text_key long, starts binary, offset int, length int"
 _WIDTH = 6  #: bytes of a word's hash in a piece
 
 
@@ -293,7 +293,7 @@ def _cutter(n_shards: int, n_blocks: int):
         n_spans, of = len(spans[0]), np.r_[spans[0], doc[row]]
         sent = np.r_[np.zeros(n_spans, np.int64), length[row]]
         out = pa.table({
-            "block": pa.array(np.r_[np.full(n_spans, -1, np.int32), block]), "batch": pa.array(np.full(len(of), me, np.int32)), "doc_id": pa.array(b.ids[of]), "text_key": pa.array(b.keys[of].astype(np.int32)),
+            "block": pa.array(np.r_[np.full(n_spans, -1, np.int32), block]), "batch": pa.array(np.full(len(of), me, np.int32)), "doc_id": pa.array(b.ids[of]), "text_key": pa.array(b.keys[of]),
             "starts": _binary(np.r_[spans[1], place].astype("<i4"), np.r_[np.ones(n_spans, np.int64), copies[~known]]), "length": pa.array(np.r_[spans[2], length[row]].astype(np.int32)),
             "words": _binary(_piece_words(b.hashes[b.local[_spread(first[row], length[row])]]), sent),
         })
@@ -405,7 +405,7 @@ def _with_spans(docs: DataFrame, finish, out: str, doc_id: str, text: str, row:
     n_batches, width = batch_count(spark, chars, BATCH_CHARS), shuffle_width(spark)
     n_shards, n_blocks = max(width, int(chars // SHARD_CHARS) + 1), max(width, int(chars // BLOCK_CHARS) + 1)
     read = docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.hash(full).alias("text_key"), full.alias("text"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(full, F.length(full)).alias("text_key"), full.alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), F.pmod(F.xxhash64(doc_id, full), F.lit(n_batches)).cast("int").alias("batch"),
     )
     batches = read.groupBy("batch")
