@@ -327,10 +327,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id, of rows that repeat one. Columns stay as they are."""
+    """``docs`` with one row of each class: the one with the smallest id, of rows that repeat one the least by a hash of all columns, so that a rerun
+    keeps the same. Columns stay as they are."""
     _, sizes = _labelled(docs, doc_id, text, least)
     heads = cut(sizes.select(F.col("head.node").alias("_n"), F.col("head.age").alias("_a")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(_node(F.col(f"`{text}`")).alias("_node"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)).alias("_id"), row.alias("_row"))
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    keyed = docs.select(_node(F.col(f"`{text}`")).alias("_node"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)).alias("_id"), row.alias("_row"), mark.alias("_mark"))
     kept = keyed.join(heads, (F.col("_node") == F.col("_n")) & (F.col("_id") == F.col("_a")), "left_semi")
-    return kept.dropDuplicates(["_node", "_id"]).select("_row.*")
+    return kept.groupBy("_node", "_id").agg(F.min_by("_row", "_mark").alias("_row")).select("_row.*")
