@@ -41,6 +41,7 @@ from repolens.llm.substrings import _mixed
 MIN_RUN, MIN_PAGES, MIN_SHARE, COVER = 12, 3, 0.3, 0.8
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.8  #: inside an article, a template's block has to be nearly everywhere
 GROUP_PAGES, GROUP_BYTES = 500, 4_000_000  #: of distinct streams in a group, about
+BYLINES = {"author", "byline", "credit", "date", "dateline", "meta", "published", "time", "updated"}  #: names of a paragraph there that is no lead
 LEAD_WORDS, SENTENCE_ENDS = 8, ".!?\u2026\u3002\uff01\uff1f\"\u201d\u00bb"  #: of a paragraph in an article's own header
 SUSPECT_WORDS, SUSPECT_LINKS = 25, 0.3  #: an element with a doubtful name stays if it has so many words, sentences, and fewer links
 OTHER_TEXT = 3  #: articles are teasers if something else named as content has so many times their text
@@ -204,7 +205,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             pass
         elif name in HEADINGS:
             out = 0 if out == HEADINGS_ONLY else out
-        elif name == "p" and out == HEADINGS_ONLY and not says and not may:
+        elif name == "p" and out == HEADINGS_ONLY and not says and not may and not names & BYLINES:
             out = LEAD
         elif name == "header" or says and names & NAMES_OUT == {"header"}:
             out = out or (HEADINGS_ONLY if article or main or named else NO_TEXT)
