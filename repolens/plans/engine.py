@@ -177,8 +177,7 @@ class Engine:
         else:
             keep = lambda k, df: df if covers is None or k in store.WHOLE else (old[k] if k in store.BY_BLOCK else old[k].join(covers, "path", "left_anti")).unionByName(df)
             self.tables = {k: keep(k, df).persist(StorageLevel.MEMORY_AND_DISK) for k, df in built.items()}
-            for df in self.tables.values():  # before what they are made from goes
-                df.count()
+            store.at_once(self.spark, [df.count for df in self.tables.values()])  # before what they are made from goes
         for held in self._held:
             held.unpersist()
         if self._stale is not None:

@@ -9,8 +9,9 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +65,19 @@ def _vacuum(spark: SparkSession, path: str) -> None:
             gone.getFileSystem(conf).delete(gone, True)
 
 
+def at_once(spark: SparkSession, jobs: list[Callable[[], object]]) -> None:
+    """Run jobs, none of which waits for another, a few at a time."""
+    thread = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for done in [pool.submit(thread(job)) for job in jobs]:
+            done.result()
+
+
 def _write(tables: dict[str, DataFrame], path: str, covers: DataFrame) -> tuple[str, str, str]:
     """The names of the new segment and version, and the tables' schemas: a reader needn't open a file to learn them."""
     segment, whole = uuid.uuid4().hex, uuid.uuid4().hex
     parts = {f"segments/{segment}/{name}": tables[name] for name in BY_PATH + BY_BLOCK} | {f"segments/{segment}/covers": covers.select("path")} | {f"versions/{whole}/{name}": tables[name] for name in WHOLE}
-    thread = inheritable_thread_target(covers.sparkSession)
-    with ThreadPoolExecutor(WRITERS) as pool:  # the tables are small jobs each, and none waits for another
-        for done in [pool.submit(thread(df.write.parquet), f"{path}/{name}") for name, df in parts.items()]:
-            done.result()
+    at_once(covers.sparkSession, [partial(df.write.parquet, f"{path}/{name}") for name, df in parts.items()])
     return segment, whole, json.dumps({name.split("/")[-1]: df.schema.jsonValue() for name, df in parts.items()})
 
 
