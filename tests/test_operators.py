@@ -122,6 +122,10 @@ def test_streaming_upserts(spark, tmp_path):
     upserts.start(read(), table, "key", "seq", str(tmp_path / "check")).awaitTermination()
     got = {(r["key"], r["v"]) for r in upserts.current(spark, table, read().schema).collect()}
     assert got == {(1, "c"), (2, "d"), (3, "e")}
+    first, second = sorted((tmp_path / "table" / "data").iterdir())
+    buckets = lambda folder: {p.name for p in folder.iterdir() if p.is_dir()}
+    assert len(buckets(first)) == 2 and len(buckets(second)) == 2, "the bucket of key 1 isn't written again"
+    assert upserts.current(spark, str(tmp_path / "nothing"), read().schema).count() == 0
 
 
 def test_percentiles_by_counts_equal_a_sort(spark):
