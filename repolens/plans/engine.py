@@ -30,6 +30,7 @@ INTENTS = {"project", "file", "symbol", "before_edit", "impact"}
 CHANGES = {"modify", "rename", "delete", "signature_change", "contract_change"}
 SPILL_CHARS, SPILLS_KEPT = 3500, 20
 ONE_TASK = 64  #: changed files that are indexed in one task
+CACHED_SYMBOLS = 200_000  #: of an index whose tables of symbols, names and calls are cached
 SMALL = 10_000  #: rows of an intermediate result that the driver holds
 SPILL_KEYS = [
     "status", "intent", "change_type", "project", "target", "overview", "confidence", "confidence_details", "blast_radius", "risk_reasons", "safe_edit_hints", "related_files",
@@ -64,6 +65,7 @@ class Engine:
         self.spark, self.store_path, self.hybrid, self.settings_path = spark, store_path, hybrid, settings_path
         self._held: list[DataFrame] = []
         self._pinned: list[DataFrame] = []
+        self._cached: list[DataFrame] = []
         self.root: str | None = None
         self.structure: config.Structure | None = None
         self.tables: dict[str, DataFrame] | None = None
@@ -80,7 +82,7 @@ class Engine:
         self.root, self.structure = os.path.abspath(path), config.structure_of(path)
         self.settings = settings.load(self.settings_path, self.root) if self.settings_path else {}
         self.hybrid = bool(self.settings.get("hybrid", self.hybrid))
-        self.tables = store.load(self.spark, self.store_path) if self.store_path else None
+        self._load()
         self.refresh_index()
         return f"Project {self.root}: {self.files.count()} files"
 
@@ -173,7 +175,7 @@ class Engine:
                 store.save(built, self.store_path)
             else:
                 store.append(built, self.store_path, covers)
-            self.tables = store.load(self.spark, self.store_path)
+            self._load()
         else:
             keep = lambda k, df: df if covers is None or k in store.WHOLE else (old[k] if k in store.BY_BLOCK else old[k].join(covers, "path", "left_anti")).unionByName(df)
             self.tables = {k: keep(k, df).persist(StorageLevel.MEMORY_AND_DISK) for k, df in built.items()}
@@ -185,6 +187,16 @@ class Engine:
         self._held, self._stale = [], None
         return self._report()
 
+    def _load(self) -> None:
+        """The stored tables; those that every answer reads are cached if the index is small by its own totals."""
+        for df in self._cached:
+            df.unpersist()
+        self.tables, self._cached = store.load(self.spark, self.store_path) if self.store_path else None, []
+        if self.tables is not None and index.metadata(self.tables).first()["total_symbols"] <= CACHED_SYMBOLS:
+            for name in ("files", "symbols", "names", "calls"):
+                self.tables[name] = self.tables[name].persist(StorageLevel.MEMORY_AND_DISK)
+                self._cached.append(self.tables[name])
+
     def _report(self) -> str:
         meta = index.metadata(self.tables).first()
         return f"Indexed {meta['indexed_files']} files, {meta['total_symbols']} symbols"
