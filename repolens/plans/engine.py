@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 from typing import Any
@@ -31,7 +32,7 @@ CHANGES = {"modify", "rename", "delete", "signature_change", "contract_change"}
 SPILL_CHARS, SPILLS_KEPT = 3500, 20
 ONE_TASK = 64  #: changed files that are indexed in one task
 CACHED_SYMBOLS = 200_000  #: of an index whose tables of symbols, names and calls are cached
-SMALL = 10_000  #: rows of an intermediate result that the driver holds
+SMALL, KNOWN = 10_000, 64  #: rows of an intermediate result that the driver holds, and how many of those it keeps
 SPILL_KEYS = [
     "status", "intent", "change_type", "project", "target", "overview", "confidence", "confidence_details", "blast_radius", "risk_reasons", "safe_edit_hints", "related_files",
     "missing_context", "edit_plan", "suggested_next_steps",
@@ -66,6 +67,8 @@ class Engine:
         self._held: list[DataFrame] = []
         self._pinned: list[DataFrame] = []
         self._cached: list[DataFrame] = []
+        self._session = spark
+        self._known: dict[tuple, pa.Table] = {}
         self.root: str | None = None
         self.structure: config.Structure | None = None
         self.tables: dict[str, DataFrame] | None = None
@@ -184,15 +187,20 @@ class Engine:
             held.unpersist()
         if self._stale is not None:
             self._stale.unpersist()
-        self._held, self._stale = [], None
+        self._held, self._stale, self._known = [], None, {}
         return self._report()
 
     def _load(self) -> None:
         """The stored tables; those that every answer reads are cached if the index is small by its own totals."""
         for df in self._cached:
             df.unpersist()
-        self.tables, self._cached = store.load(self.spark, self.store_path) if self.store_path else None, []
+        self._known = {}
+        self.tables, self._cached, self._session = store.load(self.spark, self.store_path) if self.store_path else None, [], self.spark
         if self.tables is not None and index.metadata(self.tables).first()["total_symbols"] <= CACHED_SYMBOLS:
+            self._session = self.spark.newSession()  # answers from a small index gain nothing from plans that are made anew while they run
+            self._session.conf.set("spark.sql.adaptive.enabled", "false")
+            self._session.conf.set("spark.sql.shuffle.partitions", "2")
+            self.tables = store.load(self._session, self.store_path)
             for name in ("files", "symbols", "names", "calls"):
                 self.tables[name] = self.tables[name].persist(StorageLevel.MEMORY_AND_DISK)
                 self._cached.append(self.tables[name])
@@ -214,15 +222,21 @@ class Engine:
             self._scan_languages = [lang for lang in syntax.SYNTAX.values() if here & set(lang.extensions)]
         return self._scan_languages
 
-    def _edges(self, callees: DataFrame) -> DataFrame:
-        """Edges into some symbols."""
-        return self._small(index.edges(self.tables, callees, index.few(self.tables, callees)))
+    def _edges(self, callees: DataFrame, *key: str) -> DataFrame:
+        """Edges into some symbols; ``key`` names them."""
+        return self._small(lambda: index.edges(self.tables, callees, index.few(self.tables, callees)), "edges", *key)
 
-    def _small(self, df: DataFrame) -> DataFrame:
-        """The same rows as a local relation if there are few, so that what is built on them costs no scan; else kept until the next answer."""
-        rows = df.limit(SMALL + 1).toArrow()
+    def _small(self, made: Callable[[], DataFrame], *key: str | None) -> DataFrame:
+        """The same rows as a local relation if there are few, so that what is built on them costs no scan, and kept for the next question about the
+        same ``key`` until the index changes; else kept until the next answer."""
+        if (rows := self._known.get(key)) is None:
+            df = made()
+            rows = df.limit(SMALL + 1).toArrow()
         if rows.num_rows <= SMALL:
-            return self.spark.createDataFrame(rows).coalesce(1)  # one partition needs no exchange
+            self._known[key] = rows
+            if len(self._known) > KNOWN:
+                self._known.pop(next(iter(self._known)))
+            return self._session.createDataFrame(rows).coalesce(1)  # one partition needs no exchange
         self._pinned.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
@@ -235,7 +249,7 @@ class Engine:
     def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
         """A few rows of the driver as a local relation: it costs no job."""
         fields = [f.split(" ") for f in schema.split(", ")]
-        return self.spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)})).coalesce(1)
+        return self._session.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], ARROW[kind]) for i, (name, kind) in enumerate(fields)})).coalesce(1)
 
     def _read(self, files: DataFrame) -> DataFrame:
         """(path, content) of listed files."""
@@ -342,7 +356,7 @@ class Engine:
             return {"status": "error", "message": f"{symbol_name} not found in {file_path}"}
         out = {"status": "success", "symbol": found["short_name"], "type": found["type"], "line": found["line"], "end_line": found["end_line"] or found["line"] + 50, "match": ["owner_qualified", "exact", "qualified_suffix"][found["tier"]], "code": code}
         if not compact:
-            calls = self._edges(self._own(file_path).where(F.col("short_name") == found["short_name"])).where(F.col("file") != file_path).select("file", "caller", "line").orderBy("file", "line").limit(10)
+            calls = self._edges(self._own(file_path).where(F.col("short_name") == found["short_name"]), file_path, found["short_name"]).where(F.col("file") != file_path).select("file", "caller", "line").orderBy("file", "line").limit(10)
             out |= {"signature": found["signature"], "docstring": found["docstring"], "called_by": [r.asDict() for r in calls.collect()]}
         return out
 
@@ -424,7 +438,8 @@ class Engine:
         means = graph.callee_match(self.tables["symbols"], bare, owner=owner)
         if file_path:
             means = means.where(F.col("path") == file_path)
-        both = self._small(index.usages(self.tables, means, index.few(self.tables, means)).select("file", "line", "kind", F.lit("index").alias("source"), "times"))
+        found = lambda: index.usages(self.tables, means, index.few(self.tables, means)).select("file", "line", "kind", F.lit("index").alias("source"), "times")
+        both = self._small(found, "usages", bare, owner, file_path)
         if self._scanned:
             scanned = self._scanned_usages(bare, owner).select("file", "line", "kind", F.lit("scan").alias("source"), F.lit(1).cast("long").alias("times"))
             both = both.unionByName(scanned.join(both.select("file").dropDuplicates(), "file", "left_anti"))
@@ -463,7 +478,7 @@ class Engine:
             if callers:
                 frame = self._frame([(c["file"],) for c in callers], "file string")
                 via = [c["file"] for c in callers][: graph.MAX_EXPANDED]
-                impacts = graph.impact(self._edges(self.tables["symbols"].where(F.col("path").isin(via) & (F.length("short_name") > 2))), "origin", "symbol", "file")
+                impacts = graph.impact(self._edges(self.tables["symbols"].where(F.col("path").isin(via) & (F.length("short_name") > 2)), "via", *via), "origin", "symbol", "file")
                 beyond = graph.indirect_dependents(frame.limit(graph.MAX_EXPANDED), impacts, path).join(F.broadcast(frame), "file", "left_anti").withColumn("category", self._category(F.col("file")))
                 order = [F.desc(risk.weight(F.col("category"), risk.CATEGORY_WEIGHTS)), F.desc("count"), "file"]
                 indirect = [r.asDict() for r in beyond.orderBy(*order).limit(limit).collect()]
@@ -496,7 +511,7 @@ class Engine:
 
     def get_impact_analysis(self, file_path: str) -> dict[str, Any]:
         """Which other files use a file's symbols."""
-        own = self._edges(self._own(file_path))
+        own = self._edges(self._own(file_path), file_path)
         found = graph.impact(own.where(F.length("symbol") > 2), "origin", "symbol", "file")
         rows = [r.asDict() for r in found.orderBy(F.desc("referenced_in"), "symbol").collect()]
         reached = graph.affected(own, "origin", "file").first()
@@ -573,7 +588,7 @@ class Engine:
         mine = self.tables["symbols"].where(F.col("path") == target)
         summary = project.file_summary(mine, "path", "type", "signature", "symbol_id", "short_name", "line").first()
         out["file_context"] = {k: row[k] for k in ("language", "line_count", "imports", "exports", "package")} | ({k: summary[k] for k in ("functions", "classes", "methods", "symbol_count")} if summary else {})
-        own = self._edges(self._own(target))
+        own = self._edges(self._own(target), target)
         level = graph.affected(own, "origin", "file").select(F.col("origin").alias("_o"), F.col("affected"), "risk")
         impacts = graph.impact(own.where(F.length("symbol") > 2), "origin", "symbol", "file").join(F.broadcast(level), F.col("origin") == F.col("_o"), "right")  # one row
         used = impacts.withColumn("generic", names.is_generic_hook(F.col("symbol"))).orderBy(F.desc("referenced_in"), "symbol").limit(50).collect()
@@ -669,7 +684,7 @@ class Engine:
     def _finished(self, out: dict, penalty: float) -> dict:
         found, missing = out["symbol_context"].get("found", False), out["missing_context"]
         known = [not missing, found, bool(out["blast_radius"]), len(out["direct_callers"]), len(out["indirect_dependents"]), out.get("query_resolution", {}).get("path_role") == "source", "deep_index" not in missing, bool(out["target"]["symbol"]) and not found, penalty]
-        score, level = self.spark.range(1).select(*evidence.confidence(*map(F.lit, known))).first()
+        score, level = self._session.range(1).select(*evidence.confidence(*map(F.lit, known))).first()
         out["confidence"], out["confidence_details"] = level, {"score": score, "level": level, "missing_context": missing}
         target, related = out["target"], [r for r in out["related_file_reasons"] if r["role"] != "definition"]
         coordinated = out["change_type"] in ("rename", "signature_change", "contract_change")
