@@ -71,6 +71,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows, as a join's side that stays in the executors. Else a table that Spark finds small enough is collected and hashed in the driver, and
+    several of these at once are more than a small driver holds."""
+    return df.hint("merge")
+
+
 def _remember(path: str) -> None:
     if not _WRITTEN:
         atexit.register(_at_exit)

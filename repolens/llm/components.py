@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import cut
+from repolens.llm.common import apart, cut
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. ``edges`` has u > v. Minima are combined before the exchange; a hub's edges are joined by a splittable join."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    joined = both.join(least, F.col("u") == F.col("k"))
+    joined = both.join(apart(least), F.col("u") == F.col("k"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolens.llm.common import cut, stash
+from repolens.llm.common import apart, cut, stash
 from repolens.llm.components import components
 from repolens.llm.substrings import Vocabulary, _mixed
 
@@ -168,7 +168,7 @@ def _classed(g: Column) -> Column:
 def _shared(members: DataFrame) -> DataFrame:
     """The (g, nid, size) whose bucket has two members or more, with the bucket's count. Keys alone are counted first: most buckets have one."""
     crowds = members.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("g").alias("_g"), "n")
-    return cut(members.join(crowds, F.col("g") == F.col("_g")).select("g", "nid", "size", "n"))
+    return cut(members.join(apart(crowds), F.col("g") == F.col("_g")).select("g", "nid", "size", "n"))
 
 
 def _leaders(shared: DataFrame) -> DataFrame:
@@ -180,17 +180,17 @@ def _leaders(shared: DataFrame) -> DataFrame:
 
 def _stars(shared: DataFrame, least: float) -> DataFrame:
     """(a, b): each member of a bucket with its bucket's leaders, if their lengths allow a link."""
-    pairs = shared.join(_leaders(shared), F.col("g") == F.col("_g")).select("nid", "size", F.explode("leaders").alias("l"))
+    pairs = shared.join(apart(_leaders(shared)), F.col("g") == F.col("_g")).select("nid", "size", F.explode("leaders").alias("l"))
     fits = F.least("size", "l.size") >= F.lit(least) * F.greatest("size", "l.size")
     return pairs.where((F.col("nid") != F.col("l.nid")) & fits).select(F.greatest("nid", "l.nid").alias("a"), F.least("nid", "l.nid").alias("b")).dropDuplicates()
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(nid, size, label): the members, leaders aside, of buckets whose members aside from the leaders are in several classes so far."""
-    crowd = shared.where("n > 2").join(_leaders(shared), F.col("g") == F.col("_g")).where(~F.array_contains(F.transform("leaders", lambda x: x["nid"]), F.col("nid")))
-    crowd = cut(crowd.select("g", "nid", "size").join(labels.select(F.col("node").alias("_n"), "label"), F.col("nid") == F.col("_n"), "left").select("g", "nid", "size", F.coalesce("label", "nid").alias("label")))
+    crowd = shared.where("n > 2").join(apart(_leaders(shared)), F.col("g") == F.col("_g")).where(~F.array_contains(F.transform("leaders", lambda x: x["nid"]), F.col("nid")))
+    crowd = cut(crowd.select("g", "nid", "size").join(apart(labels.select(F.col("node").alias("_n"), "label")), F.col("nid") == F.col("_n"), "left").select("g", "nid", "size", F.coalesce("label", "nid").alias("label")))
     several = crowd.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("g").alias("_g"))
-    return cut(crowd.join(several, F.col("g") == F.col("_g")).select("nid", "size", "label").dropDuplicates(["nid"]))
+    return cut(crowd.join(apart(several), F.col("g") == F.col("_g")).select("nid", "size", "label").dropDuplicates(["nid"]))
 
 
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +256,14 @@ def _rest(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
     first of each; how many, depends on both sizes, so keys are made for each size class of partners. What a family has in common is frequent
     and comes last, so its members meet only where the lengths and their own k-mers leave it open.
     """
-    texts = held.join(members.select(F.col("nid").alias("_n")), F.col("nid") == F.col("_n")).select("nid", "text")
+    texts = held.join(apart(members.select(F.col("nid").alias("_n"))), F.col("nid") == F.col("_n")).select("nid", "text")
     flat = stash(texts.mapInArrow(_kmers, "nid long, h long"), "kmers")
     counts = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"), "n")
-    common = flat.join(counts, F.col("h") == F.col("_h")).groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common"))
-    keyed = common.join(members.select(F.col("nid").alias("_n"), "size", "label"), F.col("nid") == F.col("_n")).select("nid", "size", "label", "common")
+    common = flat.join(apart(counts), F.col("h") == F.col("_h")).groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common"))
+    keyed = common.join(apart(members.select(F.col("nid").alias("_n"), "size", "label")), F.col("nid") == F.col("_n")).select("nid", "size", "label", "common")
     keys = stash(keyed.mapInArrow(_keyer(least), "key long, twin long, nid long, size int, label long, at int"), "prefixes")
     other = keys.select("twin", *[F.col(c).alias(f"_{c}") for c in ("nid", "size", "label", "at")])
-    met = keys.drop("twin").join(other, (F.col("key") == F.col("twin")) & (F.col("nid") > F.col("_nid")) & (F.col("label") != F.col("_label")))
+    met = keys.drop("twin").join(apart(other), (F.col("key") == F.col("twin")) & (F.col("nid") > F.col("_nid")) & (F.col("label") != F.col("_label")))
     # no more can be common than what is before both places, this one, and what is after both
     most = F.least("at", "_at") + 1 + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) - 1
     open_ = (most >= F.lit(least / (1 + least)) * (F.col("size") + F.col("_size")) - 1e-6) & (F.least("size", "_size") >= F.lit(least) * F.greatest("size", "_size"))
@@ -271,8 +271,8 @@ def _rest(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    with_a = pairs.join(held.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(held.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(apart(held.select(F.col("nid").alias("a"), F.col("text").alias("text_a"))), "a")
+    with_b = with_a.join(apart(held.select(F.col("nid").alias("b"), F.col("text").alias("text_b"))), "b")
     return cut(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(least), "a long, b long"))
 
 
@@ -286,16 +286,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     shared = _shared(nodes.select("nid", "size", F.explode("bands").alias("g")).select("nid", "size", _classed(F.col("g")).alias("g")))
     # nodes in a crowded bucket also get buckets by two bands
     crowded = shared.where("n > 2").select(F.col("nid").alias("_n")).dropDuplicates()
-    again = nodes.join(crowded, F.col("nid") == F.col("_n")).select("nid", "size", "bands", F.posexplode("bands").alias("i", "g"))
+    again = nodes.join(apart(crowded), F.col("nid") == F.col("_n")).select("nid", "size", "bands", F.posexplode("bands").alias("i", "g"))
     double = again.select("nid", "size", F.explode(F.array(*[F.xxhash64(F.lit(step), F.col("g"), F.get("bands", (F.col("i") + step) % BANDS)) for step in (1, 3, 7)])).alias("g"))
     pairs = cut(_stars(shared, least).unionByName(_stars(_shared(double), least)).dropDuplicates())
-    asked = shared.select(F.col("nid").alias("n")).dropDuplicates().join(nodes.select("nid", F.col("node").alias("_node"), F.col("age").alias("_age")), F.col("n") == F.col("nid")).select("nid", "_node", "_age")
+    asked = shared.select(F.col("nid").alias("n")).dropDuplicates().join(apart(nodes.select("nid", F.col("node").alias("_node"), F.col("age").alias("_age"))), F.col("n") == F.col("nid")).select("nid", "_node", "_age")
     # one copy's text for each node; copies differ in their ids, so a much copied text is no hot key here
-    held = rows.join(asked, (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_age"))).select("nid", "text").dropDuplicates(["nid"])
+    held = rows.join(apart(asked), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_age"))).select("nid", "text").dropDuplicates(["nid"])
     held = stash(held, "texts")
     labels = cut(components(_verified(pairs, held, least), "a", "b"))
     nodes = nodes.select("nid", "node", "age", "copies")
-    nodes = nodes.join(labels.withColumnRenamed("node", "_nid"), F.col("nid") == F.col("_nid"), "left").drop("_nid").withColumn("label", F.coalesce("label", "nid"))
+    nodes = nodes.join(apart(labels.withColumnRenamed("node", "_nid")), F.col("nid") == F.col("_nid"), "left").drop("_nid").withColumn("label", F.coalesce("label", "nid"))
     members = _open(shared, labels)
     if members.isEmpty():
         return nodes
@@ -304,9 +304,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         return nodes
     # the classes that the further links join
     label_of = members.select(F.col("nid").alias("_n"), "label")
-    joined = more.join(label_of.select(F.col("_n").alias("a"), F.col("label").alias("x")), "a").join(label_of.select(F.col("_n").alias("b"), F.col("label").alias("y")), "b")
+    joined = more.join(apart(label_of.select(F.col("_n").alias("a"), F.col("label").alias("x"))), "a").join(apart(label_of.select(F.col("_n").alias("b"), F.col("label").alias("y"))), "b")
     merged = components(joined.select("x", "y"), "x", "y").select(F.col("node").alias("_l"), F.col("label").alias("_to"))
-    return nodes.join(merged, F.col("label") == F.col("_l"), "left").select("nid", "node", "age", "copies", F.coalesce("_to", "label").alias("label"))
+    return nodes.join(apart(merged), F.col("label") == F.col("_l"), "left").select("nid", "node", "age", "copies", F.coalesce("_to", "label").alias("label"))
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
@@ -320,10 +320,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, class_id, class_size): one row for each row of ``docs``; the class id is the smallest id in the class."""
     labelled, sizes = _labelled(docs, doc_id, text, least)
     sizes = sizes.select(F.col("label").alias("_l"), F.col("head.age").alias("class_id"), "class_size")
-    found = cut(labelled.join(sizes, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "class_id", "class_size"))
+    found = cut(labelled.join(apart(sizes), F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "class_id", "class_size"))
     mine = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _node(F.col(f"`{text}`")).alias("node"))
     null = F.lit(2**63 - 1)
-    return mine.join(found, F.col("node") == F.col("_n")).select("doc_id", F.when(F.col("class_id") == null, F.lit(None)).otherwise(F.col("class_id")).alias("class_id"), "class_size")
+    return mine.join(apart(found), F.col("node") == F.col("_n")).select("doc_id", F.when(F.col("class_id") == null, F.lit(None)).otherwise(F.col("class_id")).alias("class_id"), "class_size")
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -334,5 +334,5 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     mark = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     keyed = docs.select(_node(F.col(f"`{text}`")).alias("_node"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)).alias("_id"), row.alias("_row"), mark.alias("_mark"))
-    kept = keyed.join(heads, (F.col("_node") == F.col("_n")) & (F.col("_id") == F.col("_a")), "left_semi")
+    kept = keyed.join(apart(heads), (F.col("_node") == F.col("_n")) & (F.col("_id") == F.col("_a")), "left_semi")
     return kept.groupBy("_node", "_id").agg(F.min_by("_row", "_mark").alias("_row")).select("_row.*")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolens.llm.common import cut, stash
+from repolens.llm.common import apart, cut, stash
 
 LENGTH, SEPARATOR, FEATURES, DIMS, BITS = 1024, 0, 256, 3, 10
 RANGE_ROWS, GROUP = 200_000, 512
@@ -200,5 +200,5 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 65536 else "<u4"
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     tokens = stash(read.mapInArrow(_tokeniser(tokenizer_path), _TOKENS), "tokens")
-    placed = tokens.select("uid", "doc_id", "ids").join(_line(tokens), "uid")
+    placed = tokens.select("uid", "doc_id", "ids").join(apart(_line(tokens)), "uid")
     return placed.select("doc_id", "at", "ids").mapInArrow(_cutter(kind, with_ids), _PIECES)
