@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 WINDOW_COMMITS, MIN_FILES, MAX_FILES = 500, 2, 30
 
 
-def cochange_pairs(changes: DataFrame, commit: str, file: str, position: str, date: str, max_files: int = MAX_FILES) -> DataFrame:
+def cochange_pairs(changes: DataFrame, commit: str, file: str, position: str, date: str, max_files: int = MAX_FILES, tasks: int | None = None) -> DataFrame:
     """(file_a, file_b, count, last_seen) over commits of 2 to ``max_files`` distinct files.
 
     ``position`` counts from the newest commit; last_seen is the date of the newest commit that has both. The cap on a commit's files bounds
-    the join: a commit gives fewer than ``max_files`` squared pairs, and none is a hot key.
+    the join: a commit gives fewer than ``max_files`` squared pairs, and none is a hot key. ``tasks`` share the pairs; without it Spark decides.
     """
     baskets = changes.groupBy(F.col(commit).alias("_commit")).agg(F.array_sort(F.collect_set(file)).alias("files"), F.min(position).alias("pos"), F.first(date).alias("day"))
     fit = baskets.where(F.size("files").between(MIN_FILES, max_files))
     pairs = fit.select("pos", "day", "files", F.posexplode("files").alias("i", "file_a")).select("pos", "day", "file_a", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("file_b"))
+    if tasks is not None:
+        pairs = pairs.repartition(tasks, "file_a", "file_b")
     return pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("count"), F.min_by("day", "pos").alias("last_seen"))
 
 

@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from repolens.functions import names, risk
 from repolens.operators import cochange, evidence, graph, project
-from repolens.plans.registry import register
+from repolens.plans.registry import register, tasks_for
 
 TARGET = 7  #: a part or a file that always exists
+TASK_ROWS = 250_000  #: of lines that one task pairs or dedups
 _R = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _R(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = _R(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    changes = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = tasks_for(spark, lines.count(), TASK_ROWS)
+    changes = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     newest_first = F.struct(-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey"))
-    return cochange.cochange_pairs(changes.withColumn("pos", newest_first), "l_orderkey", "l_partkey", "pos", "o_orderdate")
+    return cochange.cochange_pairs(changes.withColumn("pos", newest_first), "l_orderkey", "l_partkey", "pos", "o_orderdate", tasks=tasks)
 
 
 _PAIRS = """
