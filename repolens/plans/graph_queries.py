@@ -389,12 +389,14 @@ def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolens.functions import paths
     from repolens.operators import hierarchy
 
-    lines = _R(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").dropDuplicates()
+    lines = _R(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    tasks = tasks_for(spark, lines.count(), TASK_ROWS)
     pick = lambda some: F.element_at(F.array(*[F.lit(x) for x in some]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     text = F.replace(F.replace(pick(_CLASSES), F.lit("{k}"), F.col("l_linenumber").cast("string")), F.lit("{s}"), F.col("l_suppkey").cast("string"))
     file = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]), pick(_SUFFIXES))
     rest = F.when(F.col("l_linenumber") % 6 == 5, F.concat(F.lit("\n    extends B"), F.col("l_suppkey"), F.lit(" {"))).otherwise("")
-    return hierarchy.edges(lines.select(file.alias("file"), F.concat(text, rest).alias("text")), paths.extension(F.col("file")))
+    # a file is its four keys: dealt by it, repeated lines and edges meet in one task and are dropped there at once
+    return hierarchy.edges(lines.select(file.alias("file"), F.concat(text, rest).alias("text")).repartition(tasks, "file"), paths.extension(F.col("file")))
 
 
 @register("reindex_upsert", """
