@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +10,12 @@ from repolens.functions.syntax import SYNTAX, classify_usage, usage_sql
 from repolens.functions.tokenize import SQL_TOKENS
 from repolens.operators import textindex, textsearch
 from repolens.plans import index
-from repolens.plans.registry import register
+from repolens.plans.registry import register, tasks_for
 from repolens.sources import store, tree
 
 _LINES = "lines AS (SELECT doc_id AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents)"
 SYMBOL = "tion"
+TASK_FILES = 5_000  #: source files that one task parses
 
 
 @register("usage_classify", f"WITH {_LINES}, k AS (SELECT file, {usage_sql('trim(t)', SYMBOL, SYNTAX['java'])} AS kind FROM lines) SELECT file, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL")
@@ -83,7 +85,11 @@ r AS (SELECT o.path AS origin, o.short_name AS symbol, c.path AS file, c.short_n
 
 
 def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return index.build(tree.parse_files(_sources(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)))
+    """The tables of those files. Several of them are asked for by one query, so what the parsers found is kept on the executors' disks: a file is parsed once."""
+    files = max(spark.sparkContext.defaultParallelism, tasks_for(spark, spark.read.parquet(f"{sf_dir}/part.parquet").count(), TASK_FILES))
+    parsed = tree.parse_files(_sources(spark, sf_dir).repartition(files)).persist(StorageLevel.DISK_ONLY)
+    parsed.count()  # before the tables ask for it at once, each in a stage of its own
+    return index.build(parsed)
 
 
 @register("parse_symbols", f"""
