@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolens.functions import names, paths, risk
 
 MAX_EXPANDED, MAX_SYMBOL_FILES = 6, 10
+PIECE = 1000  #: callers of one name that one task pairs with its symbols
 
 
 def dotted_suffixes(name: Column) -> Column:
@@ -41,7 +42,11 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, caller: str, called: str
         single = matches.groupBy("called").count().where("count = 1").select("called")
         matches = matches.join(single, "called", "left_semi")
     pairs = calls.select(F.col(caller).alias("caller"), F.col(called).alias("called")).dropDuplicates()
-    return pairs.join(matches, "called").select("caller", "called", "symbol_id", "tier")
+    # a name with many callers is dealt in pieces: the rows that it stands for are its callers times its symbols, too many for one task
+    pieces = pairs.groupBy("called").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    dealt = pairs.join(pieces, "called").withColumn("piece", F.pmod(F.xxhash64("caller"), "pieces"))
+    copies = matches.join(pieces, "called").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    return dealt.join(copies, ["called", "piece"]).select("caller", "called", "symbol_id", "tier")
 
 
 def callee_match(symbols: DataFrame, name: str, short_name: str = "short_name", owner: str | None = None) -> DataFrame:
