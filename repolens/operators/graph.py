@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from repolens.functions import names, paths, risk
 
 MAX_EXPANDED, MAX_SYMBOL_FILES = 6, 10
-PIECE = 1000  #: callers of one name that one task pairs with its symbols
+PIECE = 1000  #: callers of one name that one row holds until each is paired with its symbols; a multiple of 8, see ``_paired``
+SIDE = 2000  #: symbols of one name that a piece meets at a time
+TASK_PAIRS = 8_000_000  #: rows that one task makes of pieces and symbols
 
 
 def dotted_suffixes(name: Column) -> Column:
@@ -26,27 +28,42 @@ def callable_names(symbol_id: Column, short_name: Column) -> Column:
 def resolve_calls(calls: DataFrame, symbols: DataFrame, caller: str, called: str, symbol_id: str, short_name: str, unique_only: bool = False) -> DataFrame:
     """(caller, called, symbol_id, tier): calls matched to symbols by id, else by short name, else by dotted suffix.
 
-    Each tier is an equality join; a later tier sees only the names that the earlier ones left. All matches of a tier count, or with
-    ``unique_only`` none where there are several. Distinct called names are resolved once and joined back.
+    A name's matches are those of its first tier. All of them count, or with ``unique_only`` none where there are several. Distinct called names are
+    resolved once and joined back.
     """
-    wanted = calls.select(F.col(called).alias("called")).where("called IS NOT NULL").dropDuplicates()
-    known = symbols.select(F.col(symbol_id).alias("symbol_id"), F.col(short_name).alias("short"))
-    by_id = wanted.join(known.select("symbol_id", F.col("symbol_id").alias("called")), "called").select("called", "symbol_id", F.lit(0).alias("tier"))
-    rest = wanted.join(by_id.select("called").dropDuplicates(), "called", "left_anti")
-    by_name = rest.join(known.withColumnRenamed("short", "called"), "called").select("called", "symbol_id", F.lit(1).alias("tier"))
-    rest = rest.join(by_name.select("called").dropDuplicates(), "called", "left_anti")
-    suffixes = known.select("symbol_id", F.explode(dotted_suffixes(F.col("short"))).alias("called"))
-    by_suffix = rest.join(suffixes, "called").select("called", "symbol_id", F.lit(2).alias("tier"))
-    matches = by_id.unionByName(by_name).unionByName(by_suffix).dropDuplicates()
+    pairs = calls.select(F.col(caller).alias("caller"), F.col(called).alias("called")).where("called IS NOT NULL").dropDuplicates()
+    known = symbols.select(F.col(symbol_id).alias("symbol_id"), F.inline(callable_names(F.col(symbol_id), F.col(short_name)))).withColumnRenamed("name", "called")
+    wanted = known.join(pairs.select("called").dropDuplicates(), "called", "left_semi").groupBy("called", "symbol_id").agg(F.min("tier").alias("tier"))
+    name = Window.partitionBy("called")
+    matches = wanted.withColumn("_first", F.min("tier").over(name)).where("tier = _first").select("called", "symbol_id", "tier")
     if unique_only:
-        single = matches.groupBy("called").count().where("count = 1").select("called")
-        matches = matches.join(single, "called", "left_semi")
-    pairs = calls.select(F.col(caller).alias("caller"), F.col(called).alias("called")).dropDuplicates()
-    # a name with many callers is dealt in pieces: the rows that it stands for are its callers times its symbols, too many for one task
-    pieces = pairs.groupBy("called").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
-    dealt = pairs.join(pieces, "called").withColumn("piece", F.pmod(F.xxhash64("caller"), "pieces"))
-    copies = matches.join(pieces, "called").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    return dealt.join(copies, ["called", "piece"]).select("caller", "called", "symbol_id", "tier")
+        matches = matches.withColumn("_n", F.count(F.lit(1)).over(name)).where("_n = 1").drop("_n")
+    return _paired(pairs, matches)
+
+
+def _paired(pairs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(caller, called, symbol_id, tier): every caller of a name with every symbol of it.
+
+    The rows are callers times symbols, far more than the input where a name is common. A piece of the callers is one row, which meets the symbols a block at a
+    time; so tasks follow the rows that they make, and none holds more than a piece. Symbol after symbol stands beside the same callers in the same order:
+    columns that stay, or recur after whole bytes, take next to no room in a file, where all symbols beside each caller are written out every time.
+    """
+    sizes = pairs.groupBy("called").agg(F.count(F.lit(1)).alias("callers")).join(matches.groupBy("called").agg(F.count(F.lit(1)).alias("symbols")), "called")
+    made = sizes.agg(F.sum(F.col("callers") * F.col("symbols"))).first()[0] or 0
+    wide = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(wide, -(-made // TASK_PAIRS))
+    shares = sizes.select("called", F.ceil(F.col("callers") / PIECE).alias("pieces"), F.ceil(F.col("symbols") / SIDE).alias("blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = pairs.join(shares, "called").withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("called").orderBy("caller")) - 1) / PIECE))
+    packed = dealt.groupBy("called", "blocks", "piece").agg(F.collect_list(F.struct("caller")).alias("callers"))  # structs: lists leave out nulls
+    blocked = matches.join(shares, "called").withColumn("block", F.pmod(F.xxhash64("symbol_id"), "blocks"))
+    # dealt before they are copied, or one task would copy all of a common name
+    packed = packed.repartition(wide, "called", "piece").select("called", "piece", each("blocks").alias("block"), "callers")
+    spread = blocked.repartition(wide, "called", "block").select("called", each("pieces").alias("piece"), "block", "symbol_id", "tier")
+    # a merge join streams its left side; the number of tasks is given, as the bytes of the sides say little of the rows
+    key = ["called", "piece", "block"]
+    met = spread.repartition(tasks, *key).join(packed.repartition(tasks, *key).hint("merge"), key)
+    return met.select("called", "symbol_id", "tier", F.inline("callers")).select("caller", "called", "symbol_id", "tier")
 
 
 def callee_match(symbols: DataFrame, name: str, short_name: str = "short_name", owner: str | None = None) -> DataFrame:
